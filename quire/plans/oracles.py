@@ -361,9 +361,9 @@ EVAL_BEST_WORST = _with(
     """, v AS (SELECT * FROM wide WHERE combined_score IS NOT NULL),
 b AS (SELECT 'best' AS which, team, summary_type, round(combined_score, 6) AS combined_score, item_id
       FROM v ORDER BY v.combined_score DESC, item_id LIMIT 1),
-w AS (SELECT 'worst' AS which, team, summary_type, round(combined_score, 6) AS combined_score, item_id
+wo AS (SELECT 'worst' AS which, team, summary_type, round(combined_score, 6) AS combined_score, item_id
       FROM v ORDER BY v.combined_score ASC, item_id LIMIT 1)
-SELECT * FROM (SELECT * FROM b UNION ALL SELECT * FROM w)
+SELECT * FROM (SELECT * FROM b UNION ALL SELECT * FROM wo)
 WHERE (SELECT min(combined_score) < max(combined_score) FROM v)""",
 )
 
