@@ -25,6 +25,16 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda variable).
+
+    Catalyst may inline a projected column into a higher-order-function
+    lambda, re-evaluating it per element; binding it as a lambda argument
+    guarantees one evaluation per row.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_ws(x: Column | str) -> Column:
     """SC16: ``str.strip()``."""
     return F.regexp_replace(_c(x), rf"\A{WS}+|{WS}+\z", "")
@@ -60,10 +70,13 @@ def collapse_ws(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), f"{WS}{{2,}}", " ")
 
 
+EDGE_PUNCT = r"\A[\p{P}\p{S}]+|[\p{P}\p{S}]+\z"
+
+
 def lower_terms(x: Column | str) -> Column:
-    """Lower-cased word tokens with surrounding punctuation removed (lexical metrics)."""
+    """Lower-cased word tokens with edge punctuation removed (lexical metrics)."""
     return F.filter(
-        F.transform(words(x), lambda w: F.lower(F.regexp_replace(w, r"\A[\p{P}\p{S}]+|[\p{P}\p{S}]+\z", ""))),
+        F.transform(words(x), lambda w: F.lower(F.regexp_replace(w, EDGE_PUNCT, ""))),
         lambda w: w != "",
     )
 

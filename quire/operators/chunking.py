@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import _c, rough_tokens, word_count, words
+from quire.functions.text import _c, let, words
 
 
 def chunk_array(text: Column | str, max_tokens: int = 100_000) -> Column:
@@ -20,16 +20,20 @@ def chunk_array(text: Column | str, max_tokens: int = 100_000) -> Column:
         # max_tokens=1 can make the chunk length 0; the reference then fails.
         raise ValueError("max_tokens must be >= 2")
     t = _c(text)
-    n = word_count(t)
-    tokens = rough_tokens(t)
-    chunk_len = F.floor(n * F.lit(max_tokens) / tokens).cast("bigint")
-    w = words(t)
-    n_chunks = F.ceil(n / chunk_len).cast("int")
-    split = F.transform(
-        F.sequence(F.lit(0), n_chunks - 1),
-        lambda i: F.array_join(F.slice(w, (i * chunk_len + 1).cast("int"), chunk_len.cast("int")), " "),
-    )
-    return F.when(t.isNull(), F.lit(None)).when(tokens <= max_tokens, F.array(t)).otherwise(split)
+
+    def cut(w: Column) -> Column:
+        n = F.size(w).cast("bigint")
+        tokens = F.floor(n * 4 / 3).cast("bigint")
+        chunk_len = F.floor(n * F.lit(max_tokens) / tokens).cast("int")
+        n_chunks = F.ceil(n / chunk_len).cast("int")
+        split = F.transform(
+            F.sequence(F.lit(0), n_chunks - 1),
+            lambda i: F.array_join(F.slice(w, i * chunk_len + 1, chunk_len), " "),
+        )
+        return F.when(tokens <= max_tokens, F.array(t)).otherwise(split)
+
+    # the word array is computed once per row and shared by every chunk
+    return F.when(t.isNotNull(), let(words(t), cut))
 
 
 def explode_chunks(df: DataFrame, text_col: str = "text", max_tokens: int = 100_000, keep: list[str] | None = None) -> DataFrame:

@@ -76,32 +76,50 @@ def remote_chat(call: Callable[[str, str, int], str | None], max_tokens: int = 1
 
 
 class HashingEmbedder:
-    """Hashed term-frequency embedding, L2-normalised, ``ARRAY<DOUBLE>`` of ``dim``."""
+    """Hashed term-frequency embedding, L2-normalised, ``ARRAY<DOUBLE>`` of ``dim``.
+
+    Terms are those of :func:`quire.functions.text.lower_terms` (whitespace
+    split, lower-cased, edge punctuation removed); a term's bucket is the
+    first 8 hex digits of its md5, modulo ``dim``.  Runs as an Arrow-batched
+    pandas UDF (numpy ``bincount`` per text), the same shape as a remote
+    embedder.
+    """
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def bucket(self, term: Column) -> Column:
-        # first 8 hex digits of md5 -> non-negative int; same rule is spelled in SQL
+        """The bucket rule as a Spark expression (for inspection and tests)."""
         return F.pmod(F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long"), F.lit(self.dim))
 
     def embed(self, text: Column | str) -> Column:
-        # one pass over the tokens: each token is hashed once and bumps its bucket
-        buckets = F.transform(lower_terms(text), lambda t: self.bucket(t))
-        zeros = F.array_repeat(F.lit(0.0), self.dim)
-
-        def unit(acc: Column) -> Column:
-            return F.aggregate(
-                acc, F.lit(0.0), lambda ss, x: ss + x * x,
-                lambda ss: F.when(ss > 0, F.transform(acc, lambda x: x / F.sqrt(ss))),
-            )
-
-        return F.aggregate(
-            buckets,
-            zeros,
-            lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1.0).otherwise(x)),
-            unit,
-        )
+        dim = self.dim
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def _embed(texts: pd.Series) -> pd.Series:
+            import hashlib
+
+            import numpy as np
+
+            out = []
+            cache: dict[str, int] = {}
+            for terms in texts:
+                if terms is None or len(terms) == 0:
+                    out.append(None)
+                    continue
+                idx = np.empty(len(terms), dtype=np.int64)
+                for j, t in enumerate(terms):
+                    b = cache.get(t)
+                    if b is None:
+                        b = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim
+                        cache[t] = b
+                    idx[j] = b
+                counts = np.bincount(idx, minlength=dim).astype(np.float64)
+                out.append(counts / np.sqrt(np.dot(counts, counts)))
+            return pd.Series(out)
+
+        # tokenisation stays in the JVM; Python only hashes and counts
+        return _embed(lower_terms(text))
 
 
 def remote_embedder(call: Callable[[list[str]], list[list[float]]]):

@@ -95,13 +95,6 @@ def missing_pairs(docs: DataFrame, variants: list[str] | None = None) -> DataFra
     return pairs.filter(~non_blank(variant_lookup("summaries", "variant")))
 
 
-def _variant_column(variant: Column, field: str) -> Column:
-    expr = None
-    for name, cfg in VARIANTS.items():
-        expr = (expr if expr is not None else F).when(variant == name, F.lit(cfg[field]))
-    return expr
-
-
 def _prompt_for(variant: Column, team: Column, content: Column) -> Column:
     expr = None
     for name, cfg in VARIANTS.items():
@@ -110,41 +103,48 @@ def _prompt_for(variant: Column, team: Column, content: Column) -> Column:
     return expr
 
 
-def summarize(pairs: DataFrame, model, chunk_tokens: int = 100_000) -> DataFrame:
-    """ML3 over pairs ``(_id, team, content, variant)`` -> adds ``summary`` (NULL on failure)."""
-    p = pairs.withColumn("_chunks", chunk_array("content", chunk_tokens)).withColumn(
-        "_max", _variant_column(F.col("variant"), "max_tokens")
-    )
-    single = p.filter(F.size("_chunks") == 1).withColumn(
-        "summary",
-        model.complete(
-            F.lit(SYSTEM_SINGLE), _prompt_for(F.col("variant"), F.col("team"), F.col("_chunks")[0]), 1200
-        )["value"],
+def summarize(pairs: DataFrame, model, chunk_tokens: int = 100_000, materialize: bool = True) -> DataFrame:
+    """ML3 over pairs ``(_id, team, content, variant)`` -> ``(_id, variant, summary)``; NULL on failure.
+
+    Stage 1 makes one model call per (pair, chunk): the variant prompt when
+    the text is one chunk, the generic part prompt otherwise.  Its output is
+    materialised (checkpoint) so the branches below read it instead of
+    re-chunking or re-calling the model.  Stage 2 makes the combine call for
+    multi-chunk pairs over the ordered, non-empty partials.
+    """
+    from quire.session import cut_lineage
+
+    chunked = pairs.select("_id", "variant", "team", chunk_array("content", chunk_tokens).alias("_chunks"))
+    calls = chunked.select(
+        "_id", "variant", "team", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_pos", "_chunk")
     )
-    multi = p.filter(F.size("_chunks") > 1)
-    parts = multi.select("_id", "variant", "team", F.posexplode("_chunks").alias("_pos", "_chunk")).withColumn(
-        "_partial",
-        model.complete(
-            F.lit(SYSTEM_PART),
-            F.concat(fill_template(PART_PREFIX, team=F.col("team")), F.col("_chunk")),
-            1200,
-        )["value"],
+    single = F.col("_n") == 1
+    system = F.when(single, F.lit(SYSTEM_SINGLE)).otherwise(F.lit(SYSTEM_PART))
+    user = F.when(single, _prompt_for(F.col("variant"), F.col("team"), F.col("_chunk"))).otherwise(
+        F.concat(fill_template(PART_PREFIX, team=F.col("team")), F.col("_chunk"))
     )
-    # FL4: failed (NULL or empty) partials are dropped before the ordered concat (AG6)
-    joined = (
-        parts.filter(F.col("_partial").isNotNull() & (F.col("_partial") != ""))
+    out = calls.select("_id", "variant", "_n", "_pos", model.complete(system, user, 1200)["value"].alias("_partial"))
+    if materialize:
+        out = cut_lineage(out)
+    done = out.filter(F.col("_n") == 1).select("_id", "variant", F.col("_partial").alias("summary"))
+    # FL4 + AG6: failed (NULL or empty) partials are dropped, the rest joined in chunk order
+    multi = (
+        out.filter(F.col("_n") > 1)
         .groupBy("_id", "variant")
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", "_partial"))).alias("_parts"))
+        .agg(
+            F.array_sort(
+                F.collect_list(F.when(F.col("_partial").isNotNull() & (F.col("_partial") != ""), F.struct("_pos", "_partial")))
+            ).alias("_parts")
+        )
         .select("_id", "variant", F.array_join(F.transform("_parts", lambda x: x["_partial"]), PART_SEPARATOR).alias("_combined"))
     )
-    multi = multi.join(joined, ["_id", "variant"], "left").withColumn(
-        "summary",
-        model.complete(
-            F.lit(SYSTEM_COMBINE), F.concat(F.lit(COMBINE_PREFIX), F.coalesce("_combined", F.lit(""))), 1200
-        )["value"],
-    ).drop("_combined")
-    cols = pairs.columns + ["summary"]
-    return single.select(*cols).unionByName(multi.select(*cols))
+    # if every chunk failed the combine call still runs, on ''
+    combined = multi.select(
+        "_id",
+        "variant",
+        model.complete(F.lit(SYSTEM_COMBINE), F.concat(F.lit(COMBINE_PREFIX), F.col("_combined")), 1200)["value"].alias("summary"),
+    )
+    return done.unionByName(combined)
 
 
 def fold_summaries(docs: DataFrame, new_rows: DataFrame) -> DataFrame:
@@ -170,8 +170,17 @@ def fold_summaries(docs: DataFrame, new_rows: DataFrame) -> DataFrame:
     ).drop("_new")
 
 
-def incremental_summaries(docs: DataFrame, model, chunk_tokens: int = 100_000) -> DataFrame:
-    """ML4 = JN3 + JN4 + ML3 + AG7: fill every missing summary, keep the rest."""
+def incremental_summaries(docs: DataFrame, model, chunk_tokens: int = 100_000, materialize: bool = True) -> DataFrame:
+    """ML4 = JN3 + JN4 + ML3 + AG7: fill every missing summary, keep the rest.
+
+    With ``materialize`` the model output is checkpointed to the shared
+    checkpoint folder before it is folded and fanned out, so a retried task
+    or a re-planned consumer never calls the model a second time.
+    """
+    from quire.session import cut_lineage
+
     pairs = missing_pairs(docs).select("_id", "team", "content", "variant")
-    new_rows = summarize(pairs, model, chunk_tokens)
+    new_rows = summarize(pairs, model, chunk_tokens, materialize)
+    if materialize:
+        new_rows = cut_lineage(new_rows)
     return fold_summaries(docs, new_rows)

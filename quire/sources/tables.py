@@ -64,10 +64,38 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+# Row key of each table: used to spread an under-partitioned scan.
+KEYS = {
+    "documents": "doc_id",
+    "pages": "page_id",
+    "embeddings": "vec_id",
+    "benchmark": "item_id",
+    "labels": "doc_id",
+    "conversations": "conv_id",
+    "events": "event_id",
+}
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Hash-partition ``df`` on ``key`` when it has fewer partitions than the shuffle parallelism.
+
+    A table stored as one large row group scans as a single task, so all
+    per-row text work would run on one core.  On a cluster reading many files
+    the scan already has more partitions than this bound and nothing changes.
+    """
+    target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """SRC5/SRC6: full or projected scan of one corpus table."""
+    """SRC5/SRC6: full or projected scan of one corpus table (pruned to ``columns``)."""
     df = spark.read.schema(SCHEMAS[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    key = KEYS.get(name)
+    return spread(df, key if key in df.columns else None)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
