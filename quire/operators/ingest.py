@@ -67,8 +67,14 @@ def export_projection(df: DataFrame) -> DataFrame:
 
 def _versions(stored: DataFrame, batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
     fields = [c for c in batch.columns if c != seq]
-    s = stored.select(*fields, F.lit(True).alias("_stored"), F.lit(None).cast("long").alias("_seq"))
-    b = batch.select(*fields, F.lit(False).alias("_stored"), F.col(seq).cast("long").alias("_seq"))
+    extra = [f for f in stored.schema.fields if f.name not in fields]  # stored-only, e.g. _id, summaries
+    s = stored.select(*fields, *[f.name for f in extra], F.lit(True).alias("_stored"), F.lit(None).cast("long").alias("_seq"))
+    b = batch.select(
+        *fields,
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra],
+        F.lit(False).alias("_stored"),
+        F.col(seq).cast("long").alias("_seq"),
+    )
     # stored rows sort before every batch row of their key
     return s.unionByName(b).withColumn("_ord", F.coalesce(F.col("_seq"), F.lit(-(2**62))))
 

@@ -32,13 +32,19 @@ from pyspark.sql import types as T
 from quire.operators.joins import broadcast_if_small
 
 
-def _as_matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Stack a Series of arrays into a unit-normalised float64 matrix + validity mask."""
+def _as_matrix(vectors: pd.Series, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Stack a Series of arrays into a unit-normalised float64 matrix + validity mask.
+
+    Rows whose size differs from ``dim`` (default: the most common size), NULL
+    rows and zero or non-finite norms are marked invalid.
+    """
     n = len(vectors)
     if n == 0:
-        return np.zeros((0, 0)), np.zeros(0, dtype=bool)
+        return np.zeros((0, dim or 0)), np.zeros(0, dtype=bool)
     lens = vectors.map(lambda v: -1 if v is None else len(v)).to_numpy()
-    dim = int(np.max(lens)) if n else 0
+    if dim is None:
+        valid = lens[lens >= 0]
+        dim = int(np.bincount(valid).argmax()) if len(valid) else 0
     ok = lens == dim
     m = np.zeros((n, max(dim, 0)), dtype=np.float64)
     if ok.any():
@@ -63,8 +69,8 @@ def _local_topk(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _score_block(
     qids: np.ndarray, qmat: np.ndarray, cdf: pd.DataFrame, c_id: str, c_vec: str, k: int, exclude_self: bool
 ) -> pd.DataFrame | None:
-    cmat, cok = _as_matrix(cdf[c_vec])
-    if len(qids) == 0 or not cok.any() or cmat.shape[1] != qmat.shape[1]:
+    cmat, cok = _as_matrix(cdf[c_vec], qmat.shape[1])
+    if len(qids) == 0 or not cok.any():
         return None
     cdf = cdf[cok]
     cmat = cmat[cok]
@@ -212,7 +218,7 @@ def _blocked_search(q, corpus, schema, k, c_id, c_vec, group_cols, exclude_self,
     drop_g = [] if group_cols else ["_g"]
 
     def pair(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({n: [] for n in names})
+        empty = pd.DataFrame()  # no rows: Spark skips the column check
         if len(qdf) == 0 or len(cdf) == 0:
             return empty
         qmat, qok = _as_matrix(qdf["_qvec"])
