@@ -288,6 +288,17 @@ def q_vector_contract(spark, sf):
     )
 
 
+def q_ann_recall(spark, sf):
+    """TK2: recall@3 of bucketed candidates + exact re-rank against exact search (no SQL oracle)."""
+    from quire.operators.ann import approx_topk, recall_at_k
+
+    emb = tables.embeddings(spark, sf)
+    q = emb.select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = exact_topk(q, emb, TOP_K, exclude_self=True).select("query_id", "vec_id")
+    approx = approx_topk(q, emb, TOP_K, VECTOR_DIM, exclude_self=True)
+    return recall_at_k(exact, approx, TOP_K)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_topk": q_knn_topk,
     "word_stats": q_word_stats,
@@ -312,6 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_best_worst": q_eval_best_worst,
     "judge_scores": q_judge_scores,
     "vector_contract": q_vector_contract,
+    "ann_recall": q_ann_recall,
 }
 
 from quire.plans.oracles import ORACLES  # noqa: E402  (SQL lives next door)
