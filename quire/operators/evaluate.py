@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import fmt4, non_blank, strip_ws, word_count
-from quire.operators.metrics import combined, lexical_scores
+from quire.operators.metrics import combined, f1, reference_stats, row_lexical_scores
 from quire.operators.summaries import VARIANT_NAMES, variant_lookup
 
 SCORE_NAMES = ["BERTPrecision", "BERTRecall", "BERTF1", "CosineSimilarity", "CombinedScore"]
@@ -24,18 +24,24 @@ WIDE_NAMES = {
 }
 
 
-def eval_items(docs: DataFrame, summary_types: list[str] | None = None) -> DataFrame:
-    """UN4 + FL2 + FL3 + SC10: ``item_id, doc_key, team, summary_type, reference, summary, lengths``.
+def eval_items(docs: DataFrame, summary_types: list[str] | None = None, with_reference_stats: bool = True) -> DataFrame:
+    """UN4 + FL2 + FL3 + SC10: one row per (document, summary type) with a non-blank summary.
 
     ``docs``: ``_id, team, content, summaries``.  Only the fixed summary types
-    are read (other map keys are ignored, unlike the vector load).
+    are read (other map keys are ignored, unlike the vector load).  The
+    reference's term statistics are computed once per document, before the
+    per-type explode.
     """
     types = summary_types or VARIANT_NAMES
-    d = docs.withColumn("reference", strip_ws("content")).filter(non_blank("reference")).select(
-        "_id", "team", "reference", "summaries", F.posexplode(F.array(*[F.lit(t) for t in types])).alias("_tpos", "summary_type")
-    )
+    d = docs.withColumn("reference", strip_ws("content")).filter(non_blank("reference"))
+    cols = ["_id", "team", "reference", "summaries", word_count("reference").alias("article_length")]
+    if with_reference_stats:
+        cols.append(reference_stats("reference").alias("_ref"))
+    d = d.select(*cols)
+    d = d.select("*", F.posexplode(F.array(*[F.lit(t) for t in types])).alias("_tpos", "summary_type"))
     d = d.withColumn("summary", strip_ws(F.coalesce(variant_lookup("summaries", "summary_type"), F.lit(""))))
     d = d.filter(non_blank("summary"))
+    extra = ["_ref"] if with_reference_stats else []
     return d.select(
         F.concat_ws(":", F.col("_id").cast("string"), "summary_type").alias("item_id"),
         "_id",
@@ -43,22 +49,40 @@ def eval_items(docs: DataFrame, summary_types: list[str] | None = None) -> DataF
         "summary_type",
         "reference",
         "summary",
-        word_count("reference").alias("article_length"),
+        "article_length",
         word_count("summary").alias("summary_length"),
+        *extra,
     )
 
 
 def score_items(items: DataFrame, bert_weight: float = 0.6, cosine_weight: float = 0.4) -> DataFrame:
-    """PR6 + ML7-ML9: candidate = summary, reference = article; one row per item."""
-    refs = items.select("_id", "reference").dropDuplicates(["_id"])
-    scores = lexical_scores(
-        items.select("item_id", "_id", F.col("summary").alias("candidate")),
-        refs,
-        item_key="item_id",
-        ref_key="_id",
-        reference="reference",
+    """PR6 + ML7-ML9 per row: candidate = summary, reference = article (no shuffle).
+
+    Returns the item's labels and lengths with ``precision, recall, f1, cosine,
+    combined`` and ``error`` (FL6: blank input gives NULL scores).
+    """
+    s = items.withColumn("_s", row_lexical_scores("summary", "_ref"))
+    blank = ~non_blank("summary") | ~non_blank("reference")
+    out = s.select(
+        "item_id", "_id", "team", "summary_type", "summary_length", "article_length",
+        *[F.when(~blank, F.col("_s")[c]).alias(c) for c in ("precision", "recall", "cosine")],
+        F.when(blank, F.lit("Input texts cannot be empty or whitespace.")).alias("error"),
+    )
+    out = out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    return out.withColumn("combined", combined("f1", "cosine", bert_weight, cosine_weight))
+
+
+def wide_from_scores(scored: DataFrame) -> DataFrame:
+    """AG5 when each item's scores are already one row: name the columns, NaN -> NULL."""
+    names = {"precision": "bert_precision", "recall": "bert_recall", "f1": "bert_f1", "cosine": "cosine_similarity", "combined": "combined_score"}
+    return scored.select(
+        "item_id",
+        "team",
+        "summary_type",
+        *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(n) for c, n in names.items()],
+        F.coalesce("summary_length", F.lit(0)).cast("bigint").alias("summary_length"),
+        F.coalesce("article_length", F.lit(0)).cast("bigint").alias("article_length"),
     )
-    return scores.withColumn("combined", combined("f1", "cosine", bert_weight, cosine_weight))
 
 
 def long_scores(scored: DataFrame) -> DataFrame:
@@ -87,7 +111,8 @@ def wide_results(items: DataFrame, scores_long: DataFrame) -> DataFrame:
         .pivot("name", SCORE_NAMES)
         .agg(F.max_by("value", "ordinal"))
     )
-    out = items.join(wide, "item_id", "left")
+    light = items.select("item_id", "team", "summary_type", "summary_length", "article_length")
+    out = light.join(wide, "item_id", "left")
     return out.select(
         "item_id",
         "team",

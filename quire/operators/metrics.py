@@ -11,9 +11,15 @@
 * Combined (ML9): ``bert_weight * f1 + cosine_weight * cosine`` computed once
   from the columns above (no recomputation).
 
-Both lexical scores come from one join on ``(reference key, token)`` over
-per-text token counts; the reference text is tokenised once even when it is
-shared by several candidates.
+Two physical forms of the lexical scores, same numbers:
+
+* :func:`row_lexical_scores` (used by the evaluation): per item row, from the
+  candidate's distinct terms and the reference's sorted term array computed
+  once per document (:func:`reference_stats`).  No shuffle at all, so a hot
+  term or a hot document cannot skew a task; cost per item is
+  O(distinct candidate terms x reference terms) with native array scans.
+* :func:`lexical_scores`: when candidates and references live in separate
+  tables - one join on ``(reference key, term)`` over per-text term counts.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import lower_terms, non_blank
+from quire.functions.text import let, lower_terms, non_blank
 from quire.operators.knn import exact_topk
 
 BERT_WEIGHT = 0.6
@@ -110,6 +116,68 @@ def lexical_scores(
     )
 
 
+def reference_stats(reference: Column | str) -> Column:
+    """Per-reference term statistics, computed once per text (no shuffle).
+
+    ``struct<terms: sorted ARRAY<STRING>, total: BIGINT, sq: BIGINT>`` where
+    ``sq`` is the sum of squared term counts (a run-length fold over the
+    sorted terms).
+    """
+    def runs(sorted_terms: Column) -> Column:
+        init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("ss"))
+        sq = F.aggregate(
+            sorted_terms,
+            init,
+            lambda acc, x: F.when(acc["prev"] == x, F.struct(x.alias("prev"), (acc["run"] + 1).alias("run"), acc["ss"].alias("ss"))).otherwise(
+                F.struct(x.alias("prev"), F.lit(1).cast("long").alias("run"), (acc["ss"] + acc["run"] * acc["run"]).alias("ss"))
+            ),
+            lambda acc: acc["ss"] + acc["run"] * acc["run"],
+        )
+        return F.struct(sorted_terms.alias("terms"), F.size(sorted_terms).cast("long").alias("total"), sq.alias("sq"))
+
+    return let(F.array_sort(lower_terms(reference)), runs)
+
+
+def row_lexical_scores(candidate: Column | str, ref: Column | str) -> Column:
+    """ML7 + ML8 for one (candidate, reference statistics) pair, per row.
+
+    For each distinct candidate term the counts on both sides come from
+    native ``array_remove`` scans; precision, recall, F1 and the
+    term-frequency cosine follow from five integer sums.  NULL scores when
+    either side has no terms.
+    """
+    r = F.col(ref) if isinstance(ref, str) else ref
+
+    def per_candidate(c: Column) -> Column:
+        def per_distinct(cs: Column) -> Column:
+            stats = F.transform(
+                cs,
+                lambda t: F.struct(
+                    (F.size(c) - F.size(F.array_remove(c, t))).cast("long").alias("nc"),
+                    (F.size(r["terms"]) - F.size(F.array_remove(r["terms"], t))).cast("long").alias("nr"),
+                ),
+            )
+
+            def sums(st: Column) -> Column:
+                zero = F.lit(0).cast("long")
+                c_hit = F.aggregate(st, zero, lambda a, x: a + F.when(x["nr"] > 0, x["nc"]).otherwise(0))
+                r_hit = F.aggregate(st, zero, lambda a, x: a + x["nr"])
+                dot_ = F.aggregate(st, zero, lambda a, x: a + x["nc"] * x["nr"])
+                c_sq = F.aggregate(st, zero, lambda a, x: a + x["nc"] * x["nc"])
+                c_total = F.size(c).cast("long")
+                ok = (c_total > 0) & (r["total"] > 0)
+                p = F.when(ok, c_hit.cast("double") / c_total.cast("double"))
+                rec = F.when(ok, r_hit.cast("double") / r["total"].cast("double"))
+                cos = F.when(ok, dot_.cast("double") / (F.sqrt(c_sq.cast("double")) * F.sqrt(r["sq"].cast("double"))))
+                return F.struct(p.alias("precision"), rec.alias("recall"), cos.alias("cosine"))
+
+            return let(stats, sums)
+
+        return let(F.array_distinct(c), per_distinct)
+
+    return let(lower_terms(candidate), per_candidate)
+
+
 def embedding_cosine(items: DataFrame, embedder, candidate: str = "candidate", reference: str = "reference") -> Column:
     """ML8 with a pluggable embedder: cosine of the two unit vectors."""
     from quire.functions.vectors import cosine

@@ -104,7 +104,10 @@ def _prompt_for(variant: Column, team: Column, content: Column) -> Column:
 
 
 def summarize(pairs: DataFrame, model, chunk_tokens: int = 100_000, materialize: bool = True) -> DataFrame:
-    """ML3 over pairs ``(_id, team, content, variant)`` -> ``(_id, variant, summary)``; NULL on failure.
+    """ML3 -> ``(_id, variant, summary)``; NULL on failure.
+
+    Input: pairs ``(_id, team, content, variant)`` or documents
+    ``(_id, team, content, _missing)`` with an array of variants to fill.
 
     Stage 1 makes one model call per (pair, chunk): the variant prompt when
     the text is one chunk, the generic part prompt otherwise.  Its output is
@@ -114,8 +117,12 @@ def summarize(pairs: DataFrame, model, chunk_tokens: int = 100_000, materialize:
     """
     from quire.session import cut_lineage
 
-    chunked = pairs.select("_id", "variant", "team", chunk_array("content", chunk_tokens).alias("_chunks"))
-    calls = chunked.select(
+    if "_missing" not in pairs.columns:
+        pairs = pairs.select("_id", "team", "content", F.array("variant").alias("_missing"))
+    # chunk once per document, then fan out to its missing variants and chunks
+    chunked = pairs.select("_id", "team", "_missing", chunk_array("content", chunk_tokens).alias("_chunks"))
+    per_variant = chunked.select("_id", "team", F.explode("_missing").alias("variant"), "_chunks")
+    calls = per_variant.select(
         "_id", "variant", "team", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_pos", "_chunk")
     )
     single = F.col("_n") == 1
@@ -173,14 +180,15 @@ def fold_summaries(docs: DataFrame, new_rows: DataFrame) -> DataFrame:
 def incremental_summaries(docs: DataFrame, model, chunk_tokens: int = 100_000, materialize: bool = True) -> DataFrame:
     """ML4 = JN3 + JN4 + ML3 + AG7: fill every missing summary, keep the rest.
 
-    With ``materialize`` the model output is checkpointed to the shared
-    checkpoint folder before it is folded and fanned out, so a retried task
-    or a re-planned consumer never calls the model a second time.
+    With ``materialize`` the per-chunk model output is checkpointed to the
+    shared checkpoint folder before it fans out to the single- and
+    multi-chunk branches, so a retried task or a re-planned consumer never
+    calls the model for it a second time.
     """
-    from quire.session import cut_lineage
-
-    pairs = missing_pairs(docs).select("_id", "team", "content", "variant")
-    new_rows = summarize(pairs, model, chunk_tokens, materialize)
-    if materialize:
-        new_rows = cut_lineage(new_rows)
+    d = docs.filter(non_blank("content"))
+    todo = F.filter(F.array(*[F.lit(v) for v in VARIANT_NAMES]), lambda v: ~non_blank(variant_lookup("summaries", v)))
+    work = d.select("_id", "team", "content", todo.alias("_missing")).filter(F.size("_missing") > 0)
+    # the per-chunk model output is checkpointed inside summarize; the combine
+    # stage's output feeds the fold only, so it is not materialised again
+    new_rows = summarize(work, model, chunk_tokens, materialize)
     return fold_summaries(docs, new_rows)

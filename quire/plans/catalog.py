@@ -34,7 +34,6 @@ from quire.operators.knn import exact_topk
 from quire.operators.metrics import greedy_match
 from quire.operators.models import HashingEmbedder, LeadChat
 from quire.operators.vectors import VECTOR_KEYS, missing_vectors as missing_vector_rows
-from quire.session import cut_lineage
 from quire.sources import tables
 
 # Fixed parameters of the registered queries.
@@ -85,15 +84,13 @@ def filled_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored_items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    # the items feed four consumers (terms, blank flags, lengths, wide join):
-    # materialise them once in the shared checkpoint folder
-    items = cut_lineage(evaluate.eval_items(filled_docs(spark, sf)))
+    items = evaluate.eval_items(filled_docs(spark, sf))
     return items, evaluate.score_items(items)
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
-    items, scored = scored_items(spark, sf)
-    return evaluate.wide_results(items, evaluate.long_scores(scored))
+    _, scored = scored_items(spark, sf)
+    return evaluate.wide_from_scores(scored)
 
 
 def rag_answers(spark: SparkSession, sf: str) -> DataFrame:
