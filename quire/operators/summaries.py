@@ -187,7 +187,8 @@ def incremental_summaries(docs: DataFrame, model, chunk_tokens: int = 100_000, m
     """
     d = docs.filter(non_blank("content"))
     todo = F.filter(F.array(*[F.lit(v) for v in VARIANT_NAMES]), lambda v: ~non_blank(variant_lookup("summaries", v)))
-    work = d.select("_id", "team", "content", todo.alias("_missing")).filter(F.size("_missing") > 0)
+    # documents with nothing missing drop out at the explode inside summarize
+    work = d.select("_id", "team", "content", todo.alias("_missing"))
     # the per-chunk model output is checkpointed inside summarize; the combine
     # stage's output feeds the fold only, so it is not materialised again
     new_rows = summarize(work, model, chunk_tokens, materialize)

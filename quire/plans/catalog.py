@@ -60,20 +60,25 @@ def corpus_docs(spark: SparkSession, sf: str) -> DataFrame:
     d = tables.documents(spark, sf, "doc_id", "text")
     lab = tables.read_table(spark, sf, "labels")
     d = d.join(lab, "doc_id", "left")
-    lead = lambda n: F.array_join(F.slice(tx.words("text"), 1, n), " ")
-    entries = F.filter(
-        F.array(
-            F.when(F.col("quality") == 1, F.struct(F.lit("default").alias("k"), lead(12).alias("v"))),
-            F.when(F.col("toxic") == 1, F.struct(F.lit("recent").alias("k"), F.lit("  ").alias("v"))),
-            F.when(F.col("quality") == 0, F.struct(F.lit("legacy").alias("k"), lead(5).alias("v"))),
-        ),
-        lambda x: x.isNotNull(),
-    )
+    def stored_map(w):
+        lead = lambda n: F.array_join(F.slice(w, 1, n), " ")
+        entries = F.filter(
+            F.array(
+                F.when(F.col("quality") == 1, F.struct(F.lit("default").alias("k"), lead(12).alias("v"))),
+                F.when(F.col("toxic") == 1, F.struct(F.lit("recent").alias("k"), F.lit("  ").alias("v"))),
+                F.when(F.col("quality") == 0, F.struct(F.lit("legacy").alias("k"), lead(5).alias("v"))),
+            ),
+            lambda x: x.isNotNull(),
+        )
+        return F.map_from_entries(entries)
+
+    labelled = F.col("quality").isNotNull() | F.col("toxic").isNotNull()
     return d.select(
         F.col("doc_id").alias("_id"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("team"),
         F.col("text").alias("content"),
-        F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), F.map_from_entries(entries)).alias("summaries"),
+        # the word array is bound once per labelled document
+        F.when(labelled, tx.let(tx.words("text"), stored_map)).alias("summaries"),
         F.col("toxic"),
     )
 
