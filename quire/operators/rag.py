@@ -43,7 +43,8 @@ def retrieve(questions: DataFrame, corpus: DataFrame, embedder, k: int = 3, **kn
 def contexts(questions: DataFrame, hits: DataFrame, text_col: str = "summary_text") -> DataFrame:
     """JN9: one context per question; questions without a hit get ''."""
     ctx = hits.groupBy("query_id").agg(ordered_concat("rank", text_col).alias("context"))
-    return questions.join(ctx, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    # contexts hold whole texts: never let the planner broadcast them
+    return questions.join(ctx.hint("merge"), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def rag_prompt(context: Column | str, query: Column | str) -> Column:

@@ -58,7 +58,7 @@ def _r(c):
 def corpus_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with their stored summaries map (see module docstring)."""
     d = tables.documents(spark, sf, "doc_id", "text")
-    lab = tables.read_table(spark, sf, "labels")
+    lab = tables.read_table(spark, sf, "labels", spread_rows=False)
     d = d.join(lab, "doc_id", "left")
     def stored_map(w):
         lead = lambda n: F.array_join(F.slice(w, 1, n), " ")
@@ -109,7 +109,7 @@ def rag_answers(spark: SparkSession, sf: str) -> DataFrame:
         rag.ordered_concat("rank", "summary_text").alias("context"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("hit_ids"),
     )
-    out = questions.join(ctx, "query_id", "left").select(
+    out = questions.join(ctx.hint("merge"), "query_id", "left").select(
         F.col("query_id").alias("item_id"),
         "question",
         F.coalesce("hit_ids", F.lit("")).alias("hit_ids"),
@@ -165,7 +165,7 @@ def q_article_assemble(spark, sf):
 
 
 def _upsert_inputs(spark, sf):
-    d = tables.documents(spark, sf, "doc_id", "text", "lang", "source").select(
+    d = tables.documents(spark, sf, "doc_id", "text", "lang", "source", spread_rows=False).select(
         "lang", "source", "doc_id", F.col("text").alias("content")
     )
     first = d.groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"))
@@ -290,6 +290,17 @@ def q_vector_contract(spark, sf):
     )
 
 
+def q_spans(spark, sf):
+    """OB1: a root span and one span per traced step for every RAG question."""
+    from quire.operators.observe import pipeline_spans
+
+    a = rag_answers(spark, sf).select("item_id", F.when(F.col("answer") == "", F.lit("empty answer")).alias("error"))
+    steps = ["get_embedding", "prepare_context", "generate_answer"]
+    return pipeline_spans(a, "rag_query_pipeline", steps, ["item_id"], "error").select(
+        "trace_id", "span_id", "parent_id", "name", "status"
+    )
+
+
 def q_ann_recall(spark, sf):
     """TK2: recall@3 of bucketed candidates + exact re-rank against exact search (no SQL oracle)."""
     from quire.operators.ann import approx_topk, recall_at_k
@@ -325,6 +336,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_best_worst": q_eval_best_worst,
     "judge_scores": q_judge_scores,
     "vector_contract": q_vector_contract,
+    "spans": q_spans,
     "ann_recall": q_ann_recall,
 }
 

@@ -377,6 +377,18 @@ SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim,
 FROM embeddings
 """
 
+SPANS = _with(
+    _rag(),
+    """, st AS (
+  SELECT CAST(item_id AS VARCHAR) AS trace_id, CASE WHEN answer = '' THEN 'error' ELSE 'ok' END AS status FROM ans
+), names AS (SELECT * FROM (VALUES ('get_embedding'), ('prepare_context'), ('generate_answer')) AS t(name))
+SELECT trace_id, substr(sha256(trace_id || '|rag_query_pipeline'), 1, 16) AS span_id, CAST(NULL AS VARCHAR) AS parent_id,
+       'rag_query_pipeline' AS name, status FROM st
+UNION ALL
+SELECT trace_id, substr(sha256(trace_id || '|' || name), 1, 16) AS span_id,
+       substr(sha256(trace_id || '|rag_query_pipeline'), 1, 16) AS parent_id, name, status FROM st, names""",
+)
+
 ORACLES: dict[str, str] = {
     "knn_topk": KNN_TOPK,
     "word_stats": WORD_STATS,
@@ -401,4 +413,5 @@ ORACLES: dict[str, str] = {
     "eval_best_worst": EVAL_BEST_WORST,
     "judge_scores": JUDGE_SCORES,
     "vector_contract": VECTOR_CONTRACT,
+    "spans": SPANS,
 }

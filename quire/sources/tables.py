@@ -89,17 +89,23 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(target, key) if key else df.repartition(target)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """SRC5/SRC6: full or projected scan of one corpus table (pruned to ``columns``)."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread_rows: bool = True) -> DataFrame:
+    """SRC5/SRC6: full or projected scan of one corpus table (pruned to ``columns``).
+
+    ``spread_rows=False`` for scans that feed a shuffle (join, aggregate) right
+    away: the shuffle itself spreads the rows.
+    """
     df = spark.read.schema(SCHEMAS[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
     if columns:
         df = df.select(*columns)
+    if not spread_rows:
+        return df
     key = KEYS.get(name)
     return spread(df, key if key in df.columns else None)
 
 
-def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents", *columns)
+def documents(spark: SparkSession, sf_dir: str, *columns: str, spread_rows: bool = True) -> DataFrame:
+    return read_table(spark, sf_dir, "documents", *columns, spread_rows=spread_rows)
 
 
 def pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
