@@ -253,6 +253,12 @@ def q_combined_score(spark, sf):
     return s.select("item_id", _r("combined").alias("combined_score"))
 
 
+def q_score_rows(spark, sf):
+    """UN6 + AG5 input: the evaluator's long score rows ``(item_id, ordinal, name, value)``."""
+    _, s = scored_items(spark, sf)
+    return evaluate.long_scores(s).select("item_id", F.col("ordinal").cast("int").alias("ordinal"), "name", _r("value").alias("value"))
+
+
 def q_eval_wide(spark, sf):
     w = wide(spark, sf)
     return w.select(
@@ -331,6 +337,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lexical_prf": q_lexical_prf,
     "tf_cosine": q_tf_cosine,
     "combined_score": q_combined_score,
+    "score_rows": q_score_rows,
     "eval_wide": q_eval_wide,
     "eval_report": q_eval_report,
     "eval_best_worst": q_eval_best_worst,

@@ -389,6 +389,17 @@ SELECT trace_id, substr(sha256(trace_id || '|' || name), 1, 16) AS span_id,
        substr(sha256(trace_id || '|rag_query_pipeline'), 1, 16) AS parent_id, name, status FROM st, names""",
 )
 
+SCORE_ROWS = _with(
+    _items(),
+    """SELECT * FROM (
+  SELECT item_id, 0 AS ordinal, 'BERTRecall' AS name, round(recall, 6) AS value FROM sc
+  UNION ALL SELECT item_id, 1, 'BERTPrecision', round(precision, 6) FROM sc
+  UNION ALL SELECT item_id, 2, 'BERTF1', round(f1, 6) FROM sc
+  UNION ALL SELECT item_id, 3, 'CosineSimilarity', round(cosine, 6) FROM sc
+  UNION ALL SELECT item_id, 4, 'CombinedScore', round(combined, 6) FROM sc
+) WHERE value IS NOT NULL""",
+)
+
 ORACLES: dict[str, str] = {
     "knn_topk": KNN_TOPK,
     "word_stats": WORD_STATS,
@@ -408,6 +419,7 @@ ORACLES: dict[str, str] = {
     "lexical_prf": LEXICAL_PRF,
     "tf_cosine": TF_COSINE,
     "combined_score": COMBINED_SCORE,
+    "score_rows": SCORE_ROWS,
     "eval_wide": EVAL_WIDE,
     "eval_report": EVAL_REPORT,
     "eval_best_worst": EVAL_BEST_WORST,
