@@ -6,7 +6,8 @@ query; a final per-query window keeps the global top-k (ties: lower id first).
 
 Two physical strategies, chosen by a size check on the query side:
 
-* **broadcast** (query batch within ``max_broadcast_rows``): the normalised
+* **broadcast** (query batch within ``max_broadcast_rows`` and
+  ``max_broadcast_bytes`` of float64 query matrix): the normalised
   query matrix is shipped once to every executor and the corpus is scanned in
   place with ``mapInPandas`` - the corpus is never shuffled.
 * **blocked** (larger query sets): queries and corpus are hashed into blocks
@@ -111,6 +112,7 @@ def exact_topk(
     group_cols: Sequence[str] = (),
     exclude_self: bool = False,
     max_broadcast_rows: int = 20_000,
+    max_broadcast_bytes: int = 64 << 20,
     query_block: int = 4_096,
     corpus_block: int = 65_536,
     strategy: str = "auto",
@@ -129,9 +131,13 @@ def exact_topk(
     schema = _output_schema(corpus, c_vec, id_type)
 
     if strategy in ("auto", "broadcast"):
-        # Size check by construction: at most max_broadcast_rows + 1 rows reach the driver.
-        qpdf = q.limit(max_broadcast_rows + 1).toPandas()
-        if len(qpdf) <= max_broadcast_rows:
+        # The broadcast bound is in bytes of the query matrix (float64), so it
+        # holds for any vector width; at most bound + 1 rows reach the driver.
+        first = q.select(F.size("_qvec").alias("d")).filter("d > 0").limit(1).collect()
+        dim = first[0]["d"] if first else 1
+        bound = max(1, min(max_broadcast_rows, max_broadcast_bytes // (8 * dim)))
+        qpdf = q.limit(bound + 1).toPandas()
+        if len(qpdf) <= bound:
             return _finish(_broadcast_search(corpus, qpdf, schema, k, c_id, c_vec, group_cols, exclude_self), k, c_id)
         if strategy == "broadcast":
             raise ValueError("query batch exceeds max_broadcast_rows")

@@ -60,9 +60,7 @@ def qa_set(questions: DataFrame, vectors: DataFrame, embedder, model, k: int = 3
 
 def summary_evaluation(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """JOB5: items -> metric columns -> wide table, per-type report, best/worst."""
-    items = cut_lineage(evaluate.eval_items(docs))
-    scored = evaluate.score_items(items)
-    wide = evaluate.wide_results(items, evaluate.long_scores(scored))
+    wide = cut_lineage(evaluate.wide_from_scores(evaluate.score_items(evaluate.eval_items(docs))))
     return wide, evaluate.type_report(wide), evaluate.best_worst(wide)
 
 
