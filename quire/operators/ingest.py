@@ -85,6 +85,7 @@ def mark_versions(
     keys: Sequence[str] = DEFAULT_KEYS,
     seq: str = "seq",
     block_size: int = 1 << 20,
+    batch_keys: DataFrame | None = None,
 ) -> DataFrame:
     """WN1: every version of an affected key with ``_applied`` and ``action``.
 
@@ -92,7 +93,8 @@ def mark_versions(
     for the stored row.  ``seq`` must be unique within a key.
     """
     keys = list(keys)
-    batch_keys = broadcast_if_small(batch.select(*keys).distinct(), 1_000_000)
+    if batch_keys is None:
+        batch_keys = broadcast_if_small(batch.select(*keys).distinct(), 1_000_000)
     affected = stored.join(batch_keys, keys, "left_semi")
     v = _versions(affected, batch, keys, seq).withColumn(
         "_blk", F.floor(F.col("_ord") / F.lit(block_size)).cast("long")
@@ -130,7 +132,9 @@ def upsert(
     location (or MERGE where the table format supports it).
     """
     keys = list(keys)
-    marked = mark_versions(stored, batch, keys, seq, block_size)
+    # distinct batch keys: size-checked once, shared by the semi and anti joins
+    batch_keys = broadcast_if_small(batch.select(*keys).distinct(), 1_000_000)
+    marked = mark_versions(stored, batch, keys, seq, block_size, batch_keys)
     batch_fields = [c for c in batch.columns if c != seq]
     stored_only = [c for c in stored.columns if c not in batch_fields]
     final = marked.filter("_applied").groupBy(*keys).agg(
@@ -140,7 +144,6 @@ def upsert(
     changed = final.select(
         *keys, *[F.col("_new")[c].alias(c) for c in batch_fields if c not in keys], *stored_only
     ).select(*stored.columns)
-    batch_keys = broadcast_if_small(batch.select(*keys).distinct(), 1_000_000)
     untouched = stored.join(batch_keys, keys, "left_anti")
     snapshot = untouched.unionByName(changed)
     actions = marked.filter(F.col("action").isNotNull()).select(*keys, F.col("_seq").alias(seq), "action")

@@ -33,7 +33,9 @@ def etl(
     have, need = ingest.split_cached(catalogue, cached)
     cached_rows = have.join(cached, "filename").select("name", "url", "filename", "metadata", "content")
     secs = sections.join(section_html, ["team", "index"], "left").withColumn("text", clean_html("html"))
-    secs = secs.withColumn("title", page_title(F.col("url")) if "url" in secs.columns else F.col("team"))
+    # PR1: the banner carries the page title taken from the catalogue URL
+    urls = need.select(F.col("name").alias("team"), page_title("url").alias("title"))
+    secs = secs.join(urls, "team")
     built = articles.assemble_articles(secs, ["team"], "title").withColumnRenamed("article", "content")
     fetched = need.join(built.withColumnRenamed("team", "name"), "name").select("name", "url", "filename", "metadata", "content")
     docs = ingest.collect_documents(cached_rows, fetched).withColumnRenamed("name", "team")
