@@ -28,12 +28,6 @@ from quire.operators.joins import broadcast_if_small
 DEFAULT_KEYS = ("team", "source_url")
 
 
-def page_title_from_url(url: Column | str) -> Column:
-    from quire.functions.html import page_title
-
-    return page_title(url)
-
-
 def crawled_rows(df: DataFrame, run_ts: Column | None = None) -> DataFrame:
     """PR2: stamp one run timestamp and default the metadata to an empty map."""
     ts = run_ts if run_ts is not None else F.current_timestamp()

@@ -178,11 +178,16 @@ def row_lexical_scores(candidate: Column | str, ref: Column | str) -> Column:
     return let(lower_terms(candidate), per_candidate)
 
 
-def embedding_cosine(items: DataFrame, embedder, candidate: str = "candidate", reference: str = "reference") -> Column:
-    """ML8 with a pluggable embedder: cosine of the two unit vectors."""
+def embedding_cosine(df: DataFrame, embedder, candidate: str = "candidate", reference: str = "reference") -> DataFrame:
+    """ML8 with a pluggable embedder: adds ``cosine`` of the two embeddings.
+
+    The embeddings are projected first (Python UDFs cannot sit inside the
+    cosine's higher-order functions).
+    """
     from quire.functions.vectors import cosine
 
-    return cosine(embedder.embed(candidate), embedder.embed(reference))
+    e = df.withColumn("_ce", embedder.embed(candidate)).withColumn("_re", embedder.embed(reference))
+    return e.withColumn("cosine", cosine("_ce", "_re")).drop("_ce", "_re")
 
 
 def greedy_match(

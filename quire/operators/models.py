@@ -40,13 +40,6 @@ class LeadChat:
         return F.struct(value.alias("value"), F.lit(None).cast("string").alias("error"))
 
 
-def lead_words_sql(col: str, n: int) -> str:
-    """DuckDB spelling of :class:`LeadChat` (for the SQL oracles)."""
-    from quire.functions.text import NON_WS_RE2
-
-    return f"array_to_string(regexp_extract_all({col}, '{NON_WS_RE2}+')[1:{n}], ' ')"
-
-
 def remote_chat(call: Callable[[str, str, int], str | None], max_tokens: int = 1_500):
     """Wrap a client function ``call(system, user, max_tokens) -> text`` as a chat model.
 

@@ -46,11 +46,16 @@ def append_eval_set(df: DataFrame, path: str, prefix: str, run_ts: Column | None
 
 def append_new_rows(spark, df: DataFrame, path: str, key_cols: list[str]) -> DataFrame:
     """SNK7: get-or-create a named set; rows already present (same key) are not appended again."""
+    from quire.session import cut_lineage
+
     try:
         existing = spark.read.parquet(path).select(*key_cols)
         fresh = df.join(existing, key_cols, "left_anti")
     except Exception:  # noqa: BLE001 - first run: no table yet
         fresh = df
+    # materialise before writing: the anti-join must not be re-evaluated
+    # against the table it is appending to
+    fresh = cut_lineage(fresh)
     fresh.write.mode("append").parquet(path)
     return fresh
 

@@ -45,3 +45,27 @@ def test_streaming_upsert_is_incremental(spark):
     run_incremental_upsert(spark, src + "/*", schema, snaps, ck, keys=["team", "source_url"])
     second = {(r.team, r.source_url): r.content for r in latest_snapshot(spark, snaps).collect()}
     assert second == {("t", "u"): "C", ("s", "v"): "X"}
+
+
+def test_eval_set_sinks_and_experiment(spark):
+    from pyspark.sql import functions as F
+
+    from quire.operators.metrics import embedding_cosine
+    from quire.operators.models import HashingEmbedder
+    from quire.operators.observe import experiment_row
+
+    d = tempfile.mkdtemp(prefix="quire-sink-")
+    rows = spark.createDataFrame([("a", "x y"), ("b", "y z")], "k string, v string")
+    ts = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    sinks.append_eval_set(rows, os.path.join(d, "sets"), "football_summaries_", ts)
+    got = spark.read.parquet(os.path.join(d, "sets"))
+    assert [r.dataset_name for r in got.select("dataset_name").distinct().collect()] == ["football_summaries_20240102_030405"]
+    fresh = sinks.append_new_rows(spark, rows, os.path.join(d, "qa"), ["k"])
+    assert fresh.count() == 2
+    again = sinks.append_new_rows(spark, rows, os.path.join(d, "qa"), ["k"])
+    assert again.count() == 0 and spark.read.parquet(os.path.join(d, "qa")).count() == 2
+    exp = experiment_row(spark, "summary_eval", {"weights": {"bert_f1": 0.6, "cosine_sim": 0.4}}).first()
+    assert exp.name == "summary_eval" and '"bert_f1": 0.6' in exp.config_json
+    pairs = spark.createDataFrame([("a b c", "a b c"), ("a b", "c d")], "candidate string, reference string")
+    cos = [r.cosine for r in embedding_cosine(pairs, HashingEmbedder(64)).collect()]
+    assert abs(cos[0] - 1.0) < 1e-12 and -1.0 <= cos[1] < 1.0
