@@ -76,16 +76,24 @@ KEYS = {
 }
 
 
+# A scan with fewer partitions than this (and than the cluster's cores) is spread.
+SPREAD_BELOW = 64
+
+
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Hash-partition ``df`` on ``key`` when it has fewer partitions than the shuffle parallelism.
+    """Hash-partition an under-partitioned scan over the cluster's cores.
 
     A table stored as one large row group scans as a single task, so all
-    per-row text work would run on one core.  On a cluster reading many files
-    the scan already has more partitions than this bound and nothing changes.
+    per-row text work would run on one core.  Only scans with fewer
+    partitions than both the core count and ``SPREAD_BELOW`` are touched, so
+    the extra shuffle is bounded by a small table; a large table on a cluster
+    already scans as many splits and passes through unchanged.
     """
-    target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if df.rdd.getNumPartitions() >= target:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    if n >= min(cores, SPREAD_BELOW):
         return df
+    target = 2 * cores  # two tasks per core even out uneven text lengths
     return df.repartition(target, key) if key else df.repartition(target)
 
 
