@@ -6,13 +6,16 @@ comments and doctype are dropped, ``<script>``/``<style>`` lose their content,
 text nodes by one space, entities are decoded once, outer whitespace is
 stripped and runs of two or more whitespace characters collapse to a space.
 
-Limits (documented deviations): a ``sup.reference`` nested inside another
+Limits of the native chain: a ``sup.reference`` nested inside another
 ``sup`` is cut at the first ``</sup>``; named entities outside ``ENTITIES`` and
 numeric references other than those listed stay as written.
+:func:`clean_html_exact` routes only the rows with a nested ``<sup`` through
+a parser-based Arrow UDF and keeps the native chain for the rest.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,3 +106,57 @@ def sql_clean_html(col: str) -> str:
     x = rr(x, f"{WS_RE2}{{2,}}", " ")
     return x
 
+
+
+# A <sup ...> opened again before the previous one is closed.
+NESTED_SUP = r"(?is)<sup\b[^>]*>(?:(?!</sup\s*>).)*?<sup\b"
+
+
+def _parser_text(html: str) -> str:
+    """Parser extraction: text nodes joined by a space, minus comments,
+    script/style content and whole ``sup.reference`` subtrees."""
+    import re
+    from html.parser import HTMLParser
+
+    class _Text(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.parts: list[str] = []
+            self.skip: list[str] = []
+
+        def handle_starttag(self, tag, attrs):
+            cls = (dict(attrs).get("class") or "").split()
+            if self.skip:
+                if tag == self.skip[0]:
+                    self.skip.append(tag)
+            elif tag in ("script", "style") or (tag == "sup" and "reference" in cls):
+                self.skip.append(tag)
+
+        def handle_endtag(self, tag):
+            if self.skip and tag == self.skip[0]:
+                self.skip.pop()
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.parts.append(data)
+
+    p = _Text()
+    p.feed(html)
+    p.close()
+    return re.sub(r"\s{2,}", " ", " ".join(p.parts).strip())
+
+
+def clean_html_exact(html: Column | str) -> Column:
+    """SC1-SC5 with nested citations removed whole.
+
+    Rows without a nested ``<sup`` use :func:`clean_html`; the others are
+    parsed in Python.  Non-nested rows send NULL to the UDF, so the Arrow
+    transfer carries only the rare rows that need it.
+    """
+    @F.pandas_udf("string")
+    def _exact(col: pd.Series) -> pd.Series:
+        return col.map(lambda h: None if h is None else _parser_text(h))
+
+    c = _c(html)
+    nested = F.coalesce(c.rlike(NESTED_SUP), F.lit(False))
+    return F.when(nested, _exact(F.when(nested, c))).otherwise(clean_html(c))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.html import clean_html, page_title
+from quire.functions.html import clean_html_exact, page_title
 from quire.operators import articles, evaluate, ingest, rag, summaries
 from quire.operators.observe import call_spans
 from quire.operators.vectors import build_vector_rows, missing_vectors
@@ -32,7 +32,7 @@ def etl(
     """
     have, need = ingest.split_cached(catalogue, cached)
     cached_rows = have.join(cached, "filename").select("name", "url", "filename", "metadata", "content")
-    secs = sections.join(section_html, ["team", "index"], "left").withColumn("text", clean_html("html"))
+    secs = sections.join(section_html, ["team", "index"], "left").withColumn("text", clean_html_exact("html"))
     # PR1: the banner carries the page title taken from the catalogue URL
     urls = need.select(F.col("name").alias("team"), page_title("url").alias("title"))
     secs = secs.join(urls, "team")

@@ -5,7 +5,7 @@ from html.parser import HTMLParser
 
 import pytest
 
-from quire.functions.html import clean_html, page_title
+from quire.functions.html import clean_html, clean_html_exact, page_title
 
 
 class _Text(HTMLParser):
@@ -71,3 +71,15 @@ def test_clean_matches_parser_on_pages(spark):
 def test_page_title(spark):
     df = spark.createDataFrame([("https://x/wiki/Real_Madrid_CF",), ("https://x/a/wiki/b/wiki/C",), ("plain",)], "u string")
     assert [r[0] for r in df.select(page_title("u")).collect()] == ["Real_Madrid_CF", "C", "plain"]
+
+
+def test_nested_reference_sup_exact(spark):
+    cases = [
+        'a<sup class="reference">x<sup>1</sup>y</sup>b',
+        'p<sup class="note reference"><sup>n</sup><sup>m</sup></sup>q <sup>2</sup>',
+        'plain <b>text</b> &amp; more',
+    ]
+    df = spark.createDataFrame([(c,) for c in cases], "h string")
+    got = [r[0] for r in df.select(clean_html_exact("h")).collect()]
+    assert got == [reference_clean(c) for c in cases]
+    assert got[0] == "a b"
