@@ -110,6 +110,10 @@ def sql_clean_html(col: str) -> str:
 
 # A <sup ...> opened again before the previous one is closed.
 NESTED_SUP = r"(?is)<sup\b[^>]*>(?:(?!</sup\s*>).)*?<sup\b"
+# A character reference the native chain does not decode: '&' + name or '#',
+# other than the names listed in ENTITIES (numeric ones only as listed).
+_KNOWN = "|".join(p.lstrip("&").rstrip("?").replace(";", "") for p, _ in ENTITIES if not p.startswith("&#"))
+OTHER_ENTITY = rf"&(?!(?:{_KNOWN})\b|#39;|#x27;|#160;)(?:[A-Za-z]|#)"
 
 
 def _parser_text(html: str) -> str:
@@ -147,10 +151,10 @@ def _parser_text(html: str) -> str:
 
 
 def clean_html_exact(html: Column | str) -> Column:
-    """SC1-SC5 with nested citations removed whole.
+    """SC1-SC5 with nested citations removed whole and every entity decoded.
 
-    Rows without a nested ``<sup`` use :func:`clean_html`; the others are
-    parsed in Python.  Non-nested rows send NULL to the UDF, so the Arrow
+    Rows without a nested ``<sup`` or an unlisted character reference use
+    :func:`clean_html`; the others are parsed in Python.  Non-nested rows send NULL to the UDF, so the Arrow
     transfer carries only the rare rows that need it.
     """
     @F.pandas_udf("string")
@@ -158,5 +162,5 @@ def clean_html_exact(html: Column | str) -> Column:
         return col.map(lambda h: None if h is None else _parser_text(h))
 
     c = _c(html)
-    nested = F.coalesce(c.rlike(NESTED_SUP), F.lit(False))
-    return F.when(nested, _exact(F.when(nested, c))).otherwise(clean_html(c))
+    hard = F.coalesce(c.rlike(NESTED_SUP) | c.rlike(OTHER_ENTITY), F.lit(False))
+    return F.when(hard, _exact(F.when(hard, c))).otherwise(clean_html(c))
