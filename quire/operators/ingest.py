@@ -26,6 +26,9 @@ from quire.functions.text import iso_timestamp
 from quire.operators.joins import broadcast_if_small
 
 DEFAULT_KEYS = ("team", "source_url")
+# Distinct batch keys are broadcast only below this many rows (about 10 MB of
+# short string keys); larger batches use shuffle joins with AQE skew handling.
+BATCH_KEYS_BROADCAST_ROWS = 100_000
 
 
 def crawled_rows(df: DataFrame, run_ts: Column | None = None) -> DataFrame:
@@ -88,7 +91,7 @@ def mark_versions(
     """
     keys = list(keys)
     if batch_keys is None:
-        batch_keys = broadcast_if_small(batch.select(*keys).distinct(), 1_000_000)
+        batch_keys = broadcast_if_small(batch.select(*keys).distinct(), BATCH_KEYS_BROADCAST_ROWS)
     affected = stored.join(batch_keys, keys, "left_semi")
     v = _versions(affected, batch, keys, seq).withColumn(
         "_blk", F.floor(F.col("_ord") / F.lit(block_size)).cast("long")
@@ -127,7 +130,7 @@ def upsert(
     """
     keys = list(keys)
     # distinct batch keys: size-checked once, shared by the semi and anti joins
-    batch_keys = broadcast_if_small(batch.select(*keys).distinct(), 1_000_000)
+    batch_keys = broadcast_if_small(batch.select(*keys).distinct(), BATCH_KEYS_BROADCAST_ROWS)
     marked = mark_versions(stored, batch, keys, seq, block_size, batch_keys)
     batch_fields = [c for c in batch.columns if c != seq]
     stored_only = [c for c in stored.columns if c not in batch_fields]
