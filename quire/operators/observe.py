@@ -42,7 +42,7 @@ def call_spans(
     )
 
 
-def pipeline_spans(
+def traced_spans(
     calls: DataFrame, root: str, steps: Sequence[str], trace_cols: Sequence[str], error_col: str | None = None
 ) -> DataFrame:
     """OB1 for a traced pipeline: one root span plus one child span per step, per row, in one pass."""

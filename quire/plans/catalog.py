@@ -298,11 +298,11 @@ def q_vector_contract(spark, sf):
 
 def q_spans(spark, sf):
     """OB1: a root span and one span per traced step for every RAG question."""
-    from quire.operators.observe import pipeline_spans
+    from quire.operators.observe import traced_spans
 
     a = rag_answers(spark, sf).select("item_id", F.when(F.col("answer") == "", F.lit("empty answer")).alias("error"))
     steps = ["get_embedding", "prepare_context", "generate_answer"]
-    return pipeline_spans(a, "rag_query_pipeline", steps, ["item_id"], "error").select(
+    return traced_spans(a, "rag_query_pipeline", steps, ["item_id"], "error").select(
         "trace_id", "span_id", "parent_id", "name", "status"
     )
 

@@ -57,9 +57,9 @@ def test_eval_set_sinks_and_experiment(spark):
     d = tempfile.mkdtemp(prefix="quire-sink-")
     rows = spark.createDataFrame([("a", "x y"), ("b", "y z")], "k string, v string")
     ts = F.lit("2024-01-02 03:04:05").cast("timestamp")
-    sinks.append_eval_set(rows, os.path.join(d, "sets"), "football_summaries_", ts)
+    sinks.append_eval_set(rows, os.path.join(d, "sets"), "summaries_", ts)
     got = spark.read.parquet(os.path.join(d, "sets"))
-    assert [r.dataset_name for r in got.select("dataset_name").distinct().collect()] == ["football_summaries_20240102_030405"]
+    assert [r.dataset_name for r in got.select("dataset_name").distinct().collect()] == ["summaries_20240102_030405"]
     fresh = sinks.append_new_rows(spark, rows, os.path.join(d, "qa"), ["k"])
     assert fresh.count() == 2
     again = sinks.append_new_rows(spark, rows, os.path.join(d, "qa"), ["k"])
