@@ -25,6 +25,10 @@ QUERY_PROMPT = """
                 """
 CONTEXT_SEPARATOR = "\n\n"
 
+# Names of the traced steps of one question-answering call.
+SPAN_ROOT = "rag_query_pipeline"
+SPAN_STEPS = ["get_embedding", "prepare_context", "generate_answer"]
+
 
 def ordered_concat(order: str, text: str, sep: str = CONTEXT_SEPARATOR) -> Column:
     """AG6: texts of a group joined in ``order`` (aggregate expression)."""

@@ -301,8 +301,7 @@ def q_spans(spark, sf):
     from quire.operators.observe import traced_spans
 
     a = rag_answers(spark, sf).select("item_id", F.when(F.col("answer") == "", F.lit("empty answer")).alias("error"))
-    steps = ["get_embedding", "prepare_context", "generate_answer"]
-    return traced_spans(a, "rag_query_pipeline", steps, ["item_id"], "error").select(
+    return traced_spans(a, rag.SPAN_ROOT, rag.SPAN_STEPS, ["item_id"], "error").select(
         "trace_id", "span_id", "parent_id", "name", "status"
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from quire.functions.html import sql_clean_html
 from quire.operators import articles as A
 from quire.operators import summaries as SM
-from quire.operators.rag import QUERY_PROMPT
+from quire.operators.rag import QUERY_PROMPT, SPAN_ROOT, SPAN_STEPS
 from quire.plans import sqltext as S
 
 TOP_K = 3
@@ -381,12 +381,12 @@ SPANS = _with(
     _rag(),
     """, st AS (
   SELECT CAST(item_id AS VARCHAR) AS trace_id, CASE WHEN answer = '' THEN 'error' ELSE 'ok' END AS status FROM ans
-), names AS (SELECT * FROM (VALUES ('get_embedding'), ('prepare_context'), ('generate_answer')) AS t(name))
-SELECT trace_id, substr(sha256(trace_id || '|rag_query_pipeline'), 1, 16) AS span_id, CAST(NULL AS VARCHAR) AS parent_id,
-       'rag_query_pipeline' AS name, status FROM st
+ ), names AS (SELECT * FROM (VALUES """ + ", ".join(f"({S.lit(n)})" for n in SPAN_STEPS) + f""") AS t(name))
+SELECT trace_id, substr(sha256(trace_id || '|{SPAN_ROOT}'), 1, 16) AS span_id, CAST(NULL AS VARCHAR) AS parent_id,
+       '{SPAN_ROOT}' AS name, status FROM st
 UNION ALL
 SELECT trace_id, substr(sha256(trace_id || '|' || name), 1, 16) AS span_id,
-       substr(sha256(trace_id || '|rag_query_pipeline'), 1, 16) AS parent_id, name, status FROM st, names""",
+       substr(sha256(trace_id || '|{SPAN_ROOT}'), 1, 16) AS parent_id, name, status FROM st, names""",
 )
 
 SCORE_ROWS = _with(
