@@ -73,12 +73,14 @@ def collapse_ws(x: Column | str) -> Column:
 EDGE_PUNCT = r"\A[\p{P}\p{S}]+|[\p{P}\p{S}]+\z"
 
 
+def terms_from_words(w: Column) -> Column:
+    """Lower-cased tokens with edge punctuation removed, from a word array."""
+    return F.filter(F.transform(w, lambda x: F.lower(F.regexp_replace(x, EDGE_PUNCT, ""))), lambda x: x != "")
+
+
 def lower_terms(x: Column | str) -> Column:
     """Lower-cased word tokens with edge punctuation removed (lexical metrics)."""
-    return F.filter(
-        F.transform(words(x), lambda w: F.lower(F.regexp_replace(w, EDGE_PUNCT, ""))),
-        lambda w: w != "",
-    )
+    return terms_from_words(words(x))
 
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")

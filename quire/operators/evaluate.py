@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import fmt4, non_blank, strip_ws, word_count
-from quire.operators.metrics import combined, f1, reference_stats, row_lexical_scores
+from quire.functions.text import fmt4, let, non_blank, strip_ws, terms_from_words, word_count, words
+from quire.operators.metrics import combined, f1, reference_stats_from_terms, row_lexical_scores
 from quire.operators.summaries import VARIANT_NAMES, variant_lookup
 
 SCORE_NAMES = ["BERTPrecision", "BERTRecall", "BERTF1", "CosineSimilarity", "CombinedScore"]
@@ -24,34 +24,38 @@ WIDE_NAMES = {
 }
 
 
-def eval_items(docs: DataFrame, summary_types: list[str] | None = None, with_reference_stats: bool = True) -> DataFrame:
+def eval_items(docs: DataFrame, summary_types: list[str] | None = None) -> DataFrame:
     """UN4 + FL2 + FL3 + SC10: one row per (document, summary type) with a non-blank summary.
 
     ``docs``: ``_id, team, content, summaries``.  Only the fixed summary types
     are read (other map keys are ignored, unlike the vector load).  The
-    reference's term statistics are computed once per document, before the
-    per-type explode.
+    article's words are extracted once per document; its length and term
+    statistics (``_ref``) come from that one pass, before the per-type
+    explode, so items never carry the article text.  Stripping does not
+    change a text's words, so the reference is the content as stored.
     """
     types = summary_types or VARIANT_NAMES
-    d = docs.withColumn("reference", strip_ws("content")).filter(non_blank("reference"))
-    cols = ["_id", "team", "reference", "summaries", word_count("reference").alias("article_length")]
-    if with_reference_stats:
-        cols.append(reference_stats("reference").alias("_ref"))
-    d = d.select(*cols)
+    d = docs.filter(non_blank("content")).select(
+        "_id",
+        "team",
+        "summaries",
+        let(
+            words("content"),
+            lambda w: F.struct(F.size(w).cast("bigint").alias("n"), reference_stats_from_terms(terms_from_words(w)).alias("ref")),
+        ).alias("_art"),
+    )
     d = d.select("*", F.posexplode(F.array(*[F.lit(t) for t in types])).alias("_tpos", "summary_type"))
     d = d.withColumn("summary", strip_ws(F.coalesce(variant_lookup("summaries", "summary_type"), F.lit(""))))
     d = d.filter(non_blank("summary"))
-    extra = ["_ref"] if with_reference_stats else []
     return d.select(
         F.concat_ws(":", F.col("_id").cast("string"), "summary_type").alias("item_id"),
         "_id",
         "team",
         "summary_type",
-        "reference",
         "summary",
-        "article_length",
+        F.col("_art.n").alias("article_length"),
         word_count("summary").alias("summary_length"),
-        *extra,
+        F.col("_art.ref").alias("_ref"),
     )
 
 
@@ -59,10 +63,11 @@ def score_items(items: DataFrame, bert_weight: float = 0.6, cosine_weight: float
     """PR6 + ML7-ML9 per row: candidate = summary, reference = article (no shuffle).
 
     Returns the item's labels and lengths with ``precision, recall, f1, cosine,
-    combined`` and ``error`` (FL6: blank input gives NULL scores).
+    combined`` and ``error`` (FL6: blank input gives NULL scores; items only
+    exist for non-blank articles, so the summary is the side to check).
     """
     s = items.withColumn("_s", row_lexical_scores("summary", "_ref"))
-    blank = ~non_blank("summary") | ~non_blank("reference")
+    blank = ~non_blank("summary")
     out = s.select(
         "item_id", "_id", "team", "summary_type", "summary_length", "article_length",
         *[F.when(~blank, F.col("_s")[c]).alias(c) for c in ("precision", "recall", "cosine")],

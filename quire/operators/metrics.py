@@ -117,6 +117,11 @@ def lexical_scores(
 
 
 def reference_stats(reference: Column | str) -> Column:
+    """:func:`reference_stats_from_terms` of a text."""
+    return reference_stats_from_terms(lower_terms(reference))
+
+
+def reference_stats_from_terms(terms: Column) -> Column:
     """Per-reference term statistics, computed once per text (no shuffle).
 
     ``struct<terms: sorted ARRAY<STRING>, total: BIGINT, sq: BIGINT>`` where
@@ -135,7 +140,7 @@ def reference_stats(reference: Column | str) -> Column:
         )
         return F.struct(sorted_terms.alias("terms"), F.size(sorted_terms).cast("long").alias("total"), sq.alias("sq"))
 
-    return let(F.array_sort(lower_terms(reference)), runs)
+    return let(F.array_sort(terms), runs)
 
 
 def row_lexical_scores(candidate: Column | str, ref: Column | str) -> Column:
