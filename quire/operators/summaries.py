@@ -121,7 +121,11 @@ def summarize(pairs: DataFrame, model, chunk_tokens: int = 100_000, materialize:
         pairs = pairs.select("_id", "team", "content", F.array("variant").alias("_missing"))
     # chunk once per document, then fan out to its missing variants and chunks
     chunked = pairs.select("_id", "team", "_missing", chunk_array("content", chunk_tokens).alias("_chunks"))
-    per_variant = chunked.select("_id", "team", F.explode("_missing").alias("variant"), "_chunks")
+    # explode_outer + a NULL filter: plain explode would make Catalyst infer a
+    # size(_missing) > 0 filter that recomputes _missing below the projection
+    per_variant = chunked.select("_id", "team", F.explode_outer("_missing").alias("variant"), "_chunks").filter(
+        F.col("variant").isNotNull()
+    )
     calls = per_variant.select(
         "_id", "variant", "team", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_pos", "_chunk")
     )
