@@ -21,7 +21,6 @@ user key); ``exclude_self`` drops a hit whose id equals the query id.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np

@@ -1,7 +1,6 @@
 """SC12/UN5: chunking against a plain-Python restatement, and its properties."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from quire.operators.chunking import chunk_array, explode_chunks
 

@@ -1,7 +1,5 @@
 """JN2/WN1/AG9: sequential change-detecting upsert, set-based."""
 
-import itertools
-
 import pytest
 
 from quire.operators.ingest import upsert
@@ -82,5 +80,3 @@ def test_idempotent(spark):
     assert sorted(map(tuple, snap1.collect())) == sorted(map(tuple, snap2.select(*snap1.columns).collect()))
     assert [r.action for r in acts.collect()] == ["unchanged"]
 
-
-_ = itertools
