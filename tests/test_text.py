@@ -70,3 +70,25 @@ def test_to_number_and_fmt(spark):
     df = spark.createDataFrame([("1.5",), ("abc",), (None,), ("NaN",)], "v string")
     assert [r[0] for r in df.select(tx.to_number("v")).collect()] == [1.5, None, None, None]
     assert spark.range(1).select(tx.fmt4(F.lit(0.123456))).first()[0] == "0.1235"
+
+
+def test_random_whitespace_parity(spark):
+    import random
+
+    import regex
+
+    ws = [chr(c) for c in range(0x10000) if chr(c).isspace()]
+    other = list("abcXYZéß.,;!?-'\"()[]{}@#$%^&*+=<>/\\|~`") + ["é", "中", "—", "¿"]
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice(ws if rnd.random() < 0.4 else other) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    rows = df.select(
+        "i", tx.words("s").alias("w"), tx.strip_ws("s").alias("st"), tx.word_count("s").alias("n"), tx.lower_terms("s").alias("t")
+    ).collect()
+    for r in rows:
+        s = texts[r.i]
+        assert list(r.w) == s.split(), repr(s)
+        assert r.st == s.strip(), repr(s)
+        assert r.n == len(s.split())
+        want = [x for x in (regex.sub(r"\A[\p{P}\p{S}]+|[\p{P}\p{S}]+\Z", "", w).lower() for w in s.split()) if x]
+        assert list(r.t) == want, repr(s)
