@@ -132,3 +132,35 @@ def sections_from_documents(docs: DataFrame) -> DataFrame:
         (F.col("pos") + 1).cast("string").alias("index"),
         clean_html(F.col("para")).alias("text"),
     )
+
+
+# Fixed rule: a page section is the content of one <p> element (up to the first </p>).
+PARAGRAPH = r"(?is)<p\b[^>]*>(.*?)</p\s*>"
+
+
+def sections_from_pages(pages: DataFrame, heading_words: int = 6) -> DataFrame:
+    """Section rows from page HTML: one per ``<p>`` element, in page order.
+
+    The section text is the paragraph cleaned by the SC1-SC5 chain; its
+    heading line is the first ``heading_words`` words of that text; every
+    section is level 2 with number ``pos + 1``; the article title is the
+    page title of the URL (PR1).
+    """
+    from quire.functions.html import clean_html, page_title
+    from quire.functions.text import words
+
+    paras = pages.select(
+        "page_id", page_title("url").alias("title"),
+        F.posexplode(F.regexp_extract_all("html", F.lit(PARAGRAPH), 1)).alias("pos", "para_html"),
+    )
+    cleaned = paras.withColumn("text", clean_html("para_html"))
+    return cleaned.select(
+        "page_id",
+        "title",
+        "pos",
+        F.lit(2).alias("level"),
+        (F.col("pos") + 1).cast("string").alias("number"),
+        F.array_join(F.slice(words("text"), 1, heading_words), " ").alias("line"),
+        (F.col("pos") + 1).cast("string").alias("index"),
+        "text",
+    )

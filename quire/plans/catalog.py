@@ -164,6 +164,15 @@ def q_article_assemble(spark, sf):
     )
 
 
+def q_page_articles(spark, sf):
+    """SRC4 + SC1-SC5 + UN2 + SC6-SC9 + AG10 on page HTML: one article per page."""
+    p = tables.pages(spark, sf, "page_id", "url", "html")
+    secs = articles.sections_from_pages(p)
+    return articles.assemble_articles(secs, ["page_id"], "title").select(
+        "page_id", F.col("n_sections").cast("bigint").alias("n_sections"), "article"
+    )
+
+
 def _upsert_inputs(spark, sf):
     d = tables.documents(spark, sf, "doc_id", "text", "lang", "source", spread_rows=False).select(
         "lang", "source", "doc_id", F.col("text").alias("content")
@@ -324,6 +333,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "html_clean": q_html_clean,
     "page_title": q_page_title,
     "article_assemble": q_article_assemble,
+    "page_articles": q_page_articles,
     "upsert_snapshot": q_upsert_snapshot,
     "upsert_actions": q_upsert_actions,
     "missing_pairs": q_missing_pairs,

@@ -103,6 +103,34 @@ FROM t GROUP BY doc_id
 """
 
 
+def _page_articles() -> str:
+    header = A.RULE_MAJOR + NL + NL + A.TOC_HEADING + NL + A.RULE_TOC + NL
+    middle = NL + NL.join(["", A.BODY_HEADING, A.RULE_MAJOR, ""]) + NL
+    para = A.PARAGRAPH.replace("'", "''")
+    return f"""
+WITH l AS (
+  SELECT page_id, url, CAST(g.pos - 1 AS BIGINT) AS pos, g.para
+  FROM pages, LATERAL (
+    SELECT unnest(regexp_extract_all(html, '{para}', 1)) AS para,
+           generate_subscripts(regexp_extract_all(html, '{para}', 1), 1) AS pos
+  ) g
+), s AS (
+  SELECT page_id, url, pos, {sql_clean_html('para')} AS text FROM l
+), t AS (
+  SELECT page_id, url, pos,
+         repeat('  ', 1) || CAST(pos + 1 AS VARCHAR) || ' ' || {S.lead('text', 6)} AS toc,
+         repeat('#', 2) || ' ' || {S.lead('text', 6)} || {S.lit(NL + NL)} || coalesce(nullif(text, ''), {S.lit(A.NO_CONTENT)})
+           || {S.lit(NL + NL + A.RULE_SECTION + NL)} AS block
+  FROM s
+)
+SELECT page_id, CAST(count(*) AS BIGINT) AS n_sections,
+       {S.lit(A.TITLE_PREFIX)} || CASE WHEN strpos(any_value(url), '/wiki/') > 0 THEN split_part(any_value(url), '/wiki/', -1) ELSE any_value(url) END
+       || {S.lit(NL + header)} || string_agg(toc, {S.lit(NL)} ORDER BY pos) || {S.lit(middle)}
+       || string_agg(block, {S.lit(NL)} ORDER BY pos) AS article
+FROM t GROUP BY page_id
+"""
+
+
 _VERSIONS = """
 WITH d AS (SELECT lang, source, doc_id, text AS content FROM documents),
 v AS (
@@ -407,6 +435,7 @@ ORACLES: dict[str, str] = {
     "html_clean": _html_clean(),
     "page_title": PAGE_TITLE,
     "article_assemble": _article(),
+    "page_articles": _page_articles(),
     "upsert_snapshot": UPSERT_SNAPSHOT,
     "upsert_actions": UPSERT_ACTIONS,
     "missing_pairs": MISSING_PAIRS,
