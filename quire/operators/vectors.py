@@ -15,10 +15,14 @@ from quire.functions.vectors import contract_violation
 VECTOR_KEYS = ["team", "summary_type"]
 
 
-def summary_rows(docs: DataFrame) -> DataFrame:
-    """UN3 + PR8: one row per (document, summary entry); every map key is kept."""
+def summary_rows(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """UN3 + PR8: one row per (document, summary entry); every map key is kept.
+
+    ``carry`` names extra document columns to keep (e.g. the document id).
+    """
     empty = F.create_map().cast("map<string,string>")
     return docs.select(
+        *(carry or []),
         "team",
         "source_url",
         F.coalesce(F.col("metadata"), empty).alias("metadata"),
@@ -27,10 +31,10 @@ def summary_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def missing_vectors(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+def missing_vectors(docs: DataFrame, vectors: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """JN5: summary rows whose (team, summary_type) has no stored vector."""
     have = vectors.select(*VECTOR_KEYS).distinct()
-    return summary_rows(docs).join(have, VECTOR_KEYS, "left_anti")
+    return summary_rows(docs, carry).join(have, VECTOR_KEYS, "left_anti")
 
 
 def build_vector_rows(rows: DataFrame, embedder) -> DataFrame:

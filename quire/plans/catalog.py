@@ -221,8 +221,8 @@ def q_missing_vectors(spark, sf):
     stored = corpus_docs(spark, sf).filter(F.col("toxic") == 0).select(
         "team", F.explode("summaries").alias("summary_type", "summary_text")
     )
-    rows = missing_vector_rows(f, stored.select(*VECTOR_KEYS))
-    return rows.select(F.expr("CAST(substring(team, 5) AS BIGINT)").alias("doc_id"), "summary_type")
+    rows = missing_vector_rows(f, stored.select(*VECTOR_KEYS), carry=["_id"])
+    return rows.select(F.col("_id").alias("doc_id"), "summary_type")
 
 
 def q_rag_context(spark, sf):
