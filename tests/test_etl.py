@@ -39,3 +39,16 @@ def test_etl_cached_fetched_and_upsert(spark):
     assert "## History <i>x</i>\n\n[No content available]\n\n" in b
     assert sorted(r.action for r in actions.collect()) == ["inserted", "inserted"]
     assert snap.filter(F.col("source_url") == "https://x/wiki/Club_B").count() == 1
+
+
+def test_page_sections_and_article(spark):
+    from quire.operators.articles import assemble_articles, sections_from_pages
+
+    html = '<h1>T</h1><p>One two <a href="x">three</a> four five six seven<sup class="reference">[1]</sup></p><p></p><p>Fish &amp chips'
+    pages = spark.createDataFrame([(1, "https://x/wiki/Some_Page", html + "</p>")], "page_id long, url string, html string")
+    secs = sections_from_pages(pages).orderBy("pos").collect()
+    assert [r.text for r in secs] == ["One two three four five six seven", "", "Fish & chips"]
+    assert secs[0].line == "One two three four five six" and secs[2].number == "3"
+    art = assemble_articles(sections_from_pages(pages), ["page_id"], "title").first().article
+    assert art.startswith("WIKIPEDIA ARTICLE: Some_Page\n")
+    assert "## \n\n[No content available]\n\n" + "-" * 60 in art
