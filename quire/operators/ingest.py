@@ -121,12 +121,20 @@ def upsert(
     keys: Sequence[str] = DEFAULT_KEYS,
     seq: str = "seq",
     block_size: int = 1 << 20,
+    refresh_on_change: bool = False,
+    derived: Sequence[str] = ("summaries",),
 ) -> tuple[DataFrame, DataFrame]:
     """JN2 + WN1: new snapshot and per-version actions.
 
     Returns ``(snapshot, actions)``; the snapshot has the stored schema.  Keys
     not in the batch pass through untouched.  Write the snapshot to a new
     location (or MERGE where the table format supports it).
+
+    S6: like the reference, stored-only fields survive a content change, so
+    derived data (summaries, and vectors keyed on them) goes stale.  With
+    ``refresh_on_change=True`` the ``derived`` columns are cleared when the
+    final content came from the batch, so the next summarise / vector-load
+    run regenerates them.
     """
     keys = list(keys)
     # distinct batch keys: size-checked once, shared by the semi and anti joins
@@ -136,8 +144,13 @@ def upsert(
     stored_only = [c for c in stored.columns if c not in batch_fields]
     final = marked.filter("_applied").groupBy(*keys).agg(
         F.max_by(F.struct(*[c for c in batch_fields if c not in keys]), "_ord").alias("_new"),
+        F.max_by(F.col("_stored"), "_ord").alias("_kept"),
         *[F.max_by(F.col(c), F.when(F.col("_stored"), F.lit(1))).alias(c) for c in stored_only],
     )
+    if refresh_on_change:
+        for c in derived:
+            if c in stored_only:
+                final = final.withColumn(c, F.when(F.col("_kept"), F.col(c)))
     changed = final.select(
         *keys, *[F.col("_new")[c].alias(c) for c in batch_fields if c not in keys], *stored_only
     ).select(*stored.columns)

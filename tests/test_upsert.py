@@ -80,3 +80,17 @@ def test_idempotent(spark):
     assert sorted(map(tuple, snap1.collect())) == sorted(map(tuple, snap2.select(*snap1.columns).collect()))
     assert [r.action for r in acts.collect()] == ["unchanged"]
 
+
+
+def test_refresh_on_change_clears_stale_summaries(spark):
+    stored = [("t", "u", "A", 0, "id1", {"default": "old"}), ("s", "v", "X", 0, "id2", {"default": "keep"})]
+    batch = [("t", "u", "B", 1, 1), ("s", "v", "X", 2, 2)]
+    s = spark.createDataFrame(stored, STORED)
+    b = spark.createDataFrame(batch, BATCH)
+    keep, _ = upsert(s, b, keys=["team", "source_url"], seq="seq")
+    fresh, _ = upsert(s, b, keys=["team", "source_url"], seq="seq", refresh_on_change=True)
+    k = {r.team: r for r in keep.collect()}
+    f = {r.team: r for r in fresh.collect()}
+    assert k["t"].summaries == {"default": "old"} and k["t"].content == "B"
+    assert f["t"].summaries is None and f["t"].content == "B" and f["t"]._id == "id1"
+    assert f["s"].summaries == {"default": "keep"}  # unchanged content keeps its summaries
