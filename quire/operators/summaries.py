@@ -103,7 +103,9 @@ def _prompt_for(variant: Column, team: Column, content: Column) -> Column:
     return expr
 
 
-def summarize(pairs: DataFrame, model, chunk_tokens: int = 100_000, materialize: bool = True) -> DataFrame:
+def summarize(
+    pairs: DataFrame, model, chunk_tokens: int = 100_000, materialize: bool = True, model_partitions: int | None = None
+) -> DataFrame:
     """ML3 -> ``(_id, variant, summary)``; NULL on failure.
 
     Input: pairs ``(_id, team, content, variant)`` or documents
@@ -129,6 +131,10 @@ def summarize(pairs: DataFrame, model, chunk_tokens: int = 100_000, materialize:
     calls = per_variant.select(
         "_id", "variant", "team", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_pos", "_chunk")
     )
+    if model_partitions:
+        # a remote model: fix the task count (AQE could coalesce a small input
+        # into one task) - it is also the cap on concurrent calls
+        calls = calls.repartition(model_partitions)
     single = F.col("_n") == 1
     system = F.when(single, F.lit(SYSTEM_SINGLE)).otherwise(F.lit(SYSTEM_PART))
     user = F.when(single, _prompt_for(F.col("variant"), F.col("team"), F.col("_chunk"))).otherwise(
@@ -181,7 +187,9 @@ def fold_summaries(docs: DataFrame, new_rows: DataFrame) -> DataFrame:
     ).drop("_new")
 
 
-def incremental_summaries(docs: DataFrame, model, chunk_tokens: int = 100_000, materialize: bool = True) -> DataFrame:
+def incremental_summaries(
+    docs: DataFrame, model, chunk_tokens: int = 100_000, materialize: bool = True, model_partitions: int | None = None
+) -> DataFrame:
     """ML4 = JN3 + JN4 + ML3 + AG7: fill every missing summary, keep the rest.
 
     With ``materialize`` the per-chunk model output is checkpointed to the
@@ -195,5 +203,5 @@ def incremental_summaries(docs: DataFrame, model, chunk_tokens: int = 100_000, m
     work = d.select("_id", "team", "content", todo.alias("_missing"))
     # the per-chunk model output is checkpointed inside summarize; the combine
     # stage's output feeds the fold only, so it is not materialised again
-    new_rows = summarize(work, model, chunk_tokens, materialize)
+    new_rows = summarize(work, model, chunk_tokens, materialize, model_partitions)
     return fold_summaries(docs, new_rows)

@@ -60,3 +60,9 @@ def test_multi_chunk_prompts_are_variant_independent(spark):
     out = incremental_summaries(d, LeadChat(40), chunk_tokens=50).first()
     vals = set(out.summaries.values())
     assert len(vals) == 1 and next(iter(vals)).startswith("Combine the following parts")
+
+
+def test_model_partitions_keep_results(spark):
+    a = {r._id: r.summaries for r in incremental_summaries(docs(spark), LeadChat(5), 100_000).collect()}
+    b = {r._id: r.summaries for r in incremental_summaries(docs(spark), LeadChat(5), 100_000, model_partitions=3).collect()}
+    assert a == b
