@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import iso_timestamp
-from quire.operators.joins import broadcast_if_small
+from quire.operators.joins import assert_unique, broadcast_if_small
 
 DEFAULT_KEYS = ("team", "source_url")
 # Distinct batch keys are broadcast only below this many rows (about 10 MB of
@@ -123,6 +123,7 @@ def upsert(
     block_size: int = 1 << 20,
     refresh_on_change: bool = False,
     derived: Sequence[str] = ("summaries",),
+    check_unique: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """JN2 + WN1: new snapshot and per-version actions.
 
@@ -137,6 +138,9 @@ def upsert(
     run regenerates them.
     """
     keys = list(keys)
+    if check_unique:
+        # TK6: the stored table must hold one row per key for "find one" semantics
+        assert_unique(stored, keys)
     # distinct batch keys: size-checked once, shared by the semi and anti joins
     batch_keys = broadcast_if_small(batch.select(*keys).distinct(), BATCH_KEYS_BROADCAST_ROWS)
     marked = mark_versions(stored, batch, keys, seq, block_size, batch_keys)

@@ -18,3 +18,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     join (AQE may still convert it at run time, and splits skewed partitions).
     """
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """TK6: keys that occur more than once (aggregated map-side; empty when unique)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+
+
+def assert_unique(df: DataFrame, keys: list[str]) -> None:
+    """Raise when ``keys`` is not unique in ``df`` (reads one duplicate at most)."""
+    dup = duplicate_keys(df, keys).limit(1).collect()
+    if dup:
+        raise ValueError(f"key {keys} is not unique: {dup[0].asDict()}")

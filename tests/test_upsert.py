@@ -94,3 +94,11 @@ def test_refresh_on_change_clears_stale_summaries(spark):
     assert k["t"].summaries == {"default": "old"} and k["t"].content == "B"
     assert f["t"].summaries is None and f["t"].content == "B" and f["t"]._id == "id1"
     assert f["s"].summaries == {"default": "keep"}  # unchanged content keeps its summaries
+
+
+def test_check_unique_stored_keys(spark):
+    stored = [("t", "u", "A", 0, "id1", None), ("t", "u", "B", 0, "id2", None)]
+    s = spark.createDataFrame(stored, STORED)
+    b = spark.createDataFrame([("t", "u", "C", 1, 1)], BATCH)
+    with pytest.raises(ValueError):
+        upsert(s, b, keys=["team", "source_url"], seq="seq", check_unique=True)
