@@ -62,11 +62,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``size`` bytes each (one long text may be more)."""
+def pieces(offsets: np.ndarray, size: int = PIECE_BYTES, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes (one long text may be more) and ``most`` texts each."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
+        b = min(a + most, max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1))
         yield a, min(b, n)
         a = min(b, n)
 
