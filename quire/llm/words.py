@@ -79,6 +79,23 @@ def lowered(data: np.ndarray, plain: bool) -> np.ndarray:
     return low
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte run, eight bytes at a time."""
+    low = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+    size = ends - starts
+    h = np.full(len(starts), 0x2545F4914F6CDD1D, np.uint64)
+    todo, k = np.arange(len(starts)), 0
+    while len(todo):
+        left = size[todo] - k
+        if k == LONG_WORD:
+            h[todo] = [xxhash.xxh64_intdigest(low[starts[i] : ends[i]].tobytes()) for i in todo]
+            break
+        h[todo] = mix(h[todo] ^ (lanes[starts[todo] + k] & _MASK[np.minimum(left, 8)]))
+        todo, k = todo[left > 8], k + 8
+    return mix(h ^ size.astype(np.uint64))
+
+
 def split(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> Words:
     """Words of the texts in ``data``; ``offsets`` are relative to it."""
     inside = ~(_PUNCT if plain else _WHITE)[data]
@@ -91,19 +108,7 @@ def split(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> Words:
     tails = heads[heads > 0] - 1
     finish[tails] = inside[tails]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-    low = np.concatenate([lowered(data, plain), np.zeros(8, np.uint8)])
-    lanes = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
-    size = ends - starts
-    h = np.full(len(starts), 0x2545F4914F6CDD1D, np.uint64)
-    todo, k = np.arange(len(starts)), 0
-    while len(todo):
-        left = size[todo] - k
-        if k == LONG_WORD:
-            h[todo] = [xxhash.xxh64_intdigest(low[starts[i] : ends[i]].tobytes()) for i in todo]
-            break
-        h[todo] = mix(h[todo] ^ (lanes[starts[todo] + k] & _MASK[np.minimum(left, 8)]))
-        todo, k = todo[left > 8], k + 8
-    h = mix(h ^ size.astype(np.uint64))
+    h = run_hashes(lowered(data, plain), starts, ends)
     return Words(h, np.searchsorted(starts, offsets), starts, ends, data, offsets)
 
 
