@@ -16,7 +16,7 @@ training documents; three passes read the texts, none moves them.
    monotone Elias-Fano sequences.  A bigram's successor is stored relative to
    its context's range; a trigram's as the rank of its last word among the
    bigrams of its middle word.  Log probabilities and back-off weights are
-   codes of 256-entry books.  The levels travel as one packed buffer that each
+   codes of books of ``BOOK`` entries.  The levels travel as one packed buffer that each
    worker maps from an unlinked file.
 4. Scoring: frequent words are looked up in the map; every other word's hash
    goes, with its document's place in the batch, to the shard that holds the
@@ -51,6 +51,8 @@ from quire.session import cut_lineage
 #: frequent words and stored n-grams have at least this power of 1/2 of all tokens
 SHARE = 20
 DISCOUNT = 0.75
+#: entries in a book of quantised logarithms
+BOOK = 1 << 12
 END = np.uint64(0x00E4D0F7E87)  # stands for the end token
 PIECE = 8 << 20
 
@@ -164,13 +166,13 @@ def ngram_counts(docs: DataFrame, frequent: np.ndarray, least: int, shards: int)
 
 
 def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """256 representatives of equal shares of the values, and each value's code."""
+    """At most ``BOOK`` representatives of equal shares of the values, and each value's code."""
     if not len(values):
-        return np.zeros(1, np.float64), np.zeros(0, np.uint8)
-    edges = np.unique(np.quantile(values, np.linspace(0, 1, 257)[1:-1]))
+        return np.zeros(1, np.float64), np.zeros(0, np.uint16)
+    edges = np.unique(np.quantile(values, np.linspace(0, 1, BOOK + 1)[1:-1]))
     code = np.searchsorted(edges, values)
     sums, n = np.bincount(code, values, len(edges) + 1), np.bincount(code, minlength=len(edges) + 1)
-    return sums / np.maximum(n, 1), code.astype(np.uint8)
+    return sums / np.maximum(n, 1), code.astype(np.uint16)
 
 
 @dataclass
@@ -257,8 +259,7 @@ class Trie:
         asked = known[ids[known] >= 0]
         u = before[asked]
         begin, stop = self.pointer2.access(u), self.pointer2.access(u + 1)
-        asked, begin = asked[stop > begin], begin[stop > begin]
-        pair[asked] = self.next2.find(ids[asked] + self._base(self.next2, begin))
+        pair[asked] = self._successor(self.next2, ids[asked], begin, stop)
         hit = np.flatnonzero(pair >= 0)
         out[hit] = self.prob2[0][self.prob2[1][pair[hit]]]
         context = np.full(n, -1, np.int64)  # the bigram before each token
@@ -267,18 +268,25 @@ class Trie:
         out[held] += self.back2[0][self.back2[1][context[held]]]
         asked = held[pair[held] >= 0]
         begin, stop = self.pointer3.access(context[asked]), self.pointer3.access(context[asked] + 1)
-        some = stop > begin
-        asked, begin = asked[some], begin[some]
-        if len(asked):
-            rank = pair[asked] - self.pointer2.access(before[asked])
-            found = self.next3.find(rank + self._base(self.next3, begin))
-            out[asked[found >= 0]] = self.prob3[0][self.prob3[1][found[found >= 0]]]
+        rank = pair[asked] - self.pointer2.access(before[asked])
+        found = self._successor(self.next3, rank, begin, stop)
+        out[asked[found >= 0]] = self.prob3[0][self.prob3[1][found[found >= 0]]]
         return out
 
     @staticmethod
-    def _base(values: EliasFano, begin: np.ndarray) -> np.ndarray:
-        """What a range's successors are raised by: one more than the last value before the range."""
-        return np.where(begin > 0, values.access(np.maximum(begin - 1, 0)) + 1, 0)
+    def _successor(values: EliasFano, wanted: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Place of each wanted successor within its context's range, or -1.
+
+        A range's successors are raised by one more than the last value before it; what is found
+        beyond the range belongs to another context.
+        """
+        out = np.full(len(wanted), -1, np.int64)
+        some = np.flatnonzero(stop > begin)
+        if len(some):
+            base = np.where(begin[some] > 0, values.access(np.maximum(begin[some] - 1, 0)) + 1, 0)
+            found = values.find(wanted[some] + base)
+            out[some] = np.where((found >= begin[some]) & (found < stop[some]), found, -1)
+        return out
 
 
 def _rising(values: np.ndarray, pointer: np.ndarray) -> np.ndarray:
