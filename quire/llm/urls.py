@@ -76,7 +76,7 @@ def lexical(rows: DataFrame) -> DataFrame:
         F.size(F.split("host", r"\.")).cast("double").alias("labels"), F.length("host").cast("double").alias("host_length"),
         F.length("path").cast("double").alias("path_length"), F.lower(F.substring(url, 1, 6)).eqNullSafe("https:").cast("double").alias("secure"),
         F.length(F.regexp_extract("path", "[0-9]*$", 0)).cast("double").alias("numbered"),
-        F.element_at(F.split("host", r"\."), -1).alias("__suffix"), F.element_at(F.split("path", "/"), 2).alias("__segment"),
+        F.try_element_at(F.split("host", r"\."), F.lit(-1)).alias("__suffix"), F.try_element_at(F.split("path", "/"), F.lit(2)).alias("__segment"),
     )
 
 
