@@ -11,6 +11,8 @@ The stand-ins are plain Spark expressions (no Python worker):
 
 * :class:`LeadChat` answers with the first ``n_words`` words of the user
   message (an extractive summary);
+* :class:`SpreadChat` answers with words taken evenly from the whole message
+  and a digest of all of it, and fails or stays empty on a fixed share;
 * :class:`HashingEmbedder` is a hashed term-frequency vector, L2-normalised.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.text import _c, lower_terms, words
+from quire.functions.text import _c, let, lower_terms, words
 
 CHAT_RESULT = T.StructType([T.StructField("value", T.StringType()), T.StructField("error", T.StringType())])
 
@@ -40,6 +42,36 @@ class LeadChat:
         return F.struct(value.alias("value"), F.lit(None).cast("string").alias("error"))
 
 
+class SpreadChat:
+    """Deterministic stand-in that depends on the whole message.
+
+    The answer is ``n_words`` words at even distances over the message (all of
+    them if it has fewer) and the first 8 hex digits of the message's md5.  A
+    message whose digest starts with ``0`` fails (NULL and an error); one whose
+    digest starts with ``f`` gets an empty answer.
+    """
+
+    def __init__(self, n_words: int = 39):
+        self.n_words = n_words
+
+    def complete(self, system: Column | str, user: Column | str, max_tokens: int = 1_500) -> Column:
+        n = min(self.n_words, max_tokens - 1)
+
+        def answer(w: Column) -> Column:
+            size = F.size(w).cast("long")
+            take = F.least(size, F.lit(n).cast("long"))
+            picked = F.transform(
+                F.when(take > 0, F.sequence(F.lit(0).cast("long"), take - 1)).otherwise(F.array().cast("array<long>")),
+                lambda i: F.get(w, F.floor(i * size / take).cast("int")),
+            )
+            return F.array_join(F.concat(picked, F.array(F.substring(F.md5(_c(user)), 1, 8))), " ")
+
+        first = F.substring(F.md5(_c(user)), 1, 1)
+        failed = first == "0"
+        value = F.when(failed, F.lit(None).cast("string")).when(first == "f", F.lit("")).otherwise(let(words(_c(user)), answer))
+        return F.struct(value.alias("value"), F.when(failed, F.lit("refused")).alias("error"))
+
+
 def remote_chat(call: Callable[[str, str, int], str | None], max_tokens: int = 1_500):
     """Wrap a client function ``call(system, user, max_tokens) -> text`` as a chat model.
 
@@ -47,12 +79,12 @@ def remote_chat(call: Callable[[str, str, int], str | None], max_tokens: int = 1
     """
 
     @F.pandas_udf(CHAT_RESULT)
-    def _udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for system, user in batches:
+    def _udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for system, user, limit in batches:
             values, errors = [], []
-            for s, u in zip(system, user):
+            for s, u, n in zip(system, user, limit):
                 try:
-                    values.append(call(s, u, max_tokens))
+                    values.append(call(s, u, int(n)))
                     errors.append(None)
                 except Exception as err:  # noqa: BLE001 - reported in the error column
                     values.append(None)
@@ -63,7 +95,7 @@ def remote_chat(call: Callable[[str, str, int], str | None], max_tokens: int = 1
 
     class _Remote:
         def complete(self, system: Column | str, user: Column | str, max_tokens: int = max_tokens) -> Column:
-            return udf(_c(system), _c(user))
+            return udf(_c(system), _c(user), F.lit(max_tokens))
 
     return _Remote()
 

@@ -9,6 +9,8 @@ group is one document, so ordered concatenation is bounded per row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,7 +108,10 @@ def _prompt_for(variant: Column, team: Column, content: Column) -> Column:
 def summarize(
     pairs: DataFrame, model, chunk_tokens: int = 100_000, materialize: bool = True, model_partitions: int | None = None
 ) -> DataFrame:
-    """ML3 -> ``(_id, variant, summary)``; NULL on failure.
+    """ML3 -> ``(_id, variant, summary, error, n_chunks, n_failed)``; NULL summary on failure.
+
+    ``error`` is the final call's, else the first failed chunk's; ``n_failed``
+    counts chunks without a usable answer (SC25).
 
     Input: pairs ``(_id, team, content, variant)`` or documents
     ``(_id, team, content, _missing)`` with an array of variants to fill.
@@ -140,40 +145,55 @@ def summarize(
     user = F.when(single, _prompt_for(F.col("variant"), F.col("team"), F.col("_chunk"))).otherwise(
         F.concat(fill_template(PART_PREFIX, team=F.col("team")), F.col("_chunk"))
     )
-    out = calls.select("_id", "variant", "_n", "_pos", model.complete(system, user, 1200)["value"].alias("_partial"))
+    out = _answered(calls, model, system, user).select("_id", "variant", "_n", "_pos", F.col("_answer.value").alias("_partial"), F.col("_answer.error").alias("_error"))
     if materialize:
         out = cut_lineage(out)
-    done = out.filter(F.col("_n") == 1).select("_id", "variant", F.col("_partial").alias("summary"))
+    failed = F.coalesce(F.col("_partial") == "", F.lit(True))
+    done = out.filter(F.col("_n") == 1).select(
+        "_id", "variant", F.col("_partial").alias("summary"), F.col("_error").alias("error"), F.lit(1).alias("n_chunks"), failed.cast("int").alias("n_failed")
+    )
     # FL4 + AG6: failed (NULL or empty) partials are dropped, the rest joined in chunk order
     multi = (
         out.filter(F.col("_n") > 1)
         .groupBy("_id", "variant")
         .agg(
             F.array_sort(
-                F.collect_list(F.when(F.col("_partial").isNotNull() & (F.col("_partial") != ""), F.struct("_pos", "_partial")))
-            ).alias("_parts")
+                F.collect_list(F.when(~failed, F.struct("_pos", "_partial")))
+            ).alias("_parts"),
+            F.min_by("_error", F.when(F.col("_error").isNotNull(), F.col("_pos"))).alias("_first_error"),
+            F.count(F.lit(1)).cast("int").alias("n_chunks"),
+            F.sum(failed.cast("int")).cast("int").alias("n_failed"),
         )
-        .select("_id", "variant", F.array_join(F.transform("_parts", lambda x: x["_partial"]), PART_SEPARATOR).alias("_combined"))
+        .withColumn("_combined", F.array_join(F.transform("_parts", lambda x: x["_partial"]), PART_SEPARATOR))
     )
     # if every chunk failed the combine call still runs, on ''
-    combined = multi.select(
-        "_id",
-        "variant",
-        model.complete(F.lit(SYSTEM_COMBINE), F.concat(F.lit(COMBINE_PREFIX), F.col("_combined")), 1200)["value"].alias("summary"),
+    combined = _answered(multi, model, F.lit(SYSTEM_COMBINE), F.concat(F.lit(COMBINE_PREFIX), F.col("_combined"))).select(
+        "_id", "variant", F.col("_answer.value").alias("summary"), F.coalesce("_answer.error", "_first_error").alias("error"), "n_chunks", "n_failed"
     )
-    return done.unionByName(combined)
+    # the combine calls are model output like the rest: made once, then read
+    return done.unionByName(cut_lineage(combined) if materialize else combined)
+
+
+def _answered(calls: DataFrame, model, system: Column, user: Column) -> DataFrame:
+    """``calls`` with the model's ``_answer``; each variant has its own completion limit."""
+    limits = sorted({cfg["max_tokens"] for cfg in VARIANTS.values()})
+    if len(limits) == 1:
+        return calls.withColumn("_answer", model.complete(system, user, limits[0]))
+    of = {n: [v for v, cfg in VARIANTS.items() if cfg["max_tokens"] == n] for n in limits}
+    parts = [calls.where(F.col("variant").isin(names)).withColumn("_answer", model.complete(system, user, n)) for n, names in of.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fold_summaries(docs: DataFrame, new_rows: DataFrame) -> DataFrame:
     """AG7 + SNK3: merge new (variant -> summary) entries into each document's map.
 
-    NULL summaries are not written (the map is left as is).  Keys already
+    NULL and empty summaries are not written (the map is left as is).  Keys already
     present keep their value unless a new non-NULL value arrives
     (``map_zip_with`` instead of ``map_concat``, which rejects repeated keys).
     Returns ``docs`` with ``summaries`` updated and ``summaries_changed``.
     """
     fresh = (
-        new_rows.filter(F.col("summary").isNotNull())
+        new_rows.filter(F.col("summary") != "")
         .groupBy("_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("variant", "summary"))).alias("_new"))
     )
@@ -192,16 +212,13 @@ def incremental_summaries(
 ) -> DataFrame:
     """ML4 = JN3 + JN4 + ML3 + AG7: fill every missing summary, keep the rest.
 
-    With ``materialize`` the per-chunk model output is checkpointed to the
-    shared checkpoint folder before it fans out to the single- and
-    multi-chunk branches, so a retried task or a re-planned consumer never
-    calls the model for it a second time.
+    With ``materialize`` the output of the chunk calls and of the combine
+    calls is checkpointed to the shared checkpoint folder, so a retried task
+    or a second reader never calls the model for it again.
     """
     d = docs.filter(non_blank("content"))
     todo = F.filter(F.array(*[F.lit(v) for v in VARIANT_NAMES]), lambda v: ~non_blank(variant_lookup("summaries", v)))
     # documents with nothing missing drop out at the explode inside summarize
     work = d.select("_id", "team", "content", todo.alias("_missing"))
-    # the per-chunk model output is checkpointed inside summarize; the combine
-    # stage's output feeds the fold only, so it is not materialised again
     new_rows = summarize(work, model, chunk_tokens, materialize, model_partitions)
     return fold_summaries(docs, new_rows)

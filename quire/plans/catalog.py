@@ -15,8 +15,9 @@ Derived inputs (fixed rules, shared by the Spark and SQL sides):
 * stored summary vectors: summaries of labelled documents with toxic = 0;
 * upsert: key ``(lang, source)``, stored row = lowest ``doc_id`` per key,
   batch = all other rows, ``seq = doc_id``;
-* stand-in models: chat answers with the first 40 words of the user
-  message; embedder = 64-bucket hashed term frequency.
+* stand-in models: chat answers with 39 words taken evenly from the whole user
+  message and a digest of it, and fails or stays empty for one digest in 16
+  each; embedder = 64-bucket hashed term frequency.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from quire.functions.vectors import contract_violation, norm
 from quire.operators import articles, chunking, evaluate, ingest, rag, summaries
 from quire.operators.knn import exact_topk
 from quire.operators.metrics import greedy_match
-from quire.operators.models import HashingEmbedder, LeadChat
+from quire.operators.models import HashingEmbedder, SpreadChat
 from quire.operators.vectors import VECTOR_KEYS, missing_vectors as missing_vector_rows
 from quire.sources import tables
 
@@ -40,7 +41,7 @@ from quire.sources import tables
 TOP_K = 3
 CHUNK_WORDS_TOKENS = 300
 SUMMARY_CHUNK_TOKENS = 2_000
-LEAD_WORDS = 40
+ANSWER_WORDS = 39
 EMBED_DIM = 64
 VECTOR_DIM = 64
 N_LABELS = 10
@@ -85,7 +86,15 @@ def corpus_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def filled_docs(spark: SparkSession, sf: str) -> DataFrame:
     """JOB2: corpus documents after incremental summarisation with the stand-in model."""
-    return summaries.incremental_summaries(corpus_docs(spark, sf), LeadChat(LEAD_WORDS), SUMMARY_CHUNK_TOKENS)
+    return summaries.incremental_summaries(corpus_docs(spark, sf), SpreadChat(ANSWER_WORDS), SUMMARY_CHUNK_TOKENS)
+
+
+def q_summary_errors(spark, sf):
+    """ML3 + FL4 + SC25: every model answer of the fill, with its error and failed chunks."""
+    d = corpus_docs(spark, sf)
+    pairs = summaries.missing_pairs(d).select("_id", "team", "content", "variant")
+    got = summaries.summarize(pairs, SpreadChat(ANSWER_WORDS), SUMMARY_CHUNK_TOKENS)
+    return got.select(F.col("_id").alias("doc_id"), "variant", "summary", "error", F.col("n_chunks").cast("long").alias("n_chunks"), F.col("n_failed").cast("long").alias("n_failed"))
 
 
 def scored_items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +125,7 @@ def rag_answers(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("context", F.lit("")).alias("context"),
     )
     out = out.withColumn("prompt", rag.rag_prompt("context", "question"))
-    return out.withColumn("answer", F.coalesce(LeadChat(LEAD_WORDS).complete(F.lit(""), F.col("prompt"))["value"], F.lit("")))
+    return out.withColumn("answer", F.coalesce(SpreadChat(ANSWER_WORDS).complete(F.lit(""), F.col("prompt"))["value"], F.lit("")))
 
 
 # --------------------------------------------------------------------------- queries
@@ -339,6 +348,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "missing_pairs": q_missing_pairs,
     "prompt_fill": q_prompt_fill,
     "summary_fill": q_summary_fill,
+    "summary_errors": q_summary_errors,
     "missing_vectors": q_missing_vectors,
     "rag_context": q_rag_context,
     "chat_messages": q_chat_messages,

@@ -11,7 +11,7 @@ from quire.plans import sqltext as S
 TOP_K = 3
 CHUNK_WORDS_TOKENS = 300
 SUMMARY_CHUNK_TOKENS = 2_000
-LEAD_WORDS = 40
+ANSWER_WORDS = 39
 EMBED_DIM = 64
 VECTOR_DIM = 64
 N_LABELS = 10
@@ -188,7 +188,7 @@ def _prompt_case(variant: str, team: str, content: str) -> str:
 
 
 def _filled() -> str:
-    lead = lambda x: S.lead(x, LEAD_WORDS)
+    reply = lambda x: S.reply(x, ANSWER_WORDS)
     part = S.fill(SM.PART_PREFIX, team="team")
     return (
         _DOCS
@@ -196,28 +196,29 @@ def _filled() -> str:
 w AS (SELECT *, {S.words('content')} AS ws FROM pairs),
 c AS (SELECT *, len(ws) AS n, (4 * len(ws)) // 3 AS tok FROM w),
 single AS (
-  SELECT doc_id, variant, {lead(_prompt_case('variant', 'team', 'content'))} AS summary
-  FROM c WHERE tok <= {SUMMARY_CHUNK_TOKENS}
+  SELECT doc_id, variant, {reply('m')} AS summary, {S.refused('m')} AS error, 1 AS n_chunks, CASE WHEN coalesce({reply('m')}, '') = '' THEN 1 ELSE 0 END AS n_failed
+  FROM (SELECT *, {_prompt_case('variant', 'team', 'content')} AS m FROM c) WHERE tok <= {SUMMARY_CHUNK_TOKENS}
 ),
 m AS (SELECT doc_id, variant, team, ws, n, (n * {SUMMARY_CHUNK_TOKENS}) // tok AS cl FROM c WHERE tok > {SUMMARY_CHUNK_TOKENS}),
 e AS (SELECT doc_id, variant, team, ws, cl, unnest(range(0, CAST(ceil(n / cl) AS BIGINT))) AS i FROM m),
 parts AS (
-  SELECT doc_id, variant, i, {lead(part + " || array_to_string(ws[i * cl + 1 : (i + 1) * cl], ' ')")} AS p FROM e
+  SELECT doc_id, variant, i, {reply('m')} AS p, {S.refused('m')} AS e
+  FROM (SELECT *, {part} || array_to_string(ws[i * cl + 1 : (i + 1) * cl], ' ') AS m FROM e)
 ),
 comb AS (
-  SELECT doc_id, variant, string_agg(p, {S.lit(SM.PART_SEPARATOR)} ORDER BY i) AS combined
-  FROM parts WHERE p IS NOT NULL AND p <> '' GROUP BY doc_id, variant
+  SELECT doc_id, variant, {S.lit(SM.COMBINE_PREFIX)} || coalesce(string_agg(p, {S.lit(SM.PART_SEPARATOR)} ORDER BY i) FILTER (WHERE p <> ''), '') AS m,
+         arg_min(e, i) FILTER (WHERE e IS NOT NULL) AS first_error, count(*) AS n_chunks, count(*) FILTER (WHERE coalesce(p, '') = '') AS n_failed
+  FROM parts GROUP BY doc_id, variant
 ),
 multi AS (
-  SELECT m.doc_id, m.variant, {lead(S.lit(SM.COMBINE_PREFIX) + " || coalesce(comb.combined, '')")} AS summary
-  FROM m LEFT JOIN comb USING (doc_id, variant)
+  SELECT doc_id, variant, {reply('m')} AS summary, coalesce({S.refused('m')}, first_error) AS error, n_chunks, n_failed FROM comb
 ),
 fresh AS (SELECT * FROM single UNION ALL SELECT * FROM multi),
 filled AS (
-  SELECT doc_id, variant, summary FROM fresh WHERE summary IS NOT NULL
+  SELECT doc_id, variant, summary FROM fresh WHERE summary <> ''
   UNION ALL
   SELECT doc_id, variant, s AS summary FROM ex
-  WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.doc_id = ex.doc_id AND f.variant = ex.variant AND f.summary IS NOT NULL)
+  WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.doc_id = ex.doc_id AND f.variant = ex.variant AND f.summary <> '')
 )"""
     )
 
@@ -281,6 +282,9 @@ PROMPT_FILL = _with(
     _DOCS, f"SELECT d.doc_id, vv.variant, {_prompt_case('vv.variant', 'd.team', 'd.content')} AS prompt FROM docs d, {_VARIANTS}"
 )
 
+SUMMARY_ERRORS = _with(
+    _filled(), "SELECT doc_id, variant, summary, error, CAST(n_chunks AS BIGINT) AS n_chunks, CAST(n_failed AS BIGINT) AS n_failed FROM fresh"
+)
 SUMMARY_FILL = _with(_filled(), "SELECT doc_id, variant, summary FROM filled")
 
 MISSING_VECTORS = _with(
@@ -325,7 +329,8 @@ ans0 AS (
   FROM benchmark b LEFT JOIN ctx ON ctx.qid = b.item_id
 ),
 ans AS (
-  SELECT *, {S.lead(S.fill(QUERY_PROMPT, context='context', query='question'), LEAD_WORDS)} AS answer FROM ans0
+  SELECT * EXCLUDE (m), coalesce({S.reply('m', ANSWER_WORDS)}, '') AS answer
+  FROM (SELECT *, {S.fill(QUERY_PROMPT, context='context', query='question')} AS m FROM ans0)
 )"""
 
 
@@ -441,6 +446,7 @@ ORACLES: dict[str, str] = {
     "missing_pairs": MISSING_PAIRS,
     "prompt_fill": PROMPT_FILL,
     "summary_fill": SUMMARY_FILL,
+    "summary_errors": SUMMARY_ERRORS,
     "missing_vectors": MISSING_VECTORS,
     "rag_context": RAG_CONTEXT,
     "chat_messages": CHAT_MESSAGES,

@@ -38,6 +38,19 @@ def lead(x: str, n: int) -> str:
     return f"array_to_string({words(x)}[1:{n}], ' ')"
 
 
+def reply(x: str, n: int) -> str:
+    """The whole-message stand-in's answer to ``x``: evenly spread words and a digest; NULL or empty for a fixed share."""
+    return (
+        f"CASE substr(md5({x}), 1, 1) WHEN '0' THEN NULL WHEN 'f' THEN '' ELSE array_to_string(list_append("
+        f"list_transform(range(least(len({words(x)}), {n})), lambda i: {words(x)}[(i * len({words(x)})) // least(len({words(x)}), {n}) + 1]),"
+        f" substr(md5({x}), 1, 8)), ' ') END"
+    )
+
+
+def refused(x: str) -> str:
+    return f"CASE WHEN substr(md5({x}), 1, 1) = '0' THEN 'refused' END"
+
+
 def terms(x: str) -> str:
     """Lower-cased tokens without edge punctuation (list)."""
     return (
