@@ -1,64 +1,44 @@
 """Approximate candidates + exact re-rank (TK2), with a recall report.
 
-Each of ``n_tables`` hash tables assigns a vector the sign pattern of
-``n_bits`` random hyperplanes (seeded, so runs are repeatable).  A query is
-compared exactly - through :func:`quire.operators.knn.exact_topk` with the
-bucket as a blocking key - only with corpus rows sharing its bucket in some
-table; the per-table top-k lists are merged.  Exact search stays the default;
-use this only with a measured recall.
+Vectors are scaled to unit length and rounded to ``LEVELS`` steps a side: one
+signed byte per component in place of eight bytes.  Candidate ranking runs over
+these codes with the block-wise search of :mod:`quire.operators.knn`; the
+``num_candidates`` best of each query are joined back to their full vectors
+and re-ranked by the exact cosine, in Spark expressions.  More candidates
+trade work for recall; every query gets ``k`` hits when ``k`` vectors fit it.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.vectors import dot
+from quire.functions.vectors import cosine, norm, search_score
 from quire.operators.knn import exact_topk
 
+LEVELS = 127
 
-def _planes(dim: int, n_tables: int, n_bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((n_tables, n_bits, dim))
 
-
-def _bucket_cols(vec: str, planes: np.ndarray):
-    cols = []
-    for t in range(planes.shape[0]):
-        code = F.lit(0)
-        for b in range(planes.shape[1]):
-            h = F.array(*[F.lit(float(x)) for x in planes[t, b]])
-            code = code + F.when(dot(F.col(vec), h) > 0, F.lit(1 << b)).otherwise(F.lit(0))
-        cols.append(F.struct(F.lit(t).alias("tbl"), code.alias("bucket")))
-    return F.array(*cols)
+def codes(vec: str) -> Column:
+    """Signed steps of the unit vector; NULL for vectors without a direction."""
+    n = norm(vec)
+    fits = n.isNotNull() & (n > 0) & ~F.isnan(n) & (n < float("inf"))
+    return F.when(fits, F.transform(vec, lambda x: F.floor(x.cast("double") / n * LEVELS + 0.5).cast("byte")))
 
 
 def approx_topk(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    dim: int,
-    *,
-    c_id: str = "vec_id",
-    vec: str = "embedding",
-    n_tables: int = 4,
-    n_bits: int = 6,
-    seed: int = 7,
-    exclude_self: bool = False,
+    queries: DataFrame, corpus: DataFrame, k: int, *, num_candidates: int = 50, c_id: str = "vec_id", vec: str = "embedding", exclude_self: bool = False
 ) -> DataFrame:
-    planes = _planes(dim, n_tables, n_bits, seed)
-    q = queries.withColumn("_b", F.explode(_bucket_cols(vec, planes))).select(
-        "query_id", vec, F.col("_b.tbl").alias("tbl"), F.col("_b.bucket").alias("bucket")
-    )
-    c = corpus.withColumn("_b", F.explode(_bucket_cols(vec, planes))).select(
-        "*", F.col("_b.tbl").alias("tbl"), F.col("_b.bucket").alias("bucket")
-    ).drop("_b")
-    per_table = exact_topk(
-        q, c, k, c_id=c_id, c_vec=vec, group_cols=["tbl", "bucket"], exclude_self=exclude_self, strategy="blocked"
-    )
-    merged = per_table.drop("rank", "tbl", "bucket").dropDuplicates(["query_id", c_id])
+    """``query_id, rank, <corpus columns but the vector>, cosine, search_score``; ids are unique on each side."""
+    if num_candidates < k:
+        raise ValueError("num_candidates must be at least k")
+    q = queries.select("query_id", codes(vec).alias("_code"))
+    c = corpus.select(c_id, codes(vec).alias("_code"))
+    found = exact_topk(q, c, num_candidates, q_vec="_code", c_id=c_id, c_vec="_code", exclude_self=exclude_self).select("query_id", c_id)
+    full = found.join(queries.select("query_id", F.col(vec).alias("_q")), "query_id").join(corpus.withColumnRenamed(vec, "_c"), c_id)
+    ranked = full.withColumn("cosine", cosine("_q", "_c")).drop("_q", "_c")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), F.asc(c_id))
-    return merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("search_score", search_score("cosine"))
 
 
 def recall_at_k(exact: DataFrame, approx: DataFrame, k: int, c_id: str = "vec_id") -> DataFrame:

@@ -16,7 +16,11 @@ Two physical strategies, chosen by a size check on the query side:
   ``corpus_block`` corpus rows, however large a single group is.
 
 Optional ``group_cols`` restrict matches to rows with equal keys (blocking on a
-user key); ``exclude_self`` drops a hit whose id equals the query id.
+user key); ``exclude_self`` drops a hit whose id equals the query id.  The
+vector's size is part of the key on both paths, so queries of any size meet
+corpus vectors of their own size whatever the strategy.  A hit list belongs to
+a query id within its group.  Ties are broken by id inside each task, which
+returns at most ``k`` rows per query and block.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ from pyspark.sql import types as T
 from quire.operators.joins import broadcast_if_small
 
 
+#: the vector's size, a key column of every search
+SIZE = "_size"
+
+
 def _as_matrix(vectors: pd.Series, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Stack a Series of arrays into a unit-normalised float64 matrix + validity mask.
 
@@ -56,14 +64,14 @@ def _as_matrix(vectors: pd.Series, dim: int | None = None) -> tuple[np.ndarray,
 
 
 def _local_topk(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, col) indices of every entry that can be in a column's top-k (ties kept)."""
+    """(row, col) indices of each column's top-k; of equal scores the first rows count."""
     nrow = scores.shape[0]
     if nrow <= k:
-        rows, cols = np.nonzero(np.isfinite(scores))
-        return rows, cols
+        return np.nonzero(np.isfinite(scores))
     kth = np.partition(scores, nrow - k, axis=0)[nrow - k]
-    rows, cols = np.nonzero((scores >= kth[None, :]) & np.isfinite(scores))
-    return rows, cols
+    above, equal = scores > kth, scores == kth
+    room = k - above.sum(axis=0)
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=0) <= room)))
 
 
 def _score_block(
@@ -72,8 +80,10 @@ def _score_block(
     cmat, cok = _as_matrix(cdf[c_vec], qmat.shape[1])
     if len(qids) == 0 or not cok.any():
         return None
-    cdf = cdf[cok]
-    cmat = cmat[cok]
+    order = np.flatnonzero(cok)
+    order = order[np.argsort(cdf[c_id].to_numpy()[order], kind="stable")]
+    cdf = cdf.iloc[order]
+    cmat = cmat[order]
     kk = k + 1 if exclude_self else k
     scores = cmat @ qmat.T  # (corpus rows, queries), bounded by the block sizes
     rows, cols = _local_topk(scores, kk)
@@ -90,10 +100,10 @@ def _output_schema(corpus: DataFrame, c_vec: str, id_type: T.DataType) -> T.Stru
     return T.StructType(fields + [T.StructField("query_id", id_type), T.StructField("cosine", T.DoubleType())])
 
 
-def _finish(cands: DataFrame, k: int, c_id: str) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), F.asc(c_id))
+def _finish(cands: DataFrame, k: int, c_id: str, group_cols: list[str]) -> DataFrame:
+    w = Window.partitionBy("query_id", *group_cols).orderBy(F.desc("cosine"), F.asc(c_id))
     return (
-        cands.withColumn("rank", F.row_number().over(w))
+        cands.drop(SIZE).withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= k)
         .withColumn("search_score", (F.lit(1.0) + F.col("cosine")) / F.lit(2.0))
     )
@@ -110,95 +120,83 @@ def exact_topk(
     c_vec: str = "embedding",
     group_cols: Sequence[str] = (),
     exclude_self: bool = False,
-    max_broadcast_rows: int = 20_000,
+    max_broadcast_rows: int = 4_096,
     max_broadcast_bytes: int = 64 << 20,
     query_block: int = 4_096,
     corpus_block: int = 65_536,
     strategy: str = "auto",
 ) -> DataFrame:
-    """Top-``k`` corpus rows per query by cosine.
+    """Top-``k`` corpus rows per query (and group) by cosine.
 
     Returns ``query_id, rank, <corpus columns except the vector>, cosine,
-    search_score``.  Queries or corpus rows with a NULL, zero or wrongly sized
+    search_score``.  Queries or corpus rows with a NULL, zero or non-finite
     vector get no hits.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    group_cols = list(group_cols)
-    q = queries.select(F.col(q_id).alias("query_id"), F.col(q_vec).alias("_qvec"), *group_cols)
+    own_groups = list(group_cols)
+    group_cols = [*own_groups, SIZE]
+    q = queries.select(F.col(q_id).alias("query_id"), F.col(q_vec).alias("_qvec"), *own_groups).withColumn(SIZE, F.size("_qvec"))
+    corpus = corpus.withColumn(SIZE, F.size(c_vec))
     id_type = q.schema["query_id"].dataType
     schema = _output_schema(corpus, c_vec, id_type)
 
     if strategy in ("auto", "broadcast"):
-        # The broadcast bound is in bytes of the query matrix (float64), so it
-        # holds for any vector width; at most bound + 1 rows reach the driver.
-        first = q.select(F.size("_qvec").alias("d")).filter("d > 0").limit(1).collect()
-        dim = first[0]["d"] if first else 1
-        bound = max(1, min(max_broadcast_rows, max_broadcast_bytes // (8 * dim)))
-        qpdf = q.limit(bound + 1).toPandas()
-        if len(qpdf) <= bound:
-            return _finish(_broadcast_search(corpus, qpdf, schema, k, c_id, c_vec, group_cols, exclude_self), k, c_id)
+        # read once (an embedder is called once per query): at most the row bound + 1 reach the
+        # driver, and they are broadcast only within the bound in bytes of their float64 matrix
+        qpdf = q.limit(max_broadcast_rows + 1).toPandas()
+        if len(qpdf) <= max_broadcast_rows and 8 * int(qpdf[SIZE].clip(lower=0).sum()) <= max_broadcast_bytes:
+            return _finish(_broadcast_search(corpus, qpdf, schema, k, c_id, c_vec, group_cols, exclude_self), k, c_id, own_groups)
         if strategy == "broadcast":
-            raise ValueError("query batch exceeds max_broadcast_rows")
+            raise ValueError("query batch exceeds the broadcast bounds")
     return _finish(
         _blocked_search(q, corpus, schema, k, c_id, c_vec, group_cols, exclude_self, query_block, corpus_block),
         k,
         c_id,
+        own_groups,
     )
 
 
 def _broadcast_search(corpus, qpdf, schema, k, c_id, c_vec, group_cols, exclude_self) -> DataFrame:
-    qmat, qok = _as_matrix(qpdf["_qvec"])
-    qpdf = qpdf[qok].reset_index(drop=True)
-    qmat = qmat[qok]
-    if group_cols:
-        key = qpdf[group_cols].apply(tuple, axis=1) if len(qpdf) else pd.Series([], dtype=object)
-        by_group = {g: idx.to_numpy() for g, idx in qpdf.groupby(key).groups.items()} if len(qpdf) else {}
-    else:
-        by_group = {(): np.arange(len(qpdf))}
-    payload = (qpdf["query_id"].to_numpy(), qmat, by_group)
+    payload = {}
+    for g, part in qpdf.groupby(group_cols):  # a NULL key matches nothing
+        qmat, qok = _as_matrix(part["_qvec"])
+        if qok.any():
+            payload[g] = (part["query_id"].to_numpy()[qok], qmat[qok])
     bc = corpus.sparkSession.sparkContext.broadcast(payload)
     q_chunk = 2_048
     row_chunk = 8_192
 
     def search(batches):
-        qids_all, qm_all, groups = bc.value
+        groups = bc.value
         acc: list[pd.DataFrame] = []
         for pdf in batches:
-            if group_cols:
-                parts = pdf.groupby(pdf[group_cols].apply(tuple, axis=1)) if len(pdf) else []
-            else:
-                parts = [((), pdf)]
-            for g, cpart in parts:
-                qidx = groups.get(g)
-                if qidx is None or len(qidx) == 0:
+            for g, cpart in pdf.groupby(group_cols):
+                if g not in groups:
                     continue
+                qids, qmat = groups[g]
                 for r0 in range(0, len(cpart), row_chunk):
                     block = cpart.iloc[r0 : r0 + row_chunk]
-                    for q0 in range(0, len(qidx), q_chunk):
-                        sel = qidx[q0 : q0 + q_chunk]
-                        res = _score_block(qids_all[sel], qm_all[sel], block, c_id, c_vec, k, exclude_self)
+                    for q0 in range(0, len(qids), q_chunk):
+                        res = _score_block(qids[q0 : q0 + q_chunk], qmat[q0 : q0 + q_chunk], block, c_id, c_vec, k, exclude_self)
                         if res is not None and len(res):
                             acc.append(res)
             if sum(len(a) for a in acc) > 200_000:
-                acc = [_reduce(pd.concat(acc, ignore_index=True), k, c_id)]
+                acc = [_reduce(pd.concat(acc, ignore_index=True), k, c_id, group_cols)]
         if acc:
-            yield _reduce(pd.concat(acc, ignore_index=True), k, c_id)[[f.name for f in schema.fields]]
+            yield _reduce(pd.concat(acc, ignore_index=True), k, c_id, group_cols)[[f.name for f in schema.fields]]
 
     return corpus.mapInPandas(search, schema)
 
 
-def _reduce(df: pd.DataFrame, k: int, c_id: str) -> pd.DataFrame:
+def _reduce(df: pd.DataFrame, k: int, c_id: str, group_cols: list[str]) -> pd.DataFrame:
     """Keep each query's top-k (ties broken by id) among accumulated candidates."""
     df = df.sort_values(["query_id", "cosine", c_id], ascending=[True, False, True], kind="mergesort")
-    return df.groupby("query_id", sort=False).head(k).reset_index(drop=True)
+    return df.groupby(["query_id", *group_cols], sort=False).head(k).reset_index(drop=True)
 
 
 def _blocked_search(q, corpus, schema, k, c_id, c_vec, group_cols, exclude_self, query_block, corpus_block):
-    gcols = group_cols or ["_g"]
-    if not group_cols:
-        q = q.withColumn("_g", F.lit(0))
-        corpus = corpus.withColumn("_g", F.lit(0))
+    gcols = group_cols
     q_stats = q.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_nq"))
     c_stats = corpus.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_nc"))
     stats = q_stats.join(c_stats, gcols).select(
@@ -220,8 +218,6 @@ def _blocked_search(q, corpus, schema, k, c_id, c_vec, group_cols, exclude_self,
         .drop("_bq", "_bc")
     )
     names = [f.name for f in schema.fields]
-    drop_g = [] if group_cols else ["_g"]
-
     def pair(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame()  # no rows: Spark skips the column check
         if len(qdf) == 0 or len(cdf) == 0:
@@ -229,11 +225,11 @@ def _blocked_search(q, corpus, schema, k, c_id, c_vec, group_cols, exclude_self,
         qmat, qok = _as_matrix(qdf["_qvec"])
         if not qok.any():
             return empty
-        cdf = cdf.drop(columns=["_qb", "_cb"] + drop_g)
+        cdf = cdf.drop(columns=["_qb", "_cb"])
         res = _score_block(qdf["query_id"].to_numpy()[qok], qmat[qok], cdf, c_id, c_vec, k, exclude_self)
         if res is None or len(res) == 0:
             return empty
-        return _reduce(res, k, c_id)[names]
+        return _reduce(res, k, c_id, group_cols)[names]
 
     keys = gcols + ["_qb", "_cb"]
     return qb.groupBy(*keys).cogroup(cb.groupBy(*keys)).applyInPandas(pair, schema)

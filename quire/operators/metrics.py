@@ -205,8 +205,8 @@ def greedy_match(
     """AG8 + JN8 with token vectors: per pair ``precision, recall, f1``.
 
     Each side is a top-1 search restricted to the same pair, run through the
-    exact top-k operator (no token-pair rows).  Token ids must be unique
-    within a side.
+    exact top-k operator (no token-pair rows).  Token ids are unique within a
+    pair and side; other pairs may use them too.
     """
 
     def side(queries: DataFrame, corpus: DataFrame, name: str) -> DataFrame:

@@ -14,6 +14,7 @@ SUMMARY_CHUNK_TOKENS = 2_000
 ANSWER_WORDS = 39
 EMBED_DIM = 64
 VECTOR_DIM = 64
+NUM_CANDIDATES = 50
 N_LABELS = 10
 
 NL = "\n"
@@ -38,6 +39,19 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, label, round(cosine, 6)
 FROM r WHERE rank <= {TOP_K}
 """
 
+ANN_TOPK = f"""
+WITH n AS (SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+v AS (SELECT vec_id, embedding, list_transform(embedding::DOUBLE[], lambda x: floor(x / n * 127 + 0.5)) AS code FROM n WHERE n > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, {_cos('q.code', 'c.code')} AS rough, {_cos('q.embedding', 'c.embedding')} AS cosine
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+), c AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rough DESC, vec_id) AS place FROM s) WHERE place <= {NUM_CANDIDATES}
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(cosine, 6) AS cosine
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM c) WHERE rank <= {TOP_K}
+"""
+
 WORD_STATS = f"""
 SELECT doc_id, {S.word_count('text')} AS n_words, {S.rough_tokens('text')} AS rough_tokens,
        CAST(length({S.strip('text')}) AS BIGINT) AS stripped_chars, NOT {S.non_blank('text')} AS is_blank
@@ -434,6 +448,7 @@ SCORE_ROWS = _with(
 )
 
 ORACLES: dict[str, str] = {
+    "ann_topk": ANN_TOPK,
     "knn_topk": KNN_TOPK,
     "word_stats": WORD_STATS,
     "chunk_words": CHUNK_WORDS,

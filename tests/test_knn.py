@@ -47,3 +47,20 @@ def test_groups_ties_and_bad_vectors(spark, strategy):
     got = exact_topk(qdf, cdf, 2, group_cols=["g"], strategy=strategy).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id) for r in got] == [(10, 1), (10, 2), (12, 7)]
     assert all(-1 <= r.cosine <= 1.0000001 for r in got)
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "blocked"])
+def test_mixed_sizes_and_repeated_ids_in_groups(spark, strategy):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0, 0.0], "a"), (1, [0.0, 1.0], "b")], "vec_id long, embedding array<float>, g string")
+    queries = spark.createDataFrame(
+        [(10, [1.0, 0.1], "a"), (11, [0.0, 2.0, 0.0], "a"), (10, [0.1, 1.0], "b"), (12, [float("inf"), 1.0], "b"), (13, [1.0, 0.0], None)],
+        "query_id long, embedding array<float>, g string",
+    )
+    got = exact_topk(queries, corpus, 3, group_cols=["g"], strategy=strategy).collect()
+    assert sorted((r.query_id, r.g, r["rank"], r.vec_id) for r in got) == [(10, "a", 1, 1), (10, "b", 1, 1), (11, "a", 1, 2)]
+
+
+def test_equal_scores_stay_within_k(spark):
+    corpus = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(500, 0, -1)], "vec_id long, embedding array<float>")
+    got = exact_topk(corpus.selectExpr("vec_id as query_id", "embedding").limit(50), corpus, 3, strategy="blocked").collect()
+    assert len(got) == 150 and {r.vec_id for r in got} == {1, 2, 3}
