@@ -57,14 +57,19 @@ ENTITIES: list[tuple[str, str]] = [
 ]
 
 
-def remove_noise(html: Column | str) -> Column:
-    """SC1 + SC2 + comments: drop elements whose text must not be kept."""
+def remove_hidden(html: Column | str) -> Column:
+    """SC1 + comments: drop elements that hold no text of the page."""
     c = _c(html)
-    for pat in (COMMENT, SCRIPT, STYLE, SUP_REFERENCE):
+    for pat in (COMMENT, SCRIPT, STYLE):
         c = F.regexp_replace(c, pat, " ")
     return c
 
 
+def remove_noise(html: Column | str) -> Column:
+    """SC1 + SC2 + comments: drop elements whose text must not be kept."""
+    return F.regexp_replace(remove_hidden(html), SUP_REFERENCE, " ")
+
+
 def strip_tags(html: Column | str) -> Column:
     """SC3/SC4: every remaining tag (links unwrapped) becomes a separating space."""
     return F.regexp_replace(_c(html), TAG, " ")
@@ -87,24 +92,29 @@ def page_title(url: Column | str) -> Column:
     return F.substring_index(_c(url), "/wiki/", -1)
 
 
+def _sql_replace(x: str, pat: str, rep: str) -> str:
+    p = pat.replace("'", "''")
+    r = rep.replace("'", "''")
+    return f"regexp_replace({x}, '{p}', '{r}', 'g')"
+
+
+def sql_remove_hidden(col: str) -> str:
+    """:func:`remove_hidden` for DuckDB."""
+    x = col
+    for pat in (COMMENT, SCRIPT, STYLE):
+        x = _sql_replace(x, pat, " ")
+    return x
+
+
 def sql_clean_html(col: str) -> str:
     """The same chain for DuckDB (RE2: no backreferences, ``\\x{85}`` spelling)."""
     from quire.functions.text import WS_RE2
 
-    def rr(x: str, pat: str, rep: str) -> str:
-        p = pat.replace("'", "''")
-        r = rep.replace("'", "''")
-        return f"regexp_replace({x}, '{p}', '{r}', 'g')"
-
-    x = col
-    for pat in (COMMENT, SCRIPT, STYLE, SUP_REFERENCE):
-        x = rr(x, pat, " ")
-    x = rr(x, TAG, " ")
+    x = _sql_replace(_sql_replace(sql_remove_hidden(col), SUP_REFERENCE, " "), TAG, " ")
     for pat, rep in ENTITIES:
-        x = rr(x, pat, rep)
-    x = rr(x, rf"\A{WS_RE2}+|{WS_RE2}+\z", "")
-    x = rr(x, f"{WS_RE2}{{2,}}", " ")
-    return x
+        x = _sql_replace(x, pat, rep)
+    x = _sql_replace(x, rf"\A{WS_RE2}+|{WS_RE2}+\z", "")
+    return _sql_replace(x, f"{WS_RE2}{{2,}}", " ")
 
 
 

@@ -68,15 +68,15 @@ def sections_from_dump(df: DataFrame, json_col: str, key_cols: list[str]) -> Dat
 
 def toc_line(level: Column | str, number: Column | str, line: Column | str) -> Column:
     """SC6: two spaces per level below 1, the number ('' when absent), a space, the raw line."""
-    return F.concat(F.repeat(F.lit("  "), _c(level) - 1), F.coalesce(_c(number), F.lit("")), F.lit(" "), _c(line))
+    return F.concat(F.repeat(F.lit("  "), F.coalesce(_c(level), F.lit(1)) - 1), F.coalesce(_c(number), F.lit("")), F.lit(" "), F.coalesce(_c(line), F.lit("")))
 
 
 def section_block(level: Column | str, line: Column | str, text: Column | str) -> Column:
     """SC7 + SC8 + SC9: header, text (placeholder when NULL/empty), rule; lines joined by newline."""
     return F.concat(
-        F.repeat(F.lit("#"), _c(level)),
+        F.repeat(F.lit("#"), F.coalesce(_c(level), F.lit(1))),
         F.lit(" "),
-        _c(line),
+        F.coalesce(_c(line), F.lit("")),
         F.lit("\n\n"),
         F.coalesce(F.nullif(_c(text), F.lit("")), F.lit(NO_CONTENT)),
         F.lit("\n\n" + RULE_SECTION + "\n"),
@@ -84,7 +84,10 @@ def section_block(level: Column | str, line: Column | str, text: Column | str) -
 
 
 def assemble_articles(sections: DataFrame, key_cols: list[str], title_col: str) -> DataFrame:
-    """AG10: one assembled text per article (articles with no section produce no row)."""
+    """AG10: one assembled text per article (articles with no section produce no row).
+
+    A section without level or line keeps its text: level 1, empty line.
+    """
     s = sections.select(
         *key_cols,
         title_col,
@@ -134,33 +137,36 @@ def sections_from_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-# Fixed rule: a page section is the content of one <p> element (up to the first </p>).
-PARAGRAPH = r"(?is)<p\b[^>]*>(.*?)</p\s*>"
+# Fixed rule: a page section runs from one heading element to the next; what
+# stands before the first heading is a section of its own without a heading.
+HEADING = r"(?i)<(h[1-6])\b"
+HEADING_PART = r"(?is)\A<h([1-6])\b[^>]*>(.*?)</h[1-6]\s*>"
+MARK = "\u0001"
 
 
-def sections_from_pages(pages: DataFrame, heading_words: int = 6) -> DataFrame:
-    """Section rows from page HTML: one per ``<p>`` element, in page order.
+def sections_from_pages(pages: DataFrame) -> DataFrame:
+    """Section rows from page HTML, in page order; no text of the page is lost.
 
-    The section text is the paragraph cleaned by the SC1-SC5 chain; its
-    heading line is the first ``heading_words`` words of that text; every
-    section is level 2 with number ``pos + 1``; the article title is the
-    page title of the URL (PR1).
+    Scripts, styles and comments go first, so headings inside them
+    do not count.  Level and line come from the heading (level 1 and an empty
+    line before the first one), the text is all that follows it, cleaned by
+    the SC1-SC5 chain; the article title is the page title of the URL (PR1).
     """
-    from quire.functions.html import clean_html, page_title
-    from quire.functions.text import words
-
-    paras = pages.select(
-        "page_id", page_title("url").alias("title"),
-        F.posexplode(F.regexp_extract_all("html", F.lit(PARAGRAPH), 1)).alias("pos", "para_html"),
+    from quire.functions.html import clean_html_exact, page_title, remove_hidden
+
+    marked = F.regexp_replace(F.translate(remove_hidden("html"), MARK, ""), HEADING, MARK + "<$1")
+    parts = pages.select("page_id", page_title("url").alias("title"), F.posexplode(F.split(marked, MARK)).alias("pos", "part"))
+    level = F.regexp_extract("part", HEADING_PART, 1)
+    cut = parts.select(
+        "page_id", "title", "pos",
+        F.when(level == "", F.lit(1)).otherwise(level.try_cast("int")).alias("level"),
+        F.regexp_extract("part", HEADING_PART, 2).alias("head"),
+        F.regexp_replace("part", HEADING_PART, "").alias("rest"),
     )
-    cleaned = paras.withColumn("text", clean_html("para_html"))
-    return cleaned.select(
-        "page_id",
-        "title",
-        "pos",
-        F.lit(2).alias("level"),
-        (F.col("pos") + 1).cast("string").alias("number"),
-        F.array_join(F.slice(words("text"), 1, heading_words), " ").alias("line"),
+    return cut.select(
+        "page_id", "title", "pos", "level",
+        F.when(F.col("pos") > 0, F.col("pos").cast("string")).alias("number"),
+        clean_html_exact("head").alias("line"),
         (F.col("pos") + 1).cast("string").alias("index"),
-        "text",
+        clean_html_exact("rest").alias("text"),
     )

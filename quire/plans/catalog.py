@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.functions.html import clean_html, page_title
+from quire.functions.html import clean_html_exact, page_title
 from quire.functions.vectors import contract_violation, norm
 from quire.operators import articles, chunking, evaluate, ingest, rag, summaries
 from quire.operators.knn import exact_topk
@@ -158,7 +158,7 @@ def q_chunk_words(spark, sf):
 
 def q_html_clean(spark, sf):
     p = tables.pages(spark, sf, "page_id", "html")
-    return p.select("page_id", clean_html("html").alias("text"))
+    return p.select("page_id", clean_html_exact("html").alias("text"))
 
 
 def q_page_title(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.functions.html import sql_clean_html
+from quire.functions.html import sql_clean_html, sql_remove_hidden
 from quire.operators import articles as A
 from quire.operators import summaries as SM
 from quire.operators.rag import QUERY_PROMPT, SPAN_ROOT, SPAN_STEPS
@@ -120,22 +120,22 @@ FROM t GROUP BY doc_id
 def _page_articles() -> str:
     header = A.RULE_MAJOR + NL + NL + A.TOC_HEADING + NL + A.RULE_TOC + NL
     middle = NL + NL.join(["", A.BODY_HEADING, A.RULE_MAJOR, ""]) + NL
-    para = A.PARAGRAPH.replace("'", "''")
     return f"""
 WITH l AS (
-  SELECT page_id, url, CAST(g.pos - 1 AS BIGINT) AS pos, g.para
-  FROM pages, LATERAL (
-    SELECT unnest(regexp_extract_all(html, '{para}', 1)) AS para,
-           generate_subscripts(regexp_extract_all(html, '{para}', 1), 1) AS pos
-  ) g
+  SELECT page_id, url, CAST(g.pos - 1 AS BIGINT) AS pos, g.part
+  FROM (SELECT page_id, url, string_split(regexp_replace(replace({sql_remove_hidden('html')}, chr(1), ''), '{A.HEADING}', chr(1) || '<\\1', 'g'), chr(1)) AS parts FROM pages),
+  LATERAL (SELECT unnest(parts) AS part, generate_subscripts(parts, 1) AS pos) g
 ), s AS (
-  SELECT page_id, url, pos, {sql_clean_html('para')} AS text FROM l
+  SELECT page_id, url, pos, coalesce(TRY_CAST(regexp_extract(part, '{A.HEADING_PART}', 1) AS INTEGER), 1) AS level,
+         regexp_extract(part, '{A.HEADING_PART}', 2) AS head, regexp_replace(part, '{A.HEADING_PART}', '') AS rest
+  FROM l
+), u AS (SELECT page_id, url, pos, level, {sql_clean_html('head')} AS line, {sql_clean_html('rest')} AS text FROM s
 ), t AS (
   SELECT page_id, url, pos,
-         repeat('  ', 1) || CAST(pos + 1 AS VARCHAR) || ' ' || {S.lead('text', 6)} AS toc,
-         repeat('#', 2) || ' ' || {S.lead('text', 6)} || {S.lit(NL + NL)} || coalesce(nullif(text, ''), {S.lit(A.NO_CONTENT)})
+         repeat('  ', level - 1) || CASE WHEN pos > 0 THEN CAST(pos AS VARCHAR) ELSE '' END || ' ' || line AS toc,
+         repeat('#', level) || ' ' || line || {S.lit(NL + NL)} || coalesce(nullif(text, ''), {S.lit(A.NO_CONTENT)})
            || {S.lit(NL + NL + A.RULE_SECTION + NL)} AS block
-  FROM s
+  FROM u
 )
 SELECT page_id, CAST(count(*) AS BIGINT) AS n_sections,
        {S.lit(A.TITLE_PREFIX)} || CASE WHEN strpos(any_value(url), '/wiki/') > 0 THEN split_part(any_value(url), '/wiki/', -1) ELSE any_value(url) END

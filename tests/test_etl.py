@@ -44,11 +44,37 @@ def test_etl_cached_fetched_and_upsert(spark):
 def test_page_sections_and_article(spark):
     from quire.operators.articles import assemble_articles, sections_from_pages
 
-    html = '<h1>T</h1><p>One two <a href="x">three</a> four five six seven<sup class="reference">[1]</sup></p><p></p><p>Fish &amp chips'
-    pages = spark.createDataFrame([(1, "https://x/wiki/Some_Page", html + "</p>")], "page_id long, url string, html string")
-    secs = sections_from_pages(pages).orderBy("pos").collect()
-    assert [r.text for r in secs] == ["One two three four five six seven", "", "Fish & chips"]
-    assert secs[0].line == "One two three four five six" and secs[2].number == "3"
-    art = assemble_articles(sections_from_pages(pages), ["page_id"], "title").first().article
-    assert art.startswith("WIKIPEDIA ARTICLE: Some_Page\n")
-    assert "## \n\n[No content available]\n\n" + "-" * 60 in art
+    html = 'Lead &#8211; caf&eacute;<h1>T</h1><p>One two <a href="x">three</a> four<sup class="reference">[1<sup>a</sup>]</sup></p><ul><li>Five</ul>'
+    html += "<script>'<h2>no</h2>'</script><H3 id=x>Small &#91;one&#93;</H3><h2></h2>Fish &amp chips"
+    pages = spark.createDataFrame([(1, "https://x/wiki/Some_Page", html), (2, "u", "no heading"), (3, "u", None)], "page_id long, url string, html string")
+    secs = sections_from_pages(pages).where("page_id = 1").orderBy("pos").collect()
+    assert [(r.level, r.number, r.line, r.text) for r in secs] == [
+        (1, None, "", "Lead – café"), (1, "1", "T", "One two three four Five"), (3, "2", "Small [one]", ""), (2, "3", "", "Fish & chips"),
+    ]
+    arts = {r.page_id: r.article for r in assemble_articles(sections_from_pages(pages), ["page_id"], "title").collect()}
+    assert set(arts) == {1, 2}
+    assert arts[1].startswith("WIKIPEDIA ARTICLE: Some_Page\n")
+    assert "### Small [one]\n\n[No content available]\n\n" + "-" * 60 in arts[1]
+
+
+def test_registered_page_articles_lose_no_word(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions.html import clean_html_exact
+    from quire.functions.text import words
+    from quire.operators.articles import sections_from_pages
+    from quire.sources import tables
+
+    p = tables.pages(spark, "/root/testdata/sf0.001", "page_id", "url", "html")
+    whole = p.select("page_id", F.size(words(clean_html_exact("html"))).alias("n"))
+    secs = sections_from_pages(p).groupBy("page_id").agg(F.sum(F.size(words("line")) + F.size(words("text"))).alias("m"))
+    assert whole.join(secs, "page_id", "left").where("n <> coalesce(m, 0)").count() == 0
+
+
+def test_sections_without_level_or_line_keep_their_text(spark):
+    from quire.operators.articles import assemble_articles
+
+    rows = [(1, "t", 0, None, "1", None, "kept"), (1, "t", 1, 2, None, "Head", None)]
+    df = spark.createDataFrame(rows, "k int, title string, pos int, level int, number string, line string, text string")
+    r = assemble_articles(df, ["k"], "title").first()
+    assert r.n_sections == 2 and "kept" in r.article and "## Head" in r.article
