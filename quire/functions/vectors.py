@@ -33,17 +33,12 @@ def search_score(cos: Column | str) -> Column:
     return (F.lit(1.0) + _c(cos)) / F.lit(2.0)
 
 
-def l2_normalize(a: Column | str) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(_c(a), lambda x: (x.cast("double") / n).cast("float")))
-
-
 def contract_violation(a: Column | str, dim: int) -> Column:
     """SNK9: reason a vector breaks the index contract, NULL when it is valid."""
     c = _c(a)
     return (
         F.when(c.isNull(), F.lit("null"))
         .when(F.size(c) != dim, F.lit("wrong_size"))
-        .when(F.exists(c, lambda x: x.isNull() | F.isnan(x)), F.lit("bad_value"))
+        .when(F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit("bad_value"))
         .when(norm(c) == 0, F.lit("zero_norm"))
     )

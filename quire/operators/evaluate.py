@@ -77,19 +77,6 @@ def score_items(items: DataFrame, bert_weight: float = 0.6, cosine_weight: float
     return out.withColumn("combined", combined("f1", "cosine", bert_weight, cosine_weight))
 
 
-def wide_from_scores(scored: DataFrame) -> DataFrame:
-    """AG5 when each item's scores are already one row: name the columns, NaN -> NULL."""
-    names = {"precision": "bert_precision", "recall": "bert_recall", "f1": "bert_f1", "cosine": "cosine_similarity", "combined": "combined_score"}
-    return scored.select(
-        "item_id",
-        "team",
-        "summary_type",
-        *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(n) for c, n in names.items()],
-        F.coalesce("summary_length", F.lit(0)).cast("bigint").alias("summary_length"),
-        F.coalesce("article_length", F.lit(0)).cast("bigint").alias("article_length"),
-    )
-
-
 def long_scores(scored: DataFrame) -> DataFrame:
     """UN6: wide scores -> ``(item_id, ordinal, name, value)`` rows (the evaluator's shape)."""
     # the order in which the metrics emit their results
@@ -110,13 +97,20 @@ def long_scores(scored: DataFrame) -> DataFrame:
 
 
 def wide_results(items: DataFrame, scores_long: DataFrame) -> DataFrame:
-    """AG5 + JN7 + SO2 + PR7 + SC18: one row per item, last value per name wins."""
+    """AG5 + JN7 + SO2 + PR7 + SC18: one row per item, last value per name wins.
+
+    ``items`` carries the item labels and lengths (a scored table will do).  An item
+    without scores keeps its row with NULL scores; without a team or summary
+    type it is labelled by its id (``team_<id>``, ``type_<id>``), which needs no global numbering.
+    """
     wide = (
         scores_long.groupBy("item_id")
         .pivot("name", SCORE_NAMES)
         .agg(F.max_by("value", "ordinal"))
     )
     light = items.select("item_id", "team", "summary_type", "summary_length", "article_length")
+    label = lambda c, prefix: F.coalesce(c, F.concat(F.lit(prefix), "item_id")).alias(c)
+    light = light.select("item_id", label("team", "team_"), label("summary_type", "type_"), "summary_length", "article_length")
     out = light.join(wide, "item_id", "left")
     return out.select(
         "item_id",

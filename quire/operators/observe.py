@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPAN_COLUMNS = ["trace_id", "span_id", "parent_id", "name", "start", "end", "status", "error"]
 
 
 def call_spans(
@@ -67,12 +66,8 @@ def traced_spans(
 
 
 def experiment_row(spark: SparkSession, name: str, config: dict) -> DataFrame:
-    """OB2: one-row experiment record; ``config`` is kept as JSON text and parsed struct."""
+    """OB2: one-row experiment record; ``config`` is kept as JSON text."""
     text = json.dumps(config, sort_keys=True)
     df = spark.createDataFrame([(name, text)], "name string, config_json string")
     return df.select("name", F.current_timestamp().alias("started"), "config_json")
 
-
-def long_scores_for_experiment(scores: DataFrame, experiment: str) -> DataFrame:
-    """SNK8: score rows tagged with the experiment name, ready to append."""
-    return scores.withColumn("experiment", F.lit(experiment))

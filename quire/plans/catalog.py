@@ -35,6 +35,7 @@ from quire.operators.knn import exact_topk
 from quire.operators.metrics import greedy_match
 from quire.operators.models import HashingEmbedder, SpreadChat
 from quire.operators.vectors import VECTOR_KEYS, missing_vectors as missing_vector_rows
+from quire.session import cut_lineage
 from quire.sources import tables
 
 # Fixed parameters of the registered queries.
@@ -105,7 +106,9 @@ def scored_items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
     _, scored = scored_items(spark, sf)
-    return evaluate.wide_from_scores(scored)
+    # scores and labels only, written once: the long rows and the labels are both read from it
+    scored = cut_lineage(scored)
+    return evaluate.wide_results(scored, evaluate.long_scores(scored))
 
 
 def rag_answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,6 +290,14 @@ def q_eval_wide(spark, sf):
     )
 
 
+def q_eval_missing(spark, sf):
+    """JN7 + AG5 + PR7: the wide table when ``recent`` items have no scores and ``achievements`` items no team."""
+    scored = cut_lineage(scored_items(spark, sf)[1])
+    items = scored.withColumn("team", F.when(F.col("summary_type") != "achievements", F.col("team")))
+    w = evaluate.wide_results(items, evaluate.long_scores(scored.where("summary_type <> 'recent'")))
+    return w.select("item_id", "team", "summary_type", _r("bert_f1").alias("bert_f1"), _r("combined_score").alias("combined_score"), "summary_length")
+
+
 def q_eval_report(spark, sf):
     r = evaluate.type_report(wide(spark, sf))
     return r.select("summary_type", _r("bert_f1").alias("bert_f1"), _r("cosine_similarity").alias("cosine_similarity"), _r("combined_score").alias("combined_score"), "line")
@@ -368,6 +379,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "combined_score": q_combined_score,
     "score_rows": q_score_rows,
     "eval_wide": q_eval_wide,
+    "eval_missing": q_eval_missing,
     "eval_report": q_eval_report,
     "eval_best_worst": q_eval_best_worst,
     "judge_scores": q_judge_scores,

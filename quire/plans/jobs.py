@@ -62,7 +62,8 @@ def qa_set(questions: DataFrame, vectors: DataFrame, embedder, model, k: int = 3
 
 def summary_evaluation(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """JOB5: items -> metric columns -> wide table, per-type report, best/worst."""
-    wide = cut_lineage(evaluate.wide_from_scores(evaluate.score_items(evaluate.eval_items(docs))))
+    scored = cut_lineage(evaluate.score_items(evaluate.eval_items(docs)))
+    wide = cut_lineage(evaluate.wide_results(scored, evaluate.long_scores(scored)))
     return wide, evaluate.type_report(wide), evaluate.best_worst(wide)
 
 

@@ -395,6 +395,12 @@ EVAL_WIDE = _with(
        round(bert_f1, 6) AS bert_f1, round(cosine_similarity, 6) AS cosine_similarity,
        round(combined_score, 6) AS combined_score, summary_length, article_length FROM wide""",
 )
+EVAL_MISSING = _with(
+    _items(),
+    """SELECT item_id, CASE WHEN summary_type = 'achievements' THEN 'team_' || item_id ELSE team END AS team, summary_type,
+       CASE WHEN summary_type <> 'recent' THEN round(bert_f1, 6) END AS bert_f1,
+       CASE WHEN summary_type <> 'recent' THEN round(combined_score, 6) END AS combined_score, summary_length FROM wide""",
+)
 EVAL_REPORT = _with(
     _items(),
     """SELECT summary_type, round(avg(bert_f1), 6) AS bert_f1, round(avg(cosine_similarity), 6) AS cosine_similarity,
@@ -471,6 +477,7 @@ ORACLES: dict[str, str] = {
     "combined_score": COMBINED_SCORE,
     "score_rows": SCORE_ROWS,
     "eval_wide": EVAL_WIDE,
+    "eval_missing": EVAL_MISSING,
     "eval_report": EVAL_REPORT,
     "eval_best_worst": EVAL_BEST_WORST,
     "judge_scores": JUDGE_SCORES,

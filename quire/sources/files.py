@@ -30,17 +30,19 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached_articles(spark: SparkSession, directory: str) -> DataFrame:
-    """SRC2: every file in ``directory`` read whole: ``(filename, content)``."""
+    """SRC2: every file in ``directory`` read whole: ``(filename, content)``; names as they are on disk."""
     df = spark.read.text(directory, wholetext=True)
-    return df.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("filename"), F.col("value").alias("content"))
-
-
-def section_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """SRC3: saved section-list responses, one JSON document per line with the article key."""
-    return spark.read.text(path).select(F.col("value").alias("response"))
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    # the path is percent-encoded; a plus sign in it is a plus sign
+    return df.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("filename"), F.col("value").alias("content"))
 
 
 def qa_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """SRC7: a JSON array file of ``{input, expected_output}`` -> one row per pair."""
+    """SRC7: ``{input, expected_output}`` pairs from JSON array files or JSON Lines (SNK5's own output).
+
+    A question list is small: a file is read whole, and split into lines unless it holds an array.
+    """
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json(F.col("value"), T.ArrayType(QA_SCHEMA))).alias("q")).select("q.*")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    listed = F.when(F.col("value").rlike(r"\A\s*\["), F.from_json("value", T.ArrayType(QA_SCHEMA))).otherwise(F.transform(lines, lambda x: F.from_json(x, QA_SCHEMA)))
+    return text.select(F.explode(listed).alias("q")).select("q.*")

@@ -7,12 +7,21 @@ switch to the new path once the write has committed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import iso_timestamp, stamp_name
 
 
+def path_exists(spark, path: str) -> bool:
+    """Whether a file or folder is there, by the path's own file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_articles(df: DataFrame, path: str, export_text_dir: str | None = None) -> None:
     """SNK1: assembled articles as Parquet; optional one-text-per-team export."""
     df.write.mode("overwrite").parquet(path)
@@ -45,14 +54,19 @@ def append_eval_set(df: DataFrame, path: str, prefix: str, run_ts: Column | None
 
 
 def append_new_rows(spark, df: DataFrame, path: str, key_cols: list[str]) -> DataFrame:
-    """SNK7: get-or-create a named set; rows already present (same key) are not appended again."""
+    """SNK7: get-or-create a named set; rows already present (same key) are not appended again.
+
+    NULL keys are keys like any other, and of rows of one batch with the same
+    key one is appended.  Only a missing folder means "no set yet": any other
+    error in reading it is raised.
+    """
     from quire.session import cut_lineage
 
-    try:
-        existing = spark.read.parquet(path).select(*key_cols)
-        fresh = df.join(existing, key_cols, "left_anti")
-    except Exception:  # noqa: BLE001 - first run: no table yet
-        fresh = df
+    fresh = df.dropDuplicates(key_cols)
+    if path_exists(spark, path):
+        existing = spark.read.parquet(path).select(*[F.col(c).alias(f"_{c}") for c in key_cols]).distinct()
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key_cols])
+        fresh = fresh.join(existing, same, "left_anti")
     # materialise before writing: the anti-join must not be re-evaluated
     # against the table it is appending to
     fresh = cut_lineage(fresh)
@@ -60,6 +74,16 @@ def append_new_rows(spark, df: DataFrame, path: str, key_cols: list[str]) -> Dat
     return fresh
 
 
+def append_experiment(experiment: DataFrame, scores: DataFrame, path: str) -> None:
+    """SNK8: one experiment row and its score rows, appended under ``path``.
+
+    ``experiment`` is one row (``observe.experiment_row``); every score row carries its name.
+    """
+    name = experiment.first()["name"]
+    experiment.write.mode("append").parquet(f"{path}/experiments")
+    scores.withColumn("experiment", F.lit(name)).write.mode("append").partitionBy("experiment").parquet(f"{path}/scores")
+
+
 def export_iso(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
     """SC14 at export time: ISO-8601 timestamps as text."""
     return df.withColumn(ts_col, iso_timestamp(ts_col))

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from quire.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,7 +12,7 @@ def plan(spark, name):
     return E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairwise_joins(spark, name):
     p = plan(spark, name)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name

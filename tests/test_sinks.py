@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators.evaluate import has_scores, preview
@@ -40,3 +41,57 @@ def test_gates_and_preview(spark):
     assert not has_scores(w) and not has_scores(w.filter(F.lit(False)))
     assert has_scores(spark.createDataFrame([("a", 0.5)], "item_id string, combined_score double"))
     assert preview(spark.range(10)).count() == 5
+
+
+def test_qa_pairs_round_trip_and_arrays(spark):
+    from quire.sources import files
+
+    d = tempfile.mkdtemp(prefix="quire-qa-")
+    rows = [(f"q{i}\nline", None if i == 3 else f"ä {i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "input string, expected_output string")
+    sinks.write_qa_json(df.repartition(3), os.path.join(d, "lines"))
+    assert sorted(map(tuple, files.qa_pairs(spark, os.path.join(d, "lines")).collect())) == sorted(rows)
+    with open(os.path.join(d, "array.json"), "w") as f:
+        f.write(' [\n {"input": "a",\n "expected_output": "b"}, {"input": "c", "expected_output": "d"}]\n')
+    assert [tuple(r) for r in files.qa_pairs(spark, os.path.join(d, "array.json")).collect()] == [("a", "b"), ("c", "d")]
+
+
+def test_get_or_create_keeps_null_keys_once(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="quire-set-"), "set")
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (1, "again")], "k long, v string")
+    assert sinks.append_new_rows(spark, df, path, ["k"]).count() == 2
+    assert sinks.append_new_rows(spark, df, path, ["k"]).count() == 0
+    assert spark.read.parquet(path).count() == 2
+    os.makedirs(path + "-broken")
+    with open(os.path.join(path + "-broken", "part-0.parquet"), "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):  # an unreadable set is no missing set
+        sinks.append_new_rows(spark, df, path + "-broken", ["k"])
+
+
+def test_experiment_rows_are_appended(spark):
+    from quire.operators.observe import experiment_row
+
+    path = tempfile.mkdtemp(prefix="quire-exp-")
+    scores = spark.createDataFrame([("i", 0, "F1", 0.5)], "item_id string, ordinal int, name string, value double")
+    for name in ("one", "two"):
+        sinks.append_experiment(experiment_row(spark, name, {"k": 3}), scores, path)
+    assert {r.name for r in spark.read.parquet(f"{path}/experiments").collect()} == {"one", "two"}
+    assert {r.experiment for r in spark.read.parquet(f"{path}/scores").collect()} == {"one", "two"}
+
+
+def test_file_names_with_spaces(spark):
+    from quire.sources import files
+
+    d = tempfile.mkdtemp(prefix="quire-names-")
+    for name in ("real madrid.md", "a+b 100%.md"):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("x")
+    assert {r.filename for r in files.cached_articles(spark, d).collect()} == {"real madrid.md", "a+b 100%.md"}
+
+
+def test_infinite_vectors_break_the_contract(spark):
+    from quire.functions.vectors import contract_violation
+
+    df = spark.createDataFrame([([1.0, float("inf")],), ([1.0, float("-inf")],), ([float("nan"), 1.0],), ([1.0, 2.0],)], "v array<double>")
+    assert [r[0] for r in df.select(contract_violation("v", 2)).collect()] == ["bad_value"] * 3 + [None]
