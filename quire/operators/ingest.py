@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import iso_timestamp
-from quire.operators.joins import assert_unique, broadcast_if_small
+from quire.operators.joins import assert_unique, broadcast_if_small, join_same
+from quire.session import cut_lineage
 
 DEFAULT_KEYS = ("team", "source_url")
 # Distinct batch keys are broadcast only below this many rows (about 10 MB of
@@ -63,15 +64,10 @@ def export_projection(df: DataFrame) -> DataFrame:
 
 
 def _versions(stored: DataFrame, batch: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    fields = [c for c in batch.columns if c != seq]
-    extra = [f for f in stored.schema.fields if f.name not in fields]  # stored-only, e.g. _id, summaries
-    s = stored.select(*fields, *[f.name for f in extra], F.lit(True).alias("_stored"), F.lit(None).cast("long").alias("_seq"))
-    b = batch.select(
-        *fields,
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra],
-        F.lit(False).alias("_stored"),
-        F.col(seq).cast("long").alias("_seq"),
-    )
+    """All versions as ``(keys, _stored, _seq, _ord, _digest)``: no text crosses a window."""
+    digest = F.sha2("content", 256).alias("_digest")
+    s = stored.select(*keys, F.lit(True).alias("_stored"), F.lit(None).cast("long").alias("_seq"), digest)
+    b = batch.select(*keys, F.lit(False).alias("_stored"), F.col(seq).cast("long").alias("_seq"), digest)
     # stored rows sort before every batch row of their key
     return s.unionByName(b).withColumn("_ord", F.coalesce(F.col("_seq"), F.lit(-(2**62))))
 
@@ -81,38 +77,46 @@ def mark_versions(
     batch: DataFrame,
     keys: Sequence[str] = DEFAULT_KEYS,
     seq: str = "seq",
-    block_size: int = 1 << 20,
+    block_size: int = 100_000,
     batch_keys: DataFrame | None = None,
 ) -> DataFrame:
     """WN1: every version of an affected key with ``_applied`` and ``action``.
 
     ``action`` is ``inserted``/``updated``/``unchanged`` for batch rows and NULL
-    for the stored row.  ``seq`` must be unique within a key.
+    for the stored row.  ``seq`` must be unique within a key.  Contents are
+    compared by digest; NULL is a key like any other.  A key's versions are cut into blocks of about
+    ``block_size`` by their place between its least and greatest ``seq``, so a
+    hot key is spread over window partitions.
     """
     keys = list(keys)
     if batch_keys is None:
         batch_keys = broadcast_if_small(batch.select(*keys).distinct(), BATCH_KEYS_BROADCAST_ROWS)
-    affected = stored.join(batch_keys, keys, "left_semi")
-    v = _versions(affected, batch, keys, seq).withColumn(
-        "_blk", F.floor(F.col("_ord") / F.lit(block_size)).cast("long")
-    )
+    affected = join_same(stored, batch_keys, keys, "left_semi")
+    v = _versions(affected, batch, keys, seq)
+    span = batch.groupBy(*keys).agg(F.min(seq).alias("_low"), F.max(seq).alias("_high"), F.ceil(F.count(F.lit(1)) / F.lit(block_size)).alias("_blocks"))
+    span = span.filter("_blocks > 1")  # few keys: those with more than one block
+    place = (F.col("_seq") - F.col("_low")).cast("double") / (F.col("_high") - F.col("_low") + 1).cast("double")
+    v = join_same(v, span, keys, "left").withColumn(
+        "_blk", F.when(F.col("_stored"), F.lit(-1)).otherwise(F.coalesce(F.floor(place * F.col("_blocks")), F.lit(0))).cast("long")
+    ).drop("_low", "_high", "_blocks")
     w = Window.partitionBy(*keys, "_blk").orderBy("_ord")
-    v = v.withColumn("_rn", F.row_number().over(w)).withColumn("_prev", F.lag("content").over(w))
-    # last content of every (key, block); the previous existing block is found by a window over blocks
-    last = v.groupBy(*keys, "_blk").agg(F.max_by("content", "_ord").alias("_last"))
+    v = v.withColumn("_rn", F.row_number().over(w)).withColumn("_prev", F.lag("_digest").over(w))
+    # last digest of every (key, block); the previous existing block is found by a window over blocks
+    last = v.groupBy(*keys, "_blk").agg(F.max_by("_digest", "_ord").alias("_last"))
     wb = Window.partitionBy(*keys).orderBy("_blk")
     last = last.select(*keys, "_blk", F.lag("_last").over(wb).alias("_carry"), F.lag("_blk").over(wb).alias("_pblk"))
-    v = v.join(last, keys + ["_blk"], "left")
+    v = join_same(v, last, [*keys, "_blk"], "left")
     has_prev = (F.col("_rn") > 1) | F.col("_pblk").isNotNull()
     prev = F.when(F.col("_rn") > 1, F.col("_prev")).otherwise(F.col("_carry"))
-    applied = F.col("_stored") | ~has_prev | ~(F.col("content").eqNullSafe(prev))
+    same = F.col("_digest").eqNullSafe(prev)
     action = (
         F.when(F.col("_stored"), F.lit(None).cast("string"))
         .when(~has_prev, F.lit("inserted"))
-        .when(~(F.col("content").eqNullSafe(prev)), F.lit("updated"))
+        .when(~same, F.lit("updated"))
         .otherwise(F.lit("unchanged"))
     )
-    return v.withColumn("_applied", applied).withColumn("action", action).drop("_rn", "_prev", "_carry", "_pblk")
+    applied = F.col("_stored") | ~has_prev | ~same
+    return v.withColumn("_applied", applied).withColumn("action", action).drop("_rn", "_prev", "_carry", "_pblk", "_digest")
 
 
 def upsert(
@@ -120,7 +124,7 @@ def upsert(
     batch: DataFrame,
     keys: Sequence[str] = DEFAULT_KEYS,
     seq: str = "seq",
-    block_size: int = 1 << 20,
+    block_size: int = 100_000,
     refresh_on_change: bool = False,
     derived: Sequence[str] = ("summaries",),
     check_unique: bool = False,
@@ -129,7 +133,9 @@ def upsert(
 
     Returns ``(snapshot, actions)``; the snapshot has the stored schema.  Keys
     not in the batch pass through untouched.  Write the snapshot to a new
-    location (or MERGE where the table format supports it).
+    location (or MERGE where the table format supports it).  The marked
+    versions (keys, numbers and actions, no texts) are checkpointed once for
+    both results; whole rows are joined for the winning versions only.
 
     S6: like the reference, stored-only fields survive a content change, so
     derived data (summaries, and vectors keyed on them) goes stale.  With
@@ -141,25 +147,15 @@ def upsert(
     if check_unique:
         # TK6: the stored table must hold one row per key for "find one" semantics
         assert_unique(stored, keys)
-    # distinct batch keys: size-checked once, shared by the semi and anti joins
-    batch_keys = broadcast_if_small(batch.select(*keys).distinct(), BATCH_KEYS_BROADCAST_ROWS)
-    marked = mark_versions(stored, batch, keys, seq, block_size, batch_keys)
-    batch_fields = [c for c in batch.columns if c != seq]
-    stored_only = [c for c in stored.columns if c not in batch_fields]
-    final = marked.filter("_applied").groupBy(*keys).agg(
-        F.max_by(F.struct(*[c for c in batch_fields if c not in keys]), "_ord").alias("_new"),
-        F.max_by(F.col("_stored"), "_ord").alias("_kept"),
-        *[F.max_by(F.col(c), F.when(F.col("_stored"), F.lit(1))).alias(c) for c in stored_only],
-    )
-    if refresh_on_change:
-        for c in derived:
-            if c in stored_only:
-                final = final.withColumn(c, F.when(F.col("_kept"), F.col(c)))
-    changed = final.select(
-        *keys, *[F.col("_new")[c].alias(c) for c in batch_fields if c not in keys], *stored_only
-    ).select(*stored.columns)
-    untouched = stored.join(batch_keys, keys, "left_anti")
-    snapshot = untouched.unionByName(changed)
+    marked = cut_lineage(mark_versions(stored, batch, keys, seq, block_size))
+    fields = [c for c in batch.columns if c != seq and c not in keys]
+    stored_only = [c for c in stored.columns if c not in fields and c not in keys]
+    # the last applied version of each key; NULL number: the stored row stays as it is
+    final = marked.filter("_applied").groupBy(*keys).agg(F.max_by("_seq", "_ord").alias(seq)).filter(F.col(seq).isNotNull())
+    kept = join_same(stored, final.select(*keys), keys, "left_anti")
+    changed = join_same(batch.withColumn(seq, F.col(seq).cast("long")), final, [*keys, seq])
+    old = stored.select(*keys, *[F.lit(None).cast(stored.schema[c].dataType).alias(c) if refresh_on_change and c in derived else F.col(c) for c in stored_only])
+    snapshot = kept.unionByName(join_same(changed, old, keys, "left").select(*stored.columns))
     actions = marked.filter(F.col("action").isNotNull()).select(*keys, F.col("_seq").alias(seq), "action")
     return snapshot, actions
 

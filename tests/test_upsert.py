@@ -40,6 +40,8 @@ CASES = {
     "fresh A,A keeps first": ([], [("t", "u", "A", 1, 1), ("t", "u", "A", 2, 2)]),
     "A,B,A": ([], [("t", "u", "A", 1, 1), ("t", "u", "B", 2, 2), ("t", "u", "A", 3, 3)]),
     "new timestamp only": ([("t", "u", "A", 0, "id1", None)], [("t", "u", "A", 9, 5)]),
+    "null keys are keys": ([(None, "u", "A", 0, "id1", None)], [(None, "u", "A", 1, 1), (None, "u", "B", 2, 2), ("t", None, "C", 3, 3), ("t", None, "C", 4, 4)]),
+    "null content": ([("t", "u", None, 0, "id1", None)], [("t", "u", None, 1, 1), ("t", "u", "B", 2, 2), ("t", "u", None, 3, 3)]),
     "untouched key": ([("x", "y", "Q", 0, "id9", {"a": "b"})], [("t", "u", "A", 1, 1)]),
 }
 
@@ -70,6 +72,16 @@ def test_hot_key_matches_loop_for_any_block(spark):
         assert got[("hot", "u")]["summaries"] == {"default": "keep"}
 
 
+def test_hot_key_is_spread_over_window_partitions(spark):
+    from quire.operators.ingest import mark_versions
+
+    b = spark.createDataFrame([("hot" if i % 2 else f"k{i}", "u", str(i), i, i) for i in range(400)], BATCH)
+    s = spark.createDataFrame([], STORED)
+    v = mark_versions(s, b, ["team", "source_url"], "seq", block_size=25)
+    sizes = [r["count"] for r in v.where("team = 'hot'").groupBy("_blk").count().collect()]
+    assert sum(sizes) == 200 and len(sizes) == 8 and max(sizes) <= 26
+
+
 def test_idempotent(spark):
     stored = [("t", "u", "A", 0, "id1", None)]
     batch = [("t", "u", "B", 1, 1)]
