@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet
 and read again as the next stage's ``docs``.  All but the last return the
-columns of ``docs`` as they came (extra columns too).
+columns of ``docs`` as they came: extra columns, whatever their names, travel
+in one struct while an operator adds its own.
 """
 
 from __future__ import annotations
@@ -21,18 +22,26 @@ from quire.session import ensure_checkpoint_dir
 LEAST_LANGUAGE = 0.1
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """``__row``, the whole row, beside its ``text``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter (or text), and those of no recognised language."""
-    keep = tuple(c for c in docs.columns if c != "text")
-    judged = langid.predict(docs.withColumn("__copy", F.col("text")), langid.train(docs), keep=(*keep, "__copy"))
+    judged = langid.predict(_rows(docs), langid.train(docs), keep=("__row",))
     kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE))
-    return kept.withColumn("text", F.col("__copy")).select(*docs.columns)
+    return kept.select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id in each group of texts linked at 0.8 on five-word shingles."""
+    """Keep the document of the smallest id in each group of texts linked at 0.8 on five-word shingles.
+
+    Rows that repeat an id and its text are one document; rows without an id stay.
+    """
     groups = jaccard.jaccard_components(docs, n=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +52,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the kind in brackets in place of each personal-data span; ``n_chars`` follows the text."""
-    found = pii.detect(docs).withColumn("text", pii.masked(F.col("text"), "spans"))
+    found = pii.detect(_rows(docs)).withColumn("__new", pii.masked(F.col("text"), "spans"))
+    new = {"text": F.col("__new")}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("__new").cast("long")).otherwise(F.col("__row.n_chars"))
+    return found.select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ def small(spark):
     words[len(words) // 2] = "edited"
     rows += [(1, None, "en", "s", 0, "x"), (2, "... 123", "en", "s", 7, "x"), (5000, " ".join(words), "en", "s", 9, "x"), (5001, body[0].text, "en", "s", 9, "x"), (5002, "This is the " + item, "en", "s", 9, "x")]
     rows += [(5003, "The that was a note of anon: jo.do@mail.example.org and the 10.0.0.1 there", "en", "s", 74, "x"), (None, "the of and to in the that was", "en", "s", 9, "x")]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    rows = [(*r, 0.5, [1], "zz", 3) for r in rows]
+    return spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string, source string, n_chars long, component_id string, score double, spans array<int>, lang_pred string, number long")
 
 
 def test_stages_in_order(spark, small):
@@ -37,6 +38,8 @@ def test_stages_in_order(spark, small):
     assert {5000, 5001} & seen["near_duplicates"] == set() and 1000 in seen["near_duplicates"] and None in seen["near_duplicates"]
     assert 5002 not in seen["decontamination"] and 5003 in seen["decontamination"]
     row = docs.where("doc_id = 5003").first()
+    assert (row.score, row.spans, row.lang_pred, row.number, row.component_id) == (0.5, [1], "zz", 3, "x")
+    assert docs.where("doc_id = 1000").count() == 1
     assert row.text == "The that was a note of anon: [email] and the [ip] there" and row.n_chars == len(row.text)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == seen["personal_data"]
