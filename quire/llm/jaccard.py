@@ -16,7 +16,7 @@ A document's tokens are its distinct n-word shingles (64-bit hashes).
    least ``LEVEL`` of their leading ``n - ceil(t * n) + LEVEL`` tokens.
    Joining a query's leading tokens with the matrix bounds its overlap with
    every group at once; only groups that reach ``LEVEL`` and hold a fitting
-   set size are opened.  Of two groups, the one of the greater number asks.
+   set size are opened.  Of two groups, the one with fewer members asks.
 5. Opened groups meet their queries in blocks of about ``BLOCK`` sets each,
    with whole sets and exact integer arithmetic.  A task returns a spanning
    forest of its links and each set's exact number of links in it, never all pairs.
@@ -199,15 +199,19 @@ def _forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """``(a, b, links)``: spanning edges between classes ``(node, number, key, n_shingles, leading)``, and links found for ``a``."""
     grouped = classes.select("node", "number", F.col("n_shingles").cast("int").alias("size"), F.col("key").alias("g"), "leading")
+    members = grouped.groupBy("g").agg(F.count("*").cast("int").alias("members"))
     # one exchange by token serves the matrix and the queries
-    cells = grouped.select("number", "size", "g", F.explode("leading").alias("token")).repartition("token")
-    matrix = cells.groupBy("token", "g").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("holders"))
-    query = cells.select("token", F.col("number").alias("q"), "size", F.col("g").alias("own"))
-    # the bound: leading tokens that a query shares with a group's union, over members of fitting size;
+    cells = grouped.join(members, "g").select("number", "size", "g", "members", F.explode("leading").alias("token")).repartition("token")
+    matrix = cells.groupBy("token", "g").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("holders"), F.first("members").alias("members"))
+    query = cells.select("token", F.col("number").alias("q"), "size", F.col("g").alias("own"), F.col("members").alias("peers"))
+    # of two groups the one with fewer members asks, so a large group is asked by few and asks none;
     # in its own group, a token counts for a query only if another member holds it
+    asks = (F.col("peers") < F.col("members")) | ((F.col("peers") == F.col("members")) & (F.col("own") < F.col("g")))
+    inner = (F.col("g") == F.col("own")) & (F.col("holders") > 1)
+    # the bound: leading tokens that a query shares with a group's union, over members of fitting size
     bound = (
         query.join(matrix, "token")
-        .where(((F.col("g") < F.col("own")) | ((F.col("g") == F.col("own")) & (F.col("holders") > 1))) & (100 * F.col("high") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("low")))
+        .where((asks | inner) & (100 * F.col("high") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("low")))
         .groupBy("q", "g").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
         .where(F.col("shared") >= F.least(F.lit(LEVEL), F.ceil(F.col("size") * percent / 100)))
         .select("q", "g")
@@ -216,14 +220,13 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> D
     opened = cut_lineage(bound.join(asking, "q").select("node", "g", (F.col("g") == F.col("own")).alias("own")))
     # members and queries of an opened group meet in blocks of bounded size
     placed = grouped.select("node", "g")
-    members = placed.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    cut = opened.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).join(members, "g")
+    cut = opened.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).join(members.select("g", F.ceil(F.col("members") / BLOCK).alias("blocks")), "g")
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     one_of = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
     asked = opened.join(cut, "g").select("node", "g", all_of("blocks").alias("block"), one_of("parts", 1).alias("part"), F.lit(False).alias("member"), "own")
     inside = placed.join(cut, "g").select("node", "g", one_of("blocks", 2).alias("block"), all_of("parts").alias("part"), F.lit(True).alias("member"), F.lit(False).alias("own"))
     roles = asked.unionByName(inside)
-    sets = whole_sets(docs, n, bloom(roles, "node"))
+    sets = whole_sets(docs, n, bloom(roles.select("node").distinct(), "node"))
     both = roles.join(sets, "node").select("node", "g", "block", "part", "member", "own", "tokens")
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
