@@ -73,17 +73,23 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
     """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = np.zeros(SLOTS, np.int64), [], 0
+        counts, held, size = np.zeros(SLOTS, np.uint32), [], 0
+
+        def add(sets: list[np.ndarray]) -> None:
+            slots = np.sort(_slot(np.concatenate(sets)))
+            first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+            counts[slots[first]] += np.diff(np.append(first, len(slots))).astype(np.uint32)
+
         for part in parts:
             for _, _, words in batches(part.column(0)):
                 for s in shingle_sets(words, n):
                     held.append(s)
                     size += len(s)
-                if size > SLOTS // 4:
-                    counts += np.bincount(_slot(np.concatenate(held)), minlength=SLOTS)
+                if size > SLOTS // 8:
+                    add(held)
                     held, size = [], 0
         if size:
-            counts += np.bincount(_slot(np.concatenate(held)), minlength=SLOTS)
+            add(held)
         if counts.any():
             blobs = [_squeeze(x) for x in np.split(counts, CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([TaskContext.get().partitionId() % 256] * CHUNKS, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "counts"])

@@ -131,7 +131,7 @@ class LanguageModel:
         return lang, score
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id", sample: int = 1500) -> LanguageModel | None:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id", sample: int = 600) -> LanguageModel | None:
     """Fit on about ``sample`` rows of each language; None if no row has text and language.
 
     A row is in the sample if a hash of its key (and text length, so that
@@ -156,8 +156,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
     if not len(got):
         return None
     got = got.iloc[np.lexsort((got.x.to_numpy(), got.lang.to_numpy()))]
-    x = np.stack([np.frombuffer(v, np.float16) for v in got.x]).astype(np.float32)
-    return LanguageModel(x, got.lang.to_numpy(object))
+    x = np.empty((len(got), SIZE), np.float32)
+    for k, v in enumerate(got.x):
+        x[k] = np.frombuffer(v, np.float16)
+    langs = got.lang.to_numpy(object)
+    del got
+    return LanguageModel(x, langs)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

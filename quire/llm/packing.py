@@ -42,9 +42,9 @@ GROUP = 6000
 #: bins that local search tries to empty before it gives up
 GIVERS = 4
 #: remembered pre-token pieces in a Python worker
-CACHE = 600_000
+CACHE = 200_000
 #: bytes of text tokenized at a time
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 # Classes of the byte-level vocabulary's pre-token pieces (fixed values of the tokenizer):
 # white space, letters, digits, and all else.
