@@ -31,6 +31,8 @@ from quire.session import cut_lineage
 #: labelled URLs that the trees are fitted on, about
 SAMPLE = 20_000
 TREES, DEPTH = 20, 4
+#: partitions of that sample
+PARTS = 8
 FEATURES = ("length", "depth", "digits", "entropy", "parameters", "hyphens", "labels", "host_length", "path_length", "secure", "numbered", "suffix_rate", "segment_rate")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,7 +105,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "u
         rows = _rates(_rates(rows, "__suffix", labelled), "__segment", labelled)
         rows = VectorAssembler(inputCols=list(FEATURES), outputCol="__x").transform(rows)
         share = min(1.0, SAMPLE / sum(counts.values()))
-        sample = cut_lineage(rows.where(F.col("label").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < share * (1 << 30))).select("__x", "label"))
+        # a bounded sample: a few partitions serve the learner's many short jobs
+        drawn = rows.where(F.col("label").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < share * (1 << 30))).select("__x", "label")
+        sample = cut_lineage(drawn.repartition(PARTS))
         if sample.select("label").distinct().count() < 2:
             rows = rows.withColumn("score", F.lit(float(max(counts, key=lambda k: counts[k]))))
         else:
