@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Texts become word hashes (letters and digits only, lower case).  Every
    ``SEED``-word n-gram of a test item is a seed; a Bloom filter of fixed size
    holds them, so one pass over the documents finds all places where a seed
    may stand, whatever the number of items.
-2. Seeds are counted over the whole corpus (documents that hold them).  An
-   item keeps the rarer half of its seeds, ties included, so every item keeps
-   some, however often its passage was copied; a common phrase does not pair
-   an item with half the corpus.
+2. Every seed of an item counts, however many documents hold it: whether a
+   copy is found does not depend on what else the corpus holds.
 3. Seed hits join documents to items.  Words of a document with hits travel
-   as packed hashes, items by their number; no text is shuffled.
+   as packed hashes, items by their number; no text is shuffled.  A pair is
+   left before alignment if too few of the item's words stand near its hits
+   for any alignment to reach the score.
 4. Each (document, item) pair is aligned word by word (match +2, mismatch or
    gap -1), whole item against the stretches of the document around the hits.
    The score is the best local alignment over that of an exact copy.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.sketch import bloom, contains
@@ -133,12 +133,8 @@ def contaminated(
     seeds = listed.select("item_id", F.explode("seeds").alias("seed"))
     found = cut_lineage(seed_hits(docs, bloom(seeds, "seed"), id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     spread = found.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("row", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
-    # what the filter lets through by chance goes here; counts are of documents
-    true = spread.join(seeds.select("seed").distinct(), "seed", "left_semi")
-    often = true.groupBy("seed").agg(F.count_distinct("row").alias("rows"))
-    ranked = seeds.join(often, "seed").withColumn("share", F.percent_rank().over(Window.partitionBy("item_id").orderBy("rows")))
-    rare = ranked.where("share <= 0.5").select("item_id", "seed")
-    pairs = true.join(rare, "seed").groupBy("row", "item_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    # what the filter lets through by chance goes here
+    pairs = spread.join(seeds, "seed").groupBy("row", "item_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
     ready = pairs.join(found.select("row", "doc_id", "doc_words"), "row").join(listed.select("item_id", "item_words"), "item_id").select("doc_id", "item_id", "places", "doc_words", "item_words")
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,6 +144,8 @@ def contaminated(
                 item, doc = np.frombuffer(r.item_words, np.uint64), np.frombuffer(r.doc_words, np.uint64)
                 top = (0, 0, 0)
                 for a, b in stretches(np.asarray(r.places), 2 * len(item), len(doc)):
+                    if np.isin(item, doc[a:b]).mean() < least:  # a word that stands nowhere here cannot match
+                        continue
                     s, i, j = align(item, doc[a:b])
                     if s > top[0]:
                         top = (s, a + i, a + j)

@@ -44,3 +44,14 @@ def test_copies_edits_and_clean_documents(spark):
     place = next(r for r in got if r.doc_id == 100)
     assert (place.first_word, place.last_word) == (50, 80)
     assert contaminated(d.limit(0), b).count() == 0 and contaminated(d, b.limit(0)).count() == 0
+
+
+def test_edited_copy_beside_exact_copies(spark):
+    """What else the corpus holds does not decide whether an edited copy is found."""
+    words = _words(random.Random(5), 30)
+    edited = " ".join("swapped" if i in (6, 13, 20, 27) else w for i, w in enumerate(words))
+    b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    for exact in (0, 1, 2, 50):
+        d = spark.createDataFrame([(0, edited)] + [(1 + k, " ".join(words)) for k in range(exact)], "doc_id long, text string")
+        got = {r.doc_id: r.score for r in contaminated(d, b).collect()}
+        assert set(got) == set(range(exact + 1)) and got[0] == 0.8
