@@ -28,8 +28,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter (or text), and those of no recognised language."""
-    judged = langid.predict(_rows(docs), langid.train(docs), keep=("__row",))
+    """Drop documents without a letter (or text), and those of no recognised language.
+
+    The languages are those of ``docs.lang``; a text that costs more under the nearest of them
+    than under none (see ``langid``) is of no recognised language.
+    """
+    judged = langid.predict(_rows(docs), langid.train(docs), keep=("__row",), reject=True)
     kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE))
     return kept.select("__row.*")
 

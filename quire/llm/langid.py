@@ -11,6 +11,13 @@ A text is first given a language family, then a language of that family:
   vector machine (squared hinge loss, ridge penalty) for each pair, trained
   on a bounded sample and scaled to a probability.
 
+A language can also be refused (``reject``).  The cost of a text under a
+language is the mean of ``-log p`` over its letter pairs and triples, ``p``
+being their shares in the language's sample.  Without any language a feature
+costs ``log SIZE``.  A text is of no recognised language if it costs more under
+its winner than that, or than the ``QUANTILE`` of the language's own labelled
+sample if this is more, by two standard errors (texts of few features err).
+
 The sample: about ``sample`` rows of each language, by a hash of the row's id;
 its size does not grow with the table.  Every text is judged whole.
 
@@ -34,6 +41,8 @@ from quire.llm.words import buffers, lowered, mix, pieces
 
 SIZE = 4096
 UNKNOWN = "und"
+#: this share of a language's labelled sample is never refused
+QUANTILE = 0.99
 _SLOT2 = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(SIZE)).astype(np.int32)
 _GAP = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
@@ -100,6 +109,14 @@ class LanguageModel:
     def __init__(self, x: np.ndarray, langs: np.ndarray):
         means = {k: x[langs == k].mean(axis=0) for k in sorted(set(langs.tolist()))}
         self.groups = _families(means)
+        self.cost, self.level, self.spread = {}, {}, {}
+        for k in means:
+            mine = np.square(x[langs == k])
+            rows = float(mine.sum())  # rows with a feature
+            p = (mine.sum(axis=0, dtype=np.float64) + 1 / SIZE) / (rows + 1)
+            self.cost[k] = -np.log(p).astype(np.float32)
+            self.spread[k] = float(np.sqrt(max(p @ np.log(p) ** 2 - (p @ np.log(p)) ** 2, 0)))
+            self.level[k] = max(math.log(SIZE), float(np.quantile(mine @ self.cost[k], QUANTILE)))
         of = {lang: i for i, g in enumerate(self.groups) for lang in g}
         family = np.array([of[k] for k in langs.tolist()], np.int64)
         pair = lambda a, b: _svm(np.concatenate([x[a], x[b]]), np.repeat(np.float32([1, -1]), [a.sum(), b.sum()]))
@@ -130,6 +147,15 @@ class LanguageModel:
                 score[rows] *= p
         return lang, score
 
+    def recognised(self, x: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Which texts their language explains; a text without a feature has nothing against it."""
+        out = np.ones(len(x), bool)
+        for k in self.cost:
+            rows = np.flatnonzero(lang == k)
+            error = self.spread[k] / np.sqrt(np.maximum((x[rows] > 0).sum(axis=1), 1))
+            out[rows] = np.square(x[rows]) @ self.cost[k] <= self.level[k] + 2 * error
+        return out
+
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id", sample: int = 600) -> LanguageModel | None:
     """Fit on about ``sample`` rows of each language; None if no row has text and language.
@@ -164,8 +190,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
     return LanguageModel(x, langs)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score`` for every row."""
+def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), reject: bool = False) -> DataFrame:
+    """``keep`` columns with ``lang_pred`` and ``score`` for every row; with ``reject``, unrecognised texts are ``und``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
     letters: Column = F.coalesce(F.col("__text").rlike(r"\p{L}"), F.lit(False))
@@ -179,6 +205,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
             if model is not None:
                 for a, b, x in features(texts):
                     lang[a:b], score[a:b] = model.predict(x)
+                    if reject:
+                        ok[a:b] &= model.recognised(x, lang[a:b])
             lang[~ok], score[~ok] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score)], names)
 

@@ -1,6 +1,7 @@
 """The pipeline's stages take effect, keep the columns, and take empty and odd documents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -48,3 +49,21 @@ def test_stages_in_order(spark, small):
 def test_stages_on_no_documents(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, small.limit(0), SF).count() == 0
+
+
+UNLEARNED = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+    "qwrt zxcv hjkl pqwz xkcd vvbn mzxq jjkw qqzx wvkj xzqp fghj kqzx vwxq zzkj",
+]
+
+
+@pytest.mark.parametrize("langs", [("en",), ("de", "en", "es", "fr")])
+def test_unlearned_languages_go_and_clean_documents_stay(spark, langs):
+    learned = queries.table(spark, SF, "documents").where(F.col("lang").isin(*langs) & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+    docs = learned.unionByName(spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(UNLEARNED)], "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).select("doc_id").collect()}
+    assert not {d for d in kept if d < 0}
+    clean = {r.doc_id for r in learned.select("doc_id").collect()}
+    assert len(clean - kept) <= 0.01 * len(clean)
