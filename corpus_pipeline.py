@@ -49,9 +49,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, whole or edited."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold a benchmark item, whole or edited.
+
+    A document is its id and text: rows without an id go like others, and a clean text stays
+    though another of the same id goes.
+    """
+    keyed = _rows(docs).withColumn("__key", F.xxhash64(F.col("__row.doc_id").isNull(), "__row.doc_id", "text"))
+    hits = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="__key").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(hits, "__key", "left_anti").select("__row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,12 @@ def test_unlearned_languages_go_and_clean_documents_stay(spark, langs):
     assert not {d for d in kept if d < 0}
     clean = {r.doc_id for r in learned.select("doc_id").collect()}
     assert len(clean - kept) <= 0.01 * len(clean)
+
+
+def test_contaminated_rows_go_by_id_and_text(spark):
+    item = queries.table(spark, SF, "benchmark").where("length(text) > 150").orderBy("item_id").first().text
+    rows = [(None, "so " + item), (None, "a clean text without an id"), (7, item), (7, "a clean text of the same id"), (7, None), (8, "clean")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, `odd.name` int")
+    got = corpus_pipeline.decontamination(spark, docs, SF)
+    assert got.dtypes == docs.dtypes
+    assert {r["odd.name"] for r in got.collect()} == {1, 3, 4, 5}
