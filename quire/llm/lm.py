@@ -6,23 +6,27 @@ training documents; three passes read the texts, none moves them.
 1. Word counts: tasks report their distinct words (64-bit hashes), Spark sums.
    N tokens and V distinct words give every word's add-one probability,
    ``(c + 1) / (N + V + 1)``, which is also the trie's lowest order.
-2. Bigrams and trigrams of frequent words (at least a ``2**-SHARE`` share of
-   all tokens, so at most ``2**SHARE`` words: a proven bound) are counted the
-   same way, as packed sorted keys per shard.  Those with the same share of all tokens
-   enter the trie: at most ``2**SHARE`` of each order, whatever the corpus.
-   Higher orders use absolute discounting and back off to lower ones with
-   weights that make each context sum to one.
-3. The trie: word, bigram and trigram levels; pointers and successors are
-   monotone Elias-Fano sequences.  A bigram's successor is stored relative to
-   its context's range; a trigram's as the rank of its last word among the
-   bigrams of its middle word.  Log probabilities and back-off weights are
-   codes of books of ``BOOK`` entries.  The levels travel as one packed buffer that each
-   worker maps from an unlinked file.
-4. Scoring: frequent words are looked up in the map; every other word's hash
-   goes, with its document's place in the batch, to the shard that holds the
-   counts of its hashes.  No word outside the trie has more than a
-   ``2**-SHARE`` share of tokens, so shards are even.  Sums per document come
-   back and are added; logarithms are additive, so this is exact.
+2. Trigrams are counted by shards, a shard holding all those whose middle word
+   hashes to it; their sums are the counts of the bigrams that begin or end
+   with these words.  Tasks send the distinct trigrams of a piece as packed
+   places among its words.  Every bigram and trigram of ``LEAST`` occurrences is
+   stored, at any size of the corpus: what is gathered grows with it.  Higher
+   orders use absolute discounting and back off to lower ones with weights that
+   make each context sum to one.
+3. Each shard builds a trie in its task: word, bigram and trigram levels;
+   pointers and successors are monotone Elias-Fano sequences.  A bigram's
+   successor is stored relative to its context's range; a trigram's as the rank
+   of its last word among the bigrams of its middle word.  Log probabilities and
+   back-off weights are codes of books of ``BOOK`` entries.  No trie passes
+   through the driver; each travels as one packed buffer that its scoring task
+   maps from an unlinked file.
+4. Scoring: a word's own (lowest-order) probability is looked up at once if the
+   word is frequent (at least a ``2**-SHARE`` share of all tokens, so at most
+   ``2**SHARE`` words: a proven bound of what is broadcast, not of what is used);
+   every other word's hash goes, with its document's place in the batch, to the
+   shard that holds the counts of its hashes.  What the two words before change
+   in a token's score is found by the shard of the word before.  Sums per
+   document come back and are added; logarithms are additive, so this is exact.
 
 Defined results: null and empty texts are the end token alone; repeated rows
 are scored each; null ids (and others of ``held_out`` true) teach nothing;
@@ -31,6 +35,7 @@ without training tokens every base probability is 1.
 
 from __future__ import annotations
 
+import json
 import mmap
 import tempfile
 from collections.abc import Iterator
@@ -48,8 +53,13 @@ from quire.llm.elias_fano import EliasFano
 from quire.llm.words import batches, mix
 from quire.session import cut_lineage
 
-#: frequent words and stored n-grams have at least this power of 1/2 of all tokens
+#: frequent words, whose counts every task knows, have at least this power of 1/2 of all tokens
 SHARE = 20
+#: least occurrences of a stored bigram or trigram, whatever the corpus
+LEAST = 2
+#: bits for a word's place in its shard
+BITS = 21
+START = np.uint64(0x57A127)  # stands before a text
 DISCOUNT = 0.75
 #: entries in a book of quantised logarithms
 BOOK = 1 << 12
@@ -123,46 +133,128 @@ class Lookup:
         return out
 
 
-def ngram_counts(docs: DataFrame, frequent: np.ndarray, least: int, shards: int) -> DataFrame:
-    """``(n, key, c)`` of bigrams and trigrams of frequent words with at least ``least`` occurrences.
+def _planes(values: np.ndarray) -> bytes:
+    """Non-negative 32-bit numbers as byte planes, compressed."""
+    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
 
-    A key holds the words' places among ``frequent`` in 20 bits each.
+
+def _unplanes(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _pack3(hashes: np.ndarray, u: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes]:
+    """Triples of places among sorted hashes: the hashes in use, and places among these column by column."""
+    known, at = np.unique(np.concatenate([t, u, w]), return_inverse=True)
+    return _pack(hashes[known]), _planes(at)
+
+
+def _unpack3(known: bytes, places: bytes) -> np.ndarray:
+    return _unpack(known)[_unplanes(places).reshape(3, -1)]
+
+
+def _triples(tokens: np.ndarray, first: np.ndarray, shards: int, use: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """``(hashes, at, u, t, w, cuts)``: each token ``at`` that has one before it in its text, sorted by shard, ``u`` and ``t``.
+
+    ``u``, ``t`` and ``w`` are the word before, the one before that (or START) and the token, as places among the sorted
+    ``hashes``; a shard ``s`` has the tokens ``cuts[s]`` to ``cuts[s + 1]``.
+    """
+    hashes, ids = np.unique(np.append(tokens, START), return_inverse=True)
+    ids = ids.astype(np.int32)
+    begins = np.zeros(len(tokens), bool)
+    begins[first[:-1]] = True
+    at = np.flatnonzero(~begins if use is None else ~begins & use)
+    u, w = ids[at - 1], ids[at]
+    t = np.where(begins[at - 1], ids[-1], ids[np.maximum(at - 2, 0)])
+    shard = (mix(hashes) % np.uint64(shards)).astype(np.int32)
+    by_shard = np.argsort(shard, kind="stable")
+    rank = np.empty(len(hashes), np.int32)
+    rank[by_shard] = np.arange(len(hashes), dtype=np.int32)
+    if len(hashes) < 1 << 21:
+        order = np.argsort((rank[u].astype(np.int64) << 42) | (t.astype(np.int64) << 21) | w)
+    else:
+        order = np.lexsort((w, t, rank[u]))
+    u = u[order]
+    return hashes, at[order], u, t[order], w[order], np.searchsorted(shard[u], np.arange(shards + 1))
+
+
+def ngram_counts(docs: DataFrame, shards: int) -> DataFrame:
+    """``(shard, hashes, two, c2, three, c3)``: words, and the stored bigrams and trigrams with their counts, one row a shard.
+
+    A shard has every n-gram around its middle words: ``(t, u, w)`` for each ``u`` of the shard, ``t`` being ``START``
+    at a text's second word.  The counts of ``(u, w)`` and ``(t, u)`` are sums of these.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = Lookup(shared.value)
         for part in parts:
             train = np.asarray(part.column(1).to_pylist(), bool)
             for a, b, words in batches(part.column(0), size=PIECE):
                 tokens, first = _tokens(words)
-                ids = place(tokens)
-                ids[~np.repeat(train[a:b], np.diff(first))] = -1
-                owner = np.repeat(np.arange(b - a), np.diff(first))
-                pair = (ids[:-1] >= 0) & (ids[1:] >= 0) & (owner[:-1] == owner[1:])
-                two = (ids[:-1] << SHARE) | ids[1:]
-                three = (two[:-1] << SHARE) | ids[2:]
-                for n, keys in ((2, two[pair]), (3, three[pair[:-1] & pair[1:]])):
-                    h, c = _runs(np.sort(keys))
-                    shard = (mix(h.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-                    order = np.argsort(shard, kind="stable")
-                    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                    rows = [(s, order[x:y]) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([n] * len(rows), pa.int32()), pa.array([s for s, _ in rows], pa.int32()), pa.array([_pack(h[r]) for _, r in rows], pa.binary()), pa.array([_small(c[r]) for _, r in rows], pa.binary())],
-                        ["n", "shard", "keys", "counts"],
-                    )
+                hashes, _, u, t, w, cuts = _triples(tokens, first, shards, np.repeat(train[a:b], np.diff(first)))
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+                kept = np.flatnonzero(new)
+                c, t, u, w = np.diff(np.append(kept, len(t))), t[kept], u[kept], w[kept]
+                cuts = np.searchsorted(kept, cuts)
+                rows = [(s, *_pack3(hashes, u[x:y], t[x:y], w[x:y]), _small(c[x:y])) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+                columns = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(k, pa.binary()) for k in columns[1:])], ["shard", "known", "places", "counts"])
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = np.concatenate([_unpack(k) for k in rows["keys"]]), np.concatenate([_unsmall(c) for c in rows["counts"]])
-        order = np.argsort(keys, kind="stable")
-        distinct, size = _runs(keys[order])
-        total = np.add.reduceat(counts[order], np.cumsum(size) - size)
-        enough = total >= least
-        return pd.DataFrame({"n": np.int32(key[0]), "key": distinct[enough].astype(np.int64), "c": total[enough]})
+        """Bigrams and trigrams of at least ``LEAST`` occurrences; ``BITS`` for each word of a key."""
+        t, u, w = np.concatenate([_unpack3(k, p) for k, p in zip(rows["known"], rows["places"])], axis=1)
+        c = np.concatenate([_unsmall(x) for x in rows["counts"]])
+        known, at = np.unique(np.concatenate([t, u, w]), return_inverse=True)
+        t, u, w = at.reshape(3, -1)
+        starts = int(np.searchsorted(known, START)) if (known == START).any() else -1
+        after, c_after = _summed(u << 32 | w, c)
+        real = t != starts
+        before, c_before = _summed((t << 32 | u)[real], c[real])
+        pairs, at_pair = np.unique((t << 32 | u)[real], return_inverse=True)
+        three, c3 = _summed(at_pair << 32 | w[real], c[real])
+        two, place = np.unique(np.concatenate([after[c_after >= LEAST], before[c_before >= LEAST]]), return_index=True)
+        c2 = np.concatenate([c_after[c_after >= LEAST], c_before[c_before >= LEAST]])[place]
+        three, c3 = three[c3 >= LEAST], c3[c3 >= LEAST]
+        low = (1 << 32) - 1
+        parts = [pairs[three >> 32] >> 32, pairs[three >> 32] & low, three & low]
+        mine = np.unique(np.concatenate([two >> 32, two & low]))  # the words of trigrams are among those of bigrams
+        if len(mine) >= 1 << BITS:
+            raise ValueError(f"a shard has {len(mine)} words: raise spark.sql.shuffle.partitions")
+        new = np.zeros(len(known), np.int64)
+        new[mine] = np.arange(len(mine))
+        two = new[two >> 32] << BITS | new[two & low]
+        three = (new[parts[0]] << BITS | new[parts[1]]) << BITS | new[parts[2]]
+        order2, order3 = np.argsort(two), np.argsort(three)
+        blobs = [_pack(two[order2].view(np.uint64)), _small(c2[order2]), _pack(three[order3].view(np.uint64)), _small(c3[order3])]
+        return pd.DataFrame([(key[0], known[mine].view(np.int64), *blobs)], columns=["shard", "hashes", "two", "c2", "three", "c3"])
+
+    blobs = docs.select("text", "train").mapInArrow(count, "shard int, known binary, places binary, counts binary")
+    return blobs.groupBy("shard").applyInPandas(add, "shard int, hashes array<long>, two binary, c2 binary, three binary, c3 binary")
+
+
+def _summed(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    distinct, size = _runs(keys[order])
+    return distinct, np.add.reduceat(c[order], np.cumsum(size) - size) if len(keys) else np.zeros(0, np.int64)
+
+
+def tries(stored: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
+    """``(shard, trie, spec)``: the trie of each shard, built in its task with the corpus-wide counts of its words."""
+    asked = stored.select(F.col("shard").alias("asking"), F.explode("hashes").alias("h")).join(counts, "h").select("asking", "h", "c")
+
+    def build(key: tuple, rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        if not len(table):
+            return pd.DataFrame(columns=["shard", "trie", "spec"])
+        r = rows.iloc[0]
+        h = table.h.to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        words, c = h[order], table.c.to_numpy(np.int64)[order]
+        two, three = ((_unpack(k).view(np.int64), _unsmall(m)) for k, m in ((r.two, r.c2), (r.three, r.c3)))
+        raw, spec = Trie.build(words, c, two, three, n, v, BITS).buffer()
+        return pd.DataFrame([(key[0], raw, json.dumps(spec))], columns=["shard", "trie", "spec"])
 
-    blobs = docs.select("text", "train").mapInArrow(count, "n int, shard int, keys binary, counts binary")
-    return blobs.groupBy("n", "shard").applyInPandas(add, "n int, key long, c long")
+    return stored.drop("hashes").groupBy("shard").cogroup(asked.groupBy("asking")).applyInPandas(build, "shard int, trie binary, spec string")
 
 
 def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,16 +284,16 @@ class Trie:
     prob3: tuple[np.ndarray, np.ndarray]
 
     @classmethod
-    def build(cls, words: np.ndarray, counts: np.ndarray, two: tuple[np.ndarray, np.ndarray], three: tuple[np.ndarray, np.ndarray], n: int, v: int) -> Trie:
+    def build(cls, words: np.ndarray, counts: np.ndarray, two: tuple[np.ndarray, np.ndarray], three: tuple[np.ndarray, np.ndarray], n: int, v: int, bits: int = SHARE) -> Trie:
         """From sorted words and sorted packed bigram and trigram keys with their counts."""
-        size, mask = len(words), (1 << SHARE) - 1
+        size, mask = len(words), (1 << bits) - 1
         p1 = (counts + 1.0) / (n + v + 1.0)
-        u, w = two[0] >> SHARE, two[0] & mask
+        u, w = two[0] >> bits, two[0] & mask
         p2 = np.maximum(two[1] - DISCOUNT, 1e-9) / counts[u] if size else np.zeros(0)
         rest = lambda kept, lower: np.clip(1 - kept, 1e-9, None) / np.clip(1 - lower, 1e-9, None)
         back1 = np.log10(rest(np.bincount(u, p2, size), np.bincount(u, p1[w] if size else None, size))) if size else np.zeros(0)
-        context, middle, last = np.searchsorted(two[0], three[0] >> SHARE), (three[0] >> SHARE) & mask, three[0] & mask
-        lower = np.searchsorted(two[0], (middle << SHARE) | last)
+        context, middle, last = np.searchsorted(two[0], three[0] >> bits), (three[0] >> bits) & mask, three[0] & mask
+        lower = np.searchsorted(two[0], (middle << bits) | last)
         p3 = np.maximum(three[1] - DISCOUNT, 1e-9) / two[1][context] if len(three[0]) else np.zeros(0)
         bigrams = len(two[0])
         back2 = np.log10(rest(np.bincount(context, p3, bigrams), np.bincount(context, p2[lower] if bigrams else None, bigrams))) if bigrams else np.zeros(0)
@@ -298,68 +390,69 @@ def _rising(values: np.ndarray, pointer: np.ndarray) -> np.ndarray:
     return values + np.repeat(base, np.diff(pointer))
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, Trie, int, int]:
-    """(word counts, trie, N, V) from ``docs(text, train)``."""
+def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray], int, int]:
+    """(word counts, tries by shard, frequent words and their counts, N, V) from ``docs(text, train)``."""
     spark = docs.sparkSession
     counts = cut_lineage(word_counts(docs))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total.n), int(total.v)
-    least = max(2, -(-n // (1 << SHARE)))
-    often = counts.where(F.col("c") >= least).toPandas()  # at most 2**SHARE rows
+    often = counts.where(F.col("c") >= _frequent(n)).toPandas()  # at most 2**SHARE rows
     h = often.h.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    words, c = h[order], often.c.to_numpy(np.int64)[order]
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grams = ngram_counts(docs, words, least, shards).toPandas()  # at most 2**SHARE rows of each order
-    levels = []
-    for k in (2, 3):
-        mine = grams[grams.n == k].sort_values("key")
-        levels.append((mine.key.to_numpy(np.int64), mine.c.to_numpy(np.int64)))
-    return counts, Trie.build(words, c, levels[0], levels[1], n, v), n, v
+    stored = cut_lineage(ngram_counts(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return counts, tries(stored, counts, n, v), (h[order], often.c.to_numpy(np.int64)[order]), n, v
+
+
+def _frequent(n: int) -> int:
+    return max(2, -(-n // (1 << SHARE)))
 
 
 def _per_doc(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, values, n)
 
 
-def score(docs: DataFrame, counts: DataFrame, trie: Trie, n: int, v: int, keep: tuple[str, ...]) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n: int, v: int, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` (a long id and a boolean) with ``n_tokens, n_known, train_tokens, base_score, score`` for ``docs(*keep, text)``."""
     spark = docs.sparkSession
-    raw = trie.buffer()
-    shared = spark.sparkContext.broadcast(raw)
+    shared = spark.sparkContext.broadcast(frequent)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     log_all = float(np.log10(n + v + 1.0))
     fields = "shard int, batch long, ids binary, marks binary, x binary, y binary, z binary"
 
     def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Trie.mapped(*shared.value)
-        place = Lookup(model.words)
+        place, often = Lookup(shared.value[0]), shared.value[1]
         task, number = TaskContext.get().partitionId(), 0
         for part in parts:
             for a, b, words in batches(part.column(2), size=PIECE):
                 tokens, first = _tokens(words)
                 owner = np.repeat(np.arange(b - a), np.diff(first))
                 ids = place(tokens)
-                own = _per_doc(model.score(ids, first), owner, b - a)
                 known = ids >= 0
-                base = _per_doc(np.where(known, np.log10(model.counts[ids] + 1.0) if len(model.words) else 0.0, 0.0), owner, b - a)
+                base = _per_doc(np.where(known, np.log10(often[ids] + 1.0) if len(often) else 0.0, 0.0), owner, b - a)
                 batch, number = (task << 32) + number, number + 1
                 listed = part.column(0).slice(a, b - a)
                 absent = np.asarray(listed.is_null().to_pylist(), np.int64)
                 flags = np.asarray(part.column(1).slice(a, b - a).to_pylist(), np.int64) | absent << 1 | np.bincount(owner, known, b - a).astype(np.int64) << 2
-                rows = [(int(batch % shards), np.asarray(listed.fill_null(0), np.int64).tobytes(), flags.tobytes(), np.diff(first).astype(np.int64).tobytes(), own.tobytes(), base.tobytes())]
+                rows = [(int(batch % shards), np.asarray(listed.fill_null(0), np.int64).tobytes(), flags.tobytes(), np.diff(first).astype(np.int64).tobytes(), base.tobytes(), None)]
                 rare, who = tokens[~known], owner[~known]
                 shard = (rare % np.uint64(shards)).astype(np.int64)
                 order = np.lexsort((rare, shard))
                 rare, who = rare[order], who[order]
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
                 rows += [(s, _pack(rare[x:y]), None, _small(who[x:y]), None, None) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+                hashes, at, u, t, w, cuts = _triples(tokens, first, shards)
+                who = owner[at]
+                rows += [(s, p[0], None, _planes(who[x:y]), p[1], None) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x for p in [_pack3(hashes, u[x:y], t[x:y], w[x:y])]]
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array([batch] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "batch", "ids", "marks", "x", "y", "z"]
                 )
 
     def count(key: tuple, rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        held = table[table["spec"].notna()]
+        trie = Trie.mapped(held.trie.iloc[0], json.loads(held.spec.iloc[0])) if len(held) else None
+        place = Lookup(trie.words) if len(held) else None
+        table = table[table["spec"].isna()]
         h = table.h.to_numpy(np.int64).view(np.uint64)
         order = np.argsort(h)
         h, c = h[order], table.c.to_numpy(np.float64)[order]
@@ -368,13 +461,19 @@ def score(docs: DataFrame, counts: DataFrame, trie: Trie, n: int, v: int, keep:
             if r.marks is not None:
                 out.append((r.batch, r.ids, r.marks, r.x, r.y, r.z))
                 continue
+            if r.y is not None:  # what the words before change in each word's own score
+                if trie is not None:
+                    last = place(np.ascontiguousarray(_unpack3(r.ids, r.y).T).ravel())
+                    more = trie.score(last, np.arange(0, len(last) + 1, 3))[2::3] - np.where(last[2::3] >= 0, trie.unigram[last[2::3]], 0.0)
+                    docs_, back = np.unique(_unplanes(r.x), return_inverse=True)
+                    out.append((r.batch, docs_.tobytes(), None, np.bincount(back, more, len(docs_)).tobytes(), None, None))
+                continue
             rare, who = _unpack(r.ids), _unsmall(r.x)
             at = np.minimum(np.searchsorted(h, rare), max(len(h) - 1, 0))
             seen = (h[at] == rare) & (c[at] > 0) if len(h) else np.zeros(len(rare), bool)
             docs_, back = np.unique(who, return_inverse=True)
             value = np.bincount(back, np.log10(np.where(seen, c[at], 0.0) + 1.0) if len(h) else None, len(docs_)) if len(h) else np.zeros(len(docs_))
-            unknown = [np.bincount(back, w, len(docs_)) for w in (seen, np.ones(len(rare)))]
-            out.append((r.batch, docs_.tobytes(), None, value.tobytes(), unknown[0].tobytes(), unknown[1].tobytes()))
+            out.append((r.batch, docs_.tobytes(), None, value.tobytes(), np.bincount(back, seen, len(docs_)).tobytes(), None))
         return pd.DataFrame(out, columns=["batch", "ids", "marks", "x", "y", "z"])
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
@@ -382,29 +481,31 @@ def score(docs: DataFrame, counts: DataFrame, trie: Trie, n: int, v: int, keep:
         flags = np.frombuffer(main["marks"], np.int64)
         ids = np.frombuffer(main.ids, np.int64)
         length = np.frombuffer(main.x, np.int64)
-        own, base = np.frombuffer(main.y, np.float64).copy(), np.frombuffer(main.z, np.float64).copy()
+        base, more = np.frombuffer(main.y, np.float64).copy(), np.zeros(len(ids))
         known = flags >> 2
         for r in rows[rows["marks"].isna()].itertuples(index=False):
             at = np.frombuffer(r.ids, np.int64)
-            value, seen, all_ = (np.frombuffer(x, np.float64) for x in (r.x, r.y, r.z))
-            base[at] += value
-            own[at] += value - all_ * log_all
+            if r.y is None:
+                more[at] += np.frombuffer(r.x, np.float64)
+                continue
+            base[at] += np.frombuffer(r.x, np.float64)
+            seen = np.frombuffer(r.y, np.float64)
             known = known + np.bincount(at, seen, len(ids)).astype(np.int64)
         return pd.DataFrame({
             keep[0]: pd.array(ids, "Int64").copy() if not (flags & 2).any() else pd.array(np.where(flags & 2, None, ids), "Int64"),
-            keep[1]: (flags & 1).astype(bool), "n_tokens": length, "n_known": known, "train_tokens": np.int64(n), "base_score": base - length * log_all, "score": own,
+            keep[1]: (flags & 1).astype(bool), "n_tokens": length, "n_known": known, "train_tokens": np.int64(n), "base_score": base - length * log_all, "score": base - length * log_all + more,
         })
 
     rows = docs.select(F.col(keep[0]).cast("long"), F.col(keep[1]).cast("boolean"), F.col("text").cast("string")).mapInArrow(look, fields)
     rare = counts.withColumn("shard", F.expr(f"cast(pmod(cast(h as decimal(20,0)) + if(h < 0, 18446744073709551616, 0), {shards}) as int)"))
-    least = max(2, -(-n // (1 << SHARE)))
-    rare = rare.where(F.col("c") < least)
-    summed = rows.groupBy("shard").cogroup(rare.groupBy("shard")).applyInPandas(count, "batch long, ids binary, marks binary, x binary, y binary, z binary")
+    rare = rare.where(F.col("c") < _frequent(n)).select("shard", "h", "c", F.lit(None).cast("binary").alias("trie"), F.lit(None).cast("string").alias("spec"))
+    held = rare.unionByName(model.select("shard", F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("c"), "trie", "spec"))
+    summed = rows.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(count, "batch long, ids binary, marks binary, x binary, y binary, z binary")
     return summed.groupBy("batch").applyInPandas(join, f"`{keep[0]}` long, `{keep[1]}` boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame, held_out: str = "held_out", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the rows where ``held_out`` is false and score all rows."""
     rows = docs.select(F.col(id_col), F.col(held_out), F.col(text_col).cast("string").alias("text"), (~F.col(held_out)).alias("train"))
-    counts, trie, n, v = train(rows)
-    return score(rows, counts, trie, n, v, (id_col, held_out))
+    counts, model, frequent, n, v = train(rows)
+    return score(rows, counts, model, frequent, n, v, (id_col, held_out))

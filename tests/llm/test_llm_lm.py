@@ -80,3 +80,15 @@ def test_nothing_to_learn_from(spark):
     got = lm.score_documents(df).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
     assert lm.score_documents(df.where(F.lit(False))).count() == 0
+
+
+def test_stored_ngrams_do_not_depend_on_the_size(spark, monkeypatch):
+    """With more tokens than the frequent words' share allows for, n-grams of two occurrences still count."""
+    monkeypatch.setattr(lm, "SHARE", 7)
+    rnd = random.Random(11)
+    rows = [(k, " ".join(f"w{int(rnd.paretovariate(0.7)) % 90}" for _ in range(30)), k % 7 == 2) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    got = {r.doc_id: r for r in lm.score_documents(df).collect()}
+    want = plain(rows, 30)
+    assert -(-want[0][2] // 2**7) > 30
+    assert all(np.isclose(got[r[0]].base_score, w[3]) and abs(got[r[0]].score - w[4]) / w[0] < 0.01 for r, w in zip(rows, want))
