@@ -32,6 +32,7 @@ def _norm(v):
 
 def frame_digest(pdf):
     cols = sorted(pdf.columns)
+    pdf = pdf.astype({c: "float64" for c in cols if str(pdf[c].dtype) == "Int64"})  # longs with nulls, as Spark's frames hold them
     rows = sorted("|".join(_norm(r[c]) for c in cols) for r in pdf[cols].to_dict("records"))
     return cols, len(rows), hashlib.sha256("\n".join(rows).encode()).hexdigest(), rows
 
