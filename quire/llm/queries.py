@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, jaccard, knn, langid, lm, packing, pii, quality, simhash, token_counts, urls
+from quire.llm import conversations, decontaminate, jaccard, knn, langid, lexical, lm, packing, pii, quality, simhash, token_counts, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined("base_spans"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), n=4, most=4)
 
@@ -95,11 +103,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_ranked_search": op12_ranked_search,
     "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLES: dict[str, str] = {
     "op3_exact_topk": """
 WITH v AS (
@@ -123,5 +135,52 @@ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM cells a J
 links AS (SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
 reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT doc_id, n AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id FROM sizes
+""",
+    "op11_prefix_trie": """
+WITH t AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, s) AS p, s, bytes FROM (
+    SELECT conv_id AS c, turn, sha256(length(role) || ':' || role || text) AS s, strlen(text) AS bytes
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))
+), c AS (
+  SELECT c, count(*) AS n, c - c % 5 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda s, x: list_reduce(list_prepend(xor(s, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 9 AS h
+  FROM t GROUP BY c
+), r AS (
+  SELECT c.c, t.p AS d, s, bytes FROM c JOIN t ON t.c = c.base AND t.p <= c.h
+  UNION ALL SELECT c.c, t.p - c.h + least(c.h, coalesce(b.n, 0)), s, bytes FROM c JOIN t ON t.c = c.c AND t.p > c.h LEFT JOIN c b ON b.c = c.base
+), m AS (SELECT c, d, bytes, string_agg(s, ',') OVER (PARTITION BY c ORDER BY d) AS k FROM r UNION ALL SELECT c, 0, 0, '' FROM c),
+n AS (SELECT d, k, min(c) AS v, count(*) AS convs, any_value(bytes) AS bytes FROM m GROUP BY d, k),
+up AS (SELECT n.v, n.d, p.v AS parent FROM n JOIN m ON m.c = n.v AND m.d = n.d - 1 JOIN n p ON p.d = m.d AND p.k = m.k),
+kids AS (SELECT parent AS v, d - 1 AS d, count(*) AS kids FROM up GROUP BY ALL),
+below AS (
+  SELECT a.v, a.d, sum(CASE WHEN kids.kids IS NULL THEN 1 ELSE 0 END) AS leaves, sum((u.convs - 1) * u.bytes) AS saved
+  FROM n u LEFT JOIN kids ON kids.v = u.v AND kids.d = u.d JOIN m ON m.c = u.v AND m.d <= u.d JOIN n a ON a.d = m.d AND a.k = m.k GROUP BY a.v, a.d
+), ends AS (
+  SELECT n.v, n.d, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ids
+  FROM (SELECT c, max(d) AS d FROM m GROUP BY c) JOIN m USING (c, d) JOIN n USING (d, k) GROUP BY n.v, n.d
+)
+SELECT n.v AS conv_id, CAST(n.d AS BIGINT) AS depth, parent AS parent_conv_id, convs AS n_convs, coalesce(kids, 0) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ids, sha256('')) AS ends_sha256
+FROM n LEFT JOIN up USING (v, d) LEFT JOIN kids USING (v, d) JOIN below USING (v, d) LEFT JOIN ends USING (v, d)
+""",
+    "op12_ranked_search": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}') AS w FROM documents
+), held AS (SELECT r, doc_id, w, len(w) AS n FROM d WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS docs, sum(n) AS terms FROM held),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS t FROM held) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+q AS (
+  SELECT i, item_id, t, count(*) AS times FROM (
+    SELECT i, item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS t
+    FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)) GROUP BY ALL
+), s AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN f USING (t) JOIN p USING (t) CROSS JOIN corpus GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20
 """,
 }
