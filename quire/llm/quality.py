@@ -158,13 +158,15 @@ def score(described: DataFrame, model: Discriminant | None) -> DataFrame:
     shared = described.sparkSession.sparkContext.broadcast(model)
     names = [c for c in described.columns if c != "x"]
 
-    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Arrow throughout: in pandas a batch of ids with a null becomes floats."""
         for part in parts:
-            x = np.stack(part.x) if len(part) else np.zeros((0, len(FEATURES)))
-            yield part[names].assign(score=shared.value.score(x) if shared.value else np.full(len(x), 0.5))
+            x = np.asarray(part.column("x").flatten(), float).reshape(-1, len(FEATURES))
+            score = shared.value.score(x) if shared.value else np.full(len(x), 0.5)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(score)], [*names, "score"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in described.schema.fields if f.name != "x")
-    return described.mapInPandas(judge, f"{kept}, score double")
+    return described.mapInArrow(judge, f"{kept}, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, held_out: str = "held_out", id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
