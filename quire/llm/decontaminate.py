@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,13 +136,13 @@ def contaminated(
     pairs = spread.join(seeds, "seed").groupBy("row", "item_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
     ready = pairs.join(found.select("row", "doc_id", "doc_words"), "row").join(listed.select("item_id", "item_words"), "item_id").select("doc_id", "item_id", "places", "doc_words", "item_words")
 
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out = []
-            for r in part.itertuples(index=False):
-                item, doc = np.frombuffer(r.item_words, np.uint64), np.frombuffer(r.doc_words, np.uint64)
+            for doc_id, item_id, places, doc_words, item_words in zip(*(c.to_pylist() for c in part.columns)):
+                item, doc = np.frombuffer(item_words, np.uint64), np.frombuffer(doc_words, np.uint64)
                 top = (0, 0, 0)
-                for a, b in stretches(np.asarray(r.places), 2 * len(item), len(doc)):
+                for a, b in stretches(np.asarray(places), 2 * len(item), len(doc)):
                     if np.isin(item, doc[a:b]).mean() < least:  # a word that stands nowhere here cannot match
                         continue
                     s, i, j = align(item, doc[a:b])
@@ -151,7 +150,8 @@ def contaminated(
                         top = (s, a + i, a + j)
                 share = top[0] / (MATCH * len(item))
                 if share >= least:
-                    out.append((r.doc_id, r.item_id, share, top[1], top[2]))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "first_word", "last_word"]).astype({"score": "float64"})
+                    out.append((doc_id, item_id, share, top[1], top[2]))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
 
-    return ready.mapInPandas(score, "doc_id long, item_id long, score double, first_word int, last_word int")
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])
+    return ready.mapInArrow(score, "doc_id long, item_id long, score double, first_word int, last_word int")
