@@ -293,4 +293,8 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, id_col:
         rows["offset"] = offset
         return rows.drop(columns=["number", "g"])
 
-    return dealt.groupBy("g").applyInPandas(fill, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # a long column with a null would come to pandas as floats: ids travel as a number and whether there is one
+    dealt = dealt.withColumns({"known": F.col("doc_id").isNotNull(), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))})
+    columns = ["piece int", "start long", "length long", "ids_crc32 long", "sequence_id long", "offset long"]
+    filled = dealt.groupBy("g").applyInPandas(fill, ", ".join(["doc_id long", *columns[:4], "known boolean", *columns[4:]]))
+    return filled.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), *[c.split()[0] for c in columns])
