@@ -4,8 +4,10 @@
    ``SEED``-word n-gram of a test item is a seed; a Bloom filter of fixed size
    holds them, so one pass over the documents finds all places where a seed
    may stand, whatever the number of items.
-2. Every seed of an item counts, however many documents hold it: whether a
-   copy is found does not depend on what else the corpus holds.
+2. Rare seeds make candidates.  A document that shares just one seed with an
+   item is none if the seed is common: held, without another seed of the item,
+   by over ``COMMON`` of all documents.  Copies hold other seeds too, so whether
+   one is found does not depend on how many copies the corpus holds.
 3. Seed hits join documents to items.  Words of a document with hits travel
    as packed hashes, items by their number; no text is shuffled.  A pair is
    left before alignment if too few of the item's words stand near its hits
@@ -14,8 +16,9 @@
    gap -1), whole item against the stretches of the document around the hits.
    The score is the best local alignment over that of an exact copy.
 
-Defined results: items with fewer words than a seed have none and match
-nothing; null and empty texts match nothing; a repeated document row is its
+Defined results: texts are read whole, however long; items with fewer words
+than a seed have none and match nothing; null ids are returned as such, and
+items that repeat an id are each compared; null and empty texts match nothing; a repeated document row is its
 own row; no item or no document gives no rows.
 """
 
@@ -34,6 +37,8 @@ from quire.session import cut_lineage
 
 #: words in a seed
 SEED = 4
+#: share of all documents beyond which a seed that they hold alone is common
+COMMON = 0.01
 #: least share of an exact copy's score
 LEAST = 0.5
 MATCH, GAP = 2, -1
@@ -124,17 +129,29 @@ def stretches(places: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
     return out
 
 
+def rare_pairs(pairs: DataFrame, items: DataFrame, documents: int) -> DataFrame:
+    """``pairs(row, item, seed, last, places)`` but for those that share just one seed, and that a common one.
+
+    A seed of an item is common if over ``COMMON`` of all documents hold it and no other seed of the item;
+    copies hold others too, so they make no seed common.  Items whose seeds are all common keep them.
+    """
+    alone = pairs.where("seed = last").groupBy("item", "seed").agg(F.count("*").alias("holders")).where(F.col("holders") > COMMON * documents)
+    spared = alone.groupBy("item").agg(F.count("*").alias("common")).join(items, "item").where("common < n").select("item")
+    return pairs.join(alone.join(spared, "item", "left_semi").select("item", "seed", F.col("seed").alias("last")), ["item", "seed", "last"], "left_anti")
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """``(doc_id, item_id, score, first_word, last_word)`` of pairs that align to at least ``least``."""
-    listed = cut_lineage(item_words(items, item_id, item_text))
-    seeds = listed.select("item_id", F.explode("seeds").alias("seed"))
+    listed = cut_lineage(item_words(items, item_id, item_text).withColumn("item", F.monotonically_increasing_id()))
+    seeds = listed.select("item", F.explode("seeds").alias("seed"))
     found = cut_lineage(seed_hits(docs, bloom(seeds, "seed"), id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     spread = found.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("row", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
     # what the filter lets through by chance goes here
-    pairs = spread.join(seeds, "seed").groupBy("row", "item_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    ready = pairs.join(found.select("row", "doc_id", "doc_words"), "row").join(listed.select("item_id", "item_words"), "item_id").select("doc_id", "item_id", "places", "doc_words", "item_words")
+    hits = spread.join(seeds, "seed").groupBy("row", "item").agg(F.min("seed").alias("seed"), F.max("seed").alias("last"), F.sort_array(F.collect_set("place")).alias("places"))
+    pairs = rare_pairs(cut_lineage(hits), listed.select("item", F.size("seeds").alias("n")), docs.count())
+    ready = pairs.join(found.select("row", "doc_id", "doc_words"), "row").join(listed.select("item", "item_id", "item_words"), "item").select("doc_id", "item_id", "places", "doc_words", "item_words")
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

@@ -1,7 +1,9 @@
 import random
+import re
 
 import numpy as np
 
+from quire.llm import decontaminate, queries
 from quire.llm.decontaminate import align, contaminated
 
 
@@ -55,3 +57,45 @@ def test_edited_copy_beside_exact_copies(spark):
         d = spark.createDataFrame([(0, edited)] + [(1 + k, " ".join(words)) for k in range(exact)], "doc_id long, text string")
         got = {r.doc_id: r.score for r in contaminated(d, b).collect()}
         assert set(got) == set(range(exact + 1)) and got[0] == 0.8
+
+
+def test_ids_beyond_doubles_beside_a_null(spark):
+    words = " ".join(_words(random.Random(5), 30))
+    d = spark.createDataFrame([(2**53 + 1, words), (None, words), (2**53 + 3, words)], "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame([(2**53 + 5, words), (None, words)], "item_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.item_id) for r in contaminated(d, b).collect()}
+    assert got == {(x, y) for x in (2**53 + 1, None, 2**53 + 3) for y in (2**53 + 5, None)}
+
+
+def test_common_phrase_makes_no_candidates(spark, monkeypatch):
+    """A phrase of an item that stands in nine of ten documents joins none of them; copies are found beside it."""
+    rnd = random.Random(6)
+    phrase, rest = _words(rnd, 4), _words(rnd, 26)
+    edited = [w if i % 6 else "swapped" for i, w in enumerate(rest)]
+    docs = [(k, " ".join(_words(rnd, 30) + (phrase if k % 10 else []) + _words(rnd, 30))) for k in range(300)]
+    docs += [(1000, " ".join(phrase + rest)), (1001, " ".join(_words(rnd, 5) + phrase + edited)), (1002, " ".join(rest[:20]))]
+    items = spark.createDataFrame([(1, " ".join(phrase + rest)), (2, " ".join(phrase))], "item_id long, text string")
+    frame, seen = spark.createDataFrame(docs, "doc_id long, text string"), []
+    kept = decontaminate.rare_pairs
+    monkeypatch.setattr(decontaminate, "rare_pairs", lambda *a: seen.append(kept(*a)) or seen[-1])
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame, items).collect()}
+    # the short item is nothing but the phrase: it keeps its one seed, and the documents do hold it
+    assert got == {(d, 1) for d in (1000, 1001, 1002)} | {(d, 2) for d, t in docs if " ".join(phrase) in t}
+    assert seen[0].groupBy("item").count().where("count < 10").count() == 1
+
+
+def test_whole_query_against_all_pairs(spark):
+    """Every document against every item, by plain alignment, on the smallest tables."""
+    sf = "/root/testdata/sf0.001"
+    split = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+    docs = [(r.doc_id, split(r.text)) for r in queries.table(spark, sf, "documents").collect()]
+    items = [(r.item_id, split(r.text)) for r in queries.table(spark, sf, "benchmark").collect()]
+    number = {}
+    coded = lambda w: np.array([number.setdefault(x, len(number)) for x in w], np.uint64)
+    docs, items = [(d, coded(w)) for d, w in docs], [(i, coded(w)) for i, w in items]
+    want = set()
+    for i, x in items:
+        for d, y in docs:
+            if len(x) >= 4 and np.isin(x, y).mean() >= 0.5 and align(x, y)[0] >= 0.5 * 2 * len(x):
+                want.add((d, i))
+    assert {(r.doc_id, r.item_id) for r in queries.op2_decontamination(spark, sf).collect()} == want and want

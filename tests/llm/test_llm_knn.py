@@ -5,7 +5,7 @@ from quire.llm import knn
 
 
 def plain(rows, k, scale, every):
-    ok = [(i, np.floor(np.array(v, float) * scale).astype(object)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, np.array([int(x) for x in np.floor(np.array(v, float) * scale)], object)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, x in ok:
         if q % every == 0:
@@ -37,6 +37,26 @@ def test_large_components_are_exact(spark):
     assert sorted(tuple(x) for x in knn.topk(df, k=4, scale=1, every=7).collect()) == plain(rows, 4, 1, 7)
 
 
+@pytest.mark.parametrize("copies", [1, 6, 10])
+def test_repeated_ids_of_queries(spark, monkeypatch, copies):
+    """Rows of a query's own id never crowd out its candidates; each row is a query."""
+    monkeypatch.setattr(knn, "CHUNK", 5)
+    r = np.random.default_rng(7)
+    rows = [(0, [50.0, 50.0, 0.0])] * copies + [(i, r.normal(size=3).tolist()) for i in range(1, 40)] + [(3, [1.0, 2.0, 3.0])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in knn.topk(df, k=5, scale=256, every=10).collect()) == plain(rows, 5, 256, 10)
+
+
+def test_very_large_components(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, (r.integers(-(2**30), 2**30, 6) / 1.0).tolist()) for i in range(40)] + [(40 + i, (r.normal(size=6) * 10.0 ** (i % 9)).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in knn.topk(df, k=4, scale=1, every=7).collect()) == plain(rows, 4, 1, 7)
+    beyond = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30]), (3, [2.0])], "vec_id long, embedding array<double>")
+    got = [(x.vec_id, x.score) for x in knn.topk(beyond, k=3, scale=256, every=50).collect()]
+    assert got == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
 def test_empty_table(spark):
     assert knn.topk(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from quire.llm.packing import Bins, Ids, pack
@@ -38,6 +39,37 @@ def test_swap_beats_best_fit_decreasing():
     assert len(Bins(lengths, 15).bins) == 2
 
 
+def exchanges(x, y):
+    """Net lengths that x can give to y: a move, one for one, two for one, one for two."""
+    ones, twos = (lambda b: list(b)), (lambda b: [b[i] + b[j] for i in range(len(b)) for j in range(i)])
+    return {g - t for gs, ts in ((ones(x), [0]), (ones(x), ones(y)), (twos(x), ones(y)), (ones(x), twos(y))) for g in gs for t in ts}
+
+
+def test_search_ends_where_no_exchange_adds():
+    rnd = random.Random(8)
+    for low, high, n in ((500, 900, 150), (300, 1200, 120), (1, 2047, 150), (900, 1100, 60)):
+        lengths = [rnd.randint(low, high) for _ in range(n)]
+        bins = [[lengths[i] for i in b] for b in Bins(lengths, 2048).bins]
+        if len(bins) == -(-sum(lengths) // 2048):
+            continue  # no fewer could hold them
+        for i, x in enumerate(bins):
+            for y in bins[:i]:
+                a, b = sum(x), sum(y)
+                assert not any(a - t <= 2048 and b + t <= 2048 and (a - t) ** 2 + (b + t) ** 2 > a * a + b * b for t in exchanges(x, y))
+
+
+def test_ids_of_whole_documents():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    whole = Tokenizer.from_file(PATH)
+    for t, ids in zip(texts.to_pylist(), Ids(PATH).of(texts)):
+        assert ids.tolist() == whole.encode(t or "", add_special_tokens=False).ids
+
+
+def test_ids_beyond_doubles_beside_a_null(spark):
+    docs = spark.createDataFrame([(2**53 + 1, "a b"), (None, "c"), (2**53 + 3, "d")], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id or 0, r.length) for r in pack(docs, PATH).collect()) == [(0, 2), (2**53 + 1, 3), (2**53 + 3, 2)]
+
+
 def test_pieces_cover_documents(spark, odd_docs):
     got = pack(odd_docs, PATH, size=512).toPandas()
     whole = Tokenizer.from_file(PATH)

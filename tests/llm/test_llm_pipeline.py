@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 def test_stage_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "packed"]
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 @pytest.fixture(scope="module")

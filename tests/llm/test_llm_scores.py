@@ -45,6 +45,12 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
     assert quality.quality(no_docs.withColumn("held_out", F.lit(False)), marks).count() == 0
 
 
+def test_quality_ids_beyond_doubles_beside_a_null(spark):
+    docs = spark.createDataFrame([(2**53 + 1, "a b", False), (None, "c", True), (2**53 + 3, None, False)], "doc_id long, text string, held_out boolean").coalesce(1)
+    marks = spark.createDataFrame([(2**53 + 1, 1), (2**53 + 3, 0)], "doc_id long, quality int")
+    assert {(r.doc_id, r.held_out) for r in quality.quality(docs, marks).collect()} == {(2**53 + 1, False), (None, True), (2**53 + 3, False)}
+
+
 def test_url_parts_and_rules(spark):
     cases = {
         None: ("", "", None), "": ("", "", None), "example.org/es/": ("", "", None), "http://A.Example.ORG/es/1?x#y": ("a.example.org", "/es/1", "example.org/es/"),
