@@ -10,7 +10,8 @@
   local search works on its underfull bins: it moves a piece, or exchanges one
   piece for one or two for one, whenever that raises the sum of squared fills,
   which drives small bins towards empty.  A bin that empties is removed.  The
-  search ends once no fewer sequences could hold the group's tokens.
+  search ends once no exchange between any two bins raises the sum, or no fewer
+  sequences could hold the group's tokens.
 * A group can leave a part of a sequence unused however many groups there
   are, so the bound on waste is one sequence for each ``GROUP`` pieces plus
   what local search cannot close.
@@ -39,8 +40,6 @@ from quire.session import cut_lineage
 
 #: pieces in a group, on average
 GROUP = 6000
-#: bins that local search tries to empty before it gives up
-GIVERS = 4
 #: remembered pre-token pieces in a Python worker
 CACHE = 200_000
 #: bytes of text tokenized at a time
@@ -223,52 +222,65 @@ class Bins:
                 insort(room, (free - n, b))
 
     def _search(self) -> None:
-        """Exchange pieces between underfull bins while the sum of squared fills grows.
+        """Exchange pieces between bins while the sum of squared fills grows.
 
-        It ends when no fewer bins can hold the pieces (their total length over
-        the size), or when no exchange out of the ``GIVERS`` emptiest bins raises the sum.
+        Every underfull bin gives in turn, emptiest first; of its moves, one-for-one and two-for-one
+        exchanges with all other bins the one that adds most is made, until none adds.  The search ends when
+        no exchange of any two bins adds, or when no fewer bins can hold the pieces (their length over the size).
         """
-        size, length = self.size, self.lengths
-        least = -(-sum(length) // size)
-        fill = [self.length_of(b) for b in self.bins]
-        changed = True
-        while changed and len(self.bins) > least:
+        size = self.size
+        length = np.array(self.lengths, np.int64)
+        bin_of = np.zeros(len(length), np.int64)
+        for k, b in enumerate(self.bins):
+            bin_of[b] = k
+        fill = np.bincount(bin_of, length, len(self.bins)).astype(np.int64)
+        least, held, changed = -(-int(length.sum()) // size), len(self.bins), True
+        while changed and held > least:
             changed = False
-            order = sorted((k for k in range(len(self.bins)) if fill[k] < size), key=lambda k: (fill[k], k))
-            for x in order[:GIVERS]:
-                for y in reversed(order):
-                    if x == y or not self.bins[x] or not fill[x] <= fill[y] < size:
-                        continue
-                    if step := self._step(self.bins[x], self.bins[y], size - fill[y]):
-                        give, take = step
-                        gain = self.length_of(give) - self.length_of(take)
-                        self.bins[x] = [i for i in self.bins[x] if i not in give] + list(take)
-                        self.bins[y] = [i for i in self.bins[y] if i not in take] + list(give)
-                        fill[x], fill[y] = fill[x] - gain, fill[y] + gain
-                        changed = True
-                if not self.bins[x]:
-                    break
-            keep = [k for k in range(len(self.bins)) if self.bins[k]]
-            self.bins, fill = [self.bins[k] for k in keep], [fill[k] for k in keep]
-
-    def _step(self, x: list[int], y: list[int], room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-        """The exchange x -> y that adds most to y, within its room: a move, one for one, or two for one."""
-        length = self.length_of
-        best, found = 0, None
-        one = [(i,) for i in x]
-        give = one + [(a, b) for k, a in enumerate(x[:40]) for b in x[k + 1 : 40]]
-        for g in give:
-            total = length(g)
-            for t in [()] + ([(i,) for i in y] if total > room or len(g) == 1 else []):
-                add = total - length(t)
-                if best < add <= room:
-                    best, found = add, (g, t)
-                    if best == room:
-                        return found
-        return found
-
-    def length_of(self, pieces: tuple[int, ...] | list[int]) -> int:
-        return sum(self.lengths[i] for i in pieces)
+            for x in np.argsort(fill, kind="stable").tolist():
+                while 0 < fill[x] < size and held > least and (step := self._step(x, length, bin_of, fill)):
+                    give, take, y = step
+                    gain = int(length[give].sum() - length[take].sum())
+                    bin_of[give], bin_of[take] = y, x
+                    fill[x] -= gain
+                    fill[y] += gain
+                    held -= fill[x] == 0
+                    changed = True
+        order = np.argsort(bin_of, kind="stable")
+        self.bins = [b.tolist() for b in np.split(order, np.flatnonzero(np.diff(bin_of[order])) + 1) if len(b)]
+
+    def _step(self, x: int, length: np.ndarray, bin_of: np.ndarray, fill: np.ndarray) -> tuple[list[int], list[int], int] | None:
+        """Pieces that bin ``x`` gives and takes, and the other bin, of the exchange that adds most; None if none adds."""
+        size, own = self.size, np.flatnonzero(bin_of == x)
+        single, count = np.unique(length[own], return_counts=True)
+        i, j = np.triu_indices(len(single))
+        both = (single[i] + single[j])[(i != j) | (count[i] > 1)]
+        # the largest amount within each limit, from one piece and from one or two
+        one = np.zeros(size + 1, np.int64)
+        one[single] = single
+        two = one.copy()
+        two[both[both <= size]] = both[both <= size]
+        one, two = np.maximum.accumulate(one), np.maximum.accumulate(two)
+        room = size - fill
+        moved = one[room]
+        traded = two[np.minimum(length + room[bin_of], size)] - length
+        # a net amount t from x to y adds 2 t (fill y - fill x + t) to the sum
+        worth = np.concatenate([moved * (fill - fill[x] + moved), traded * (fill[bin_of] - fill[x] + traded)])
+        worth[np.concatenate([moved <= 0, traded <= 0])] = 0
+        worth[x] = 0
+        worth[len(fill) + own] = 0
+        best = int(worth.argmax())
+        if worth[best] <= 0:
+            return None
+        y, take, amount = (best, [], int(moved[best])) if best < len(fill) else (int(bin_of[best - len(fill)]), [best - len(fill)], int(traded[best - len(fill)] + length[best - len(fill)]))
+        for p in own.tolist():
+            if length[p] == amount:
+                return [p], take, y
+        for p in own.tolist():
+            for q in own[own > p].tolist() if length[p] < amount else ():
+                if length[p] + length[q] == amount:
+                    return [p, q], take, y
+        raise AssertionError("an amount stands for one or two pieces")
 
 
 def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
