@@ -22,6 +22,8 @@ Derived inputs (fixed rules, shared by the Spark and SQL sides):
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +37,7 @@ from quire.operators.knn import exact_topk
 from quire.operators.metrics import greedy_match
 from quire.operators.models import HashingEmbedder, SpreadChat
 from quire.operators.vectors import VECTOR_KEYS, missing_vectors as missing_vector_rows
-from quire.session import cut_lineage
+from quire.session import cut_lineage, ensure_checkpoint_dir
 from quire.sources import tables
 
 # Fixed parameters of the registered queries.
@@ -46,6 +48,8 @@ ANSWER_WORDS = 39
 EMBED_DIM = 64
 VECTOR_DIM = 64
 NUM_CANDIDATES = 50
+IVF_ROUNDS = 2
+IVF_SHARE = 0.75
 N_LABELS = 10
 
 R6 = 6
@@ -356,6 +360,51 @@ def q_ann_topk(spark, sf):
     return hits.select("query_id", "rank", "vec_id", _r("cosine").alias("cosine"))
 
 
+def _ivf_index(spark, emb) -> str:
+    """A fresh index of the table in the shared folder."""
+    from quire.operators import ivf
+
+    path = f"{ensure_checkpoint_dir(spark)}/ivf-{uuid.uuid4().hex}"
+    ivf.build_index(emb, path, rounds=IVF_ROUNDS)
+    return path
+
+
+def q_ivf_topk(spark, sf):
+    """TK2 + JN6: candidates from the nearest inverted lists only (the test vectors are spread evenly: most lists are needed)."""
+    from quire.operators import ivf
+
+    emb = tables.embeddings(spark, sf, "vec_id", "embedding")
+    path = _ivf_index(spark, emb)
+    probes = math.ceil(IVF_SHARE * len(ivf.stored_centroids(spark, path)))
+    hits = ivf.ivf_topk(emb.withColumnRenamed("vec_id", "query_id"), path, TOP_K, probes, exclude_self=True)
+    return hits.select("query_id", "rank", "vec_id", _r("cosine").alias("cosine"))
+
+
+def q_ivf_exact(spark, sf):
+    """TK2: probing every list is the exact search, row by row (the oracle is that of ``knn_topk``)."""
+    from quire.operators import ivf
+
+    emb = tables.embeddings(spark, sf)
+    path = _ivf_index(spark, emb)
+    hits = ivf.ivf_topk(emb.select(F.col("vec_id").alias("query_id"), "embedding"), path, TOP_K, len(ivf.stored_centroids(spark, path)), exclude_self=True)
+    return hits.select("query_id", "rank", "vec_id", "label", _r("cosine").alias("cosine"), _r("search_score").alias("search_score"))
+
+
+def q_ivf_recall(spark, sf):
+    """TK2: lists, probes, share of all pairs compared, and recall@3 of that search (rows only)."""
+    from quire.operators import ivf
+    from quire.operators.ann import recall_at_k
+
+    emb = tables.embeddings(spark, sf, "vec_id", "embedding")
+    q = emb.withColumnRenamed("vec_id", "query_id")
+    path = _ivf_index(spark, emb)
+    probes = math.ceil(IVF_SHARE * len(ivf.stored_centroids(spark, path)))
+    exact = exact_topk(q, emb, TOP_K, exclude_self=True).select("query_id", "vec_id")
+    found = recall_at_k(exact, ivf.ivf_topk(q, path, TOP_K, probes, exclude_self=True), TOP_K)
+    work = ivf.compared(q, path, probes).first()
+    return found.withColumns({c: F.lit(work[c]) for c in ("lists", "probes", "share_compared")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_topk": q_knn_topk,
     "word_stats": q_word_stats,
@@ -387,6 +436,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spans": q_spans,
     "ann_topk": q_ann_topk,
     "ann_recall": q_ann_recall,
+    "ivf_topk": q_ivf_topk,
+    "ivf_exact": q_ivf_exact,
+    "ivf_recall": q_ivf_recall,
 }
 
 from quire.plans.oracles import ORACLES  # noqa: E402  (SQL lives next door)

@@ -15,6 +15,8 @@ ANSWER_WORDS = 39
 EMBED_DIM = 64
 VECTOR_DIM = 64
 NUM_CANDIDATES = 50
+IVF_ROUNDS = 2
+IVF_SHARE = 0.75
 N_LABELS = 10
 
 NL = "\n"
@@ -52,6 +54,34 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(cosine, 6) AS cosi
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM c) WHERE rank <= {TOP_K}
 """
 
+
+
+def _ivf_topk() -> str:
+    """Spherical k-means, lists, and the nearest lists of each query, in the rounds that the code makes."""
+    ctes = [
+        "u AS (SELECT vec_id, embedding, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)",
+        "size AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS lists FROM u)",
+        "c0 AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR))) - 1 AS list, u AS c FROM u) WHERE list < (SELECT lists FROM size))",
+    ]
+    for r in range(IVF_ROUNDS):
+        ctes += [
+            f"a{r} AS (SELECT vec_id, u, list FROM (SELECT vec_id, u, list, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(u, c) DESC, list) AS p FROM u CROSS JOIN c{r}) WHERE p = 1)",
+            f"m{r} AS (SELECT list, list(s ORDER BY i) AS c FROM (SELECT list, i, sum(x) AS s FROM (SELECT list, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM a{r}) GROUP BY list, i) GROUP BY list)",
+            f"c{r + 1} AS (SELECT list, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM (SELECT c{r}.list, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (list)))",
+        ]
+    return f"""
+WITH {", ".join(ctes)},
+near AS (SELECT vec_id, list, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(u, c) DESC, list) AS p FROM u CROSS JOIN c{IVF_ROUNDS}),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, {_cos('q.embedding', 'c.embedding')} AS cosine
+  FROM near n JOIN near l ON l.list = n.list AND l.p = 1 JOIN u q ON q.vec_id = n.vec_id JOIN u c ON c.vec_id = l.vec_id
+  WHERE n.p <= ceil({IVF_SHARE} * (SELECT lists FROM size)) AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(cosine, 6) AS cosine
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= {TOP_K}
+"""
+
+
 WORD_STATS = f"""
 SELECT doc_id, {S.word_count('text')} AS n_words, {S.rough_tokens('text')} AS rough_tokens,
        CAST(length({S.strip('text')}) AS BIGINT) AS stripped_chars, NOT {S.non_blank('text')} AS is_blank
@@ -455,6 +485,8 @@ SCORE_ROWS = _with(
 
 ORACLES: dict[str, str] = {
     "ann_topk": ANN_TOPK,
+    "ivf_topk": _ivf_topk(),
+    "ivf_exact": KNN_TOPK,
     "knn_topk": KNN_TOPK,
     "word_stats": WORD_STATS,
     "chunk_words": CHUNK_WORDS,
