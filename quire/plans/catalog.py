@@ -48,6 +48,8 @@ ANSWER_WORDS = 39
 EMBED_DIM = 64
 VECTOR_DIM = 64
 NUM_CANDIDATES = 50
+BUCKETS = 16
+DROPS = 3
 IVF_ROUNDS = 2
 IVF_SHARE = 0.75
 N_LABELS = 10
@@ -212,6 +214,32 @@ def q_upsert_actions(spark, sf):
     return ingest.action_counts(actions)
 
 
+def q_upsert_bucketed(spark, sf):
+    """SNK2 + JN2: the upsert into a bucketed table, of which only changed buckets are written again."""
+    from quire.sources import buckets
+
+    stored, batch = _upsert_inputs(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark)}/bucketed-{uuid.uuid4().hex}"
+    buckets.create(stored, path, ["lang", "source"], BUCKETS)
+    buckets.upsert_into(spark, path, batch)
+    return buckets.read(spark, path).select("lang", "source", "doc_id", "content")
+
+
+def q_stream_snapshot(spark, sf):
+    """2.12: three drops of version files and a replay of the second, through the stateful stream."""
+    from quire.streaming.changes import run_change_stream
+
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stored, batch = _upsert_inputs(spark, sf)
+    versions = stored.withColumn("seq", F.col("doc_id")).unionByName(batch)
+    low, high = versions.agg(F.min("seq"), F.max("seq")).first()
+    third = (F.col("seq") - low) * DROPS / ((high or 0) - (low or 0) + 1)
+    for k in [*range(DROPS), 1]:
+        versions.where(F.floor(third) == k).write.mode("append").parquet(f"{root}/versions/drop-{uuid.uuid4().hex}")
+        run_change_stream(spark, f"{root}/versions/*", versions.schema, f"{root}/table", f"{root}/state", ["lang", "source"], n_buckets=BUCKETS)
+    return spark.read.parquet(f"{root}/table/rows").select("lang", "source", "doc_id", "content")
+
+
 def q_missing_pairs(spark, sf):
     pairs = summaries.missing_pairs(corpus_docs(spark, sf))
     return pairs.select(F.col("_id").alias("doc_id"), "variant")
@@ -415,6 +443,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_articles": q_page_articles,
     "upsert_snapshot": q_upsert_snapshot,
     "upsert_actions": q_upsert_actions,
+    "upsert_bucketed": q_upsert_bucketed,
+    "stream_snapshot": q_stream_snapshot,
     "missing_pairs": q_missing_pairs,
     "prompt_fill": q_prompt_fill,
     "summary_fill": q_summary_fill,

@@ -496,6 +496,8 @@ ORACLES: dict[str, str] = {
     "page_articles": _page_articles(),
     "upsert_snapshot": UPSERT_SNAPSHOT,
     "upsert_actions": UPSERT_ACTIONS,
+    "upsert_bucketed": UPSERT_SNAPSHOT,
+    "stream_snapshot": UPSERT_SNAPSHOT,
     "missing_pairs": MISSING_PAIRS,
     "prompt_fill": PROMPT_FILL,
     "summary_fill": SUMMARY_FILL,
