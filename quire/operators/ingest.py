@@ -52,10 +52,10 @@ def collect_documents(cached: DataFrame, fetched: DataFrame) -> DataFrame:
     return cached.unionByName(fetched)
 
 
-def parse_projection(df: DataFrame) -> DataFrame:
-    """PR3: url -> source_url, drop filename; ISO timestamp only at export (SC14)."""
+def parse_projection(df: DataFrame, *keep: str) -> DataFrame:
+    """PR3: url -> source_url, drop filename; ISO timestamp only at export (SC14).  ``keep`` names more columns."""
     return df.select(
-        "team", F.col("url").alias("source_url"), "content", "timestamp", "metadata"
+        "team", F.col("url").alias("source_url"), "content", "timestamp", "metadata", *keep
     )
 
 
@@ -83,7 +83,8 @@ def mark_versions(
     """WN1: every version of an affected key with ``_applied`` and ``action``.
 
     ``action`` is ``inserted``/``updated``/``unchanged`` for batch rows and NULL
-    for the stored row.  ``seq`` must be unique within a key.  Contents are
+    for the stored row.  ``seq`` must be unique within a key: ``_tied`` marks batch
+    rows without one, and those whose number another row of the key has.  Contents are
     compared by digest; NULL is a key like any other.  A key's versions are cut into blocks of about
     ``block_size`` by their place between its least and greatest ``seq``, so a
     hot key is spread over window partitions.
@@ -101,6 +102,8 @@ def mark_versions(
     ).drop("_low", "_high", "_blocks")
     w = Window.partitionBy(*keys, "_blk").orderBy("_ord")
     v = v.withColumn("_rn", F.row_number().over(w)).withColumn("_prev", F.lag("_digest").over(w))
+    # equal numbers of a key are in one block, next to each other
+    v = v.withColumn("_tied", ~F.col("_stored") & (F.col("_seq").isNull() | F.coalesce(F.lag("_seq").over(w) == F.col("_seq"), F.lit(False))))
     # last digest of every (key, block); the previous existing block is found by a window over blocks
     last = v.groupBy(*keys, "_blk").agg(F.max_by("_digest", "_ord").alias("_last"))
     wb = Window.partitionBy(*keys).orderBy("_blk")
@@ -119,6 +122,14 @@ def mark_versions(
     return v.withColumn("_applied", applied).withColumn("action", action).drop("_rn", "_prev", "_carry", "_pblk", "_digest")
 
 
+def reject_ties(marked: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
+    """``marked`` as it is; raises if a batch row has no number or shares it within its key."""
+    tied = marked.where("_tied").select(*keys, F.col("_seq").alias(seq)).limit(1).collect()
+    if tied:
+        raise ValueError(f"{seq} is missing or not unique within its key: {tied[0].asDict()}")
+    return marked
+
+
 def upsert(
     stored: DataFrame,
     batch: DataFrame,
@@ -135,7 +146,9 @@ def upsert(
     not in the batch pass through untouched.  Write the snapshot to a new
     location (or MERGE where the table format supports it).  The marked
     versions (keys, numbers and actions, no texts) are checkpointed once for
-    both results; whole rows are joined for the winning versions only.
+    both results; whole rows are joined for the winning versions only.  A batch
+    row without ``seq``, or two with the same one in a key, are an error: their
+    order, and so the result, would not be defined.
 
     S6: like the reference, stored-only fields survive a content change, so
     derived data (summaries, and vectors keyed on them) goes stale.  With
@@ -147,7 +160,7 @@ def upsert(
     if check_unique:
         # TK6: the stored table must hold one row per key for "find one" semantics
         assert_unique(stored, keys)
-    marked = cut_lineage(mark_versions(stored, batch, keys, seq, block_size))
+    marked = reject_ties(cut_lineage(mark_versions(stored, batch, keys, seq, block_size)), keys, seq)
     fields = [c for c in batch.columns if c != seq and c not in keys]
     stored_only = [c for c in stored.columns if c not in fields and c not in keys]
     # the last applied version of each key; NULL number: the stored row stays as it is

@@ -27,20 +27,24 @@ def etl(
 ) -> tuple[DataFrame, DataFrame]:
     """JOB1: catalogue -> cached/fetched split -> assembled articles -> upsert.
 
-    ``cached``: ``(filename, content)``; ``sections``: ``(team, pos, level, number, line, index)``;
+    Catalogue rows are merged in their order (column ``position``; by default that of the frame's rows), so
+    of two rows of one team and URL the later one counts.  ``cached``: ``(filename, content)``; ``sections``: ``(team, pos, level, number, line, index)``;
     ``section_html``: ``(team, index, html)``.  Returns ``(snapshot, actions)``.
     """
-    have, need = ingest.split_cached(catalogue, cached)
-    cached_rows = have.join(cached, "filename").select("name", "url", "filename", "metadata", "content")
+    if "position" not in catalogue.columns:
+        catalogue = catalogue.withColumn("position", F.monotonically_increasing_id())
+    # written once: the numbers are read on both sides of the split
+    have, need = ingest.split_cached(cut_lineage(catalogue), cached)
+    fields = ["name", "url", "filename", "metadata", "position", "content"]
+    cached_rows = have.join(cached, "filename").select(*fields)
     secs = sections.join(section_html, ["team", "index"], "left").withColumn("text", clean_html_exact("html"))
     # PR1: the banner carries the page title taken from the catalogue URL
-    urls = need.select(F.col("name").alias("team"), page_title("url").alias("title"))
+    urls = need.groupBy(F.col("name").alias("team")).agg(page_title(F.min_by("url", "position")).alias("title"))
     secs = secs.join(urls, "team")
     built = articles.assemble_articles(secs, ["team"], "title").withColumnRenamed("article", "content")
-    fetched = need.join(built.withColumnRenamed("team", "name"), "name").select("name", "url", "filename", "metadata", "content")
+    fetched = need.join(built.withColumnRenamed("team", "name"), "name").select(*fields)
     docs = ingest.collect_documents(cached_rows, fetched).withColumnRenamed("name", "team")
-    docs = ingest.parse_projection(ingest.crawled_rows(docs, run_ts))
-    batch = docs.withColumn("seq", F.xxhash64("team", "source_url"))
+    batch = ingest.parse_projection(ingest.crawled_rows(docs, run_ts), "position").withColumnRenamed("position", "seq")
     return ingest.upsert(stored, batch, keys=list(ingest.DEFAULT_KEYS), seq="seq")
 
 

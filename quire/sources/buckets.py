@@ -96,12 +96,12 @@ def upsert_into(spark: SparkSession, path: str, batch: DataFrame, seq: str = "se
     The change detection of :func:`quire.operators.ingest.upsert` over the digests of the batch's buckets;
     only the winning versions of changed keys reach the table.
     """
-    from quire.operators.ingest import mark_versions
+    from quire.operators.ingest import mark_versions, reject_ties
 
     keys, buckets = layout(spark, path)
     touched = [r[BUCKET] for r in batch.select(bucket_of(keys, buckets).alias(BUCKET)).distinct().collect()]
     stored = _stored(spark, path).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
-    marked = cut_lineage(mark_versions(stored, batch, keys, seq, block_size))
+    marked = reject_ties(cut_lineage(mark_versions(stored, batch, keys, seq, block_size)), keys, seq)
     final = marked.where("_applied").groupBy(*keys).agg(F.max_by("_seq", "_ord").alias(seq)).where(F.col(seq).isNotNull())
     winners = join_same(batch.withColumn(seq, F.col(seq).cast("long")), final, [*keys, seq]).drop(seq)
     replaced = update(spark, path, winners)

@@ -19,14 +19,16 @@ QA_SCHEMA = T.StructType([T.StructField("input", T.StringType()), T.StructField(
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1 + UN1: a team catalogue (JSON Lines, or one JSON document with a ``teams`` array)."""
+    """SRC1 + UN1: a team catalogue (JSON Lines, or one JSON document with a ``teams`` array) with each row's ``position``."""
     raw = spark.read.option("multiLine", True).json(path)
     if "teams" in raw.columns:
         wrapped = spark.read.schema(T.StructType([T.StructField("teams", T.ArrayType(TEAM_SCHEMA))])).option(
             "multiLine", True
         ).json(path)
-        return wrapped.select(F.explode("teams").alias("t")).select("t.*")
-    return spark.read.schema(TEAM_SCHEMA).json(path)
+        # files in the order of their scan, teams in that of their array
+        place = (F.monotonically_increasing_id() * F.lit(1 << 24)).alias("file")
+        return wrapped.select(place, F.posexplode("teams").alias("pos", "t")).select("t.*", (F.col("file") + F.col("pos")).alias("position"))
+    return spark.read.schema(TEAM_SCHEMA).json(path).withColumn("position", F.monotonically_increasing_id())
 
 
 def cached_articles(spark: SparkSession, directory: str) -> DataFrame:

@@ -78,3 +78,17 @@ def test_sections_without_level_or_line_keep_their_text(spark):
     df = spark.createDataFrame(rows, "k int, title string, pos int, level int, number string, line string, text string")
     r = assemble_articles(df, ["k"], "title").first()
     assert r.n_sections == 2 and "kept" in r.article and "## Head" in r.article
+
+
+def test_two_catalogue_rows_of_one_key_are_merged_in_order(spark):
+    """As in a loop over the catalogue that finds one, compares and replaces: the later row counts, once."""
+    rows = [("A", "https://x/wiki/A", "one.md", {"n": "1"}), ("B", "https://x/wiki/B", "b.md", None), ("A", "https://x/wiki/A", "two.md", {"n": "2"})]
+    cached = spark.createDataFrame([("one.md", "one"), ("two.md", "two"), ("b.md", "bee")], "filename string, content string")
+    sections = spark.createDataFrame([], "team string, pos int, level int, number string, line string, index string")
+    html = spark.createDataFrame([], "team string, index string, html string")
+    for order, want in ((rows, "two"), (rows[::-1], "one")):
+        for stored in ([], [("A", "https://x/wiki/A", "old", None, None, {"default": "s"})]):
+            snap, actions = jobs.etl(spark, spark.createDataFrame(order, TEAM_SCHEMA), cached, sections, html, spark.createDataFrame(stored, STORED))
+            got = {(r.team, r.content): r.summaries for r in snap.collect()}
+            assert set(got) == {("A", want), ("B", "bee")} and (not stored or got["A", want] == {"default": "s"})
+            assert sorted(r.action for r in actions.collect()) == sorted(["inserted", "updated"] + (["updated"] if stored else ["inserted"]))

@@ -114,3 +114,11 @@ def test_check_unique_stored_keys(spark):
     b = spark.createDataFrame([("t", "u", "C", 1, 1)], BATCH)
     with pytest.raises(ValueError):
         upsert(s, b, keys=["team", "source_url"], seq="seq", check_unique=True)
+
+
+def test_equal_or_missing_numbers_of_a_key_are_refused(spark):
+    stored = spark.createDataFrame([], STORED)
+    for rows in ([("t", "u", "a", 1, 5), ("t", "u", "b", 1, 5)], [("t", "u", "a", 1, None)]):
+        with pytest.raises(ValueError, match="seq is missing or not unique"):
+            upsert(stored, spark.createDataFrame(rows, BATCH), ["team", "source_url"])
+    upsert(stored, spark.createDataFrame([("t", "u", "a", 1, 5), ("t", "v", "b", 1, 5)], BATCH), ["team", "source_url"])
