@@ -1,11 +1,14 @@
 """Model plug points (ML1, ML2, SC25) and deterministic offline stand-ins.
 
 A chat model maps ``(system, user, max_tokens)`` columns to
-``struct<value string, error string>``; an embedder maps a text column to an
+``struct<value string, error string>`` (and more fields); an embedder maps a text column to an
 ``ARRAY<DOUBLE>``.  Remote models are wrapped with :func:`remote_chat` /
 :func:`remote_embedder`: an iterator pandas UDF opens the client once per
 task, calls it batch by batch and is marked non-deterministic so Spark never
-re-evaluates it speculatively.  Write their output before fanning out.
+re-evaluates it speculatively.  A failing call is tried again a bounded number
+of times, after waits that double up to a bound; what still fails is an error
+in the result, not of the job.  Write their output before fanning out
+(:mod:`quire.operators.stored` keeps it over runs).
 
 The stand-ins are plain Spark expressions (no Python worker):
 
@@ -18,7 +21,9 @@ The stand-ins are plain Spark expressions (no Python worker):
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,7 +32,10 @@ from pyspark.sql import types as T
 
 from quire.functions.text import _c, let, lower_terms, words
 
-CHAT_RESULT = T.StructType([T.StructField("value", T.StringType()), T.StructField("error", T.StringType())])
+_MEASURED = [T.StructField("attempts", T.IntegerType()), T.StructField("started", T.TimestampType()), T.StructField("ended", T.TimestampType())]
+#: result of a remote chat call, and of a text sent to a remote embedder
+REMOTE_RESULT = T.StructType([T.StructField("value", T.StringType()), T.StructField("error", T.StringType()), *_MEASURED])
+EMBED_RESULT = T.StructType([T.StructField("value", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType()), *_MEASURED])
 
 
 class LeadChat:
@@ -72,24 +80,32 @@ class SpreadChat:
         return F.struct(value.alias("value"), F.when(failed, F.lit("refused")).alias("error"))
 
 
-def remote_chat(call: Callable[[str, str, int], str | None], max_tokens: int = 1_500):
+def _tried(call: Callable, attempts: int, wait: float, longest: float) -> tuple:
+    """(value, error, attempts, started, ended) of a call, made again after errors."""
+    started, error = pd.Timestamp.now(tz="UTC"), None
+    for n in range(1, attempts + 1):
+        try:
+            return call(), None, n, started, pd.Timestamp.now(tz="UTC")
+        except Exception as err:  # noqa: BLE001 - reported in the error column
+            error = str(err) or type(err).__name__
+            if n < attempts:
+                time.sleep(min(wait * 2 ** (n - 1), longest))
+    return None, error, attempts, started, pd.Timestamp.now(tz="UTC")
+
+
+def remote_chat(call: Callable[[str, str, int], str | None], max_tokens: int = 1_500, attempts: int = 3, wait: float = 0.5, longest: float = 30.0):
     """Wrap a client function ``call(system, user, max_tokens) -> text`` as a chat model.
 
-    Errors become ``value=NULL, error=<message>`` (SC25) instead of failing the job.
+    A call is made at most ``attempts`` times, ``wait`` seconds after the first error, twice as long after
+    each further one and at most ``longest``.  Errors become ``value=NULL, error=<message>`` (SC25) instead
+    of failing the job; the result also tells the attempts and when the call began and ended.
     """
 
-    @F.pandas_udf(CHAT_RESULT)
+    @F.pandas_udf(REMOTE_RESULT)
     def _udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for system, user, limit in batches:
-            values, errors = [], []
-            for s, u, n in zip(system, user, limit):
-                try:
-                    values.append(call(s, u, int(n)))
-                    errors.append(None)
-                except Exception as err:  # noqa: BLE001 - reported in the error column
-                    values.append(None)
-                    errors.append(str(err))
-            yield pd.DataFrame({"value": values, "error": errors})
+            rows = [_tried(partial(call, s, u, int(n)), attempts, wait, longest) for s, u, n in zip(system, user, limit)]
+            yield pd.DataFrame(rows, columns=REMOTE_RESULT.names).astype({"started": "datetime64[us, UTC]", "ended": "datetime64[us, UTC]"})
 
     udf = _udf.asNondeterministic()
 
@@ -147,18 +163,35 @@ class HashingEmbedder:
         return _embed(lower_terms(text))
 
 
-def remote_embedder(call: Callable[[list[str]], list[list[float]]]):
-    """Wrap a batch client ``call(texts) -> vectors`` as an embedder (ML1)."""
+def remote_embedder(call: Callable[[list[str]], list[list[float]]], attempts: int = 3, wait: float = 0.5, longest: float = 30.0):
+    """Wrap a batch client ``call(texts) -> vectors`` as an embedder (ML1).
+
+    A batch is tried like a chat call; if it still fails its texts are sent one by one, so that only those
+    that fail by themselves have no vector and an error (SC25).
+    """
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(EMBED_RESULT)
+    def _udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series(call(texts.fillna("").tolist()))
+            asked = texts.fillna("").tolist()
+            whole = _tried(partial(call, asked), attempts, wait, longest) if asked else ([], None, 0, None, None)
+            if whole[1] is None:
+                rows = [(list(map(float, v)), None, *whole[2:]) for v in whole[0]]
+            else:
+                rows = []
+                for text in asked:
+                    value, *rest = _tried(partial(call, [text]), attempts, wait, longest)
+                    rows.append((list(map(float, value[0])) if value else None, *rest))
+            out = pd.DataFrame(rows, columns=EMBED_RESULT.names, dtype=object)
+            yield out.astype({"attempts": "int32", "started": "datetime64[us, UTC]", "ended": "datetime64[us, UTC]"})
 
     udf = _udf.asNondeterministic()
 
     class _Remote:
-        def embed(self, text: Column | str) -> Column:
+        def embed_result(self, text: Column | str) -> Column:
             return udf(_c(text))
 
+        def embed(self, text: Column | str) -> Column:
+            return self.embed_result(text)["value"]
+
     return _Remote()

@@ -11,7 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import _c, fill_template
+from quire.operators.joins import broadcast_if_small
 from quire.operators.knn import exact_topk
+from quire.operators.stored import answered, embedded
+from quire.session import cut_lineage
+
+# Ids of hits are broadcast only below this many rows.
+HIT_IDS_BROADCAST_ROWS = 100_000
 
 # The question-answering prompt.
 QUERY_PROMPT = """
@@ -39,9 +45,22 @@ def ordered_concat(order: str, text: str, sep: str = CONTEXT_SEPARATOR) -> Colum
 
 
 def retrieve(questions: DataFrame, corpus: DataFrame, embedder, k: int = 3, **knn) -> DataFrame:
-    """Embed the questions and return their top-k hits (``query_id, rank, ...``)."""
-    q = questions.select(F.col("query_id"), embedder.embed("question").alias("embedding"))
-    return exact_topk(q, corpus, k, **knn)
+    """Embed the questions and return their top-k hits (``query_id, rank, ...``).
+
+    The search sees ids and vectors only; the other columns are read for the hits.  Ids are unique.
+    """
+    c_id, c_vec, groups = knn.get("c_id", "vec_id"), knn.get("c_vec", "embedding"), list(knn.get("group_cols", ()))
+    q = embedded(questions.select("query_id", "question", *groups), embedder, "question").drop("question")
+    hits = exact_topk(q, corpus.select(c_id, c_vec, *groups), k, **knn)
+    others = [c for c in corpus.columns if c not in (c_id, c_vec, *groups)]
+    if not others:
+        return hits
+    hits = cut_lineage(hits)  # k rows a question
+    wanted = broadcast_if_small(hits.select(c_id).distinct(), HIT_IDS_BROADCAST_ROWS)
+    texts = corpus.select(c_id, *others).join(wanted, c_id, "left_semi")
+    # whole texts: never broadcast
+    found = hits.join(texts.hint("merge"), c_id)
+    return found.select("query_id", "rank", *corpus.drop(c_vec).columns, "cosine", "search_score")
 
 
 def contexts(questions: DataFrame, hits: DataFrame, text_col: str = "summary_text") -> DataFrame:
@@ -76,4 +95,4 @@ def answer(questions: DataFrame, corpus: DataFrame, embedder, model, k: int = 3,
     hits = retrieve(questions, corpus, embedder, k, **knn)
     c = contexts(questions, hits, text_col)
     c = c.withColumn("prompt", rag_prompt("context", "question"))
-    return c.withColumn("answer", F.coalesce(model.complete(F.lit(""), F.col("prompt"))["value"], F.lit("")))
+    return answered(c, model, F.lit(""), F.col("prompt")).withColumn("answer", F.coalesce("_answer.value", F.lit(""))).drop("_answer")

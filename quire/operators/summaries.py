@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import _c, fill_template, non_blank
 from quire.operators.chunking import chunk_array
+from quire.operators.stored import answered
 
 # Summary variants (prompt text and completion limit).
 VARIANTS: dict[str, dict] = {
@@ -178,9 +179,9 @@ def _answered(calls: DataFrame, model, system: Column, user: Column) -> DataFram
     """``calls`` with the model's ``_answer``; each variant has its own completion limit."""
     limits = sorted({cfg["max_tokens"] for cfg in VARIANTS.values()})
     if len(limits) == 1:
-        return calls.withColumn("_answer", model.complete(system, user, limits[0]))
+        return answered(calls, model, system, user, limits[0])
     of = {n: [v for v, cfg in VARIANTS.items() if cfg["max_tokens"] == n] for n in limits}
-    parts = [calls.where(F.col("variant").isin(names)).withColumn("_answer", model.complete(system, user, n)) for n, names in of.items()]
+    parts = [answered(calls.where(F.col("variant").isin(names)), model, system, user, n) for n, names in of.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.vectors import contract_violation
+from quire.operators.stored import embedded
 
 VECTOR_KEYS = ["team", "summary_type"]
 
@@ -39,10 +40,10 @@ def missing_vectors(docs: DataFrame, vectors: DataFrame, carry: list[str] | None
 
 def build_vector_rows(rows: DataFrame, embedder) -> DataFrame:
     """ML1 + PR5: embed the summary text and carry source_url, metadata, timestamp."""
-    return rows.select(
+    return embedded(rows, embedder, "summary_text").select(
         *VECTOR_KEYS,
         "summary_text",
-        embedder.embed("summary_text").alias("embedding"),
+        "embedding",
         "source_url",
         "metadata",
         "timestamp",

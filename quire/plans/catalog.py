@@ -36,6 +36,7 @@ from quire.operators import articles, chunking, evaluate, ingest, rag, summaries
 from quire.operators.knn import exact_topk
 from quire.operators.metrics import greedy_match
 from quire.operators.models import HashingEmbedder, SpreadChat
+from quire.operators.stored import StoredChat, answered
 from quire.operators.vectors import VECTOR_KEYS, missing_vectors as missing_vector_rows
 from quire.session import cut_lineage, ensure_checkpoint_dir
 from quire.sources import tables
@@ -135,7 +136,8 @@ def rag_answers(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("context", F.lit("")).alias("context"),
     )
     out = out.withColumn("prompt", rag.rag_prompt("context", "question"))
-    return out.withColumn("answer", F.coalesce(SpreadChat(ANSWER_WORDS).complete(F.lit(""), F.col("prompt"))["value"], F.lit("")))
+    out = answered(out, SpreadChat(ANSWER_WORDS), F.lit(""), F.col("prompt"))
+    return out.withColumn("answer", F.coalesce("_answer.value", F.lit(""))).drop("_answer")
 
 
 # --------------------------------------------------------------------------- queries
@@ -258,6 +260,16 @@ def q_summary_fill(spark, sf):
     return f.select(F.col("_id").alias("doc_id"), F.explode("summaries").alias("variant", "summary"))
 
 
+def q_summary_stored(spark, sf):
+    """ML2: the summary fill over stored completions; the second run reads every answer and makes no call but for failed ones."""
+    path = f"{ensure_checkpoint_dir(spark)}/completions-{uuid.uuid4().hex}"
+    model = StoredChat(SpreadChat(ANSWER_WORDS), f"spread-{ANSWER_WORDS}", path)
+    docs = corpus_docs(spark, sf)
+    for _ in range(2):
+        filled = summaries.incremental_summaries(docs, model, SUMMARY_CHUNK_TOKENS)
+    return filled.select(F.col("_id").alias("doc_id"), F.explode("summaries").alias("variant", "summary"))
+
+
 def q_missing_vectors(spark, sf):
     f = filled_docs(spark, sf).select(
         F.col("team"), "_id", "summaries", F.lit(None).cast("string").alias("source_url"),
@@ -449,6 +461,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prompt_fill": q_prompt_fill,
     "summary_fill": q_summary_fill,
     "summary_errors": q_summary_errors,
+    "summary_stored": q_summary_stored,
     "missing_vectors": q_missing_vectors,
     "rag_context": q_rag_context,
     "chat_messages": q_chat_messages,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions.html import clean_html_exact, page_title
 from quire.operators import articles, evaluate, ingest, rag, summaries
 from quire.operators.observe import call_spans
+from quire.operators.stored import answered
 from quire.operators.vectors import build_vector_rows, missing_vectors
 from quire.session import cut_lineage
 
@@ -76,9 +77,9 @@ def qa_evaluation(qa: DataFrame, model, judges: dict) -> DataFrame:
 
     ``judges`` maps a score name to ``f(input_col, output_col) -> Column``.
     """
-    answered = qa.withColumn("output", F.coalesce(model.complete(F.lit(""), F.col("input"))["value"], F.lit("")))
-    answered = cut_lineage(answered)
-    return answered.select("input", "output", *[fn(F.col("input"), F.col("output")).alias(n) for n, fn in judges.items()])
+    asked = answered(qa, model, F.lit(""), F.col("input"))
+    asked = cut_lineage(asked.withColumn("output", F.coalesce("_answer.value", F.lit(""))))
+    return asked.select("input", "output", *[fn(F.col("input"), F.col("output")).alias(n) for n, fn in judges.items()])
 
 
 def search(questions: DataFrame, vectors: DataFrame, embedder, model, k: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -502,6 +502,7 @@ ORACLES: dict[str, str] = {
     "prompt_fill": PROMPT_FILL,
     "summary_fill": SUMMARY_FILL,
     "summary_errors": SUMMARY_ERRORS,
+    "summary_stored": SUMMARY_FILL,
     "missing_vectors": MISSING_VECTORS,
     "rag_context": RAG_CONTEXT,
     "chat_messages": CHAT_MESSAGES,
