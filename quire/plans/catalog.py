@@ -270,15 +270,31 @@ def q_summary_stored(spark, sf):
     return filled.select(F.col("_id").alias("doc_id"), F.explode("summaries").alias("variant", "summary"))
 
 
+def q_missing_vectors_by_key(spark, sf):
+    """JN5 against a catalogue table in buckets of its key: the stored side of the anti join is not moved."""
+    from quire.sources import tables_by_key
+
+    name = f"vectors_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    stored = corpus_docs(spark, sf).filter(F.col("toxic") == 0).select("team", F.explode("summaries").alias("summary_type", "summary_text"))
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tables_by_key.create_if_absent(stored.select(*VECTOR_KEYS).distinct(), name, path, VECTOR_KEYS, buckets)
+    return _missing_vector_ids(spark, sf, spark.table(name))
+
+
 def q_missing_vectors(spark, sf):
+    stored = corpus_docs(spark, sf).filter(F.col("toxic") == 0).select(
+        "team", F.explode("summaries").alias("summary_type", "summary_text")
+    )
+    return _missing_vector_ids(spark, sf, stored.select(*VECTOR_KEYS))
+
+
+def _missing_vector_ids(spark, sf, stored):
     f = filled_docs(spark, sf).select(
         F.col("team"), "_id", "summaries", F.lit(None).cast("string").alias("source_url"),
         F.lit(None).cast("map<string,string>").alias("metadata"), F.lit(None).cast("timestamp").alias("timestamp"),
     )
-    stored = corpus_docs(spark, sf).filter(F.col("toxic") == 0).select(
-        "team", F.explode("summaries").alias("summary_type", "summary_text")
-    )
-    rows = missing_vector_rows(f, stored.select(*VECTOR_KEYS), carry=["_id"])
+    rows = missing_vector_rows(f, stored, carry=["_id"])
     return rows.select(F.col("_id").alias("doc_id"), "summary_type")
 
 
@@ -463,6 +479,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summary_errors": q_summary_errors,
     "summary_stored": q_summary_stored,
     "missing_vectors": q_missing_vectors,
+    "missing_vectors_by_key": q_missing_vectors_by_key,
     "rag_context": q_rag_context,
     "chat_messages": q_chat_messages,
     "greedy_match": q_greedy_match,

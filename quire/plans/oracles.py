@@ -504,6 +504,7 @@ ORACLES: dict[str, str] = {
     "summary_errors": SUMMARY_ERRORS,
     "summary_stored": SUMMARY_FILL,
     "missing_vectors": MISSING_VECTORS,
+    "missing_vectors_by_key": MISSING_VECTORS,
     "rag_context": RAG_CONTEXT,
     "chat_messages": CHAT_MESSAGES,
     "greedy_match": GREEDY_MATCH,
