@@ -47,6 +47,30 @@ def write_qa_json(df: DataFrame, path: str) -> None:
     df.select("input", "expected_output").write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_qa_json_array(df: DataFrame, path: str, position: str | None = None) -> None:
+    """SNK5: QA pairs as one indented JSON array, UTF-8 kept, in the order of ``position`` (default: of the rows).
+
+    The folder holds one file, written by one task that reads its lines sorted; an empty set is an empty array.
+    """
+    from quire.session import cut_lineage
+
+    def value(c: str) -> Column:
+        boxed = F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"})  # {"v":...}
+        return F.substr(boxed, F.lit(6), F.length(boxed) - 6)
+
+    place = F.col(position).cast("long") if position else F.monotonically_increasing_id()
+    # written once: the last row is looked up before the lines are made
+    rows = cut_lineage(df.select(place.alias("place"), *[value(c).alias(c) for c in ("input", "expected_output")]))
+    last = rows.agg(F.max("place")).first()[0]
+    item = F.concat(
+        F.lit('  {\n    "input": '), F.col("input"), F.lit(',\n    "expected_output": '), F.col("expected_output"),
+        F.when(F.col("place") < F.lit(last), F.lit("\n  },")).otherwise(F.lit("\n  }")),
+    )
+    bounds = df.sparkSession.createDataFrame([(0, None, "["), (2, None, "]")], "section int, place long, value string")
+    lines = bounds.unionByName(rows.select(F.lit(1).alias("section"), "place", item.alias("value")))
+    lines.repartition(1).sortWithinPartitions("section", "place").select("value").write.mode("overwrite").text(path)
+
+
 def append_eval_set(df: DataFrame, path: str, prefix: str, run_ts: Column | None = None) -> None:
     """SNK6: items appended under a timestamped dataset name (partition column)."""
     ts = run_ts if run_ts is not None else F.current_timestamp()

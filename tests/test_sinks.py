@@ -95,3 +95,26 @@ def test_infinite_vectors_break_the_contract(spark):
 
     df = spark.createDataFrame([([1.0, float("inf")],), ([1.0, float("-inf")],), ([float("nan"), 1.0],), ([1.0, 2.0],)], "v array<double>")
     assert [r[0] for r in df.select(contract_violation("v", 2)).collect()] == ["bad_value"] * 3 + [None]
+
+
+def test_qa_set_as_one_json_array(spark, tmp_path):
+    """SNK5 -> SRC7: one indented array in the order of the rows, read back as it was."""
+    import glob
+    import json
+
+    from quire.sources import files, sinks
+
+    rows = [(2, "two \"quoted\" é 中🎉", "line\nbreak\t\\ \u2028 /"), (1, "one", ""), (3, None, "\x01\x1f"), (4, "four", None)]
+    df = spark.createDataFrame(rows, "n int, input string, expected_output string").repartition(3)
+    path = str(tmp_path / "qa")
+    sinks.write_qa_json_array(df, path, "n")
+    [file] = glob.glob(f"{path}/part-*")
+    text = open(file, encoding="utf-8").read()
+    want = [{"input": i, "expected_output": o} for _, i, o in sorted(rows)]
+    assert json.loads(text) == want and "é 中🎉" in text
+    assert text.replace("\\u001F", "\\u001f").rstrip("\n") == json.dumps(want, indent=2, ensure_ascii=False)
+    assert [tuple(r) for r in files.qa_pairs(spark, path).collect()] == [(i, o) for _, i, o in sorted(rows)]
+    sinks.write_qa_json_array(df.limit(0), path)
+    assert files.qa_pairs(spark, path).count() == 0
+    sinks.write_qa_json_array(spark.createDataFrame([("a", "b"), ("c", "d")], "input string, expected_output string"), path)
+    assert [tuple(r) for r in files.qa_pairs(spark, path).collect()] == [("a", "b"), ("c", "d")]
