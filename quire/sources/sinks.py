@@ -101,11 +101,16 @@ def append_new_rows(spark, df: DataFrame, path: str, key_cols: list[str]) -> Dat
 def append_experiment(experiment: DataFrame, scores: DataFrame, path: str) -> None:
     """SNK8: one experiment row and its score rows, appended under ``path``.
 
-    ``experiment`` is one row (``observe.experiment_row``); every score row carries its name.
+    ``experiment`` is one row (``observe.experiment_row``); every score row carries its name.  The name is the
+    experiment's key: a second run of it replaces its scores and adds no second row.  The row is written
+    after the scores, so an experiment that is listed has them.
     """
-    name = experiment.first()["name"]
-    experiment.write.mode("append").parquet(f"{path}/experiments")
-    scores.withColumn("experiment", F.lit(name)).write.mode("append").partitionBy("experiment").parquet(f"{path}/scores")
+    spark = experiment.sparkSession
+    name, listed = experiment.first()["name"], f"{path}/experiments"
+    named = scores.withColumn("experiment", F.lit(name))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment").parquet(f"{path}/scores")
+    if not path_exists(spark, listed) or spark.read.parquet(listed).where(F.col("name") == name).isEmpty():
+        experiment.write.mode("append").parquet(listed)
 
 
 def export_iso(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:

@@ -118,3 +118,14 @@ def test_qa_set_as_one_json_array(spark, tmp_path):
     assert files.qa_pairs(spark, path).count() == 0
     sinks.write_qa_json_array(spark.createDataFrame([("a", "b"), ("c", "d")], "input string, expected_output string"), path)
     assert [tuple(r) for r in files.qa_pairs(spark, path).collect()] == [("a", "b"), ("c", "d")]
+
+
+def test_an_experiment_run_again_replaces_its_scores(spark, tmp_path):
+    from quire.operators.observe import experiment_row
+    from quire.sources import sinks
+
+    path = str(tmp_path / "experiments")
+    for name, values in (("one", [0.1, 0.2]), ("two", [0.5]), ("one", [0.3])):
+        sinks.append_experiment(experiment_row(spark, name, {}), spark.createDataFrame([(v,) for v in values], "score double"), path)
+    assert sorted(r.name for r in spark.read.parquet(f"{path}/experiments").collect()) == ["one", "two"]
+    assert sorted((r.experiment, r.score) for r in spark.read.parquet(f"{path}/scores").collect()) == [("one", 0.3), ("two", 0.5)]
