@@ -26,7 +26,7 @@ import math
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
@@ -34,7 +34,7 @@ from quire.functions.html import clean_html_exact, page_title
 from quire.functions.vectors import contract_violation, norm
 from quire.operators import articles, chunking, evaluate, ingest, rag, summaries
 from quire.operators.knn import exact_topk
-from quire.operators.metrics import greedy_match
+from quire.operators.metrics import embedding_cosine, greedy_match
 from quire.operators.models import HashingEmbedder, SpreadChat
 from quire.operators.stored import StoredChat, answered
 from quire.operators.vectors import VECTOR_KEYS, missing_vectors as missing_vector_rows
@@ -330,6 +330,14 @@ def q_tf_cosine(spark, sf):
     return s.select("item_id", _r("cosine").alias("cosine"))
 
 
+def q_embedding_cosine(spark, sf):
+    """ML8 with an embedder: how close each turn of a conversation is to the next one."""
+    turns = tables.read_table(spark, sf, "conversations", "conv_id", "turn", "text")
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = turns.withColumn("reference", following).where("reference IS NOT NULL").withColumnRenamed("text", "candidate")
+    return embedding_cosine(pairs, HashingEmbedder(EMBED_DIM)).select("conv_id", "turn", _r("cosine").alias("cosine"))
+
+
 def q_combined_score(spark, sf):
     _, s = scored_items(spark, sf)
     return s.select("item_id", _r("combined").alias("combined_score"))
@@ -486,6 +494,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lexical_prf": q_lexical_prf,
     "tf_cosine": q_tf_cosine,
     "combined_score": q_combined_score,
+    "embedding_cosine": q_embedding_cosine,
     "score_rows": q_score_rows,
     "eval_wide": q_eval_wide,
     "eval_missing": q_eval_missing,

@@ -393,6 +393,16 @@ JUDGE_SCORES = _with(
 FROM ans""",
 )
 
+EMBEDDING_COSINE = f"""
+WITH p AS (SELECT * FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS following FROM conversations) WHERE following IS NOT NULL),
+x AS (SELECT conv_id, turn, b, count(*) AS n FROM (SELECT conv_id, turn, {_bucket('t')} AS b FROM (SELECT conv_id, turn, unnest({S.terms('text')}) AS t FROM p)) GROUP BY ALL),
+y AS (SELECT conv_id, turn, b, count(*) AS n FROM (SELECT conv_id, turn, {_bucket('t')} AS b FROM (SELECT conv_id, turn, unnest({S.terms('following')}) AS t FROM p)) GROUP BY ALL),
+nx AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS lx FROM x GROUP BY ALL), ny AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS ly FROM y GROUP BY ALL),
+d AS (SELECT conv_id, turn, sum(x.n * y.n) AS s FROM x JOIN y USING (conv_id, turn, b) GROUP BY ALL)
+SELECT conv_id, turn, round(coalesce(s, CASE WHEN lx > 0 AND ly > 0 THEN 0 END) / (lx * ly), 6) AS cosine
+FROM p LEFT JOIN nx USING (conv_id, turn) LEFT JOIN ny USING (conv_id, turn) LEFT JOIN d USING (conv_id, turn)
+"""
+
 CHAT_MESSAGES = f"""
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages,
        string_agg(role || ': ' || text, {S.lit(chr(10) * 2)} ORDER BY turn) AS transcript
@@ -511,6 +521,7 @@ ORACLES: dict[str, str] = {
     "lexical_prf": LEXICAL_PRF,
     "tf_cosine": TF_COSINE,
     "combined_score": COMBINED_SCORE,
+    "embedding_cosine": EMBEDDING_COSINE,
     "score_rows": SCORE_ROWS,
     "eval_wide": EVAL_WIDE,
     "eval_missing": EVAL_MISSING,
