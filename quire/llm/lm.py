@@ -8,11 +8,14 @@ training documents; three passes read the texts, none moves them.
    ``(c + 1) / (N + V + 1)``, which is also the trie's lowest order.
 2. Trigrams are counted by shards, a shard holding all those whose middle word
    hashes to it; their sums are the counts of the bigrams that begin or end
-   with these words.  Tasks send the distinct trigrams of a piece as packed
-   places among its words.  Every bigram and trigram of ``LEAST`` occurrences is
-   stored, at any size of the corpus: what is gathered grows with it.  Higher
-   orders use absolute discounting and back off to lower ones with weights that
-   make each context sum to one.
+   with these words.  A middle word of more than half a shard's share of all
+   tokens is dealt on over several shards by the word before it; the bigrams
+   that begin with it are then summed by that word and given to each of these.
+   Tasks send the distinct trigrams of a piece as packed places among its words.
+   Every bigram and trigram of ``LEAST`` occurrences is stored, at any size of
+   the corpus: what is gathered grows with it.  Higher orders use absolute
+   discounting and back off to lower ones with weights that make each context
+   sum to one.
 3. Each shard builds a trie in its task: word, bigram and trigram levels;
    pointers and successors are monotone Elias-Fano sequences.  A bigram's
    successor is stored relative to its context's range; a trigram's as the rank
@@ -25,7 +28,7 @@ training documents; three passes read the texts, none moves them.
    ``2**SHARE`` words: a proven bound of what is broadcast, not of what is used);
    every other word's hash goes, with its document's place in the batch, to the
    shard that holds the counts of its hashes.  What the two words before change
-   in a token's score is found by the shard of the word before.  Sums per
+   in a token's score is found by the shard of the two words before.  Sums per
    document come back and are added; logarithms are additive, so this is exact.
 
 Defined results: null and empty texts are the end token alone; repeated rows
@@ -45,7 +48,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +60,6 @@ from quire.session import cut_lineage
 SHARE = 20
 #: least occurrences of a stored bigram or trigram, whatever the corpus
 LEAST = 2
-#: bits for a word's place in its shard
-BITS = 21
 START = np.uint64(0x57A127)  # stands before a text
 DISCOUNT = 0.75
 #: entries in a book of quantised logarithms
@@ -143,21 +144,78 @@ def _unplanes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
-def _pack3(hashes: np.ndarray, u: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes]:
+def _pack3(hashes: np.ndarray, t: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes]:
     """Triples of places among sorted hashes: the hashes in use, and places among these column by column."""
-    known, at = np.unique(np.concatenate([t, u, w]), return_inverse=True)
+    ids = np.concatenate([t, u, w])
+    if len(ids) * 4 < len(hashes):
+        known, at = np.unique(ids, return_inverse=True)
+    else:
+        used = np.zeros(len(hashes), bool)
+        used[ids] = True
+        known, at = np.flatnonzero(used), (np.cumsum(used) - 1)[ids]
     return _pack(hashes[known]), _planes(at)
 
 
-def _unpack3(known: bytes, places: bytes) -> np.ndarray:
-    return _unpack(known)[_unplanes(places).reshape(3, -1)]
+def _unpack3(known: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes in use and the places ``t, u, w`` among them."""
+    return _unpack(known), _unplanes(places).reshape(3, -1)
+
+
+def _order3(t: np.ndarray, u: np.ndarray, w: np.ndarray, size: int, kind: str | None = None) -> np.ndarray:
+    """Order by middle, first and last of triples of places below ``size``."""
+    if size <= 1 << 21:
+        return np.argsort((u.astype(np.int64) << 42) | (t.astype(np.int64) << 21) | w, kind=kind)
+    return np.lexsort((w, t, u))
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Places at which a sorted run of equal rows begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
 
+@dataclass
+class Deal:
+    """Which shard holds the trigrams of a middle word: words of many tokens are dealt on by the word before."""
+
+    shards: int
+    hot: np.ndarray  # sorted hashes
+    ways: np.ndarray  # shards of each
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, counts: np.ndarray, n: int, shards: int) -> Deal:
+        """From the sorted frequent words and their counts; fewer than ``2 * shards`` are hot."""
+        ways = np.minimum(-(-counts * 2 * shards // max(n, 1)), shards)
+        return cls(shards, hashes[ways > 1], ways[ways > 1])
+
+    def __call__(self, hashes: np.ndarray, t: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Shards of pairs of places among sorted hashes."""
+        home = (mix(hashes) % np.uint64(self.shards)).astype(np.int64)
+        out = home[u]
+        at = np.searchsorted(hashes, self.hot)
+        here = (at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == self.hot)
+        ways = np.ones(len(hashes), np.int64)
+        ways[at[here]] = self.ways[here]
+        split = np.flatnonzero(ways[u] > 1)
+        side = (mix(mix(hashes)) >> np.uint64(8)).astype(np.int64)
+        out[split] = (out[split] + side[t[split]] % ways[u[split]]) % self.shards
+        return out
 
-def _triples(tokens: np.ndarray, first: np.ndarray, shards: int, use: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """``(hashes, at, u, t, w, cuts)``: each token ``at`` that has one before it in its text, sorted by shard, ``u`` and ``t``.
+    def all(self, word: bytes) -> list[int]:
+        """Every shard of a hot word, given by the bytes of its hash."""
+        word = np.frombuffer(word, np.uint64)
+        home = int(mix(word)[0] % np.uint64(self.shards))
+        return [(home + k) % self.shards for k in range(int(self.ways[np.searchsorted(self.hot, word)[0]]))]
+
+
+def _triples(tokens: np.ndarray, first: np.ndarray, use: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """``(hashes, at, t, u, w)``: each token ``at`` that has one before it in its text, sorted by ``u``, ``t`` and ``w``.
 
     ``u``, ``t`` and ``w`` are the word before, the one before that (or START) and the token, as places among the sorted
-    ``hashes``; a shard ``s`` has the tokens ``cuts[s]`` to ``cuts[s + 1]``.
+    ``hashes``.
     """
     hashes, ids = np.unique(np.append(tokens, START), return_inverse=True)
     ids = ids.astype(np.int32)
@@ -166,23 +224,38 @@ def _triples(tokens: np.ndarray, first: np.ndarray, shards: int, use: np.ndarray
     at = np.flatnonzero(~begins if use is None else ~begins & use)
     u, w = ids[at - 1], ids[at]
     t = np.where(begins[at - 1], ids[-1], ids[np.maximum(at - 2, 0)])
-    shard = (mix(hashes) % np.uint64(shards)).astype(np.int32)
-    by_shard = np.argsort(shard, kind="stable")
-    rank = np.empty(len(hashes), np.int32)
-    rank[by_shard] = np.arange(len(hashes), dtype=np.int32)
-    if len(hashes) < 1 << 21:
-        order = np.argsort((rank[u].astype(np.int64) << 42) | (t.astype(np.int64) << 21) | w)
-    else:
-        order = np.lexsort((w, t, rank[u]))
-    u = u[order]
-    return hashes, at[order], u, t[order], w[order], np.searchsorted(shard[u], np.arange(shards + 1))
+    order = _order3(t, u, w, len(hashes))
+    return hashes, at[order], t[order], u[order], w[order]
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order by shard, and where each shard begins."""
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def ngram_counts(docs: DataFrame, shards: int) -> DataFrame:
-    """``(shard, hashes, two, c2, three, c3)``: words, and the stored bigrams and trigrams with their counts, one row a shard.
+def _gathered(blobs: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """``(known, t, u, w, c)``: the distinct triples of some blobs, sorted by ``u``, ``t`` and ``w``, and their counts."""
+    parts = [_unpack3(k, p) for k, p in zip(blobs["known"], blobs["places"])]
+    known = np.unique(np.concatenate([k for k, _ in parts]))
+    ids = np.concatenate([np.searchsorted(known, k).astype(np.int32)[p] for k, p in parts], axis=1)
+    c = np.concatenate([_unsmall(x) for x in blobs["counts"]])
+    del parts
+    order = _order3(*ids, len(known), kind="stable")  # blobs are sorted alike, so this merges runs
+    t, u, w = ids[:, order]
+    at = _starts(u, t, w)
+    return known, t[at], u[at], w[at], np.add.reduceat(c[order], at) if len(at) else c
+
+
+NGRAMS = "shard int, u binary, hashes array<long>, words binary, two binary, c2 binary, three binary, c3 binary"
+
+
+def ngram_counts(docs: DataFrame, deal: Deal, frequent: Broadcast) -> DataFrame:
+    """``NGRAMS``: a row for each shard with its stored bigrams and trigrams, and rows ``u`` of the bigrams of hot words.
 
     A shard has every n-gram around its middle words: ``(t, u, w)`` for each ``u`` of the shard, ``t`` being ``START``
-    at a text's second word.  The counts of ``(u, w)`` and ``(t, u)`` are sums of these.
+    at a text's second word.  The counts of ``(u, w)`` and ``(t, u)`` are sums of these; those of ``(u, w)`` for a hot
+    ``u`` are sums over its shards, a row ``u`` for each.  ``hashes``: the words whose counts have to be asked for.
     """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,46 +263,76 @@ def ngram_counts(docs: DataFrame, shards: int) -> DataFrame:
             train = np.asarray(part.column(1).to_pylist(), bool)
             for a, b, words in batches(part.column(0), size=PIECE):
                 tokens, first = _tokens(words)
-                hashes, _, u, t, w, cuts = _triples(tokens, first, shards, np.repeat(train[a:b], np.diff(first)))
-                new = np.ones(len(t), bool)
-                new[1:] = (t[1:] != t[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-                kept = np.flatnonzero(new)
-                c, t, u, w = np.diff(np.append(kept, len(t))), t[kept], u[kept], w[kept]
-                cuts = np.searchsorted(kept, cuts)
-                rows = [(s, *_pack3(hashes, u[x:y], t[x:y], w[x:y]), _small(c[x:y])) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+                hashes, _, t, u, w = _triples(tokens, first, np.repeat(train[a:b], np.diff(first)))
+                at = _starts(u, t, w)
+                c, t, u, w = np.diff(np.append(at, len(t))), t[at], u[at], w[at]
+                order, cuts = _by_shard(deal(hashes, t, u), deal.shards)
+                c, t, u, w = c[order], t[order], u[order], w[order]
+                rows = [(s, *_pack3(hashes, t[x:y], u[x:y], w[x:y]), _small(c[x:y])) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
                 columns = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(k, pa.binary()) for k in columns[1:])], ["shard", "known", "places", "counts"])
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Bigrams and trigrams of at least ``LEAST`` occurrences; ``BITS`` for each word of a key."""
-        t, u, w = np.concatenate([_unpack3(k, p) for k, p in zip(rows["known"], rows["places"])], axis=1)
-        c = np.concatenate([_unsmall(x) for x in rows["counts"]])
-        known, at = np.unique(np.concatenate([t, u, w]), return_inverse=True)
-        t, u, w = at.reshape(3, -1)
-        starts = int(np.searchsorted(known, START)) if (known == START).any() else -1
-        after, c_after = _summed(u << 32 | w, c)
-        real = t != starts
-        before, c_before = _summed((t << 32 | u)[real], c[real])
-        pairs, at_pair = np.unique((t << 32 | u)[real], return_inverse=True)
-        three, c3 = _summed(at_pair << 32 | w[real], c[real])
+        """Bigrams and trigrams of at least ``LEAST`` occurrences, as places among the words in use."""
+        known, t, u, w, c = _gathered(rows)
+        size = len(known)
+        hot = np.isin(known, deal.hot)
+        out = []
+        after, c_after = _summed(u.astype(np.int64) * size + w, c)
+        split = hot[after // size]
+        for x, y in _spans((after // size)[split]):
+            mine = known[after[split][x:y] % size]
+            out.append((None, known[after[split][x] // size].tobytes(), [], _pack(mine), None, _small(c_after[split][x:y]), None, None))
+        after, c_after = after[~split], c_after[~split]
+        real = known[t] != START
+        t, u, w, c = t[real], u[real], w[real], c[real]
+        at = _starts(u, t)
+        before = t[at].astype(np.int64) * size + u[at]
+        c_before = np.add.reduceat(c, at) if len(at) else c
+        context = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(t))))
         two, place = np.unique(np.concatenate([after[c_after >= LEAST], before[c_before >= LEAST]]), return_index=True)
         c2 = np.concatenate([c_after[c_after >= LEAST], c_before[c_before >= LEAST]])[place]
-        three, c3 = three[c3 >= LEAST], c3[c3 >= LEAST]
-        low = (1 << 32) - 1
-        parts = [pairs[three >> 32] >> 32, pairs[three >> 32] & low, three & low]
-        mine = np.unique(np.concatenate([two >> 32, two & low]))  # the words of trigrams are among those of bigrams
-        if len(mine) >= 1 << BITS:
-            raise ValueError(f"a shard has {len(mine)} words: raise spark.sql.shuffle.partitions")
-        new = np.zeros(len(known), np.int64)
+        held = c >= LEAST
+        context, last, c3 = np.searchsorted(two, before[context[held]]), w[held], c[held]
+        mine = np.unique(np.concatenate([two // max(size, 1), two % max(size, 1), last]))
+        new = np.zeros(size, np.int64)
         new[mine] = np.arange(len(mine))
-        two = new[two >> 32] << BITS | new[two & low]
-        three = (new[parts[0]] << BITS | new[parts[1]]) << BITS | new[parts[2]]
-        order2, order3 = np.argsort(two), np.argsort(three)
-        blobs = [_pack(two[order2].view(np.uint64)), _small(c2[order2]), _pack(three[order3].view(np.uint64)), _small(c3[order3])]
-        return pd.DataFrame([(key[0], known[mine].view(np.int64), *blobs)], columns=["shard", "hashes", "two", "c2", "three", "c3"])
+        two = new[two // max(size, 1)] * len(mine) + new[two % max(size, 1)]
+        three = context * len(mine) + new[last]
+        order = np.argsort(three)
+        blobs = [_pack(two.view(np.uint64)), _small(c2), _pack(three[order].view(np.uint64)), _small(c3[order])]
+        out.append((key[0], None, _unlisted(known[mine], frequent.value[0]), _pack(known[mine]), *blobs))
+        return _ngram_rows(out)
 
     blobs = docs.select("text", "train").mapInArrow(count, "shard int, known binary, places binary, counts binary")
-    return blobs.groupBy("shard").applyInPandas(add, "shard int, hashes array<long>, two binary, c2 binary, three binary, c3 binary")
+    return blobs.groupBy("shard").applyInPandas(add, NGRAMS)
+
+
+def hot_bigrams(stored: DataFrame, deal: Deal, frequent: Broadcast) -> DataFrame:
+    """The stored bigrams that begin with each hot word, in ``NGRAMS`` rows for each of its shards."""
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        words, c = _summed(np.concatenate([_unpack(x) for x in rows["words"]]), np.concatenate([_unsmall(x) for x in rows["c2"]]))
+        words, c = words[c >= LEAST], c[c >= LEAST]
+        ask = _unlisted(words, frequent.value[0])
+        return _ngram_rows([(s, key[0], ask, _pack(words), None, _small(c), None, None) for s in deal.all(bytes(key[0]))])
+
+    return stored.where(F.col("u").isNotNull()).groupBy("u").applyInPandas(add, NGRAMS)
+
+
+def _ngram_rows(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in NGRAMS.split(", ")])
+    return out.assign(shard=out["shard"].astype("Int32"))
+
+
+def _unlisted(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    return words[~np.isin(words, frequent)].view(np.int64)
+
+
+def _spans(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    at = _starts(values)
+    return list(zip(at.tolist(), np.append(at[1:], len(values)).tolist()))
 
 
 def _summed(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,22 +342,40 @@ def _summed(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, np.add.reduceat(c[order], np.cumsum(size) - size) if len(keys) else np.zeros(0, np.int64)
 
 
-def tries(stored: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
+def tries(stored: DataFrame, hot: DataFrame, counts: DataFrame, frequent: Broadcast, n: int, v: int) -> DataFrame:
     """``(shard, trie, spec)``: the trie of each shard, built in its task with the corpus-wide counts of its words."""
-    asked = stored.select(F.col("shard").alias("asking"), F.explode("hashes").alias("h")).join(counts, "h").select("asking", "h", "c")
+    rows = stored.where(F.col("shard").isNotNull()).unionByName(hot)
+    asked = rows.select(F.col("shard").alias("asking"), F.explode("hashes").alias("h")).distinct().join(counts, "h").select("asking", "h", "c")
 
     def build(key: tuple, rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        if not len(table):
+        mine = rows[rows["three"].notna()]
+        lists = [(np.frombuffer(r.u, np.uint64)[0], _unpack(r.words), _unsmall(r.c2)) for r in rows[rows["three"].isna()].itertuples(index=False)]
+        if len(mine):
+            r = mine.iloc[0]
+            old, two, c2, three, c3 = _unpack(r.words), _unpack(r.two).view(np.int64), _unsmall(r.c2), _unpack(r.three).view(np.int64), _unsmall(r.c3)
+        else:
+            old, (two, c2, three, c3) = np.zeros(0, np.uint64), (np.zeros(0, np.int64) for _ in range(4))
+        words = np.unique(np.concatenate([old, np.array([u for u, _, _ in lists], np.uint64), *(w for _, w, _ in lists)]))
+        if not len(words):
             return pd.DataFrame(columns=["shard", "trie", "spec"])
-        r = rows.iloc[0]
-        h = table.h.to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(h)
-        words, c = h[order], table.c.to_numpy(np.int64)[order]
-        two, three = ((_unpack(k).view(np.int64), _unsmall(m)) for k, m in ((r.two, r.c2), (r.three, r.c3)))
-        raw, spec = Trie.build(words, c, two, three, n, v, BITS).buffer()
+        size, before, place = len(words), max(len(old), 1), np.searchsorted(words, old)
+        own = place[two // before] * size + place[two % before] if len(two) else two
+        more = [np.searchsorted(words, u) * size + np.searchsorted(words, w) for u, w, _ in lists]
+        pairs, at = np.unique(np.concatenate([own, *more]), return_index=True)
+        c2 = np.concatenate([c2, *(c for _, _, c in lists)])[at]
+        context = np.searchsorted(pairs, own[three // before]) if len(three) else three
+        last = place[three % before] if len(three) else three
+        order = np.lexsort((last, context))
+        h, c = frequent.value
+        c1 = np.zeros(size, np.int64)
+        for some, count in ((h, c), (table.h.to_numpy(np.int64).view(np.uint64), table.c.to_numpy(np.int64))):
+            here = np.minimum(np.searchsorted(words, some), size - 1)
+            hit = words[here] == some
+            c1[here[hit]] = count[hit]
+        raw, spec = Trie.levels(words, c1, pairs // size, pairs % size, c2, context[order], last[order], c3[order], n, v).buffer()
         return pd.DataFrame([(key[0], raw, json.dumps(spec))], columns=["shard", "trie", "spec"])
 
-    return stored.drop("hashes").groupBy("shard").cogroup(asked.groupBy("asking")).applyInPandas(build, "shard int, trie binary, spec string")
+    return rows.drop("hashes").groupBy("shard").cogroup(asked.groupBy("asking")).applyInPandas(build, "shard int, trie binary, spec string")
 
 
 def _book(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,16 +407,21 @@ class Trie:
     @classmethod
     def build(cls, words: np.ndarray, counts: np.ndarray, two: tuple[np.ndarray, np.ndarray], three: tuple[np.ndarray, np.ndarray], n: int, v: int, bits: int = SHARE) -> Trie:
         """From sorted words and sorted packed bigram and trigram keys with their counts."""
-        size, mask = len(words), (1 << bits) - 1
+        mask = (1 << bits) - 1
+        context = np.searchsorted(two[0], three[0] >> bits)
+        return cls.levels(words, counts, two[0] >> bits, two[0] & mask, two[1], context, three[0] & mask, three[1], n, v)
+
+    @classmethod
+    def levels(cls, words, counts, u, w, c2, context, last, c3, n: int, v: int) -> Trie:
+        """From sorted words, sorted bigrams ``(u, w)`` and sorted trigrams ``(context, last)``, contexts being places of bigrams."""
+        size, bigrams = len(words), len(u)
         p1 = (counts + 1.0) / (n + v + 1.0)
-        u, w = two[0] >> bits, two[0] & mask
-        p2 = np.maximum(two[1] - DISCOUNT, 1e-9) / counts[u] if size else np.zeros(0)
+        p2 = np.maximum(c2 - DISCOUNT, 1e-9) / counts[u] if size else np.zeros(0)
         rest = lambda kept, lower: np.clip(1 - kept, 1e-9, None) / np.clip(1 - lower, 1e-9, None)
         back1 = np.log10(rest(np.bincount(u, p2, size), np.bincount(u, p1[w] if size else None, size))) if size else np.zeros(0)
-        context, middle, last = np.searchsorted(two[0], three[0] >> bits), (three[0] >> bits) & mask, three[0] & mask
-        lower = np.searchsorted(two[0], (middle << bits) | last)
-        p3 = np.maximum(three[1] - DISCOUNT, 1e-9) / two[1][context] if len(three[0]) else np.zeros(0)
-        bigrams = len(two[0])
+        middle = w[context]
+        lower = np.searchsorted(u * size + w, middle * size + last)
+        p3 = np.maximum(c3 - DISCOUNT, 1e-9) / c2[context] if len(context) else np.zeros(0)
         back2 = np.log10(rest(np.bincount(context, p3, bigrams), np.bincount(context, p2[lower] if bigrams else None, bigrams))) if bigrams else np.zeros(0)
         pointer2 = np.concatenate([[0], np.cumsum(np.bincount(u, minlength=size))]).astype(np.int64)
         pointer3 = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=bigrams))]).astype(np.int64)
@@ -365,6 +491,37 @@ class Trie:
         out[asked[found >= 0]] = self.prob3[0][self.prob3[1][found[found >= 0]]]
         return out
 
+    def gain(self, t: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the words ``t`` and ``u`` before it change in the log10 probability of ``w``; equal pairs ``(u, t)`` stand together.
+
+        Places among ``words``, -1 for others.
+        """
+        out = np.where(u >= 0, self.back1[0][self.back1[1][u]], 0.0)
+        asked = np.flatnonzero((u >= 0) & (w >= 0))
+        pair = np.full(len(u), -1, np.int64)
+        begin = self.pointer2.access(u[asked])
+        pair[asked] = self._successor(self.next2, w[asked], begin, self.pointer2.access(u[asked] + 1))
+        begins = np.zeros(len(u), np.int64)
+        begins[asked] = begin
+        hit = np.flatnonzero(pair >= 0)
+        out[hit] = self.prob2[0][self.prob2[1][pair[hit]]] - self.unigram[w[hit]]
+        at = _starts(t, u)
+        t1, u1 = t[at], u[at]
+        context = np.full(len(at), -1, np.int64)
+        some = np.flatnonzero((t1 >= 0) & (u1 >= 0))
+        context[some] = self._successor(self.next2, u1[some], self.pointer2.access(t1[some]), self.pointer2.access(t1[some] + 1))
+        change, begin, stop = np.zeros(len(at)), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        some = np.flatnonzero(context >= 0)
+        change[some] = self.back2[0][self.back2[1][context[some]]]
+        begin[some], stop[some] = self.pointer3.access(context[some]), self.pointer3.access(context[some] + 1)
+        run = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(t))))
+        out += change[run]
+        asked = np.flatnonzero((pair >= 0) & (stop > begin)[run])
+        found = self._successor(self.next3, pair[asked] - begins[asked], begin[run[asked]], stop[run[asked]])
+        hit = asked[found >= 0]
+        out[hit] = self.prob3[0][self.prob3[1][found[found >= 0]]] - self.unigram[w[hit]]
+        return out
+
     @staticmethod
     def _successor(values: EliasFano, wanted: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Place of each wanted successor within its context's range, or -1.
@@ -390,8 +547,8 @@ def _rising(values: np.ndarray, pointer: np.ndarray) -> np.ndarray:
     return values + np.repeat(base, np.diff(pointer))
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray], int, int]:
-    """(word counts, tries by shard, frequent words and their counts, N, V) from ``docs(text, train)``."""
+def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast, Deal, int, int]:
+    """(word counts, tries by shard, frequent words and their counts, shards of middle words, N, V) from ``docs(text, train)``."""
     spark = docs.sparkSession
     counts = cut_lineage(word_counts(docs))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -399,8 +556,11 @@ def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.n
     often = counts.where(F.col("c") >= _frequent(n)).toPandas()  # at most 2**SHARE rows
     h = often.h.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    stored = cut_lineage(ngram_counts(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return counts, tries(stored, counts, n, v), (h[order], often.c.to_numpy(np.int64)[order]), n, v
+    h, c = h[order], often.c.to_numpy(np.int64)[order]
+    frequent = spark.sparkContext.broadcast((h, c))
+    deal = Deal.of(h, c, n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = cut_lineage(ngram_counts(docs, deal, frequent))
+    return counts, tries(stored, hot_bigrams(stored, deal, frequent), counts, frequent, n, v), frequent, deal, n, v
 
 
 def _frequent(n: int) -> int:
@@ -411,16 +571,14 @@ def _per_doc(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, values, n)
 
 
-def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n: int, v: int, keep: tuple[str, ...]) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: Broadcast, deal: Deal, n: int, v: int, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` (a long id and a boolean) with ``n_tokens, n_known, train_tokens, base_score, score`` for ``docs(*keep, text)``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = deal.shards
     log_all = float(np.log10(n + v + 1.0))
     fields = "shard int, batch long, ids binary, marks binary, x binary, y binary, z binary"
 
     def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, often = Lookup(shared.value[0]), shared.value[1]
+        place, often = Lookup(frequent.value[0]), frequent.value[1]
         task, number = TaskContext.get().partitionId(), 0
         for part in parts:
             for a, b, words in batches(part.column(2), size=PIECE):
@@ -440,9 +598,10 @@ def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: tuple[
                 rare, who = rare[order], who[order]
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
                 rows += [(s, _pack(rare[x:y]), None, _small(who[x:y]), None, None) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-                hashes, at, u, t, w, cuts = _triples(tokens, first, shards)
-                who = owner[at]
-                rows += [(s, p[0], None, _planes(who[x:y]), p[1], None) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x for p in [_pack3(hashes, u[x:y], t[x:y], w[x:y])]]
+                hashes, at, t, u, w = _triples(tokens, first)
+                order, cuts = _by_shard(deal(hashes, t, u), shards)
+                who, t, u, w = owner[at[order]], t[order], u[order], w[order]
+                rows += [(s, p[0], None, _planes(who[x:y]), p[1], None) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x for p in [_pack3(hashes, t[x:y], u[x:y], w[x:y])]]
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array([batch] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "batch", "ids", "marks", "x", "y", "z"]
@@ -463,10 +622,12 @@ def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: tuple[
                 continue
             if r.y is not None:  # what the words before change in each word's own score
                 if trie is not None:
-                    last = place(np.ascontiguousarray(_unpack3(r.ids, r.y).T).ravel())
-                    more = trie.score(last, np.arange(0, len(last) + 1, 3))[2::3] - np.where(last[2::3] >= 0, trie.unigram[last[2::3]], 0.0)
-                    docs_, back = np.unique(_unplanes(r.x), return_inverse=True)
-                    out.append((r.batch, docs_.tobytes(), None, np.bincount(back, more, len(docs_)).tobytes(), None, None))
+                    known, ids = _unpack3(r.ids, r.y)
+                    at = _starts(*ids)
+                    more = np.repeat(trie.gain(*place(known)[ids[:, at]]), np.diff(np.append(at, ids.shape[1])))
+                    value = np.bincount(who := _unplanes(r.x), more)
+                    docs_ = np.flatnonzero(np.bincount(who))
+                    out.append((r.batch, docs_.tobytes(), None, value[docs_].tobytes(), None, None))
                 continue
             rare, who = _unpack(r.ids), _unsmall(r.x)
             at = np.minimum(np.searchsorted(h, rare), max(len(h) - 1, 0))
@@ -507,5 +668,5 @@ def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: tuple[
 def score_documents(docs: DataFrame, held_out: str = "held_out", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the rows where ``held_out`` is false and score all rows."""
     rows = docs.select(F.col(id_col), F.col(held_out), F.col(text_col).cast("string").alias("text"), (~F.col(held_out)).alias("train"))
-    counts, model, frequent, n, v = train(rows)
-    return score(rows, counts, model, frequent, n, v, (id_col, held_out))
+    counts, model, frequent, deal, n, v = train(rows)
+    return score(rows, counts, model, frequent, deal, n, v, (id_col, held_out))
