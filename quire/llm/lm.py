@@ -11,7 +11,10 @@ training documents; three passes read the texts, none moves them.
    with these words.  A middle word of more than half a shard's share of all
    tokens is dealt on over several shards by the word before it; the bigrams
    that begin with it are then summed by that word and given to each of these.
-   Tasks send the distinct trigrams of a piece as packed places among its words.
+   Tasks send the distinct trigrams of a piece as packed places among its words;
+   a word that a Bloom filter of fixed size tells to have fewer than ``LEAST``
+   occurrences stands in no stored n-gram and travels as START (as a middle word,
+   not at all).  A filter that fills up lets more words through and changes no result.
    Every bigram and trigram of ``LEAST`` occurrences is stored, at any size of
    the corpus: what is gathered grows with it.  Higher orders use absolute
    discounting and back off to lower ones with weights that make each context
@@ -24,8 +27,8 @@ training documents; three passes read the texts, none moves them.
    through the driver; each travels as one packed buffer that its scoring task
    maps from an unlinked file.
 4. Scoring: a word's own (lowest-order) probability is looked up at once if the
-   word is frequent (at least a ``2**-SHARE`` share of all tokens, so at most
-   ``2**SHARE`` words: a proven bound of what is broadcast, not of what is used);
+   word is frequent (at least the least power of two of occurrences that at most
+   ``2**SHARE`` words have: a proven bound of what is broadcast, not of what is used);
    every other word's hash goes, with its document's place in the batch, to the
    shard that holds the counts of its hashes.  What the two words before change
    in a token's score is found by the shard of the two words before.  Sums per
@@ -53,14 +56,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.elias_fano import EliasFano
+from quire.llm.sketch import bloom, contains
 from quire.llm.words import batches, mix
 from quire.session import cut_lineage
 
-#: frequent words, whose counts every task knows, have at least this power of 1/2 of all tokens
+#: at most this power of two of frequent words, whose counts every task knows
 SHARE = 20
 #: least occurrences of a stored bigram or trigram, whatever the corpus
 LEAST = 2
-START = np.uint64(0x57A127)  # stands before a text
+START = np.uint64(0x57A127)  # stands before a text, and for words of no stored n-gram
 DISCOUNT = 0.75
 #: entries in a book of quantised logarithms
 BOOK = 1 << 12
@@ -144,8 +148,11 @@ def _unplanes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
-def _pack3(hashes: np.ndarray, t: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes]:
-    """Triples of places among sorted hashes: the hashes in use, and places among these column by column."""
+def _pack3(hashes: np.ndarray, listed: np.ndarray, t: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes]:
+    """Triples of places among sorted hashes: the words in use, and places among these column by column.
+
+    Words in use are places in the list of frequent words, then the hashes of those that it lacks (``listed`` is -1).
+    """
     ids = np.concatenate([t, u, w])
     if len(ids) * 4 < len(hashes):
         known, at = np.unique(ids, return_inverse=True)
@@ -153,12 +160,17 @@ def _pack3(hashes: np.ndarray, t: np.ndarray, u: np.ndarray, w: np.ndarray) -> t
         used = np.zeros(len(hashes), bool)
         used[ids] = True
         known, at = np.flatnonzero(used), (np.cumsum(used) - 1)[ids]
-    return _pack(hashes[known]), _planes(at)
+    mine = listed[known]
+    often = mine >= 0
+    new = np.where(often, np.cumsum(often), np.cumsum(~often) + np.count_nonzero(often)) - 1
+    head = _planes(np.diff(mine[often], prepend=0))
+    return len(head).to_bytes(4, "little") + head + _pack(hashes[known[~often]]), _planes(new[at])
 
 
-def _unpack3(known: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack3(known: bytes, places: bytes, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes in use and the places ``t, u, w`` among them."""
-    return _unpack(known), _unplanes(places).reshape(3, -1)
+    split = 4 + int.from_bytes(known[:4], "little")
+    return np.concatenate([frequent[np.cumsum(_unplanes(known[4:split]))], _unpack(known[split:])]), _unplanes(places).reshape(3, -1)
 
 
 def _order3(t: np.ndarray, u: np.ndarray, w: np.ndarray, size: int, kind: str | None = None) -> np.ndarray:
@@ -211,21 +223,30 @@ class Deal:
         return [(home + k) % self.shards for k in range(int(self.ways[np.searchsorted(self.hot, word)[0]]))]
 
 
-def _triples(tokens: np.ndarray, first: np.ndarray, use: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """``(hashes, at, t, u, w)``: each token ``at`` that has one before it in its text, sorted by ``u``, ``t`` and ``w``.
+def _places(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, START among them, and the tokens' places there."""
+    hashes, ids = np.unique(np.append(tokens, START), return_inverse=True)
+    return hashes, ids[:-1].astype(np.int32)
+
+
+def _triples(hashes: np.ndarray, ids: np.ndarray, first: np.ndarray, several: np.ndarray, use: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """``(at, t, u, w)``: each token ``at`` that has one before it in its text, sorted by ``u``, ``t`` and ``w``.
 
     ``u``, ``t`` and ``w`` are the word before, the one before that (or START) and the token, as places among the sorted
-    ``hashes``.
+    ``hashes``.  Words that the filter ``several`` lacks are START as ``t`` or ``w``; tokens after one are left out.
     """
-    hashes, ids = np.unique(np.append(tokens, START), return_inverse=True)
-    ids = ids.astype(np.int32)
-    begins = np.zeros(len(tokens), bool)
+    start = np.int32(np.searchsorted(hashes, START))
+    kept = np.where(contains(several, hashes), np.arange(len(hashes), dtype=np.int32), start)
+    begins = np.zeros(len(ids), bool)
     begins[first[:-1]] = True
-    at = np.flatnonzero(~begins if use is None else ~begins & use)
+    ids = kept[ids]
+    after = ~begins if use is None else ~begins & use
+    after[1:] &= ids[:-1] != start
+    at = np.flatnonzero(after)
     u, w = ids[at - 1], ids[at]
-    t = np.where(begins[at - 1], ids[-1], ids[np.maximum(at - 2, 0)])
+    t = np.where(begins[at - 1], start, ids[np.maximum(at - 2, 0)])
     order = _order3(t, u, w, len(hashes))
-    return hashes, at[order], t[order], u[order], w[order]
+    return at[order], t[order], u[order], w[order]
 
 
 def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,9 +255,9 @@ def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def _gathered(blobs: pd.DataFrame) -> tuple[np.ndarray, ...]:
+def _gathered(blobs: pd.DataFrame, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
     """``(known, t, u, w, c)``: the distinct triples of some blobs, sorted by ``u``, ``t`` and ``w``, and their counts."""
-    parts = [_unpack3(k, p) for k, p in zip(blobs["known"], blobs["places"])]
+    parts = [_unpack3(k, p, frequent) for k, p in zip(blobs["known"], blobs["places"])]
     known = np.unique(np.concatenate([k for k, _ in parts]))
     ids = np.concatenate([np.searchsorted(known, k).astype(np.int32)[p] for k, p in parts], axis=1)
     c = np.concatenate([_unsmall(x) for x in blobs["counts"]])
@@ -250,7 +271,7 @@ def _gathered(blobs: pd.DataFrame) -> tuple[np.ndarray, ...]:
 NGRAMS = "shard int, u binary, hashes array<long>, words binary, two binary, c2 binary, three binary, c3 binary"
 
 
-def ngram_counts(docs: DataFrame, deal: Deal, frequent: Broadcast) -> DataFrame:
+def ngram_counts(docs: DataFrame, deal: Deal, frequent: Broadcast, several: Broadcast) -> DataFrame:
     """``NGRAMS``: a row for each shard with its stored bigrams and trigrams, and rows ``u`` of the bigrams of hot words.
 
     A shard has every n-gram around its middle words: ``(t, u, w)`` for each ``u`` of the shard, ``t`` being ``START``
@@ -259,26 +280,30 @@ def ngram_counts(docs: DataFrame, deal: Deal, frequent: Broadcast) -> DataFrame:
     """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = Lookup(frequent.value[0])
         for part in parts:
             train = np.asarray(part.column(1).to_pylist(), bool)
             for a, b, words in batches(part.column(0), size=PIECE):
                 tokens, first = _tokens(words)
-                hashes, _, t, u, w = _triples(tokens, first, np.repeat(train[a:b], np.diff(first)))
+                hashes, ids = _places(tokens)
+                listed = place(hashes)
+                _, t, u, w = _triples(hashes, ids, first, several.value, np.repeat(train[a:b], np.diff(first)))
                 at = _starts(u, t, w)
                 c, t, u, w = np.diff(np.append(at, len(t))), t[at], u[at], w[at]
                 order, cuts = _by_shard(deal(hashes, t, u), deal.shards)
                 c, t, u, w = c[order], t[order], u[order], w[order]
-                rows = [(s, *_pack3(hashes, t[x:y], u[x:y], w[x:y]), _small(c[x:y])) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+                rows = [(s, *_pack3(hashes, listed, t[x:y], u[x:y], w[x:y]), _small(c[x:y])) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
                 columns = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(k, pa.binary()) for k in columns[1:])], ["shard", "known", "places", "counts"])
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Bigrams and trigrams of at least ``LEAST`` occurrences, as places among the words in use."""
-        known, t, u, w, c = _gathered(rows)
+        known, t, u, w, c = _gathered(rows, frequent.value[0])
         size = len(known)
         hot = np.isin(known, deal.hot)
         out = []
-        after, c_after = _summed(u.astype(np.int64) * size + w, c)
+        real = known[w] != START
+        after, c_after = _summed(u[real].astype(np.int64) * size + w[real], c[real])
         split = hot[after // size]
         for x, y in _spans((after // size)[split]):
             mine = known[after[split][x:y] % size]
@@ -292,7 +317,7 @@ def ngram_counts(docs: DataFrame, deal: Deal, frequent: Broadcast) -> DataFrame:
         context = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(t))))
         two, place = np.unique(np.concatenate([after[c_after >= LEAST], before[c_before >= LEAST]]), return_index=True)
         c2 = np.concatenate([c_after[c_after >= LEAST], c_before[c_before >= LEAST]])[place]
-        held = c >= LEAST
+        held = (c >= LEAST) & (known[w] != START)
         context, last, c3 = np.searchsorted(two, before[context[held]]), w[held], c[held]
         mine = np.unique(np.concatenate([two // max(size, 1), two % max(size, 1), last]))
         new = np.zeros(size, np.int64)
@@ -547,31 +572,30 @@ def _rising(values: np.ndarray, pointer: np.ndarray) -> np.ndarray:
     return values + np.repeat(base, np.diff(pointer))
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast, Deal, int, int]:
-    """(word counts, tries by shard, frequent words and their counts, shards of middle words, N, V) from ``docs(text, train)``."""
+def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast, Broadcast, Deal, int, int]:
+    """(rarer words' counts, tries by shard, frequent words and their counts, filter, shards of middle words, N, V) from ``docs(text, train)``."""
     spark = docs.sparkSession
     counts = cut_lineage(word_counts(docs))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = int(total.n), int(total.v)
-    often = counts.where(F.col("c") >= _frequent(n)).toPandas()  # at most 2**SHARE rows
+    sizes = counts.groupBy(F.floor(F.log2("c")).alias("power")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # at most 64 rows
+    n, v = sum(r.n for r in sizes), sum(r.v for r in sizes)
+    least = next(1 << k for k in range(1, 65) if sum(r.v for r in sizes if r.power >= k) <= 1 << SHARE)
+    often = counts.where(F.col("c") >= least).toPandas()  # at most 2**SHARE rows
     h = often.h.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     h, c = h[order], often.c.to_numpy(np.int64)[order]
     frequent = spark.sparkContext.broadcast((h, c))
+    several = spark.sparkContext.broadcast(bloom(counts.where(F.col("c") >= LEAST), "h"))
     deal = Deal.of(h, c, n, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    stored = cut_lineage(ngram_counts(docs, deal, frequent))
-    return counts, tries(stored, hot_bigrams(stored, deal, frequent), counts, frequent, n, v), frequent, deal, n, v
-
-
-def _frequent(n: int) -> int:
-    return max(2, -(-n // (1 << SHARE)))
+    stored = cut_lineage(ngram_counts(docs, deal, frequent, several))
+    counts = counts.where(F.col("c") < least)
+    return counts, tries(stored, hot_bigrams(stored, deal, frequent), counts, frequent, n, v), frequent, several, deal, n, v
 
 
 def _per_doc(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, values, n)
 
 
-def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: Broadcast, deal: Deal, n: int, v: int, keep: tuple[str, ...]) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: Broadcast, several: Broadcast, deal: Deal, n: int, v: int, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` (a long id and a boolean) with ``n_tokens, n_known, train_tokens, base_score, score`` for ``docs(*keep, text)``."""
     shards = deal.shards
     log_all = float(np.log10(n + v + 1.0))
@@ -584,9 +608,10 @@ def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: Broadc
             for a, b, words in batches(part.column(2), size=PIECE):
                 tokens, first = _tokens(words)
                 owner = np.repeat(np.arange(b - a), np.diff(first))
-                ids = place(tokens)
-                known = ids >= 0
-                base = _per_doc(np.where(known, np.log10(often[ids] + 1.0) if len(often) else 0.0, 0.0), owner, b - a)
+                hashes, ids = _places(tokens)
+                listed_at = place(hashes)
+                known = (listed_at >= 0)[ids]
+                base = _per_doc(np.where(listed_at >= 0, np.log10(often[listed_at] + 1.0) if len(often) else 0.0, 0.0)[ids], owner, b - a)
                 batch, number = (task << 32) + number, number + 1
                 listed = part.column(0).slice(a, b - a)
                 absent = np.asarray(listed.is_null().to_pylist(), np.int64)
@@ -598,10 +623,10 @@ def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: Broadc
                 rare, who = rare[order], who[order]
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
                 rows += [(s, _pack(rare[x:y]), None, _small(who[x:y]), None, None) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-                hashes, at, t, u, w = _triples(tokens, first)
+                at, t, u, w = _triples(hashes, ids, first, several.value)
                 order, cuts = _by_shard(deal(hashes, t, u), shards)
                 who, t, u, w = owner[at[order]], t[order], u[order], w[order]
-                rows += [(s, p[0], None, _planes(who[x:y]), p[1], None) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x for p in [_pack3(hashes, t[x:y], u[x:y], w[x:y])]]
+                rows += [(s, p[0], None, _planes(who[x:y]), p[1], None) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x for p in [_pack3(hashes, listed_at, t[x:y], u[x:y], w[x:y])]]
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array([batch] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "batch", "ids", "marks", "x", "y", "z"]
@@ -622,7 +647,7 @@ def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: Broadc
                 continue
             if r.y is not None:  # what the words before change in each word's own score
                 if trie is not None:
-                    known, ids = _unpack3(r.ids, r.y)
+                    known, ids = _unpack3(r.ids, r.y, frequent.value[0])
                     at = _starts(*ids)
                     more = np.repeat(trie.gain(*place(known)[ids[:, at]]), np.diff(np.append(at, ids.shape[1])))
                     value = np.bincount(who := _unplanes(r.x), more)
@@ -659,7 +684,7 @@ def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: Broadc
 
     rows = docs.select(F.col(keep[0]).cast("long"), F.col(keep[1]).cast("boolean"), F.col("text").cast("string")).mapInArrow(look, fields)
     rare = counts.withColumn("shard", F.expr(f"cast(pmod(cast(h as decimal(20,0)) + if(h < 0, 18446744073709551616, 0), {shards}) as int)"))
-    rare = rare.where(F.col("c") < _frequent(n)).select("shard", "h", "c", F.lit(None).cast("binary").alias("trie"), F.lit(None).cast("string").alias("spec"))
+    rare = rare.select("shard", "h", "c", F.lit(None).cast("binary").alias("trie"), F.lit(None).cast("string").alias("spec"))
     held = rare.unionByName(model.select("shard", F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("c"), "trie", "spec"))
     summed = rows.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(count, "batch long, ids binary, marks binary, x binary, y binary, z binary")
     return summed.groupBy("batch").applyInPandas(join, f"`{keep[0]}` long, `{keep[1]}` boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -668,5 +693,5 @@ def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: Broadc
 def score_documents(docs: DataFrame, held_out: str = "held_out", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the rows where ``held_out`` is false and score all rows."""
     rows = docs.select(F.col(id_col), F.col(held_out), F.col(text_col).cast("string").alias("text"), (~F.col(held_out)).alias("train"))
-    counts, model, frequent, deal, n, v = train(rows)
-    return score(rows, counts, model, frequent, deal, n, v, (id_col, held_out))
+    counts, model, frequent, several, deal, n, v = train(rows)
+    return score(rows, counts, model, frequent, several, deal, n, v, (id_col, held_out))
