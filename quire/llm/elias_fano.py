@@ -8,6 +8,8 @@ plain buffers, so a sequence can live in a memory map.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 # place of the k-th one in a byte
@@ -23,6 +25,11 @@ class EliasFano:
     def __init__(self, n: int, l: int, low: np.ndarray, bits: np.ndarray, ones: np.ndarray):  # noqa: E741
         self.n, self.l, self.low, self.bits, self.ones = n, l, low, bits, ones
 
+    @cached_property
+    def zeros(self) -> np.ndarray:
+        """Zeros before each 64-bit word."""
+        return np.arange(len(self.ones)) * 64 - self.ones
+
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
@@ -47,16 +54,17 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
         """Place of the k-th (from 0) one or zero."""
-        before = np.arange(len(self.ones)) * 64 - self.ones if zeros else self.ones
+        before = self.zeros if zeros else self.ones
         word = np.minimum(np.searchsorted(before, k, side="right") - 1, len(self.bits) - 1)
-        x = self.bits[word]
-        x = np.ascontiguousarray(~x if zeros else x).view(np.uint8).reshape(-1, 8)
-        k = k - before[word]
-        total = np.cumsum(np.bitwise_count(x), axis=1, dtype=np.int64)
-        byte = np.minimum((total <= k[:, None]).sum(axis=1), 7)
-        row = np.arange(len(k))
-        k = k - np.where(byte > 0, total[row, byte - 1], 0)
-        return word * 64 + byte * 8 + _PLACE[x[row, byte], np.clip(k, 0, 7)]
+        x = ~self.bits[word] if zeros else self.bits[word]
+        k, at = k - before[word], word * 64
+        for half in (32, 16, 8):
+            ones = np.bitwise_count(x & np.uint64((1 << half) - 1))
+            up = k >= ones
+            k = k - ones * up
+            at += half * up
+            x = x >> (up * np.uint64(half))
+        return at + _PLACE[x & np.uint64(255), np.clip(k, 0, 7)]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at the places ``i`` (each within the sequence)."""
@@ -76,10 +84,13 @@ class EliasFano:
         a = np.where(h > 0, self._select(np.maximum(h - 1, 0), zeros=True) - (h - 1), 0)
         b = np.minimum(self._select(h, zeros=True) - h, self.n)
         lo, hi = np.minimum(a, self.n), b.copy()
-        while (open_ := lo < hi).any():
-            mid = np.where(open_, (lo + hi) >> 1, 0)
-            less = open_ & (self.low[mid].astype(np.int64) < low[ask])
-            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) >> 1
+            less = self.low[mid] < low[ask[live]]
+            lo[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
+            live = live[lo[live] < hi[live]]
         ok = (lo < b) & (self.low[np.minimum(lo, self.n - 1)].astype(np.int64) == low[ask])
         out[ask[ok]] = lo[ok]
         return out

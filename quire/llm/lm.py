@@ -56,12 +56,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.elias_fano import EliasFano
-from quire.llm.sketch import bloom, contains
+from quire.llm.sketch import contains, packed_bloom
 from quire.llm.words import batches, mix
 from quire.session import cut_lineage
 
 #: at most this power of two of frequent words, whose counts every task knows
-SHARE = 20
+SHARE = 18
 #: least occurrences of a stored bigram or trigram, whatever the corpus
 LEAST = 2
 START = np.uint64(0x57A127)  # stands before a text, and for words of no stored n-gram
@@ -258,7 +258,7 @@ def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 def _gathered(blobs: pd.DataFrame, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
     """``(known, t, u, w, c)``: the distinct triples of some blobs, sorted by ``u``, ``t`` and ``w``, and their counts."""
     parts = [_unpack3(k, p, frequent) for k, p in zip(blobs["known"], blobs["places"])]
-    known = np.unique(np.concatenate([k for k, _ in parts]))
+    known = _distinct(np.concatenate([k for k, _ in parts]))
     ids = np.concatenate([np.searchsorted(known, k).astype(np.int32)[p] for k, p in parts], axis=1)
     c = np.concatenate([_unsmall(x) for x in blobs["counts"]])
     del parts
@@ -319,7 +319,7 @@ def ngram_counts(docs: DataFrame, deal: Deal, frequent: Broadcast, several: Broa
         c2 = np.concatenate([c_after[c_after >= LEAST], c_before[c_before >= LEAST]])[place]
         held = (c >= LEAST) & (known[w] != START)
         context, last, c3 = np.searchsorted(two, before[context[held]]), w[held], c[held]
-        mine = np.unique(np.concatenate([two // max(size, 1), two % max(size, 1), last]))
+        mine = _distinct(np.concatenate([two // max(size, 1), two % max(size, 1), last]))
         new = np.zeros(size, np.int64)
         new[mine] = np.arange(len(mine))
         two = new[two // max(size, 1)] * len(mine) + new[two % max(size, 1)]
@@ -360,6 +360,10 @@ def _spans(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at.tolist(), np.append(at[1:], len(values)).tolist()))
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    return _runs(np.sort(values))[0]
+
+
 def _summed(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
     order = np.argsort(keys, kind="stable")
@@ -380,7 +384,7 @@ def tries(stored: DataFrame, hot: DataFrame, counts: DataFrame, frequent: Broadc
             old, two, c2, three, c3 = _unpack(r.words), _unpack(r.two).view(np.int64), _unsmall(r.c2), _unpack(r.three).view(np.int64), _unsmall(r.c3)
         else:
             old, (two, c2, three, c3) = np.zeros(0, np.uint64), (np.zeros(0, np.int64) for _ in range(4))
-        words = np.unique(np.concatenate([old, np.array([u for u, _, _ in lists], np.uint64), *(w for _, w, _ in lists)]))
+        words = _distinct(np.concatenate([old, np.array([u for u, _, _ in lists], np.uint64), *(w for _, w, _ in lists)]))
         if not len(words):
             return pd.DataFrame(columns=["shard", "trie", "spec"])
         size, before, place = len(words), max(len(old), 1), np.searchsorted(words, old)
@@ -430,7 +434,7 @@ class Trie:
     prob3: tuple[np.ndarray, np.ndarray]
 
     @classmethod
-    def build(cls, words: np.ndarray, counts: np.ndarray, two: tuple[np.ndarray, np.ndarray], three: tuple[np.ndarray, np.ndarray], n: int, v: int, bits: int = SHARE) -> Trie:
+    def build(cls, words: np.ndarray, counts: np.ndarray, two: tuple[np.ndarray, np.ndarray], three: tuple[np.ndarray, np.ndarray], n: int, v: int, bits: int = 20) -> Trie:
         """From sorted words and sorted packed bigram and trigram keys with their counts."""
         mask = (1 << bits) - 1
         context = np.searchsorted(two[0], three[0] >> bits)
@@ -516,35 +520,52 @@ class Trie:
         out[asked[found >= 0]] = self.prob3[0][self.prob3[1][found[found >= 0]]]
         return out
 
-    def gain(self, t: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def gain(self, known: np.ndarray, t: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         """What the words ``t`` and ``u`` before it change in the log10 probability of ``w``; equal pairs ``(u, t)`` stand together.
 
-        Places among ``words``, -1 for others.
+        ``known``: some words' places among ``words``, -1 for others; ``t``, ``u``, ``w``: places in ``known``.
         """
-        out = np.where(u >= 0, self.back1[0][self.back1[1][u]], 0.0)
-        asked = np.flatnonzero((u >= 0) & (w >= 0))
-        pair = np.full(len(u), -1, np.int64)
-        begin = self.pointer2.access(u[asked])
-        pair[asked] = self._successor(self.next2, w[asked], begin, self.pointer2.access(u[asked] + 1))
-        begins = np.zeros(len(u), np.int64)
-        begins[asked] = begin
+        here = np.flatnonzero(known >= 0)
+        begin, stop, back1 = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), np.zeros(len(known))
+        begin[here], stop[here] = self.pointer2.access(known[here]), self.pointer2.access(known[here] + 1)
+        back1[here] = self.back1[0][self.back1[1][known[here]]]
+        base = self._base(self.next2, begin, stop)
+
+        def bigram(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+            out = np.full(len(first), -1, np.int64)
+            some = np.flatnonzero((stop > begin)[first] & (known >= 0)[second])
+            a = first[some]
+            found = self.next2.find(known[second[some]] + base[a])
+            out[some] = np.where((found >= begin[a]) & (found < stop[a]), found, -1)
+            return out
+
+        pair = bigram(u, w)
+        out = back1[u]
         hit = np.flatnonzero(pair >= 0)
-        out[hit] = self.prob2[0][self.prob2[1][pair[hit]]] - self.unigram[w[hit]]
+        out[hit] = self.prob2[0][self.prob2[1][pair[hit]]] - self.unigram[known[w[hit]]]
         at = _starts(t, u)
-        t1, u1 = t[at], u[at]
-        context = np.full(len(at), -1, np.int64)
-        some = np.flatnonzero((t1 >= 0) & (u1 >= 0))
-        context[some] = self._successor(self.next2, u1[some], self.pointer2.access(t1[some]), self.pointer2.access(t1[some] + 1))
-        change, begin, stop = np.zeros(len(at)), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        context = bigram(t[at], u[at])
         some = np.flatnonzero(context >= 0)
+        change, begin3, stop3 = np.zeros(len(at)), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         change[some] = self.back2[0][self.back2[1][context[some]]]
-        begin[some], stop[some] = self.pointer3.access(context[some]), self.pointer3.access(context[some] + 1)
+        begin3[some], stop3[some] = self.pointer3.access(context[some]), self.pointer3.access(context[some] + 1)
+        base3 = self._base(self.next3, begin3, stop3)
         run = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(t))))
         out += change[run]
-        asked = np.flatnonzero((pair >= 0) & (stop > begin)[run])
-        found = self._successor(self.next3, pair[asked] - begins[asked], begin[run[asked]], stop[run[asked]])
-        hit = asked[found >= 0]
-        out[hit] = self.prob3[0][self.prob3[1][found[found >= 0]]] - self.unigram[w[hit]]
+        asked = np.flatnonzero((pair >= 0) & (stop3 > begin3)[run])
+        run = run[asked]
+        found = self.next3.find(pair[asked] - begin[u[asked]] + base3[run])
+        hit = (found >= begin3[run]) & (found < stop3[run])
+        asked, found = asked[hit], found[hit]
+        out[asked] = self.prob3[0][self.prob3[1][found]] - self.unigram[known[w[asked]]]
+        return out
+
+    @staticmethod
+    def _base(values: EliasFano, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """What each range's successors are raised by."""
+        out = np.zeros(len(begin), np.int64)
+        some = np.flatnonzero((stop > begin) & (begin > 0))
+        out[some] = values.access(begin[some] - 1) + 1
         return out
 
     @staticmethod
@@ -584,7 +605,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast, Broadcast,
     order = np.argsort(h)
     h, c = h[order], often.c.to_numpy(np.int64)[order]
     frequent = spark.sparkContext.broadcast((h, c))
-    several = spark.sparkContext.broadcast(bloom(counts.where(F.col("c") >= LEAST), "h"))
+    several = spark.sparkContext.broadcast(packed_bloom(counts.where(F.col("c") >= LEAST), "h"))
     deal = Deal.of(h, c, n, int(spark.conf.get("spark.sql.shuffle.partitions")))
     stored = cut_lineage(ngram_counts(docs, deal, frequent, several))
     counts = counts.where(F.col("c") < least)
@@ -649,7 +670,7 @@ def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: Broadc
                 if trie is not None:
                     known, ids = _unpack3(r.ids, r.y, frequent.value[0])
                     at = _starts(*ids)
-                    more = np.repeat(trie.gain(*place(known)[ids[:, at]]), np.diff(np.append(at, ids.shape[1])))
+                    more = np.repeat(trie.gain(place(known), *ids[:, at]), np.diff(np.append(at, ids.shape[1])))
                     value = np.bincount(who := _unplanes(r.x), more)
                     docs_ = np.flatnonzero(np.bincount(who))
                     out.append((r.batch, docs_.tobytes(), None, value[docs_].tobytes(), None, None))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import lm
+from quire.llm.words import split
 
 
 def plain(rows, share):
@@ -92,3 +93,32 @@ def test_stored_ngrams_do_not_depend_on_the_size(spark, monkeypatch):
     want = plain(rows, 30)
     assert -(-want[0][2] // 2**7) > 30
     assert all(np.isclose(got[r[0]].base_score, w[3]) and abs(got[r[0]].score - w[4]) / w[0] < 0.01 for r, w in zip(rows, want))
+
+
+def test_a_hot_middle_word_is_dealt_over_shards(spark):
+    """A third of all tokens are one word: its trigrams lie in several shards and give the scores of one model."""
+    rnd = random.Random(5)
+    rows = [(k, " ".join(rnd.choice(["the", f"a{rnd.randint(0, 30)}", f"b{rnd.randint(0, 30)}"]) for _ in range(80)), k % 7 == 2) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    _, model, _, _, deal, _, _ = lm.train(df.select("text", (~F.col("held_out")).alias("train")))
+    word = split(np.frombuffer(b"the", np.uint8), np.array([0, 3])).hashes
+    assert len(deal.all(word.tobytes())) > 1 and model.count() > 1
+    got = {r.doc_id: r for r in lm.score_documents(df).collect()}
+    assert all(np.isclose(got[r[0]].base_score, w[3]) and abs(got[r[0]].score - w[4]) / w[0] < 0.01 for r, w in zip(rows, plain(rows, 30)))
+
+
+def test_gain_is_the_score_less_the_words_own(spark):
+    """The scoring by triples agrees with the scoring of whole texts."""
+    rnd = np.random.default_rng(3)
+    text = rnd.zipf(1.5, 4000) % 30
+    words, counts = np.arange(30, dtype=np.uint64) * np.uint64(7), np.bincount(text, minlength=30)
+    two, three = (np.unique(x, return_counts=True) for x in ((text[:-1] << 20) | text[1:], (text[:-2] << 40) | (text[1:-1] << 20) | text[2:]))
+    kept2, kept3 = (tuple(a[x[1] > 1] for a in x) for x in (two, three))
+    trie = lm.Trie.build(words, counts, kept2, kept3, len(text), 30)
+    known = np.append(rnd.permutation(30), -1)
+    t, u, w = rnd.integers(0, 31, (3, 500))
+    order = lm._order3(t, u, w, 31)
+    t, u, w = t[order], u[order], w[order]
+    whole = trie.score(known[np.stack([t, u, w], axis=1).ravel()], np.arange(0, 1501, 3))[2::3]
+    own = np.where(known[w] >= 0, trie.unigram[known[w]], 0.0)
+    assert np.allclose(trie.gain(known, t, u, w), whole - own)
