@@ -61,7 +61,7 @@ from quire.llm.words import batches, mix
 from quire.session import cut_lineage
 
 #: at most this power of two of frequent words, whose counts every task knows
-SHARE = 18
+SHARE = 20
 #: least occurrences of a stored bigram or trigram, whatever the corpus
 LEAST = 2
 START = np.uint64(0x57A127)  # stands before a text, and for words of no stored n-gram
