@@ -61,7 +61,7 @@ from quire.llm.words import batches, mix
 from quire.session import cut_lineage
 
 #: at most this power of two of frequent words, whose counts every task knows
-SHARE = 20
+SHARE = 19
 #: least occurrences of a stored bigram or trigram, whatever the corpus
 LEAST = 2
 START = np.uint64(0x57A127)  # stands before a text, and for words of no stored n-gram
@@ -643,7 +643,7 @@ def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: Broadc
                 order = np.lexsort((rare, shard))
                 rare, who = rare[order], who[order]
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows += [(s, _pack(rare[x:y]), None, _small(who[x:y]), None, None) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+                rows += [(s, _pack(rare[x:y]), None, _planes(who[x:y]), None, None) for s, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
                 at, t, u, w = _triples(hashes, ids, first, several.value)
                 order, cuts = _by_shard(deal(hashes, t, u), shards)
                 who, t, u, w = owner[at[order]], t[order], u[order], w[order]
@@ -675,7 +675,7 @@ def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: Broadc
                     docs_ = np.flatnonzero(np.bincount(who))
                     out.append((r.batch, docs_.tobytes(), None, value[docs_].tobytes(), None, None))
                 continue
-            rare, who = _unpack(r.ids), _unsmall(r.x)
+            rare, who = _unpack(r.ids), _unplanes(r.x)
             at = np.minimum(np.searchsorted(h, rare), max(len(h) - 1, 0))
             seen = (h[at] == rare) & (c[at] > 0) if len(h) else np.zeros(len(rare), bool)
             docs_, back = np.unique(who, return_inverse=True)
