@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import fmt4, let, non_blank, strip_ws, terms_from_words, word_count, words
+from quire.functions.vectors import cosine
 from quire.operators.metrics import combined, f1, reference_stats_from_terms, row_lexical_scores
 from quire.operators.summaries import VARIANT_NAMES, variant_lookup
+from quire.operators.token_match import token_match
 
 SCORE_NAMES = ["BERTPrecision", "BERTRecall", "BERTF1", "CosineSimilarity", "CombinedScore"]
 WIDE_NAMES = {
@@ -77,6 +79,46 @@ def score_items(items: DataFrame, bert_weight: float = 0.6, cosine_weight: float
     return out.withColumn("combined", combined("f1", "cosine", bert_weight, cosine_weight))
 
 
+def vector_scored_items(
+    docs: DataFrame, token_embedder, embedder, bert_weight: float = 0.6, cosine_weight: float = 0.4, summary_types: list[str] | None = None
+) -> DataFrame:
+    """:func:`score_items` with models: token vectors for ``precision, recall, f1``, text vectors for ``cosine``.
+
+    The same items and columns as :func:`eval_items` and :func:`score_items`.  A document's summaries are
+    scored in its row, so its article is embedded once for them and nothing is shuffled.  A summary or
+    article without tokens, or that the embedder gives no vector, has NULL scores.
+    """
+    types = summary_types or VARIANT_NAMES
+    d = docs.filter(non_blank("content")).select("_id", "team", "content", *[strip_ws(variant_lookup("summaries", F.lit(t))).alias(f"_s{i}") for i, t in enumerate(types)])
+    # the models' vectors are columns of their own: they cannot sit in a lambda
+    d = d.withColumns({"_v": embedder.embed("content"), **{f"_v{i}": embedder.embed(f"_s{i}") for i in range(len(types))}})
+    items = [
+        F.when(
+            non_blank(f"_s{i}"),
+            F.struct(
+                F.lit(t).alias("summary_type"),
+                word_count(f"_s{i}").alias("summary_length"),
+                cosine("_v", f"_v{i}").alias("cosine"),
+                token_embedder.tokens(f"_s{i}").alias("tokens"),
+            ),
+        )
+        for i, t in enumerate(types)
+    ]
+    d = d.select(
+        "_id", "team", word_count("content").alias("article_length"), "content",
+        F.filter(F.array(*items), lambda x: x.isNotNull()).alias("_items"),
+    ).filter(F.size("_items") > 0)
+    d = d.withColumn("_ref", token_embedder.tokens("content"))
+    s = token_match(d, token_embedder, "_ref", "_items", ["_id", "team", "article_length"])
+    out = s.select(
+        F.concat_ws(":", F.col("_id").cast("string"), "summary_type").alias("item_id"),
+        "_id", "team", "summary_type", "summary_length", "article_length", "precision", "recall", "cosine",
+        F.lit(None).cast("string").alias("error"),
+        f1(F.col("precision"), F.col("recall")).alias("f1"),
+    )
+    return out.withColumn("combined", combined("f1", "cosine", bert_weight, cosine_weight))
+
+
 def long_scores(scored: DataFrame) -> DataFrame:
     """UN6: wide scores -> ``(item_id, ordinal, name, value)`` rows (the evaluator's shape)."""
     # the order in which the metrics emit their results

@@ -37,6 +37,7 @@ from quire.operators.knn import exact_topk
 from quire.operators.metrics import embedding_cosine, greedy_match
 from quire.operators.models import HashingEmbedder, SpreadChat
 from quire.operators.stored import StoredChat, answered
+from quire.operators.token_match import TrigramTokens
 from quire.operators.vectors import VECTOR_KEYS, missing_vectors as missing_vector_rows
 from quire.session import cut_lineage, ensure_checkpoint_dir
 from quire.sources import tables
@@ -47,6 +48,7 @@ CHUNK_WORDS_TOKENS = 300
 SUMMARY_CHUNK_TOKENS = 2_000
 ANSWER_WORDS = 39
 EMBED_DIM = 64
+TOKEN_DIM = 32
 VECTOR_DIM = 64
 NUM_CANDIDATES = 50
 BUCKETS = 16
@@ -358,6 +360,22 @@ def q_eval_wide(spark, sf):
     )
 
 
+def vector_wide(spark: SparkSession, sf: str) -> DataFrame:
+    docs = filled_docs(spark, sf)
+    scored = cut_lineage(evaluate.vector_scored_items(docs, TrigramTokens(TOKEN_DIM), HashingEmbedder(EMBED_DIM)))
+    return evaluate.wide_results(scored, evaluate.long_scores(scored))
+
+
+def q_eval_vectors(spark, sf):
+    """ML7 + ML8 + JN8 by models: the wide table from token vectors and text vectors."""
+    w = vector_wide(spark, sf)
+    return w.select(
+        "item_id", "team", "summary_type",
+        *[_r(c).alias(c) for c in ("bert_precision", "bert_recall", "bert_f1", "cosine_similarity", "combined_score")],
+        "summary_length", "article_length",
+    )
+
+
 def q_eval_missing(spark, sf):
     """JN7 + AG5 + PR7: the wide table when ``recent`` items have no scores and ``achievements`` items no team."""
     scored = cut_lineage(scored_items(spark, sf)[1])
@@ -497,6 +515,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embedding_cosine": q_embedding_cosine,
     "score_rows": q_score_rows,
     "eval_wide": q_eval_wide,
+    "eval_vectors": q_eval_vectors,
     "eval_missing": q_eval_missing,
     "eval_report": q_eval_report,
     "eval_best_worst": q_eval_best_worst,

@@ -65,9 +65,15 @@ def qa_set(questions: DataFrame, vectors: DataFrame, embedder, model, k: int = 3
     return cut_lineage(ans).select(F.col("question").alias("input"), F.col("answer").alias("expected_output"))
 
 
-def summary_evaluation(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """JOB5: items -> metric columns -> wide table, per-type report, best/worst."""
-    scored = cut_lineage(evaluate.score_items(evaluate.eval_items(docs)))
+def summary_evaluation(docs: DataFrame, token_embedder=None, embedder=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """JOB5: items -> metric columns -> wide table, per-type report, best/worst.
+
+    With models (both or neither) the scores come from token and text vectors, else from the words.
+    """
+    if (token_embedder is None) != (embedder is None):
+        raise ValueError("give both embedders or neither")
+    scored = evaluate.vector_scored_items(docs, token_embedder, embedder) if embedder else evaluate.score_items(evaluate.eval_items(docs))
+    scored = cut_lineage(scored)
     wide = cut_lineage(evaluate.wide_results(scored, evaluate.long_scores(scored)))
     return wide, evaluate.type_report(wide), evaluate.best_worst(wide)
 

@@ -13,6 +13,7 @@ CHUNK_WORDS_TOKENS = 300
 SUMMARY_CHUNK_TOKENS = 2_000
 ANSWER_WORDS = 39
 EMBED_DIM = 64
+TOKEN_DIM = 32
 VECTOR_DIM = 64
 NUM_CANDIDATES = 50
 IVF_ROUNDS = 2
@@ -435,6 +436,33 @@ EVAL_WIDE = _with(
        round(bert_f1, 6) AS bert_f1, round(cosine_similarity, 6) AS cosine_similarity,
        round(combined_score, 6) AS combined_score, summary_length, article_length FROM wide""",
 )
+EVAL_VECTORS = _with(
+    _items(),
+    f""", seen AS (SELECT term FROM ct UNION SELECT term FROM rt),
+places AS (
+  SELECT term, list_transform(range(len(term)), lambda i: ('0x' || substr(md5(substr('^' || term || '$', i + 1, 3)), 1, 8))::BIGINT % {TOKEN_DIM}) AS p FROM seen
+),
+tv AS (SELECT term, list_transform(range({TOKEN_DIM}), lambda b: CAST(len(list_filter(p, lambda x: x = b)) AS DOUBLE)) AS v FROM places),
+met AS (SELECT DISTINCT ct.term AS c, rt.term AS r FROM ct JOIN rt USING (doc_id)),
+near AS (
+  SELECT c, r, list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) AS cos
+  FROM met JOIN tv x ON x.term = c JOIN tv y ON y.term = r
+),
+mt AS (SELECT item_id, ct.term AS c, ct.n AS cn, rt.term AS r, rt.n AS rn, cos FROM ct JOIN rt USING (doc_id) JOIN near ON c = ct.term AND r = rt.term),
+pp AS (SELECT item_id, CAST(sum(cn * best) AS DOUBLE) / sum(cn) AS p FROM (SELECT item_id, c, any_value(cn) AS cn, max(cos) AS best FROM mt GROUP BY item_id, c) GROUP BY item_id),
+rr AS (SELECT item_id, CAST(sum(rn * best) AS DOUBLE) / sum(rn) AS r FROM (SELECT item_id, r, any_value(rn) AS rn, max(cos) AS best FROM mt GROUP BY item_id, r) GROUP BY item_id),
+cb AS (SELECT item_id, doc_id, {_bucket('term')} AS b, sum(n) AS n FROM ct GROUP BY ALL), db AS (SELECT doc_id, {_bucket('term')} AS b, sum(n) AS n FROM rt GROUP BY ALL),
+cl AS (SELECT item_id, doc_id, sqrt(sum(n * n)) AS l FROM cb GROUP BY ALL), dl AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM db GROUP BY ALL),
+cd AS (SELECT item_id, sum(cb.n * db.n) AS s FROM cb JOIN db USING (doc_id, b) GROUP BY ALL),
+tc AS (SELECT item_id, coalesce(s, 0) / (cl.l * dl.l) AS cos FROM cl JOIN dl USING (doc_id) LEFT JOIN cd USING (item_id)),
+vs AS (
+  SELECT w.* EXCLUDE (bert_precision, bert_recall, bert_f1, cosine_similarity, combined_score), p, r, cos,
+         CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) WHEN p IS NOT NULL AND r IS NOT NULL THEN 0 END AS f
+  FROM wide w LEFT JOIN pp USING (item_id) LEFT JOIN rr USING (item_id) LEFT JOIN tc USING (item_id)
+)
+SELECT item_id, team, summary_type, round(p, 6) AS bert_precision, round(r, 6) AS bert_recall, round(f, 6) AS bert_f1, round(cos, 6) AS cosine_similarity,
+       round(f * 0.6 + cos * 0.4, 6) AS combined_score, summary_length, article_length FROM vs""",
+)
 EVAL_MISSING = _with(
     _items(),
     """SELECT item_id, CASE WHEN summary_type = 'achievements' THEN 'team_' || item_id ELSE team END AS team, summary_type,
@@ -524,6 +552,7 @@ ORACLES: dict[str, str] = {
     "embedding_cosine": EMBEDDING_COSINE,
     "score_rows": SCORE_ROWS,
     "eval_wide": EVAL_WIDE,
+    "eval_vectors": EVAL_VECTORS,
     "eval_missing": EVAL_MISSING,
     "eval_report": EVAL_REPORT,
     "eval_best_worst": EVAL_BEST_WORST,

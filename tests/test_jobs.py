@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import lower_terms
 from quire.operators.models import HashingEmbedder, LeadChat
+from quire.operators.token_match import TrigramTokens
 from quire.plans import catalog as C
 from quire.plans import jobs
 from quire.sources import tables
@@ -40,3 +41,8 @@ def test_vectors_search_and_eval(spark):
     wide, report, bw = jobs.summary_evaluation(filled)
     assert report.count() == 3 and bw.count() in (0, 2)
     assert wide.filter(~F.col("bert_f1").between(0, 1)).count() == 0
+    by_vectors, report, _ = jobs.summary_evaluation(filled, TrigramTokens(16), emb)
+    assert by_vectors.count() == wide.count() and report.count() == 3
+    # a token that occurs on the other side scores 1 in both forms, the others at least 0
+    both = by_vectors.alias("v").join(wide.alias("w"), "item_id")
+    assert both.filter("v.bert_precision < w.bert_precision - 1e-9 or v.bert_recall < w.bert_recall - 1e-9").count() == 0
