@@ -7,7 +7,7 @@ row becomes NULL scores instead of shifting labels.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import fmt4, let, non_blank, strip_ws, terms_from_words, word_count, words
@@ -176,6 +176,14 @@ def has_scores(wide: DataFrame) -> bool:
     return wide.filter(F.col("combined_score").isNotNull()).limit(1).count() > 0
 
 
+def report_line() -> Column:
+    """SC19: one summary type's means as a line of the report."""
+    return F.format_string(
+        "%-12s | BERT F1: %s | Cosine: %s | Combined: %s",
+        F.col("summary_type"), fmt4("bert_f1"), fmt4("cosine_similarity"), fmt4("combined_score"),
+    )
+
+
 def type_report(wide: DataFrame) -> DataFrame:
     """AG2 + SC19: mean F1 / cosine / combined per summary type (NaN and NULL skipped)."""
     return (
@@ -186,10 +194,7 @@ def type_report(wide: DataFrame) -> DataFrame:
             F.avg("cosine_similarity").alias("cosine_similarity"),
             F.avg("combined_score").alias("combined_score"),
         )
-        .withColumn("line", F.format_string(
-            "%-12s | BERT F1: %s | Cosine: %s | Combined: %s",
-            F.col("summary_type"), fmt4("bert_f1"), fmt4("cosine_similarity"), fmt4("combined_score"),
-        ))
+        .withColumn("line", report_line())
         .orderBy("summary_type")
     )
 
@@ -208,7 +213,12 @@ def best_worst(wide: DataFrame, order_col: str = "item_id") -> DataFrame:
         F.min_by(row, F.struct(-F.col("combined_score"), F.col(order_col))).alias("best"),
         F.min_by(row, F.struct(F.col("combined_score"), F.col(order_col))).alias("worst"),
     )
-    rows = agg.filter(F.col("varies")).select(
+    return best_worst_rows(agg, order_col)
+
+
+def best_worst_rows(ends: DataFrame, order_col: str = "item_id") -> DataFrame:
+    """The rows of :func:`best_worst` from its one row ``varies, best, worst``."""
+    rows = ends.filter(F.col("varies")).select(
         F.inline(F.array(
             F.struct(F.lit("best").alias("which"), F.col("best").alias("r")),
             F.struct(F.lit("worst").alias("which"), F.col("worst").alias("r")),

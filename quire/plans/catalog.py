@@ -394,6 +394,33 @@ def q_eval_best_worst(spark, sf):
     return b.select("which", "team", "summary_type", _r("combined_score").alias("combined_score"), "item_id")
 
 
+def _stored_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide table scored as three runs, of which the second is run again."""
+    from quire.operators import report_parts
+
+    path = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    w = cut_lineage(wide(spark, sf))
+    for k in [*range(DROPS), 1]:
+        report_parts.store_part(w.where(F.pmod(F.crc32("item_id"), F.lit(DROPS)) == k), path, f"run-{k}")
+    return report_parts.read_parts(spark, path)
+
+
+def q_report_merged(spark, sf):
+    """AG2 + OB3: the report over three stored runs, from their counts and sums."""
+    from quire.operators.report_parts import merged_report
+
+    r = merged_report(_stored_parts(spark, sf))
+    return r.select("summary_type", *[_r(c).alias(c) for c in ("bert_f1", "cosine_similarity", "combined_score")], "line", "n_items")
+
+
+def q_best_worst_merged(spark, sf):
+    """AG3: best and worst item over three stored runs."""
+    from quire.operators.report_parts import merged_best_worst
+
+    b = merged_best_worst(_stored_parts(spark, sf))
+    return b.select("which", "team", "summary_type", _r("combined_score").alias("combined_score"), "item_id")
+
+
 def q_judge_scores(spark, sf):
     a = rag_answers(spark, sf)
     ans = F.array_distinct(tx.lower_terms("answer"))
@@ -519,6 +546,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_missing": q_eval_missing,
     "eval_report": q_eval_report,
     "eval_best_worst": q_eval_best_worst,
+    "report_merged": q_report_merged,
+    "best_worst_merged": q_best_worst_merged,
     "judge_scores": q_judge_scores,
     "vector_contract": q_vector_contract,
     "spans": q_spans,

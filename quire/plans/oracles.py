@@ -477,6 +477,7 @@ EVAL_REPORT = _with(
               printf('%.4f', avg(cosine_similarity)), printf('%.4f', avg(combined_score))) AS line
 FROM wide WHERE summary_type IS NOT NULL GROUP BY summary_type""",
 )
+REPORT_MERGED = EVAL_REPORT.replace("AS line\nFROM wide", "AS line, CAST(count(*) AS BIGINT) AS n_items\nFROM wide")
 EVAL_BEST_WORST = _with(
     _items(),
     """, v AS (SELECT * FROM wide WHERE combined_score IS NOT NULL),
@@ -556,6 +557,8 @@ ORACLES: dict[str, str] = {
     "eval_missing": EVAL_MISSING,
     "eval_report": EVAL_REPORT,
     "eval_best_worst": EVAL_BEST_WORST,
+    "report_merged": REPORT_MERGED,
+    "best_worst_merged": EVAL_BEST_WORST,
     "judge_scores": JUDGE_SCORES,
     "vector_contract": VECTOR_CONTRACT,
     "spans": SPANS,
