@@ -103,14 +103,27 @@ def _tokens(words) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words.hashes, words.first[1:], END), words.first + np.arange(n + 1)
 
 
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, past the last text, their tokens, each text's first token); word places are not held on to."""
+    for a, b, words in batches(texts, size=PIECE):
+        tokens = _tokens(words)
+        del words
+        yield a, b, *tokens
+
+
+def _released(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what earlier tasks of this worker held in Arrow's pool goes back to the system first."""
+    pa.default_memory_pool().release_unused()
+    yield from parts
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(h, c)`` over the training rows of ``docs(text, train)``; the end token has a row like any word."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in _released(parts):
             train = np.asarray(part.column(1).to_pylist(), bool)
-            for a, b, words in batches(part.column(0), size=PIECE):
-                tokens, first = _tokens(words)
+            for a, b, tokens, first in _pieces(part.column(0)):
                 h, c = _runs(np.sort(tokens[np.repeat(train[a:b], np.diff(first))]))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
@@ -281,10 +294,9 @@ def ngram_counts(docs: DataFrame, deal: Deal, frequent: Broadcast, several: Broa
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = Lookup(frequent.value[0])
-        for part in parts:
+        for part in _released(parts):
             train = np.asarray(part.column(1).to_pylist(), bool)
-            for a, b, words in batches(part.column(0), size=PIECE):
-                tokens, first = _tokens(words)
+            for a, b, tokens, first in _pieces(part.column(0)):
                 hashes, ids = _places(tokens)
                 listed = place(hashes)
                 _, t, u, w = _triples(hashes, ids, first, several.value, np.repeat(train[a:b], np.diff(first)))
@@ -628,9 +640,8 @@ def score(docs: DataFrame, counts: DataFrame, model: DataFrame, frequent: Broadc
     def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, often = Lookup(frequent.value[0]), frequent.value[1]
         task, number = TaskContext.get().partitionId(), 0
-        for part in parts:
-            for a, b, words in batches(part.column(2), size=PIECE):
-                tokens, first = _tokens(words)
+        for part in _released(parts):
+            for a, b, tokens, first in _pieces(part.column(2)):
                 owner = np.repeat(np.arange(b - a), np.diff(first))
                 hashes, ids = _places(tokens)
                 listed_at = place(hashes)
