@@ -64,3 +64,36 @@ def test_equal_scores_stay_within_k(spark):
     corpus = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(500, 0, -1)], "vec_id long, embedding array<float>")
     got = exact_topk(corpus.selectExpr("vec_id as query_id", "embedding").limit(50), corpus, 3, strategy="blocked").collect()
     assert len(got) == 150 and {r.vec_id for r in got} == {1, 2, 3}
+
+
+def test_scores_of_a_block_are_never_held_at_once():
+    import tracemalloc
+
+    import pandas as pd
+
+    from quire.operators.knn import _as_matrix, _score_block
+
+    x = np.random.default_rng(3).normal(size=(20_000, 8))
+    cdf = pd.DataFrame({"vec_id": np.arange(20_000), "embedding": list(x)})
+    q, _ = _as_matrix(cdf["embedding"][:2_000])
+    tracemalloc.start()
+    got = _score_block(np.arange(2_000), q, cdf, "vec_id", "embedding", 3, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and len(got) == 6_000  # all scores: 320 MB
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for query in (0, 7, 1_999):
+        s = unit @ unit[query]
+        s[query] = -9
+        mine = got[got["query_id"] == query].sort_values("cosine", ascending=False)
+        assert mine["vec_id"].tolist() == np.argsort(-s)[:3].tolist() and np.allclose(mine["cosine"], np.sort(s)[::-1][:3])
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "blocked"])
+def test_copies_take_the_lowest_ids(spark, strategy):
+    rows = [(i, [1.0, 2.0]) for i in range(40)] + [(i, [1.0, 2.0]) for i in (3, 3, 3, 3, 3)] + [(90 + i, [2.0, 1.0 + i]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = df.where("vec_id in (0, 2, 20, 90)").selectExpr("vec_id as query_id", "embedding")
+    got = exact_topk(queries, df, 3, exclude_self=True, strategy=strategy).orderBy("query_id", "rank").collect()
+    hits = {q: [r.vec_id for r in got if r.query_id == q] for q in (0, 2, 20)}
+    assert hits == {q: [i for i in (0, 1, 2, 3, 3) if i != q][:3] for q in (0, 2, 20)}
