@@ -7,10 +7,13 @@
 * **Store**: every vector goes to the list of its nearest centroid; lists are
   partition folders, and skewed lists are split over files.  New vectors are
   appended by the stored centroids.
-* **Search**: each query is sent to its ``probes`` nearest lists only.  Folders
-  that no query probes are not read; inside a list queries meet vectors in the
-  bounded blocks of :mod:`quire.operators.knn`.  More probes trade work for
-  recall; probing all lists is the exact search.
+* **Search**: each query meets its ``probes`` nearest lists only.  Folders
+  that no query probes are not read.  Queries are dealt to blocks and lists to
+  chunks of bounded size, neighbouring lists together; a query travels once to
+  each chunk that its block probes, with a bit for each of its lists, and a list
+  once to each block that probes it.  Inside, queries meet the vectors of their
+  lists by :mod:`quire.operators.knn`.  More probes trade work for recall;
+  probing all lists is the exact search.
 * **Measure**: :func:`compared` tells what share of all (query, vector) pairs a
   probe count compares, :func:`calibrate` the least probe count of a wanted
   recall on sampled queries.
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.vectors import search_score
 from quire.operators.ann import recall_at_k
-from quire.operators.knn import _as_matrix, exact_topk
+from quire.operators.joins import broadcast_if_small
+from quire.operators.knn import BLOCK_BYTES, LEAST_QUERIES, _as_matrix, _output_schema, paired
+from quire.session import cut_lineage
 from quire.sources.sinks import path_exists
 
 #: most lists (bounds the centroids held by driver and tasks), and sampled vectors a list to learn from
@@ -38,6 +43,8 @@ MAX_LISTS = 4_096
 SAMPLE_PER_LIST = 256
 #: list of vectors without a direction
 NO_LIST = -1
+#: most queries of a block and vectors of a chunk of lists
+QUERY_BLOCK, LIST_CHUNK = 16_384, 131_072
 
 
 def default_lists(n: int) -> int:
@@ -144,6 +151,51 @@ def _probed(queries: DataFrame, centroids: np.ndarray, probes: int, vec: str) ->
     return queries.withColumn("list", F.explode(_nearest(centroids, probes, queries.sparkSession)(vec)))
 
 
+def _near_bits(centroids: np.ndarray, probes: int, spark: SparkSession):
+    """Column function: ``first`` (nearest list) and ``bits`` (one bit a list, set for the ``probes`` nearest) of a vector."""
+    lists = _nearest(centroids, probes, spark).func
+    n = len(centroids)
+
+    @F.pandas_udf("first int, bits binary")
+    def near(vectors: pd.Series) -> pd.DataFrame:
+        mask = np.zeros(n, bool)
+        first, bits = [], []
+        for row in lists(vectors):
+            if row is not None:
+                mask[:] = False
+                mask[row] = True
+            first.append(None if row is None else int(row[0]))
+            bits.append(None if row is None else np.packbits(mask).tobytes())
+        return pd.DataFrame({"first": pd.Series(first, dtype="Int32"), "bits": bits})
+
+    return near
+
+
+def _chain(centroids: np.ndarray) -> list[int]:
+    """The lists in an order in which neighbours are near."""
+    left = np.ones(len(centroids), bool)
+    at, order = 0, []
+    for _ in range(len(centroids)):
+        order.append(at)
+        left[at] = False
+        if left.any():
+            at = int(np.where(left, centroids @ centroids[at], -np.inf).argmax())
+    return order
+
+
+def _dealt(sizes: dict[int, int], order: list[int], most: int) -> list[tuple[int, int, int]]:
+    """``(list, first, parts)``: the lists' rows packed in order into places of about ``most`` rows; larger lists have several."""
+    place, held, out = 0, 0, []
+    for number in order:
+        n = sizes.get(number, 0)
+        if held and held + n > most:
+            place, held = place + 1, 0
+        parts = max(1, math.ceil(n / most))
+        out.append((number, place, parts))
+        place, held = (place + parts, 0) if parts > 1 else (place, held + n)
+    return out
+
+
 def ivf_topk(queries: DataFrame, path: str, k: int, probes: int, *, c_id: str = "vec_id", vec: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """``query_id, rank, <stored columns but the vector>, cosine, search_score`` from the ``probes`` nearest lists of each query.
 
@@ -152,16 +204,51 @@ def ivf_topk(queries: DataFrame, path: str, k: int, probes: int, *, c_id: str =
     spark = queries.sparkSession
     centroids = stored_centroids(spark, path)
     index = spark.read.parquet(f"{path}/vectors")
-    if not len(centroids):
-        index, probed = index.limit(0), queries.select("query_id", vec).withColumn("list", F.lit(NO_LIST)).limit(0)
+    q = queries.select("query_id", F.col(vec).alias("_qvec"))
+    schema = _output_schema(index.drop("list"), vec, q.schema["query_id"].dataType)
+    if len(centroids):
+        near = _near_bits(centroids, probes, spark)
+        asked = q.withColumn("_n", near("_qvec")).select("query_id", "_qvec", F.col("_n.first").alias("list"), F.col("_n.bits").alias("_near"))
+        found = _searched(cut_lineage(asked.where("list IS NOT NULL")), index.where(F.col("list") != NO_LIST), centroids, schema, k, c_id, vec, exclude_self)
     else:
-        probed = _probed(queries.select("query_id", vec), centroids, probes, vec)
-        wanted = sorted(r["list"] for r in probed.select("list").distinct().collect())  # at most MAX_LISTS numbers
-        if len(wanted) < len(centroids):
-            index = index.where(F.col("list").isin(wanted))  # folders of other lists are not opened
-    near = exact_topk(probed, index, k, q_vec=vec, c_id=c_id, c_vec=vec, group_cols=["list"], exclude_self=exclude_self).drop("rank", "list", "search_score")
+        found = spark.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), F.asc(c_id))
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("search_score", search_score("cosine"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("search_score", search_score("cosine"))
+
+
+def _searched(asked: DataFrame, index: DataFrame, centroids: np.ndarray, schema, k: int, c_id: str, vec: str, exclude_self: bool) -> DataFrame:
+    """The best hits of each query and chunk of lists."""
+    spark = asked.sparkSession
+    n_lists = len(centroids)
+    count = lambda df: {r["list"]: r["n"] for r in df.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # noqa: E731 - at most MAX_LISTS rows
+    n_asked, n_stored, order = count(asked), count(index), _chain(centroids)
+    fit = max(1, BLOCK_BYTES // (8 * max(1, centroids.shape[1])))
+    chunk_of = _dealt(n_stored, order, min(LIST_CHUNK, fit))
+    chunks = max(first + parts for _, first, parts in chunk_of)
+    # smaller blocks only for the cores' sake
+    share = max(LEAST_QUERIES, math.ceil(sum(n_asked.values()) * chunks / (4 * spark.sparkContext.defaultParallelism)))
+    block_of = _dealt(n_asked, order, min(QUERY_BLOCK, fit, share))
+    place = lambda name, key, salt: (F.col("_first") + F.pmod(F.xxhash64(key, F.lit(salt)), F.col("_parts"))).cast("int").alias(name)
+    blocks = F.broadcast(spark.createDataFrame(block_of, "list int, _first int, _parts int"))
+    chunked = F.broadcast(spark.createDataFrame(chunk_of, "list int, _first int, _parts int"))
+    placed = asked.join(blocks, "list").select("query_id", "_qvec", "_near", place("_qb", "query_id", 3))
+
+    def probed(parts):
+        for part in parts:
+            for block, some in part.groupby("_qb")["_near"]:
+                bits = np.bitwise_or.reduce(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1), axis=0)
+                lists = np.flatnonzero(np.unpackbits(bits)[:n_lists]).astype(np.int32)
+                yield pd.DataFrame({"_qb": np.full(len(lists), block, np.int32), "list": lists})
+
+    wanted = cut_lineage(placed.select("_qb", "_near").mapInPandas(probed, "_qb int, list int").distinct())
+    lists = sorted(r["list"] for r in wanted.select("list").distinct().collect())  # at most MAX_LISTS numbers
+    if len(lists) < n_lists:
+        index = index.where(F.col("list").isin(lists))  # folders of other lists are not opened
+    stored = index.join(chunked, "list").select(*index.columns, place("_cb", c_id, 5))
+    cb = stored.join(broadcast_if_small(wanted, 100_000), "list")
+    spread = wanted.join(chunked, "list").select("_qb", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_parts") - 1)).alias("_cb")).distinct()
+    qb = placed.join(broadcast_if_small(spread, 100_000), "_qb")
+    return paired(qb, cb, schema, k, c_id, vec, ["_qb", "_cb"], exclude_self)
 
 
 def compared(queries: DataFrame, path: str, probes: int, vec: str = "embedding") -> DataFrame:

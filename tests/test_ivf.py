@@ -73,3 +73,18 @@ def test_vectors_without_direction_and_empty_tables(spark, tmp_path):
     assert {r.vec_id for r in stored.where("list = -1").collect()} == {2, 3, 4, 6, 7} and stored.count() == 7
     ivf.build_index(df.where("vec_id = 3"), str(tmp_path / "none"))
     assert ivf.ivf_topk(asked(df), str(tmp_path / "none"), 3, 1).count() == 0
+
+
+def test_a_query_travels_once_to_a_chunk_of_lists(spark, tmp_path, monkeypatch):
+    path, vectors = str(tmp_path / "index"), clustered(spark)
+    ivf.build_index(vectors, path, n_lists=20)
+    sent = []
+    monkeypatch.setattr(ivf, "paired", lambda qb, cb, *a, f=ivf.paired: sent.append((qb.count(), cb.count())) or f(qb, cb, *a))
+    got = ivf.ivf_topk(asked(vectors), path, 3, 15, exclude_self=True).count()
+    assert got == 2_700 and sent == [(900, 900)]  # not 15 rows a query
+    monkeypatch.setattr(ivf, "LIST_CHUNK", 200)
+    monkeypatch.setattr(ivf, "QUERY_BLOCK", 300)
+    cut = ivf.ivf_topk(asked(vectors), path, 3, 20, exclude_self=True)
+    exact = exact_topk(asked(vectors), vectors, 3, exclude_self=True)
+    key = lambda df: sorted((r.query_id, r["rank"], r.vec_id) for r in df.collect())
+    assert key(cut) == key(exact)
