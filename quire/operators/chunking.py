@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import _c, let, words
+from quire.functions.text import _c, let, rough_tokens, words
 
 
 def chunk_array(text: Column | str, max_tokens: int = 100_000) -> Column:
@@ -30,10 +30,10 @@ def chunk_array(text: Column | str, max_tokens: int = 100_000) -> Column:
             F.sequence(F.lit(0), n_chunks - 1),
             lambda i: F.array_join(F.slice(w, i * chunk_len + 1, chunk_len), " "),
         )
-        return F.when(tokens <= max_tokens, F.array(t)).otherwise(split)
+        return split
 
-    # the word array is computed once per row and shared by every chunk
-    return F.when(t.isNotNull(), let(words(t), cut))
+    # the word array is computed once per row and shared by every chunk, and only for texts that are cut
+    return F.when(t.isNotNull(), F.when(rough_tokens(t) <= max_tokens, F.array(t)).otherwise(let(words(t), cut)))
 
 
 def explode_chunks(df: DataFrame, text_col: str = "text", max_tokens: int = 100_000, keep: list[str] | None = None) -> DataFrame:

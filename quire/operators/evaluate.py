@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import fmt4, let, non_blank, strip_ws, terms_from_words, word_count, words
+from quire.functions.text import fmt4, lower_terms, non_blank, strip_ws, word_count
 from quire.functions.vectors import cosine
-from quire.operators.metrics import combined, f1, reference_stats_from_terms, row_lexical_scores
+from quire.operators.metrics import combined, f1, term_scores
 from quire.operators.summaries import VARIANT_NAMES, variant_lookup
 from quire.operators.token_match import token_match
 
@@ -31,9 +31,8 @@ def eval_items(docs: DataFrame, summary_types: list[str] | None = None) -> DataF
 
     ``docs``: ``_id, team, content, summaries``.  Only the fixed summary types
     are read (other map keys are ignored, unlike the vector load).  The
-    article's words are extracted once per document; its length and term
-    statistics (``_ref``) come from that one pass, before the per-type
-    explode, so items never carry the article text.  Stripping does not
+    article's terms (``_ref``) and length are made once per document, before
+    the per-type explode, so items never carry the article text.  Stripping does not
     change a text's words, so the reference is the content as stored.
     """
     types = summary_types or VARIANT_NAMES
@@ -41,10 +40,8 @@ def eval_items(docs: DataFrame, summary_types: list[str] | None = None) -> DataF
         "_id",
         "team",
         "summaries",
-        let(
-            words("content"),
-            lambda w: F.struct(F.size(w).cast("bigint").alias("n"), reference_stats_from_terms(terms_from_words(w)).alias("ref")),
-        ).alias("_art"),
+        word_count("content").alias("_n"),
+        lower_terms("content").alias("_ref"),
     )
     d = d.select("*", F.posexplode(F.array(*[F.lit(t) for t in types])).alias("_tpos", "summary_type"))
     d = d.withColumn("summary", strip_ws(F.coalesce(variant_lookup("summaries", "summary_type"), F.lit(""))))
@@ -55,9 +52,9 @@ def eval_items(docs: DataFrame, summary_types: list[str] | None = None) -> DataF
         "team",
         "summary_type",
         "summary",
-        F.col("_art.n").alias("article_length"),
+        F.col("_n").alias("article_length"),
         word_count("summary").alias("summary_length"),
-        F.col("_art.ref").alias("_ref"),
+        "_ref",
     )
 
 
@@ -68,7 +65,7 @@ def score_items(items: DataFrame, bert_weight: float = 0.6, cosine_weight: float
     combined`` and ``error`` (FL6: blank input gives NULL scores; items only
     exist for non-blank articles, so the summary is the side to check).
     """
-    s = items.withColumn("_s", row_lexical_scores("summary", "_ref"))
+    s = items.withColumn("_s", term_scores(lower_terms("summary"), "_ref"))
     blank = ~non_blank("summary")
     out = s.select(
         "item_id", "_id", "team", "summary_type", "summary_length", "article_length",

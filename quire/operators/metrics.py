@@ -11,9 +11,11 @@
 * Combined (ML9): ``bert_weight * f1 + cosine_weight * cosine`` computed once
   from the columns above (no recomputation).
 
-Two physical forms of the lexical scores, same numbers:
+Three physical forms of the lexical scores, same numbers:
 
-* :func:`row_lexical_scores` (used by the evaluation): per item row, from the
+* :func:`term_scores` (used by the evaluation): per item row, term counts of
+  both sides in Arrow batches; cost per item is the number of its terms.
+* :func:`row_lexical_scores`: the same without Python, per item row, from the
   candidate's distinct terms and the reference's sorted term array computed
   once per document (:func:`reference_stats`).  No shuffle at all, so a hot
   term or a hot document cannot skew a task; cost per item is
@@ -24,6 +26,10 @@ Two physical forms of the lexical scores, same numbers:
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,6 +189,25 @@ def row_lexical_scores(candidate: Column | str, ref: Column | str) -> Column:
     return let(lower_terms(candidate), per_candidate)
 
 
+def term_scores(candidate: Column | str, reference: Column | str) -> Column:
+    """:func:`row_lexical_scores` of two term arrays, counted in Arrow batches: one pass over each array."""
+
+    @F.pandas_udf("precision double, recall double, cosine double")
+    def scored(candidates: pd.Series, references: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, r in zip(candidates, references):
+            if c is None or r is None or not len(c) or not len(r):
+                out.append((None, None, None))
+                continue
+            ours, theirs = Counter(c), Counter(r)
+            both = [(n, theirs[t]) for t, n in ours.items() if t in theirs]
+            norms = math.sqrt(sum(n * n for n in ours.values())) * math.sqrt(sum(n * n for n in theirs.values()))
+            out.append((sum(n for n, _ in both) / len(c), sum(m for _, m in both) / len(r), sum(n * m for n, m in both) / norms))
+        return pd.DataFrame(out, columns=["precision", "recall", "cosine"], dtype="float64")
+
+    return scored(candidate, reference)
+
+
 def embedding_cosine(df: DataFrame, embedder, candidate: str = "candidate", reference: str = "reference") -> DataFrame:
     """ML8 with a pluggable embedder: adds ``cosine`` of the two embeddings.
 

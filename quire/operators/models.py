@@ -148,13 +148,9 @@ class HashingEmbedder:
                 if terms is None or len(terms) == 0:
                     out.append(None)
                     continue
-                idx = np.empty(len(terms), dtype=np.int64)
-                for j, t in enumerate(terms):
-                    b = cache.get(t)
-                    if b is None:
-                        b = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim
-                        cache[t] = b
-                    idx[j] = b
+                for t in set(terms).difference(cache):
+                    cache[t] = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim
+                idx = np.fromiter(map(cache.__getitem__, terms), np.int64, len(terms))
                 counts = np.bincount(idx, minlength=dim).astype(np.float64)
                 out.append(counts / np.sqrt(np.dot(counts, counts)))
             return pd.Series(out)

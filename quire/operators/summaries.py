@@ -130,13 +130,14 @@ def summarize(
     # chunk once per document, then fan out to its missing variants and chunks
     chunked = pairs.select("_id", "team", "_missing", chunk_array("content", chunk_tokens).alias("_chunks"))
     # explode_outer + a NULL filter: plain explode would make Catalyst infer a
-    # size(_missing) > 0 filter that recomputes _missing below the projection
+    # size(_missing) > 0 filter that recomputes _missing below the projection;
+    # so it is with the chunks
     per_variant = chunked.select("_id", "team", F.explode_outer("_missing").alias("variant"), "_chunks").filter(
         F.col("variant").isNotNull()
     )
     calls = per_variant.select(
-        "_id", "variant", "team", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_pos", "_chunk")
-    )
+        "_id", "variant", "team", F.size("_chunks").alias("_n"), F.posexplode_outer("_chunks").alias("_pos", "_chunk")
+    ).filter(F.col("_pos").isNotNull())
     if model_partitions:
         # a remote model: fix the task count (AQE could coalesce a small input
         # into one task) - it is also the cap on concurrent calls

@@ -52,17 +52,19 @@ class TrigramTokens:
         return lower_terms(text)
 
     def vectors(self, token_lists: Sequence[Sequence[str]]) -> list[np.ndarray]:
-        of = _trigram_vector
-        return [np.array([of(t, self.dim) for t in tokens], dtype=np.float64).reshape(len(tokens), self.dim) for tokens in token_lists]
+        places: dict[str, int] = {}  # each distinct token of the call has one row
+        at = [np.array([places.setdefault(t, len(places)) for t in tokens], dtype=np.int64) for tokens in token_lists]
+        rows = np.array([_trigram_vector(t, self.dim) for t in places], dtype=np.float64).reshape(len(places), self.dim)
+        return [rows[i] for i in at]
 
 
-@lru_cache(maxsize=1 << 14)
-def _trigram_vector(token: str, dim: int) -> tuple[int, ...]:
+@lru_cache(maxsize=1 << 16)
+def _trigram_vector(token: str, dim: int) -> np.ndarray:
     import hashlib
 
     marked = f"^{token}$"
     places = [int(hashlib.md5(marked[i : i + 3].encode()).hexdigest()[:8], 16) % dim for i in range(len(marked) - 2)]
-    return tuple(np.bincount(places, minlength=dim).tolist())
+    return np.bincount(places, minlength=dim).astype(np.float64)
 
 
 @dataclass

@@ -27,3 +27,24 @@ def test_best_worst_ties_and_gate(spark):
     assert got["best"].item_id == "a" and got["worst"].item_id == "c"
     same = [("a", "t", "x", 0.0, 0.0, 0.5), ("b", "t", "x", 0.0, 0.0, 0.5)]
     assert best_worst(spark.createDataFrame(same, WIDE)).count() == 0
+
+
+def test_term_scores_equal_the_scores_without_python(spark):
+    from quire.functions.text import lower_terms, terms_from_words, words
+    from quire.operators.metrics import reference_stats, row_lexical_scores, term_scores
+
+    texts = ["", None, "  ", "a b a", "A, b! (c) -- d", "x\u00a0y z", "\u00abStra\u00dfe\u00bb \u0391\u03a3' \u0130x", "...", "a'b c-d a'b", "\u2003 a a a b "]
+    df = spark.createDataFrame([(c, r) for c in texts for r in texts], "c string, r string")
+    df = df.withColumn("new", term_scores(lower_terms("c"), lower_terms("r"))).withColumn("old", row_lexical_scores("c", reference_stats("r")))
+    rows = df.withColumn("t", lower_terms("c")).withColumn("u", terms_from_words(words("c"))).collect()
+    assert all(r.t == r.u for r in rows) and any(r.t for r in rows)
+    for r in rows:
+        assert [r.new[k] for k in ("precision", "recall", "cosine")] == ([r.old[k] for k in ("precision", "recall", "cosine")] if r.old else [None] * 3), (r.c, r.r)
+
+
+def test_scoring_scans_no_article_once_a_word(spark):
+    from quire.operators.evaluate import eval_items, score_items
+
+    docs = spark.createDataFrame([(1, "t", "a b c", {"default": "a b"})], "_id long, team string, content string, summaries map<string,string>")
+    plan = score_items(eval_items(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_remove(" not in plan and "aggregate(" not in plan
