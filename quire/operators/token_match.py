@@ -52,19 +52,20 @@ class TrigramTokens:
         return lower_terms(text)
 
     def vectors(self, token_lists: Sequence[Sequence[str]]) -> list[np.ndarray]:
-        places: dict[str, int] = {}  # each distinct token of the call has one row
-        at = [np.array([places.setdefault(t, len(places)) for t in tokens], dtype=np.int64) for tokens in token_lists]
-        rows = np.array([_trigram_vector(t, self.dim) for t in places], dtype=np.float64).reshape(len(places), self.dim)
-        return [rows[i] for i in at]
+        rows: dict[str, int] = {}  # each distinct token of the call has one row
+        at = [np.array([rows.setdefault(t, len(rows)) for t in tokens], dtype=np.int64) for tokens in token_lists]
+        place, dim = _trigram_place, self.dim
+        places = [place(marked[i : i + 3], dim) for marked in (f"^{t}$" for t in rows) for i in range(len(marked) - 2)]
+        row = np.repeat(np.arange(len(rows)), np.array([len(t) for t in rows], dtype=np.int64))  # a token has as many trigrams as characters
+        m = np.bincount(row * dim + np.array(places, dtype=np.int64), minlength=len(rows) * dim).reshape(len(rows), dim).astype(np.float64)
+        return [m[i] for i in at]
 
 
 @lru_cache(maxsize=1 << 16)
-def _trigram_vector(token: str, dim: int) -> np.ndarray:
+def _trigram_place(trigram: str, dim: int) -> int:
     import hashlib
 
-    marked = f"^{token}$"
-    places = [int(hashlib.md5(marked[i : i + 3].encode()).hexdigest()[:8], 16) % dim for i in range(len(marked) - 2)]
-    return np.bincount(places, minlength=dim).astype(np.float64)
+    return int(hashlib.md5(trigram.encode()).hexdigest()[:8], 16) % dim
 
 
 @dataclass

@@ -108,3 +108,20 @@ def test_scores_move_nothing(spark):
     docs = spark.createDataFrame([(1, "t", "a b", {"default": "a"})], "_id long, team string, content string, summaries map<string,string>")
     plan = vector_scored_items(docs, EMB, HashingEmbedder(8))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "MapInArrow" in plan and "BatchEvalPython" not in plan
+
+
+def test_each_trigram_is_hashed_once(monkeypatch):
+    import hashlib
+
+    from quire.operators import token_match as tm
+
+    calls, md5 = [], hashlib.md5
+    monkeypatch.setattr(hashlib, "md5", lambda b: calls.append(b) or md5(b))
+    tm._trigram_place.cache_clear()
+    got = tm.TrigramTokens(8).vectors([["abcx", "abcy", "x"], [], ["abcz"]])
+    assert len(calls) == len(set(calls)) and [len(m) for m in got] == [3, 0, 1]
+    for token, row in zip(["abcx", "abcy", "x"], got[0]):
+        marked = f"^{token}$"
+        places = [int(md5(marked[i : i + 3].encode()).hexdigest()[:8], 16) % 8 for i in range(len(marked) - 2)]
+        assert row.tolist() == np.bincount(places, minlength=8).tolist()
+    assert tm.TrigramTokens(8).vectors([[]])[0].shape == (0, 8)
