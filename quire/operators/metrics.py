@@ -14,7 +14,8 @@
 Three physical forms of the lexical scores, same numbers:
 
 * :func:`term_scores` (used by the evaluation): per item row, term counts of
-  both sides in Arrow batches; cost per item is the number of its terms.
+  both sides in Arrow batches, a bounded number of terms at once; cost per
+  item is the number of its terms.
 * :func:`row_lexical_scores`: the same without Python, per item row, from the
   candidate's distinct terms and the reference's sorted term array computed
   once per document (:func:`reference_stats`).  No shuffle at all, so a hot
@@ -26,10 +27,11 @@ Three physical forms of the lexical scores, same numbers:
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,21 +191,59 @@ def row_lexical_scores(candidate: Column | str, ref: Column | str) -> Column:
     return let(lower_terms(candidate), per_candidate)
 
 
+#: terms of both sides that are counted at once (or those of one item)
+TERMS_AT_ONCE = 1 << 18
+
+
+def _counted(c: pa.Array, r: pa.Array) -> pa.Array:
+    """Scores of a slice of term lists: the terms become numbers, an item's counts are runs of one sorted array."""
+    n = len(c)
+    sizes = [pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False).astype(np.int64) for side in (c, r)]
+    terms = pa.concat_arrays([c.flatten(), r.flatten()]).dictionary_encode(null_encoding="encode")
+    known = max(len(terms.dictionary), 1)
+    keys = np.repeat(np.tile(np.arange(n), 2), np.concatenate(sizes)) * known + terms.indices.to_numpy()
+    (ours, n_ours), (theirs, n_theirs) = (np.unique(k, return_counts=True) for k in np.split(keys, [sizes[0].sum()]))
+    at = np.searchsorted(theirs, ours)
+    both = at < len(theirs)
+    both[both] = theirs[at[both]] == ours[both]
+    item, matched = ours // known, np.zeros(len(ours), np.int64)
+    matched[both] = n_theirs[at[both]]
+    total = lambda rows, values: np.bincount(rows, values, n)  # noqa: E731 - whole numbers, exact in doubles
+    ok = (sizes[0] > 0) & (sizes[1] > 0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        precision = total(item, n_ours * both) / sizes[0]
+        recall = total(item, matched) / sizes[1]
+        cosine = total(item, n_ours * matched) / (np.sqrt(total(item, n_ours * n_ours)) * np.sqrt(total(theirs // known, n_theirs * n_theirs)))
+    return pa.StructArray.from_arrays([pa.array(x, pa.float64(), mask=~ok) for x in (precision, recall, cosine)], ["precision", "recall", "cosine"])
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of items with at most ``TERMS_AT_ONCE`` terms, or one item each."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + TERMS_AT_ONCE, "right")))
+        yield start, end - start
+        start = end
+
+
+def _scores(candidates: pa.Array, references: pa.Array) -> pa.Array:
+    """:func:`_counted`, slice by slice."""
+    sizes = sum(pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False).astype(np.int64) for side in (candidates, references))
+    parts = [_counted(candidates.slice(a, n), references.slice(a, n)) for a, n in _slices(sizes)]
+    return pa.concat_arrays(parts) if parts else _counted(candidates, references)
+
+
 def term_scores(candidate: Column | str, reference: Column | str) -> Column:
-    """:func:`row_lexical_scores` of two term arrays, counted in Arrow batches: one pass over each array."""
-
-    @F.pandas_udf("precision double, recall double, cosine double")
-    def scored(candidates: pd.Series, references: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, r in zip(candidates, references):
-            if c is None or r is None or not len(c) or not len(r):
-                out.append((None, None, None))
-                continue
-            ours, theirs = Counter(c), Counter(r)
-            both = [(n, theirs[t]) for t, n in ours.items() if t in theirs]
-            norms = math.sqrt(sum(n * n for n in ours.values())) * math.sqrt(sum(n * n for n in theirs.values()))
-            out.append((sum(n for n, _ in both) / len(c), sum(m for _, m in both) / len(r), sum(n * m for n, m in both) / norms))
-        return pd.DataFrame(out, columns=["precision", "recall", "cosine"], dtype="float64")
+    """:func:`row_lexical_scores` of two term arrays, counted in Arrow batches.
+
+    No term becomes a Python object, and a batch (which Spark bounds in rows and bytes) is counted in slices of
+    ``TERMS_AT_ONCE`` terms: a worker holds the batch and what one slice takes.
+    """
+
+    @F.arrow_udf("struct<precision: double, recall: double, cosine: double>")
+    def scored(candidates: pa.Array, references: pa.Array) -> pa.Array:
+        return _scores(candidates, references)
 
     return scored(candidate, reference)
 

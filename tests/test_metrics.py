@@ -74,3 +74,49 @@ def test_weight_check():
     check_weights(0.6, 0.4)
     with pytest.raises(ValueError):
         check_weights(0.7, 0.4)
+
+
+def test_term_scores_of_slices_equal_those_of_single_items(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from quire.operators import metrics
+
+    rng = random.Random(3)
+    side = lambda most: [None if rng.random() < 0.1 else rng.choices(["a", "b", "c", "é", "", None], k=rng.randrange(most)) for _ in range(200)]
+    c, r = side(6), side(40)
+    monkeypatch.setattr(metrics, "TERMS_AT_ONCE", 50)
+    got = metrics._scores(pa.array(c), pa.array(r)).to_pylist()
+    for ours, theirs, g in zip(c, r, got):
+        if not ours or not theirs:
+            assert g == {"precision": None, "recall": None, "cosine": None}
+            continue
+        a, b = Counter(ours), Counter(theirs)
+        cos = sum(n * b[t] for t, n in a.items()) / (math.sqrt(sum(n * n for n in a.values())) * math.sqrt(sum(n * n for n in b.values())))
+        assert g == {"precision": sum(t in b for t in ours) / len(ours), "recall": sum(t in a for t in theirs) / len(theirs), "cosine": cos}
+    rows = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(c, r))], "i int, c array<string>, r array<string>")
+    assert [s.asDict() for _, s in sorted(rows.select("i", metrics.term_scores("c", "r").alias("s")).collect())] == got
+    assert len(metrics._scores(pa.array([], pa.list_(pa.string())), pa.array([], pa.list_(pa.string())))) == 0
+
+
+def test_counting_a_batch_holds_a_slice_of_its_terms():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quire.operators import metrics
+
+    n, words = 3_000, 1_000
+    terms = pa.array([f"word{i}" for i in range(5_000)]).take(pa.array(np.arange(n * words) * 7 % 5_000))
+    references = pa.ListArray.from_arrays(pa.array(np.arange(0, n * words + 1, words), pa.int32()), terms)
+    candidates = references.slice(0, n)
+    tracemalloc.start()
+    out = metrics._scores(candidates, references)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == n and out[0].as_py()["precision"] == 1.0
+    assert peak < 100e6  # 6 million strings would be some 400 MB
