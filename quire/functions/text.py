@@ -65,6 +65,12 @@ def words(x: Column | str) -> Column:
     return F.array_remove(F.split(_c(x), WS + "+"), "")
 
 
+def first_words(x: Column | str, n: int) -> Column:
+    """The first ``n`` of :func:`words` (all, if fewer); the rest of the text is not cut."""
+    # at most one empty piece before the first word, and one piece for the rest
+    return F.slice(F.array_remove(F.split(_c(x), WS + "+", n + 2), ""), 1, n)
+
+
 def collapse_ws(x: Column | str) -> Column:
     """SC5: runs of two or more whitespace characters become one space (S11)."""
     return F.regexp_replace(_c(x), f"{WS}{{2,}}", " ")

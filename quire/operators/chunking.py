@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import _c, let, rough_tokens, words
+from quire.functions.text import _c, let, words
 
 
 def chunk_array(text: Column | str, max_tokens: int = 100_000) -> Column:
@@ -21,7 +21,7 @@ def chunk_array(text: Column | str, max_tokens: int = 100_000) -> Column:
         raise ValueError("max_tokens must be >= 2")
     t = _c(text)
 
-    def cut(w: Column) -> Column:
+    def pieces(w: Column) -> Column:
         n = F.size(w).cast("bigint")
         tokens = F.floor(n * 4 / 3).cast("bigint")
         chunk_len = F.floor(n * F.lit(max_tokens) / tokens).cast("int")
@@ -30,10 +30,12 @@ def chunk_array(text: Column | str, max_tokens: int = 100_000) -> Column:
             F.sequence(F.lit(0), n_chunks - 1),
             lambda i: F.array_join(F.slice(w, i * chunk_len + 1, chunk_len), " "),
         )
-        return split
+        return F.when(tokens <= max_tokens, F.array(t)).otherwise(split)
 
-    # the word array is computed once per row and shared by every chunk, and only for texts that are cut
-    return F.when(t.isNotNull(), F.when(rough_tokens(t) <= max_tokens, F.array(t)).otherwise(let(words(t), cut)))
+    # words lie apart, so a text has at most one for two characters: short texts fit without being cut into words;
+    # the word array of others is computed once per row and shared by the count and every chunk
+    most = F.floor(F.floor((F.length(t) + 1) / 2) * 4 / 3)
+    return F.when(t.isNotNull(), F.when(most <= max_tokens, F.array(t)).otherwise(let(words(t), pieces)))
 
 
 def explode_chunks(df: DataFrame, text_col: str = "text", max_tokens: int = 100_000, keep: list[str] | None = None) -> DataFrame:

@@ -90,7 +90,7 @@ def corpus_docs(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("team"),
         F.col("text").alias("content"),
         # the word array is bound once per labelled document
-        F.when(labelled, tx.let(tx.words("text"), stored_map)).alias("summaries"),
+        F.when(labelled, tx.let(tx.first_words("text", 12), stored_map)).alias("summaries"),
         F.col("toxic"),
     )
 
